@@ -1 +1,15 @@
+"""Named queries over the test tables."""
 
+from __future__ import annotations
+
+import importlib
+
+MODULES = ("ingest",)
+
+
+def load():
+    for module in MODULES:
+        importlib.import_module(f"threadloom.catalog.{module}")
+    from threadloom.catalog.base import REGISTRY
+
+    return REGISTRY

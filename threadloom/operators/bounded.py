@@ -87,79 +87,49 @@ def take_by_hash(
     leading hash digits finds the cell where a group's quota is used up; only that cell's ids are
     ranked, which yields the last hash to keep. The draw itself is then a filter on the scan.
     """
+    if not group:
+        whole = take_by_hash(df.withColumn("_all", F.lit(1)), ["_all"], id_col, seed, quotas)
+        return whole.drop("_all")
     group = list(group)
     hist = hash_histogram(df, group, id_col, seed) if hist is None else hist
-    up_to = (
-        Window.partitionBy(*group).orderBy("_cell")
-        if group
-        else Window.partitionBy(F.lit(0)).orderBy("_cell")
-    )
+    up_to = Window.partitionBy(*group).orderBy("_cell")
     cells = hist.withColumn("_upto", F.sum("_rows").over(up_to))
     if isinstance(quotas, DataFrame):
         cells = cells.join(quotas.select(*group, "n"), group)
     else:
         cells = cells.withColumn("n", F.lit(quotas).cast("bigint"))
-    # One row per group: the cell that holds its n-th id, and how many ids of that cell to keep.
-    cut_cells = small_side(
-        cells.where((F.col("_upto") >= F.col("n")) & (F.col("_upto") - F.col("_rows") < F.col("n")))
-        .select(*group, F.col("_cell").alias("_cut"), (F.col("n") - F.col("_upto") + F.col("_rows")).alias("_keep")),
-        "cut-cells",
+    # The cell that holds a group's n-th id, and how many of its ids to keep; no cell: keep all.
+    reached = F.when(F.col("_upto") >= F.col("n"), F.struct("_cell", "_upto", "_rows"))
+    cuts = small_side(
+        cells.where(F.col("n") > 0)
+        .groupBy(*group)
+        .agg(F.max("n").alias("n"), F.min(reached).alias("_at"))
+        .select(
+            *group,
+            F.col("_at._cell").alias("_cut"),
+            (F.col("n") - F.col("_at._upto") + F.col("_at._rows")).alias("_keep"),
+        ),
+        "hash-cuts",
     )
-    taken_whole = small_side(
-        cells.groupBy(*group).agg(F.max("_upto").alias("_total"), F.max("n").alias("n"))
-        .where((F.col("_total") < F.col("n")) & (F.col("n") > 0))
-        .select(*group),
-        "whole-groups",
-    ) if group else None
-
     hashed = df.withColumn("_hash", hash_order(F.col(id_col), seed))
-    narrow = hashed.select(*group, "_hash", F.col(id_col).alias("_id"))
-    in_cut = _join_cuts(narrow, cut_cells, group).where(
-        F.substring("_hash", 1, HASH_DIGITS) == F.col("_cut")
-    )
-    rank = Window.partitionBy(*(group or ["_cut"])).orderBy("_hash", "_id")
-    last_kept = small_side(
-        in_cut.withColumn("_rank", F.row_number().over(rank))
+    rank = Window.partitionBy(*group).orderBy("_hash", "_id")
+    ends = (
+        hashed.select(*group, "_hash", F.col(id_col).alias("_id"))
+        .join(cuts, group)
+        .where(F.substring("_hash", 1, HASH_DIGITS) == F.col("_cut"))
+        .withColumn("_rank", F.row_number().over(rank))
         .where(F.col("_rank") == F.col("_keep"))
-        .select(*group, F.col("_hash").alias("_last"), F.col("_id").alias("_last_id")),
-        "last-kept",
+        .select(*group, F.col("_hash").alias("_end"), F.col("_id").alias("_end_id"))
     )
-    keep = (F.col("_hash") < F.col("_last")) | (
-        (F.col("_hash") == F.col("_last")) & (F.col(id_col) <= F.col("_last_id"))
+    limits = small_side(
+        cuts.join(ends, group, "left").select(*group, "_cut", "_end", "_end_id"), "hash-limits"
     )
-    if group:
-        every = last_kept.select(*group, "_last", "_last_id").unionByName(
-            taken_whole.select(*group, F.lit("g").alias("_last"), F.lit(None).cast(df.schema[id_col].dataType).alias("_last_id"))
-        )
-        drawn = hashed.join(_hint(every, last_kept, taken_whole), group).where(keep)
-    else:
-        # With no cut the quota exceeds the table, and everything is kept ("g" sorts after hex digits).
-        last = last_kept.select(F.min(F.struct("_last", "_last_id"))).scalar()
-        drawn = (
-            hashed.withColumn("_cutoff", last)
-            .withColumn("_last", F.coalesce(F.col("_cutoff._last"), _open_end(quotas)))
-            .withColumn("_last_id", F.col("_cutoff._last_id"))
-            .where(keep)
-        )
-    return drawn.select(*df.columns)
-
-
-def _open_end(quotas: DataFrame | int) -> Column:
-    wanted = quotas.select(F.max("n")).scalar() if isinstance(quotas, DataFrame) else F.lit(quotas)
-    return F.when(wanted > 0, F.lit("g")).otherwise(F.lit(""))
-
-
-def _join_cuts(rows: DataFrame, cuts: DataFrame, group: list[str]) -> DataFrame:
-    if group:
-        return rows.join(cuts, group)
-    cut = cuts.select(F.struct("_cut", "_keep")).scalar()
-    return rows.withColumn("_c", cut).select("*", "_c._cut", "_c._keep").drop("_c")
-
-
-def _hint(table: DataFrame, *parts: DataFrame) -> DataFrame:
-    """Broadcast a union whose parts were each counted and marked small."""
-    marked = all("ResolvedHint" in p._jdf.queryExecution().analyzed().toString() for p in parts)
-    return F.broadcast(table) if marked else table
+    keep = (
+        F.col("_cut").isNull()
+        | (F.col("_hash") < F.col("_end"))
+        | ((F.col("_hash") == F.col("_end")) & (F.col(id_col) <= F.col("_end_id")))
+    )
+    return hashed.join(limits, group).where(keep).select(*df.columns)
 
 
 def block_apply(
