@@ -188,6 +188,7 @@ TERM_STOP_WORDS = (
     "have", "with", "this", "that", "from", "when", "your", "what", "apple", "applesupport", "phone", "iphone",
 )
 NO_TERMS_LABEL = "general_technical_support"
+NO_TERMS_ABOUT = "Apple devices"
 
 # Gold labelling. Substrings of the lower-cased message per language.
 GOLD_SPANISH = ("¿", "por qué", "qué", "hola", "ayuda", "celular", "actualización", "batería", "gracias", "mala")
