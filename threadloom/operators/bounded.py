@@ -150,6 +150,8 @@ def block_apply(
     a reduced result (top-k rows, partial sums), never the pairs themselves.
     """
     key = list(key)
+    # New column identities, so that a table may be compared with itself.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
 
     def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
         size = F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias(name)

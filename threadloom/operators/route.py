@@ -40,6 +40,11 @@ def other_grounds(policy_intents: Sequence[str] = presets.POLICY_INTENTS, agreem
     return F.col("predicted_intent").isin(*policy_intents) | (F.col("agreement") < agreement_min) | ~fine
 
 
+def _shown(col: Column) -> Column:
+    """A score for display; exact halves (multiples of 1/8) go to the even digit before formatting."""
+    return F.when(col * 8 == F.floor(col * 8), F.bround(col, 2)).otherwise(col)
+
+
 def decide(
     df: DataFrame,
     policy_intents: Sequence[str] = presets.POLICY_INTENTS,
@@ -57,17 +62,18 @@ def decide(
         F.when(intent.isin(*policy_intents), F.concat(F.lit("intent policy: always escalate for "), intent))
         .when(
             conf < confidence_min,
-            F.format_string(f"low classifier confidence (%.2f < {confidence_min:.2f}): routing uncertain", conf),
+            F.format_string(f"low classifier confidence (%.2f < {confidence_min:.2f}): routing uncertain", _shown(conf)),
         )
         .when(
             agree < agreement_min,
             F.format_string(
-                "low precedent agreement (%.2f): retrieved historical resolutions disagree on how this was handled", agree
+                "low precedent agreement (%.2f): retrieved historical resolutions disagree on how this was handled",
+                _shown(agree),
             ),
         )
         .when(~fine, F.lit("draft contains a claim not supported by retrieved precedent"))
     )
-    passed = F.format_string("high precedent agreement (%.2f), grounded draft, non-restricted intent", agree)
+    passed = F.format_string("high precedent agreement (%.2f), grounded draft, non-restricted intent", _shown(agree))
     return df.withColumn("_reason", reason).select(
         *df.columns,
         F.when(F.col("_reason").isNotNull(), "escalate").otherwise("auto_handle").alias("decision"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,14 +59,10 @@ def latest_per_key(log: DataFrame, key: Sequence[str], order: Sequence) -> DataF
     return log.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
-def read_if_exists(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """The table at ``path``, or an empty one before its first write."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+def open_table(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """The table at ``path``, created without rows if there is none yet."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def fill_missing(
@@ -78,6 +73,6 @@ def fill_missing(
     The rows to compute are found by an anti-join, so an interrupted job resumes where it stopped.
     """
     spark = df.sparkSession
-    have = read_if_exists(spark, path, schema)
+    have = open_table(spark, path, schema)
     compute(df.join(have.select(key), key, "left_anti")).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path).join(df.select(key), key, "left_semi")
