@@ -230,7 +230,7 @@ def propagate_labels(
 
 
 @F.udf(VectorUDT())
-def _log_counts(counts: SparseVector) -> SparseVector:
+def _log_counts(counts):
     """1 + ln(tf), keeping the vector sparse, which no column expression does."""
     return SparseVector(counts.size, counts.indices, 1.0 + np.log(counts.values))
 

@@ -56,6 +56,15 @@ def precedent_index(
     return retrieve.write_index(stored.drop("composed"), split.holdout, path)
 
 
+@dataclass(frozen=True)
+class GoldSet:
+    """Labelled messages, the log of ambiguous ones, and every part of their transcripts."""
+
+    labelled: DataFrame
+    ambiguous: DataFrame
+    contexts: DataFrame
+
+
 def gold_set(
     holdout: DataFrame,
     targets: Mapping[str, int],
@@ -63,15 +72,24 @@ def gold_set(
     tagged: DataFrame,
     rules: GoldRules = GoldRules(),
     seed: int = 42,
-) -> tuple[DataFrame, DataFrame]:
-    """(gold messages with context and labels, log of ambiguous ones)."""
+) -> GoldSet:
+    """Draw, attach context and label.
+
+    A message carries its transcript's first part (the whole transcript of all but giant threads)
+    and the number of parts; ``contexts`` has them all.
+    """
     drawn = sampling.sample_targets(holdout, targets, "thread_id", "predicted_intent", seed)
     drawn, _ = write_stage(drawn, "gold-sample")
     mine = posts.join(drawn.select("thread_key"), "thread_key", "left_semi")
-    context = threads.transcripts(mine).where(F.col("part") == 0).join(threads.last_brand_reply(mine), "thread_key", "left")
+    contexts, _ = write_stage(threads.transcripts(mine), "gold-contexts")
+    parts = contexts.groupBy("thread_key").agg(
+        F.min_by("transcript", "part").alias("transcript"), F.count(F.lit(1)).alias("context_parts")
+    )
+    context = parts.join(threads.last_brand_reply(mine), "thread_key", "left")
     context = context.join(tagged.select("thread_key", "resolution_reason"), "thread_key", "left").select(
         "thread_key",
         F.col("transcript").alias("full_thread_context"),
+        "context_parts",
         "historical_brand_reply",
         F.col("resolution_reason").alias("historical_resolution_reason"),
     )
@@ -81,9 +99,10 @@ def gold_set(
         "thread_key",
         {
             "full_thread_context": F.concat(F.lit("[Customer]: "), F.col("text")),
+            "context_parts": F.lit(0).cast("bigint"),
             "historical_brand_reply": "",
             "historical_resolution_reason": "unknown",
         },
     )
     labelled, _ = write_stage(rule_gold(enriched, rules), "gold")
-    return labelled, ambiguity_log(labelled, "thread_id")
+    return GoldSet(labelled, ambiguity_log(labelled, "thread_id"), contexts)
