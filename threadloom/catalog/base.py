@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from threadloom.session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -33,3 +35,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents for text-heavy queries, over all cores."""
+    return spread(table(spark, sf_dir, "documents"))

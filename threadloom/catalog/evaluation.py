@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from threadloom import presets
 from threadloom.catalog import views
-from threadloom.catalog.base import query, table
+from threadloom.catalog.base import query, table, texts
 from threadloom.catalog.messages import SCORED_DOCS, scored_documents, sql_word
 from threadloom.catalog.views import WITH_THREADED
 from threadloom.operators import evaluate as ev
@@ -513,7 +513,7 @@ kept AS (SELECT lang, term, count(*) AS n FROM words WHERE term NOT IN ('have',
 SELECT lang, term, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""",
 )
 def top_terms(spark, sf_dir):
-    return reports.top_terms(table(spark, sf_dir, "documents"), 5, ["lang"])
+    return reports.top_terms(texts(spark, sf_dir), 5, ["lang"])
 
 
 CLUSTER_RULES = (

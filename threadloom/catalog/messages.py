@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.catalog import views
-from threadloom.catalog.base import query, table
+from threadloom.catalog.base import query, table, texts
 from threadloom.catalog.ingest import MESSAGES, messages
 from threadloom.catalog.views import WITH_POSTS, WITH_THREADED
 from threadloom.functions import text as tx
@@ -88,7 +88,7 @@ def post_times(spark, sf_dir):
 
 # Documents with handles in front and inside, of a brand in several letter cases and of others.
 def mentioned(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     handles = (
         F.when(F.col("lang") == "en", F.concat(F.lit("@HelpDesk @user"), F.col("doc_id"), F.lit("  ")))
         .when(F.col("lang") == "fr", F.lit("@étoile_9 "))
@@ -185,7 +185,7 @@ def taxonomy(spark):
 
 
 def scored_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return ms.classify_keywords(docs, RULES, "other")
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from threadloom.catalog import views
-from threadloom.catalog.base import query, table
+from threadloom.catalog.base import query, table, texts
 from threadloom.catalog.messages import RULES, SCORED_DOCS, WD, sql_strip
 from threadloom.catalog.ingest import MESSAGES, messages
 from threadloom.catalog.views import WITH_THREADED
@@ -124,7 +124,7 @@ def stored_index(spark, sf_dir):
 
 
 def triage_input(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("message_id"), "text")
+    docs = texts(spark, sf_dir).select(F.col("doc_id").alias("message_id"), "text")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("message_id"), "embedding")
     return docs.join(vectors, "message_id", "left")
 

@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 # Unicode word characters and white space, spelled out so that Java and RE2 agree.
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
-SPACE = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
+# White space is listed, not classed, which lets the matcher test it with a table.
+_SPACES = r"\t-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = f"[ {_SPACES}]"
+SPACE_CHARACTERS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(col: Column) -> Column:
     """Remove leading and trailing white space of any Unicode kind (``trim`` knows only blanks)."""
-    return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col, F.lit(SPACE_CHARACTERS))
 
 
 def squeeze(col: Column) -> Column:
-    return strip(F.regexp_replace(col, f"{SPACE}+", " "))
+    """Every run of white space becomes one blank; single blanks are left alone."""
+    return strip(F.regexp_replace(col, f"{SPACE}{{2,}}|[{_SPACES}]", " "))
 
 
 def quote(literal: str) -> str:
@@ -46,9 +50,10 @@ def has_word(col: Column, words: Sequence[str], case_sensitive: bool = False) ->
 
 def has_any(col: Column, parts: Sequence[str]) -> Column:
     """True if any of the literal substrings occurs; false for NULL."""
-    if not parts:
-        return F.lit(False)
-    return F.coalesce(col.rlike("|".join(quote(p) for p in parts)), F.lit(False))
+    found = F.lit(False)
+    for part in parts:
+        found = found | F.contains(col, F.lit(part))
+    return F.coalesce(found, F.lit(False))
 
 
 def unicode_pattern(pattern: str) -> str:
@@ -59,22 +64,30 @@ def unicode_pattern(pattern: str) -> str:
 def clean_text(col: Column, brand: str) -> Column:
     """Drop the leading run of @mentions and every mention of ``brand``, and squeeze white space.
 
-    Text that is nothing but mentions comes back trimmed instead of empty; NULL becomes "".
+    Text that is nothing but mentions comes back trimmed instead of empty; NULL becomes "". That
+    case is told by a pattern of its own, so that the long way is taken once per text.
     """
-    body = F.regexp_replace(col, f"^(?:@{WORD}+{SPACE}*)+", "")
-    body = F.regexp_replace(body, f"(?iu)@{quote(brand)}(?!{WORD})", "")
-    body = squeeze(body)
-    return F.when(col.isNull(), F.lit("")).when(F.length(body) > 0, body).otherwise(strip(col))
+    lead, own = f"(?:@{WORD}+{SPACE}*)", f"@{quote(brand)}(?!{WORD})"
+    body = F.regexp_replace(col, f"^{lead}+", "")
+    if brand:
+        body = F.regexp_replace(body, f"(?iu){own}", "")
+    nothing_else = col.rlike(f"(?iu)\\A{lead}*+(?:{own}|{SPACE})*+\\z") if brand else col.rlike(f"\\A{lead}*+{SPACE}*+\\z")
+    return F.when(col.isNull(), F.lit("")).when(nothing_else, strip(col)).otherwise(squeeze(body))
 
 
 def strip_mentions(col: Column) -> Column:
     return strip(F.regexp_replace(col, f"@{WORD}+", ""))
 
 
+def is_blank(col: Column) -> Column:
+    """True for NULL and for text without any character but white space."""
+    return ~F.coalesce(col.rlike(f"[^ {_SPACES}]"), F.lit(False))
+
+
 def ascii_only(col: Column) -> Column:
     """Drop non-ASCII characters, unless nothing would remain."""
-    kept = strip(F.regexp_replace(col, r"[^\x00-\x7F]", ""))
-    return F.when(F.length(kept) > 0, kept).otherwise(strip(col))
+    some = col.rlike(r"[\x00-\x08\x0e-\x1b\x21-\x7f]")
+    return strip(F.when(some, F.regexp_replace(col, r"[^\x00-\x7F]", "")).otherwise(col))
 
 
 def left(col: Column, n: int) -> Column:

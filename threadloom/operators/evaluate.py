@@ -16,7 +16,7 @@ from threadloom import presets
 from threadloom.functions import text as tx
 from threadloom.functions.values import percent, ratio
 from threadloom.operators.messages import first_per_group
-from threadloom.session import literal_table
+from threadloom.session import literal_table, write_stage
 
 ESCALATE, AUTO = "escalate", "auto_handle"
 
@@ -65,7 +65,10 @@ def classification_summary(
     df: DataFrame, gold: str = "gold_intent", pred: str = "predicted_intent", by: Sequence[str] = ()
 ) -> DataFrame:
     """Accuracy, macro F1 (mean of unrounded F1s) and support-weighted F1."""
-    scored = _label_scores(cells(df, *by, gold, pred), by, gold, pred)
+    return _label_summary(_label_scores(cells(df, *by, gold, pred), by, gold, pred), by)
+
+
+def _label_summary(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     return scored.groupBy(*by).agg(
         F.round(F.sum("tp") / F.sum("support"), 4).alias("accuracy"),
         F.round(F.avg("f1"), 4).alias("macro_f1"),
@@ -230,10 +233,11 @@ def compare_systems(systems: Mapping[str, DataFrame], cost_ratio: float = preset
     for name, df in systems.items():
         part = df.select(F.lit(name).alias("system"), *columns)
         union = part if union is None else union.unionByName(part)
-    intents = classification_summary(union, by=["system"]).select(
-        "system", F.col("accuracy").alias("intent_accuracy"), "macro_f1"
-    )
-    scored = escalation_metrics(union, cost_ratio=cost_ratio, by=["system"]).join(intents, "system")
+    # Both kinds of metrics share one pass over the rows.
+    counted = cells(union, "system", *columns)
+    intents = _label_summary(_label_scores(counted, ["system"], "gold_intent", "predicted_intent"), ["system"])
+    intents = intents.select("system", F.col("accuracy").alias("intent_accuracy"), "macro_f1")
+    scored = _escalation(counted, ["system"], "gold_decision", "decision", cost_ratio).join(intents, "system")
     pairs = F.array(
         *[F.struct(F.lit(i).alias("place"), F.lit(m).alias("metric"), F.col(c).alias("value")) for i, (m, c) in enumerate(COMPARED)]
     )
@@ -257,11 +261,13 @@ def tag_failures(
     language_intent: str = presets.FAILURE_LANGUAGE_INTENT,
 ) -> DataFrame:
     """Add ``modes``, the failure modes of each row; a wrong and a plausible specific exclude each other."""
-    draft, evidence = F.col("drafted_reply"), F.coalesce("top_precedent_reply", F.lit(""))
-    message = F.lower("text")
-    wrong = tx.has_any(draft, versions) & ~tx.has_any(evidence, versions)
+    draft, evidence, message = F.col("drafted_reply"), F.coalesce("top_precedent_reply", F.lit("")), F.col("_message")
+    wrong, plausible = F.col("_wrong"), F.col("_plausible")
     linked = tx.has_any(draft, links) & ~tx.has_any(evidence, links)
-    plausible = ~wrong & (linked | F.coalesce("has_invented_specifics", F.lit(False)))
+    invented = F.coalesce("has_invented_specifics", F.lit(False))
+    prepared = df.withColumns(
+        {"_message": F.lower("text"), "_wrong": tx.has_any(draft, versions) & ~tx.has_any(evidence, versions)}
+    ).withColumn("_plausible", ~wrong & (linked | invented))
     conditions = {
         "ungrounded_specific": wrong | plausible,
         "wrong_specific": wrong,
@@ -272,17 +278,19 @@ def tag_failures(
         "false_auto_handle": (F.col("gold_decision") == ESCALATE) & (F.col("decision") == AUTO),
     }
     found = F.array(*[F.when(conditions[m], F.lit(m)) for m in FAILURE_MODES])
-    return df.withColumn("modes", F.array_compact(found))
+    return prepared.withColumn("modes", F.array_compact(found)).drop("_message", "_wrong", "_plausible")
 
 
 def failure_modes(tagged: DataFrame, id_col: str = "thread_id", examples: int = 3) -> DataFrame:
     """Per mode: rows, share of all rows, and the first few ids. Modes without rows are listed too."""
-    hits = tagged.select(F.col(id_col).alias("id"), F.explode("modes").alias("mode"))
+    # Ids and modes only, written once, as counts and examples both read them.
+    found, seen = write_stage(tagged.select(F.col(id_col).alias("id"), "modes"), "failure-modes")
+    hits = found.select("id", F.explode("modes").alias("mode"))
     counted = cells(hits, "mode")
     first = first_per_group(hits, ["mode"], ["id"], examples).groupBy("mode").agg(
         F.array_sort(F.collect_list("id")).alias("examples")
     )
-    total = tagged.agg(F.count(F.lit(1))).scalar()
+    total = F.lit(seen["rows"])
     modes = literal_table(tagged.sparkSession, [(m,) for m in FAILURE_MODES], "mode string")
     listed = modes.join(counted, "mode", "left").join(first, "mode", "left")
     count = F.coalesce("n", F.lit(0))

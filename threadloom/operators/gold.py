@@ -41,7 +41,9 @@ def rule_gold(df: DataFrame, rules: GoldRules = GoldRules(), text: str = "text",
 
     ``ambiguity`` names the rule that overrode the intent, NULL if none did.
     """
-    message, given = F.lower(tx.strip(F.coalesce(F.col(text), F.lit("")))), tx.strip(F.col(intent))
+    # A column of its own, so that the text is lowered once and not once per word list.
+    df = df.withColumn("_message", F.lower(tx.strip(F.coalesce(F.col(text), F.lit("")))))
+    message, given = F.col("_message"), tx.strip(F.col(intent))
     foreign = tx.has_any(message, rules.language_words)
     account = tx.has_any(message, rules.account_words)
     billing = message.rlike(tx.unicode_pattern(rules.money_pattern)) & ~tx.has_any(message, rules.not_money_words)
@@ -89,7 +91,7 @@ def rule_gold(df: DataFrame, rules: GoldRules = GoldRules(), text: str = "text",
                 .otherwise(_by_intent(gold, presets.GOLD_CRITERIA_AUTO, presets.GOLD_CRITERIA_OTHER)),
             }
         )
-        .drop("_ground")
+        .drop("_ground", "_message")
     )
 
 

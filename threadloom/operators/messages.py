@@ -78,12 +78,9 @@ def attach_template(
 
 
 def rejection(col: Column, max_chars: int = MAX_CHARS) -> Column:
-    """Why a message is refused, NULL if it is accepted."""
-    body = tx.strip(col)
-    return (
-        F.when(col.isNull() | (F.length(body) == 0), F.lit("empty"))
-        .when(F.length(body) > max_chars, F.lit("too_long"))
-    )
+    """Why a message is refused, NULL if it is accepted. Only texts over the limit are trimmed first."""
+    long = (F.length(col) > max_chars) & (F.length(tx.strip(col)) > max_chars)
+    return F.when(tx.is_blank(col), F.lit("empty")).when(long, F.lit("too_long"))
 
 
 def check_messages(df: DataFrame, text: str = "text", max_chars: int = MAX_CHARS) -> DataFrame:

@@ -82,3 +82,13 @@ def literal_table(spark: SparkSession, rows: list, schema: str, limit: int = BRO
     """A parameter table from driver-side rows, broadcast when its length allows."""
     table = spark.createDataFrame(rows, schema)
     return F.broadcast(table) if len(rows) <= limit else table
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give an input of fewer partitions than cores one partition per core.
+
+    For text-heavy steps on a few unsplittable files. A large table has more partitions than cores
+    and comes back unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
