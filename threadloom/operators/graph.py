@@ -6,26 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.values import to_id
-from threadloom.session import write_stage
+from threadloom.session import small_side, write_stage
 
 
 def reply_edges(posts: DataFrame) -> DataFrame:
     """One row (src, dst, via) per link whose two posts both exist.
 
     Links come from the parent id and from the comma-separated list of replies; blank or
-    malformed list entries are skipped. Posts are read once for the links and once, ids only,
-    for the existence check.
+    malformed list entries are skipped. Only id columns are read.
     """
-    link = lambda dst, via: F.struct(dst.alias("dst"), F.lit(via).alias("via"))
-    children = F.transform(
-        F.split(F.coalesce("response_ids", F.lit("")), ","), lambda t: link(to_id(t), "children")
+    parents = posts.where(F.col("in_response_to_id").isNotNull()).select(
+        F.col("post_id").alias("src"), F.col("in_response_to_id").alias("dst"), F.lit("parent").alias("via")
     )
-    parent = F.array(link(F.col("in_response_to_id"), "parent"))
-    links = (
-        posts.select(F.col("post_id").alias("src"), F.explode(F.concat(parent, children)).alias("l"))
-        .select("src", "l.dst", "l.via")
-        .where(F.col("dst").isNotNull())
+    listed = posts.where(F.col("response_ids").isNotNull()).select(
+        F.col("post_id").alias("src"), F.explode(F.split("response_ids", ",")).alias("entry")
     )
+    children = listed.select("src", to_id(F.col("entry")).alias("dst"), F.lit("children").alias("via"))
+    links = parents.unionByName(children.where(F.col("dst").isNotNull()))
     known = posts.select(F.col("post_id").alias("dst"))
     return links.join(known, "dst", "left_semi").select("src", "dst", "via")
 
@@ -73,22 +70,30 @@ def _lookup(table: DataFrame, key: str, suffix: str) -> DataFrame:
 
 
 def _follow(pointers: DataFrame, hops: int) -> DataFrame:
-    """Replace every pointer by the root at its end; each round multiplies its reach."""
+    """Replace every pointer by the root at its end; each round multiplies its reach.
+
+    A row whose last lookup finds nothing has arrived and is only looked up from then on.
+    """
+    arrived: DataFrame | None = None
+    moving = pointers
     while True:
-        step = pointers.select("node", F.col("root").alias("p0"))
+        known = moving if arrived is None else moving.unionByName(arrived)
+        step = moving.select("node", F.col("root").alias("p0"))
         for i in range(hops):
             step = (
-                step.join(_lookup(pointers, f"p{i}", "next"), f"p{i}", "left")
+                step.join(_lookup(known, f"p{i}", "next"), f"p{i}", "left")
                 .select("node", F.coalesce("next", f"p{i}").alias(f"p{i + 1}"), F.col("next").isNotNull().alias("moved"))
             )
-        nxt, seen = write_stage(
+        reached, seen = write_stage(
             step.select("node", F.col(f"p{hops}").alias("root"), "moved"),
             "component-pointers",
             moved=F.count_if("moved"),
         )
-        pointers = nxt.select("node", "root")
+        final = reached.where(~F.col("moved")).select("node", "root")
+        arrived = final if arrived is None else arrived.unionByName(final)
         if not seen["moved"]:
-            return pointers
+            return arrived
+        moving = reached.where(F.col("moved")).select("node", "root")
 
 
 def _compose(found: DataFrame, roots: DataFrame) -> DataFrame:
@@ -108,27 +113,45 @@ def _contract(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return ends.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
 
 
-def flag_branching(posts: DataFrame) -> DataFrame:
-    """Add ``branching``: the post answers a parent id that more than one post answers.
+def branching_posts(posts: DataFrame) -> DataFrame:
+    """Ids of posts that answer a parent id which more than one post answers.
 
-    Counts cover every parent id, also those of posts that are not in the table.
+    Counts cover every parent id, also those of posts that are not in the table. Posts without a
+    parent take no part in the join. The parents are written before it, so that both of its sides
+    are plain scans and a parent with a third of all replies can be split.
     """
-    shared = (
-        posts.where(F.col("in_response_to_id").isNotNull())
-        .groupBy("in_response_to_id")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > 1)
-        .select("in_response_to_id", F.lit(True).alias("branching"))
+    replies = posts.where(F.col("in_response_to_id").isNotNull()).select("post_id", "in_response_to_id")
+    shared = small_side(
+        replies.groupBy("in_response_to_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("in_response_to_id"),
+        "shared-parents",
     )
-    return posts.join(shared, "in_response_to_id", "left").select(
+    return replies.join(shared, "in_response_to_id", "left_semi").select("post_id")
+
+
+def flag_branching(posts: DataFrame) -> DataFrame:
+    """Add ``branching`` to every post."""
+    found = branching_posts(posts).select("post_id", F.lit(True).alias("branching"))
+    return posts.join(found, "post_id", "left").select(
         *posts.columns, F.coalesce("branching", F.lit(False)).alias("branching")
     )
 
 
 def assign_threads(posts: DataFrame) -> DataFrame:
-    """Add ``thread_key`` (smallest post id of the component) and ``branching`` to every post."""
-    components = connected_components(reply_edges(posts)).withColumnRenamed("node", "post_id")
-    keyed = posts.join(components, "post_id", "left").select(
-        *posts.columns, F.coalesce("component", "post_id").alias("thread_key")
+    """Add ``thread_key`` (smallest post id of the component) and ``branching`` to every post.
+
+    Both are worked out on ids alone; the texts are shuffled once, to meet them.
+    """
+    components = connected_components(reply_edges(posts))
+    tags = components.select(
+        F.col("node").alias("post_id"), F.col("component").alias("thread_key"), F.lit(False).alias("branching")
+    ).unionByName(
+        branching_posts(posts).select("post_id", F.lit(None).cast("bigint").alias("thread_key"), F.lit(True).alias("branching"))
+    )
+    per_post = tags.groupBy("post_id").agg(
+        F.max("thread_key").alias("thread_key"), F.bool_or("branching").alias("branching")
+    )
+    return posts.join(per_post, "post_id", "left").select(
+        *posts.columns,
+        F.coalesce("thread_key", "post_id").alias("thread_key"),
+        F.coalesce("branching", F.lit(False)).alias("branching"),
     )
-    return flag_branching(keyed)

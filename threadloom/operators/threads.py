@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as tx
 from threadloom.functions.values import order_key
 from threadloom.operators.bounded import number_rows
+from threadloom.session import BROADCAST_ROWS, write_stage
 
 DEFAULT_REPLY = "Thank you for reaching out. Please DM us for support."
 
@@ -78,35 +79,62 @@ def build_threads(posts: DataFrame, chunk: int = 10_000) -> DataFrame:
     A thread of up to ``chunk`` posts is one row (``part`` 0). A longer one continues in further
     rows of the same ``thread_id``, in order, so every post is kept and no row grows without bound.
     """
+    sizes = posts.groupBy("thread_key").agg(F.count(F.lit(1)).alias("n"))
+    long, seen = write_stage(sizes.where(F.col("n") > chunk).select("thread_key"), "long-threads")
+    if seen["rows"] == 0:
+        return _short_threads(posts)
+    # At most (posts / chunk) threads are long.
+    long = F.broadcast(long) if seen["rows"] <= BROADCAST_ROWS else long
+    return _short_threads(posts.join(long, "thread_key", "left_anti")).unionByName(
+        _long_threads(posts.join(long, "thread_key", "left_semi"), chunk)
+    )
+
+
+def _item() -> Column:
+    fields = ["post_id", "author_id", "inbound", "created_at", "text", "in_response_to_id", "branching"]
+    return F.struct(_key().alias("key"), *fields)
+
+
+def _short_threads(posts: DataFrame) -> DataFrame:
+    rows = posts.groupBy("thread_key").agg(F.array_sort(F.collect_list(_item())).alias("posts"))
+    first, last = F.col("posts")[0], F.element_at("posts", -1)
+    return rows.select(
+        F.lit(0).cast("bigint").alias("part"),
+        "posts",
+        _thread_id(first["post_id"]).alias("thread_id"),
+        F.size("posts").cast("bigint").alias("thread_length"),
+        F.exists("posts", lambda p: p["branching"]).alias("has_branching"),
+        first["created_at"].alias("start_time"),
+        last["created_at"].alias("end_time"),
+    ).select(*_thread_columns())
+
+
+def _long_threads(posts: DataFrame, chunk: int) -> DataFrame:
     numbered = number_rows(posts, ["thread_key"], [_key()])
     part = F.floor(F.col("position") / F.lit(chunk)).alias("part")
-    item = F.struct(
-        "position", "post_id", "author_id", "inbound", "created_at", "text", "in_response_to_id", "branching"
-    )
-    rows = numbered.groupBy("thread_key", part).agg(F.array_sort(F.collect_list(item)).alias("posts"))
-    rows = rows.join(
-        thread_facts(posts).select(
-            "thread_key", "thread_id", "thread_length", "has_branching", "start_time", "end_time"
-        ),
-        "thread_key",
-    )
+    rows = numbered.groupBy("thread_key", part).agg(F.array_sort(F.collect_list(_item())).alias("posts"))
+    facts = thread_facts(posts).select("thread_key", "thread_id", "thread_length", "has_branching", "start_time", "end_time")
+    return rows.join(facts, "thread_key").select(*_thread_columns())
+
+
+def _thread_columns() -> list[Column]:
     pick = lambda field: F.transform("posts", lambda p: p[field])
     outbound = F.filter("posts", lambda p: ~p["inbound"] & p["author_id"].isNotNull())
-    return rows.select(
-        "thread_id",
-        "part",
+    return [
+        F.col("thread_id"),
+        F.col("part"),
         pick("post_id").alias("post_ids"),
         pick("author_id").alias("author_ids"),
         F.array_sort(F.array_distinct(F.transform(outbound, lambda p: p["author_id"]))).alias("brands"),
-        "thread_length",
-        "start_time",
-        "end_time",
-        "has_branching",
+        F.col("thread_length"),
+        F.col("start_time"),
+        F.col("end_time"),
+        F.col("has_branching"),
         pick("inbound").alias("inbounds"),
         pick("text").alias("texts"),
         pick("created_at").alias("created_ats"),
         pick("in_response_to_id").alias("in_response_to_ids"),
-    )
+    ]
 
 
 def explode_threads(threads: DataFrame) -> DataFrame:
