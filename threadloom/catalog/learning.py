@@ -101,7 +101,7 @@ def kmeans_clusters(spark, sf_dir):
     return ml.cluster_profile(clustered, nearest).select("cluster", "cluster_size", "pct_of_sample", F.size("exemplars").alias("exemplars"))
 
 
-@query("embed_or_load")
+@query("embed_or_load", "SELECT doc_id, CAST(256 AS INTEGER) AS dimensions FROM documents")
 def embed_or_load(spark, sf_dir):
     """Embed one language, then all texts: the second call embeds only what the cache lacks."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

@@ -73,7 +73,7 @@ def hash_histogram(df: DataFrame, group: Sequence[str], id_col: str, seed: int)
     return write_stage(hist, "hash-histogram")[0]
 
 
-def take_by_hash(
+def mark_by_hash(
     df: DataFrame,
     group: Sequence[str],
     id_col: str,
@@ -81,15 +81,15 @@ def take_by_hash(
     quotas: DataFrame | int,
     hist: DataFrame | None = None,
 ) -> DataFrame:
-    """The first n rows of each group in hash order, exactly, without sorting any group.
+    """Add ``drawn``: whether the row is among the first n of its group in hash order, exactly.
 
-    ``quotas`` has one row per group with its ``n`` (or is one n for all). A histogram over the
-    leading hash digits finds the cell where a group's quota is used up; only that cell's ids are
-    ranked, which yields the last hash to keep. The draw itself is then a filter on the scan.
+    ``quotas`` has one row per group with its ``n`` (or is one n for all); groups without a row
+    draw nothing. A histogram over the leading hash digits finds the cell where a group's quota is
+    used up; only that cell's ids are ranked, which yields the last hash to keep. No group is
+    sorted, and the mark itself is a comparison on the scan.
     """
     if not group:
-        whole = take_by_hash(df.withColumn("_all", F.lit(1)), ["_all"], id_col, seed, quotas)
-        return whole.drop("_all")
+        return mark_by_hash(df.withColumn("_all", F.lit(1)), ["_all"], id_col, seed, quotas, hist).drop("_all")
     group = list(group)
     hist = hash_histogram(df, group, id_col, seed) if hist is None else hist
     up_to = Window.partitionBy(*group).orderBy("_cell")
@@ -122,14 +122,30 @@ def take_by_hash(
         .select(*group, F.col("_hash").alias("_end"), F.col("_id").alias("_end_id"))
     )
     limits = small_side(
-        cuts.join(ends, group, "left").select(*group, "_cut", "_end", "_end_id"), "hash-limits"
+        cuts.join(ends, group, "left").select(
+            *group, "_cut", "_end", "_end_id", F.lit(True).alias("_some")
+        ),
+        "hash-limits",
     )
     keep = (
         F.col("_cut").isNull()
         | (F.col("_hash") < F.col("_end"))
         | ((F.col("_hash") == F.col("_end")) & (F.col(id_col) <= F.col("_end_id")))
     )
-    return hashed.join(limits, group).where(keep).select(*df.columns)
+    marked = hashed.join(limits, group, "left")
+    return marked.select(*df.columns, (F.coalesce("_some", F.lit(False)) & keep).alias("drawn"))
+
+
+def take_by_hash(
+    df: DataFrame,
+    group: Sequence[str],
+    id_col: str,
+    seed: int,
+    quotas: DataFrame | int,
+    hist: DataFrame | None = None,
+) -> DataFrame:
+    """The rows that ``mark_by_hash`` draws."""
+    return mark_by_hash(df, group, id_col, seed, quotas, hist).where("drawn").drop("drawn")
 
 
 def block_apply(

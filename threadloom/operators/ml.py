@@ -15,6 +15,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from threadloom.functions.values import percent
 from threadloom.functions.vectors import as_doubles, distance
 from threadloom.operators.bounded import block_apply
 from threadloom.operators.messages import first_per_group
+from threadloom.session import small_side
 from threadloom.sources.tables import fill_missing
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -169,27 +171,21 @@ def silhouette(df: DataFrame, id_col: str, label: str, vector: str) -> DataFrame
 
 
 def cluster_centers(df: DataFrame, cluster: str = "cluster", vector: str = "embedding") -> DataFrame:
-    """Mean vector per cluster, by coordinate, so that sums combine on the map side."""
-    parts = df.select(cluster, F.posexplode(as_doubles(F.col(vector))).alias("i", "x"))
-    means = parts.groupBy(cluster, "i").agg(F.avg("x").alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("i", "x")))
-    return means.groupBy(cluster).agg(F.transform(ordered, lambda p: p["x"]).alias("center"))
+    """Mean vector per cluster; sums combine on the map side."""
+    center = Summarizer.mean(array_to_vector(as_doubles(F.col(vector))))
+    return df.groupBy(cluster).agg(vector_to_array(center).alias("center"))
 
 
 def cluster_exemplars(
     df: DataFrame, centers: DataFrame, id_col: str, n: int = 15, cluster: str = "cluster", vector: str = "embedding"
 ) -> DataFrame:
     """The n rows nearest to their cluster's center, ranked; map tasks pass on n rows per cluster."""
-    near = df.join(F.broadcast(centers) if _few(centers) else centers, cluster).withColumn(
+    near = df.join(small_side(centers, "centers"), cluster).withColumn(
         "distance", F.round(distance(as_doubles(F.col(vector)), F.col("center")), 9)
     )
     return first_per_group(near.drop("center"), [cluster], ["distance", id_col], n)
 
 
-def _few(centers: DataFrame, limit: int = 10_000) -> bool:
-    return centers.limit(limit + 1).count() <= limit
-
-
 def cluster_profile(df: DataFrame, exemplars: DataFrame, cluster: str = "cluster", text: str = "text") -> DataFrame:
     """Size, share and exemplar texts of each cluster."""
     sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("cluster_size"))

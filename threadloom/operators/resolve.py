@@ -11,6 +11,7 @@ from threadloom import presets
 from threadloom.functions import text as tx
 from threadloom.functions.values import order_key, percent
 from threadloom.operators.threads import thread_brands
+from threadloom.session import small_side
 
 
 @dataclass(frozen=True)
@@ -117,7 +118,7 @@ def filter_brand(threads: DataFrame, brand: str) -> DataFrame:
 def brand_threads(posts: DataFrame, brand: str) -> DataFrame:
     """Flat posts of the threads in which the brand wrote an outbound post."""
     wanted = (~F.col("inbound")) & (F.lower("author_id") == brand.strip().lower())
-    keys = posts.where(wanted).select("thread_key").distinct()
+    keys = small_side(posts.where(wanted).select("thread_key").distinct(), "brand-threads")
     return posts.join(keys, "thread_key", "left_semi")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.values import hash_order
-from threadloom.operators.bounded import hash_histogram, take_by_hash
+from threadloom.operators.bounded import hash_histogram, mark_by_hash, take_by_hash
 from threadloom.session import literal_table
 
 
@@ -92,18 +92,18 @@ def exact_sample(df: DataFrame, strata: Sequence[str], n: int, id_col: str, seed
     """
     hist = hash_histogram(df, strata, id_col, seed)
     quotas = allocate_floor(stratum_sizes(hist, strata), strata, n)
-    drawn = take_by_hash(df, strata, id_col, seed, quotas, hist)
+    marked = mark_by_hash(df, strata, id_col, seed, quotas, hist)
+    drawn, rest = marked.where("drawn").drop("drawn"), marked.where("NOT drawn").drop("drawn")
     wanted = quotas.agg(F.sum("n")).first()[0] or 0
     if wanted > n:
         return take_by_hash(drawn, [], id_col, seed + 1, n)
     if wanted < n:
-        rest = df.join(drawn.select(id_col), id_col, "left_anti").select(*df.columns)
         return drawn.unionByName(take_by_hash(rest, [], id_col, seed + 2, n - wanted))
     return drawn
 
 
 def holdout_split(df: DataFrame, strata: Sequence[str], n: int, id_col: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(holdout of exactly n rows, the rest), disjoint by ``id_col``."""
+    """(holdout of exactly n rows, the rest), disjoint by ``id_col``; both are filters on the table."""
     hist = hash_histogram(df, strata, id_col, seed)
     sizes = stratum_sizes(hist, strata)
     rows = sizes.agg(F.sum("size")).first()[0] or 0
@@ -113,9 +113,8 @@ def holdout_split(df: DataFrame, strata: Sequence[str], n: int, id_col: str, see
     short = quotas.where((F.col("n") > F.col("size")) | (F.col("n") < 0)).limit(1).collect()
     if short:
         raise ValueError(f"stratum {short[0].asDict()} cannot supply its share of the holdout")
-    held = take_by_hash(df, strata, id_col, seed, quotas, hist)
-    rest = df.join(held.select(id_col), id_col, "left_anti").select(*df.columns)
-    return held, rest
+    marked = mark_by_hash(df, strata, id_col, seed, quotas, hist)
+    return marked.where("drawn").drop("drawn"), marked.where("NOT drawn").drop("drawn")
 
 
 def target_table(df: DataFrame, targets: Mapping[str, int], label: str) -> DataFrame:

@@ -186,7 +186,8 @@ def first_messages(posts: DataFrame, brand: str) -> DataFrame:
 
     A thread whose first customer post is blank is left out; it does not advance to the second.
     The index is the number of (brand) posts before it, and only threads that a brand opened need
-    to count those.
+    to count those. The first posts are written before that count joins them, so that a thread
+    with a third of all posts can be split.
     """
     key = _key()
     firsts = posts.groupBy("thread_key").agg(
@@ -195,6 +196,7 @@ def first_messages(posts: DataFrame, brand: str) -> DataFrame:
         F.min_by(F.struct("post_id", "text"), F.when(F.col("inbound"), key)).alias("message"),
         F.count(F.lit(1)).alias("thread_length"),
     ).where(F.col("asked").isNotNull())
+    firsts, _ = write_stage(firsts, "first-messages")
     late = firsts.where(F.col("asked.id") != F.col("opening.id")).select("thread_key", "asked")
     earlier = (
         posts.where(~F.col("inbound"))
