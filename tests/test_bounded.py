@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import bounded, ml, retrieve
+from threadloom.operators import bounded, ml, prune, retrieve
 
 
 def skewed(n=900):
@@ -88,6 +88,22 @@ def test_nearest_neighbours(spark, blocks):
         assert sorted(got.get(q, [])) == [(i + 1, j) for i, (_, j) in enumerate(ranked)], q
 
 
+@pytest.mark.parametrize("groups", [2, 9])
+def test_pruned_neighbours_are_the_same(spark, groups):
+    rng = np.random.default_rng(4)
+    data, labels = vectors()
+    data = data * 0.3 + rng.integers(-3, 4, size=(6, 6))[rng.integers(0, 6, len(data))]
+    data[10] = data[11] = data[12]
+    data[20] = data[21] = 0.0
+    df = spark.createDataFrame(
+        [(i, labels[i], data[i].tolist()) for i in range(len(data))], "hit_id int, intent string, embedding array<double>"
+    )
+    asked = df.withColumnRenamed("hit_id", "query_id")
+    got = prune.retrieve_pruned(asked, prune.group_index(df, groups), 4, exclude_self=True, query_rows=20, index_rows=30)
+    want = retrieve.retrieve(asked, df, 4, exclude_self=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_retrieval_edges(spark):
     one = "hit_id int, intent string, embedding array<double>"
     index = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [-1.0, 0.0]), (3, "b", [1.0, 0.0])], one)

@@ -13,6 +13,7 @@ from threadloom.catalog.views import WITH_THREADED
 from threadloom.operators import retrieve as rt
 from threadloom.operators import score as sc
 from threadloom.operators import threads
+from threadloom.operators.prune import group_index, retrieve_pruned
 from threadloom.plans.triage import TriageConfig, triage
 from threadloom.session import stage_path, write_stage
 
@@ -53,6 +54,18 @@ def topk_retrieve(spark, sf_dir):
     return own_hits(spark, sf_dir, 5)
 
 
+@query(
+    "topk_pruned",
+    f"""WITH {INDEX}, q AS (SELECT hit_id AS query_id, intent, embedding FROM idx), {hits_sql('q', 5)}
+SELECT query_id, hit_id, CAST(rank AS INTEGER) AS rank, greatest(0.0, round(s, 4)) AS similarity, round(1 - s, 4) AS distance FROM hits""",
+)
+def topk_pruned(spark, sf_dir):
+    """The same neighbours, from an index grouped by nearest centre."""
+    known = index(spark, sf_dir)
+    grouped = group_index(known, groups=10)
+    return retrieve_pruned(known.withColumnRenamed("hit_id", "query_id"), grouped, 5, exclude_self=True)
+
+
 def agreement_sql(hits: str) -> str:
     return f"""
 scored_hits AS (SELECT h.query_id, h.rank, i.outcome, list_cosine_similarity(i.embedding, f.embedding) >= 0.65 AS alike

@@ -141,6 +141,11 @@ def retrieve(
         asked, known, ["intent"], "query_id", "hit_id", _block_top_k(k, exclude_self),
         f"query_id {id_type}, hit_id {hit_type}, similarity double", query_rows, index_rows,
     )
+    return ranked_hits(near, k)
+
+
+def ranked_hits(near: DataFrame, k: int) -> DataFrame:
+    """The k best of the hits that blocks returned, by similarity, ties by id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "hit_id")
     top = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return top.select(
