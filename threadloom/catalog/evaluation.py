@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom import presets
-from threadloom.catalog import views
 from threadloom.catalog.base import query, table, texts
 from threadloom.catalog.messages import SCORED_DOCS, scored_documents, sql_word
-from threadloom.catalog.views import WITH_THREADED
 from threadloom.operators import evaluate as ev
 from threadloom.operators import gold as gd
 from threadloom.operators import reports, route
-from threadloom.session import literal_table
+from threadloom.session import write_stage
 
 # Routed messages with gold labels and drafts. The same text runs in Spark and in the oracle.
 CASES_SELECT = """
@@ -212,7 +210,8 @@ SIMPLE_SQL = f"""CASE WHEN {sql_word('der|und|von')} THEN 'german' WHEN {sql_wor
 
 
 def systems(spark, sf_dir):
-    base = cases(spark, sf_dir)
+    # Written once: three systems read the same labelled messages.
+    base, _ = write_stage(cases(spark, sf_dir), "cases")
     blank = base.drop("predicted_intent", "intent_confidence", "agreement", "decision", "drafted_reply")
     return {
         "trivial": route.baseline_trivial(blank, intent="verbs", reply="Write to us."),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.catalog import views
-from threadloom.catalog.base import query, table
+from threadloom.catalog.base import query
 from threadloom.catalog.views import WITH_POSTS, WITH_THREADED
 from threadloom.operators import graph, resolve, threads
 
@@ -190,6 +190,26 @@ def brand_summary(spark, sf_dir):
     return resolve.outcome_totals(rows)
 
 
+@query(
+    "filter_brand",
+    f"""{WITH_THREADED} SELECT 'T_' || CAST(arg_min(post_id, position) AS VARCHAR) AS thread_id, count(*) AS thread_length
+FROM threaded GROUP BY thread_key HAVING bool_or(NOT inbound AND lower(author_id) = 'brand5')""",
+)
+def filter_brand(spark, sf_dir):
+    rows = resolve.filter_brand(threads.build_threads(views.threaded(spark, sf_dir)), " BRAND5 ")
+    return rows.select("thread_id", "thread_length")
+
+
+@query(
+    "posts_of_threads",
+    f"{WITH_THREADED} SELECT thread_key, post_id, author_id, inbound, md5(text) AS text, in_response_to_id FROM threaded",
+)
+def posts_of_threads(spark, sf_dir):
+    """Threads in array form taken apart again."""
+    posts = threads.explode_threads(threads.build_threads(views.threaded(spark, sf_dir)))
+    return posts.select("thread_key", "post_id", "author_id", "inbound", F.md5("text").alias("text"), "in_response_to_id")
+
+
 @query(
     "brand_candidates",
     f"""{WITH_THREADED}, {TAGGED}, per_thread AS (

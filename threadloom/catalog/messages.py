@@ -360,6 +360,12 @@ def first_per_group(spark, sf_dir):
     return ms.first_per_group(docs, ["source"], [F.desc("n_chars"), "doc_id"], 3).select("doc_id", "source", "rank")
 
 
+@query("first_rows", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25")
+def first_rows(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return ms.first_rows(docs, 25, F.desc("n_chars"), "doc_id")
+
+
 @query(
     "top_brands",
     f"{WITH_POSTS} SELECT author_id, count(*) AS posts FROM posts WHERE NOT inbound GROUP BY 1 ORDER BY posts DESC, author_id LIMIT 5",

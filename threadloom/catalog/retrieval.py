@@ -101,9 +101,9 @@ SELECT thread_id, post_id, 'intent_' || (post_id % 3) AS intent, text AS custome
 def precedents(spark, sf_dir):
     asked = messages(spark, sf_dir).withColumn("predicted_intent", F.concat(F.lit("intent_"), F.col("post_id") % 3))
     kind = F.col("post_id") % 4
-    extracted = asked.where(kind < 3).select(
+    extracted = asked.select(
         "thread_id",
-        F.when(kind < 2, " Asked for details ").otherwise(" ").alias("action_taken"),
+        F.when(kind < 2, " Asked for details ").when(kind == 2, " ").alias("action_taken"),
         F.when(kind == 0, "transferred_to_dm").otherwise("something else").alias("outcome"),
     )
     return rt.build_precedents(asked, threads.brand_replies(views.threaded(spark, sf_dir)), extracted)

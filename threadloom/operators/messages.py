@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from threadloom import presets
 from threadloom.functions import text as tx
-from threadloom.functions.values import order_key
 from threadloom.session import literal_table
 
 MAX_CHARS = 1000
@@ -135,5 +134,7 @@ def keep_first(parts: Sequence[DataFrame], key: Sequence[str], order: str) -> Da
     return first_per_group(union, key, ["_part", order], 1, "_n").drop("_part", "_n")
 
 
-def thread_order(df: DataFrame) -> Column:
-    return order_key(F.col("created_at"), F.col("post_id"))
+
+def first_rows(df: DataFrame, n: int, *order) -> DataFrame:
+    """The first n rows in the given order: a cap on how much a run takes on."""
+    return df.orderBy(*order).limit(n)

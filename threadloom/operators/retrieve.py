@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom import presets
@@ -14,6 +14,7 @@ from threadloom.functions import text as tx
 from threadloom.functions.vectors import as_doubles, cosine, norm
 from threadloom.operators.bounded import block_apply
 from threadloom.operators.joins import assert_disjoint
+from threadloom.session import small_side
 
 SIMILAR = 0.65
 # Similarities are compared to this many digits, so that ties do not hang on the order of additions.
@@ -46,14 +47,15 @@ def build_precedents(messages: DataFrame, replies: DataFrame, extracted: DataFra
 
 
 def write_index(
-    precedents: DataFrame, holdout: DataFrame, path: str, key: str = "thread_id", vector: str = "embedding", files: int = 16
+    precedents: DataFrame, holdout: DataFrame, path: str, key: str = "thread_id", vector: str = "embedding", file_rows: int = 500_000
 ) -> DataFrame:
     """Check for leakage, then store precedents by intent with the norm of their vectors.
 
-    Each intent is spread over ``files`` files by id, so an intent with a third of all rows is
-    written by many tasks.
+    Each intent is spread by id over as many files as its counted rows ask for, so an intent with a
+    third of all rows is written by many tasks.
     """
     assert_disjoint(precedents, holdout, key)
+    files = precedents.groupBy("intent").agg(F.ceil(F.count(F.lit(1)) / F.lit(file_rows)).alias("_files"))
     indexed = precedents.withColumns(
         {
             vector: as_doubles(F.col(vector)),
@@ -61,11 +63,15 @@ def write_index(
             "document": tx.display_document(F.col("customer_message"), F.col("action_taken")),
         }
     )
-    salted = indexed.withColumn("_file", F.pmod(F.xxhash64(key), F.lit(files)))
-    salted.repartition("intent", "_file").drop("_file").write.mode("overwrite").partitionBy("intent").parquet(path)
-    spark = precedents.sparkSession
-    stored = read_index(spark, path)
-    if stored.count() != precedents.count():
+    salted = indexed.join(small_side(files, "index-files"), "intent").withColumn(
+        "_file", F.pmod(F.xxhash64(key), F.col("_files"))
+    )
+    written = Observation("index")
+    salted.repartition("intent", "_file").drop("_file", "_files").observe(
+        written, F.count(F.lit(1)).alias("rows")
+    ).write.mode("overwrite").partitionBy("intent").parquet(path)
+    stored = read_index(precedents.sparkSession, path)
+    if stored.count() != written.get["rows"]:
         raise AssertionError("the index does not hold every precedent")
     return stored
 

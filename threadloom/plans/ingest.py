@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +17,17 @@ from threadloom.sources import tables
 class IngestPaths:
     """Tables written below the output folder."""
 
-    root: str
+    posts: str
+    threads: str
+    tagged: str
+    brand_posts: str
+    brand_tagged: str
+    brand_candidates: str
+    stats: str
 
-    def __getattr__(self, name: str) -> str:
-        return f"{self.root}/{name}"
+    @classmethod
+    def below(cls, root: str) -> IngestPaths:
+        return cls(*[f"{root.rstrip('/')}/{f.name}" for f in fields(cls)])
 
 
 def threaded_posts(posts: DataFrame) -> DataFrame:
@@ -39,10 +46,10 @@ def run_ingest(
 ) -> IngestPaths:
     """Read, check, profile, thread, report the top brands, tag the brand's threads.
 
-    Writes posts, threads, tagged, brand_posts, brand_tagged (Parquet), brand_candidates (CSV) and
-    stats (a log of step statistics) below ``out``.
+    Writes the tables of ``IngestPaths`` below ``out``: Parquet, but for the brand report (CSV);
+    ``stats`` is a log of step statistics.
     """
-    paths = IngestPaths(out)
+    paths = IngestPaths.below(out)
     raw = src.read_posts_csv(spark, csv_path, multi_line)
     src.validate_schema(raw)
     tables.record_stats(src.profile_posts(raw), paths.stats, "load")
