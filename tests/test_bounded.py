@@ -128,3 +128,12 @@ def test_silhouette(spark, rows):
         a = gaps[i, own].sum() / (own.sum() - 1)
         b = min(gaps[i, label == c].mean() for c in range(4) if c != label[i])
         assert math.isclose(got[i], (b - a) / max(a, b), abs_tol=1e-6)
+
+
+def test_exact_sweep_finds_three_blobs(spark):
+    rng = np.random.default_rng(2)
+    data = np.concatenate([rng.normal(c, 1.0, size=(17, 4)) for c in (5, -5, 0)])
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(data)], "id int, embedding array<double>")
+    scores, best, _ = ml.kmeans_sweep(df, 2, 4, restarts=3, exact_by="id")
+    again, _, _ = ml.kmeans_sweep(df, 2, 4, restarts=3, exact_by="id")
+    assert best == 3 and scores == again and all(-1 <= s <= 1 for s in scores.values())

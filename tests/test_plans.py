@@ -110,11 +110,14 @@ def test_precedents_triage_and_evaluation(spark, corpus, tmp_path):
 
     asked = embedder(labelled.select("thread_id", "text"), "text", "embedding")
     blank = spark.createDataFrame([("T_blank", "  ", None)], "thread_id string, text string, embedding array<float>")
-    records = triage(asked.unionByName(blank), index, TriageConfig(brand="AcmeCare"), "thread_id")
+    scorer = lambda rows: classify_keywords(rows, text="cleaned_text").withColumn("tokens", F.length("cleaned_text"))
+    config = TriageConfig(brand="AcmeCare", classify=scorer, usage=("tokens",))
+    records = triage(asked.unionByName(blank), index, config, "thread_id")
     records, _ = write_stage(records, "records")
     assert records.count() == labelled.count() + 1
     failed = records.where("thread_id = 'T_blank'").first()
     assert failed["decision"] == "escalate" and failed["escalation_reason"] == "error fallback: empty"
+    assert records.where("thread_id <> 'T_blank' AND metrics['tokens'] > 0").count() == labelled.count()
     hits = records.select("predicted_intent", F.explode("retrieved_precedents").alias("p")).join(
         index.select(F.col("hit_id"), F.col("intent")), F.col("p.hit_id") == F.col("hit_id")
     )

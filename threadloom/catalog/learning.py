@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadloom.catalog.base import query, table
+from threadloom.catalog.base import query, table, texts
 from threadloom.operators import ml
 from threadloom.operators import sampling as sm
 from threadloom.session import stage_path
@@ -93,7 +93,7 @@ def kmeans_sweep(spark, sf_dir):
 @query("kmeans_clusters")
 def kmeans_clusters(spark, sf_dir):
     """Cluster the texts by hashed terms and profile the clusters."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "text")
     vectors = ml.embed(docs, ml.embedding_model(docs))
     model = ml.kmeans_fit(vectors, 6)
     clustered = ml.kmeans_assign(vectors, model)
@@ -114,7 +114,7 @@ def embed_or_load(spark, sf_dir):
 @query("propagate_labels")
 def propagate_labels(spark, sf_dir):
     """Learn the language label on a stratified sample and assign it to every text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = texts(spark, sf_dir).select("doc_id", "text", "lang")
     sample = sm.stratified_sample(docs, ["lang"], 200, "doc_id")
     named = ml.propagate_labels(sample, docs, "lang")
     return named.groupBy("lang", "predicted_label").agg(F.count(F.lit(1)).alias("docs"))

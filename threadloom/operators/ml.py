@@ -11,10 +11,10 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, HashingTF, IndexToString, NGram, Normalizer, RegexTokenizer, StringIndexer,
+    IDF, CountVectorizer, ElementwiseProduct, HashingTF, IndexToString, NGram, Normalizer, RegexTokenizer, StringIndexer,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ from threadloom.functions.values import percent
 from threadloom.functions.vectors import as_doubles, distance
 from threadloom.operators.bounded import block_apply
 from threadloom.operators.messages import first_per_group
-from threadloom.session import small_side
+from threadloom.session import small_side, write_stage
 from threadloom.sources.tables import fill_missing
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -74,8 +74,19 @@ def _features(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("_features", array_to_vector(as_doubles(F.col(vector))))
 
 
-def kmeans_fit(df: DataFrame, k: int, vector: str = "embedding", seed: int = 42, rounds: int = 20) -> KMeansModel:
-    return KMeans(k=k, seed=seed, maxIter=rounds, featuresCol="_features", predictionCol="cluster").fit(_features(df, vector))
+def kmeans_fit(
+    df: DataFrame, k: int, vector: str = "embedding", seed: int = 42, restarts: int = 1, rounds: int = 20
+) -> KMeansModel:
+    """The model with the lowest cost among ``restarts`` seeds."""
+    return _best_start(_features(df, vector), k, seed, restarts, rounds)
+
+
+def _best_start(rows: DataFrame, k: int, seed: int, restarts: int, rounds: int) -> KMeansModel:
+    fits = [
+        KMeans(k=k, seed=seed + i, maxIter=rounds, featuresCol="_features", predictionCol="cluster").fit(rows)
+        for i in range(restarts)
+    ]
+    return min(fits, key=lambda model: model.summary.trainingCost)
 
 
 def kmeans_assign(df: DataFrame, model: KMeansModel, vector: str = "embedding") -> DataFrame:
@@ -83,19 +94,31 @@ def kmeans_assign(df: DataFrame, model: KMeansModel, vector: str = "embedding")
 
 
 def kmeans_sweep(
-    df: DataFrame, k_min: int = 5, k_max: int = 15, vector: str = "embedding", seed: int = 42
+    df: DataFrame,
+    k_min: int = 5,
+    k_max: int = 15,
+    vector: str = "embedding",
+    seed: int = 42,
+    restarts: int = 1,
+    exact_by: str | None = None,
 ) -> tuple[dict[int, float], int, dict[int, KMeansModel]]:
     """Silhouette for each k, the first k with the highest one, and the models.
 
-    The score is the linear-time one (squared Euclidean); ``silhouette`` is the exact Euclidean one.
+    The score is the linear-time one (squared Euclidean). With ``exact_by``, the id column, it is the
+    plain Euclidean one, which takes all distances and is meant for a sample.
     """
-    rows = _features(df, vector).select("_features").persist()
+    columns = [exact_by, vector] if exact_by else [vector]
+    rows = _features(df.select(*columns), vector).persist()
     evaluator = ClusteringEvaluator(featuresCol="_features", predictionCol="cluster", metricName="silhouette")
     scores, models = {}, {}
     try:
         for k in range(k_min, k_max + 1):
-            models[k] = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(rows)
-            scores[k] = round(evaluator.evaluate(models[k].transform(rows)), 4)
+            models[k] = _best_start(rows, k, seed, restarts, 20)
+            assigned = models[k].transform(rows)
+            if exact_by:
+                scores[k] = silhouette(assigned, exact_by, "cluster", vector).first()["silhouette"]
+            else:
+                scores[k] = round(evaluator.evaluate(assigned), 4)
     finally:
         rows.unpersist()
     best = max(scores, key=lambda k: (scores[k], -k))
@@ -196,33 +219,45 @@ def cluster_profile(df: DataFrame, exemplars: DataFrame, cluster: str = "cluster
 
 def propagate_labels(
     sample: DataFrame, full: DataFrame, label: str, text: str = "text", out: str = "predicted_label",
-    vocabulary: int = 10_000, rounds: int = 50, reg: float = 0.0005,
+    vocabulary: int = 10_000, rounds: int = 100, strength: float = 1.0,
 ) -> DataFrame:
     """Learn labels on a sample and assign them to the whole corpus.
 
-    Words and word pairs, 1 + ln(tf), inverse document frequency, unit length, and a multinomial
-    logistic regression. The model is small; it is shipped to the tasks that read the corpus.
+    Words and word pairs, 1 + ln(tf), 1 + ln((n + 1) / (df + 1)), unit length, and a multinomial
+    logistic regression with an L2 penalty of 1 / (strength * n). The model is small; it travels to
+    the tasks that read the corpus.
     """
+    # The sample is read by each of the fits below.
+    sample, seen = write_stage(sample.select(label, text), "labelled-sample")
     words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2)
     pairs = NGram(n=2, inputCol="_words", outputCol="_pairs")
+    indexer = StringIndexer(inputCol=label, outputCol="_target", stringOrderType="alphabetAsc").fit(sample)
 
     def terms(df: DataFrame) -> DataFrame:
         return pairs.transform(words.transform(df)).withColumn("_terms", F.concat("_words", "_pairs"))
 
-    def sublinear(df: DataFrame) -> DataFrame:
-        return df.withColumn("_log", _log_counts("_counts"))
-
-    indexer = StringIndexer(inputCol=label, outputCol="_target", stringOrderType="alphabetAsc").fit(sample)
     counter = CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=vocabulary).fit(terms(sample))
-    train = sublinear(counter.transform(terms(indexer.transform(sample))))
-    idf = IDF(inputCol="_log", outputCol="_tfidf").fit(train)
-    unit = Normalizer(inputCol="_tfidf", outputCol="_unit")
-    model = LogisticRegression(
-        featuresCol="_unit", labelCol="_target", predictionCol="_predicted", maxIter=rounds, regParam=reg, family="multinomial"
-    ).fit(unit.transform(idf.transform(train)).select("_unit", "_target"))
-    scored = model.transform(unit.transform(idf.transform(sublinear(counter.transform(terms(full))))))
+
+    def dampened(df: DataFrame) -> DataFrame:
+        return counter.transform(terms(df)).withColumn("_log", _log_counts("_counts"))
+
+    # Each of the many rounds is a job over the sample, so it is kept in few partitions.
+    parts = 1 + seen["rows"] // 20_000
+    train = dampened(indexer.transform(sample)).select("_target", "_log").coalesce(parts).persist()
+    try:
+        idf = IDF(inputCol="_log", outputCol="_unused").fit(train)
+        weight = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="_log", outputCol="_tfidf")
+        unit = Normalizer(inputCol="_tfidf", outputCol="_unit")
+        weighted = lambda df: unit.transform(weight.transform(df))
+        model = LogisticRegression(
+            featuresCol="_unit", labelCol="_target", predictionCol="_predicted", maxIter=rounds,
+            regParam=1.0 / (strength * max(1, seen["rows"])), standardization=False, family="multinomial",
+        ).fit(weighted(train))
+    finally:
+        train.unpersist()
+    scored = model.transform(weighted(dampened(full)))
     named = IndexToString(inputCol="_predicted", outputCol=out, labels=indexer.labels).transform(scored)
-    return named.select(*full.columns, out)
+    return named.select(*[c for c in full.columns if c != out], out)
 
 
 @F.udf(VectorUDT())

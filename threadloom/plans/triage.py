@@ -20,7 +20,11 @@ Step = Callable[[DataFrame], DataFrame]
 
 @dataclass(frozen=True)
 class TriageConfig:
-    """Rules and thresholds; ``classify`` and ``draft`` may replace the rule-based defaults."""
+    """Rules and thresholds; ``classify`` and ``draft`` may replace the rule-based defaults.
+
+    ``usage`` names numeric columns that those steps add, such as token counts; they are reported
+    in the record's ``metrics``.
+    """
 
     brand: str = ""
     rules: Sequence[tuple[str, str]] = presets.KEYWORD_RULES
@@ -36,6 +40,7 @@ class TriageConfig:
     exclude_self: bool = False
     classify: Step | None = None
     draft: Step | None = None
+    usage: Sequence[str] = ()
 
 
 def triage(messages: DataFrame, index: DataFrame, config: TriageConfig, id_col: str = "message_id") -> DataFrame:
@@ -75,10 +80,12 @@ def triage(messages: DataFrame, index: DataFrame, config: TriageConfig, id_col:
         drafted = config.draft(routed)
     verified = route.containment(drafted.withColumn("evidence", evidence))
     decided = route.decide(verified, config.policy_intents, config.confidence_min, config.agreement_min)
+    used = [x for name in config.usage for x in (F.lit(name), F.col(name).cast("double"))]
+    decided = decided.withColumn("metrics", F.create_map(*used).cast("map<string,double>"))
 
     columns = [
         id_col, "text", "predicted_intent", "intent_confidence", "retrieved_precedents", "agreement", "drafted_reply",
-        "grounded", "unsupported_claims", "decision", "escalation_reason",
+        "grounded", "unsupported_claims", "decision", "escalation_reason", "metrics",
     ]
     done = decided.select(*columns)
     refused = checked.where(F.col("rejected").isNotNull())
@@ -95,5 +102,6 @@ def triage(messages: DataFrame, index: DataFrame, config: TriageConfig, id_col:
         F.array().cast("array<string>").alias("unsupported_claims"),
         F.lit("escalate").alias("decision"),
         F.concat(F.lit("error fallback: "), F.col("rejected")).alias("escalation_reason"),
+        F.create_map().cast("map<string,double>").alias("metrics"),
     )
     return done.unionByName(failed)
