@@ -203,7 +203,7 @@ def cluster_exemplars(
     df: DataFrame, centers: DataFrame, id_col: str, n: int = 15, cluster: str = "cluster", vector: str = "embedding"
 ) -> DataFrame:
     """The n rows nearest to their cluster's center, ranked; map tasks pass on n rows per cluster."""
-    near = df.join(small_side(centers, "centers"), cluster).withColumn(
+    near = df.join(small_side(centers, "centers", limit=5_000), cluster).withColumn(
         "distance", F.round(distance(as_doubles(F.col(vector)), F.col("center")), 9)
     )
     return first_per_group(near.drop("center"), [cluster], ["distance", id_col], n)

@@ -68,6 +68,13 @@ def write_stage(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame
     return spark.read.schema(df.schema).parquet(path), observation.get
 
 
+def drop_stages(spark: SparkSession) -> None:
+    """Delete this application's stage tables, once the results of its jobs are written elsewhere."""
+    app = spark.conf.get("spark.app.id", "local")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/threadloom/{app}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_side(df: DataFrame, label: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Write a lookup table and mark it for broadcast if its counted rows allow that.
 
