@@ -50,7 +50,8 @@ def run_ingest(
     ``stats`` is a log of step statistics.
     """
     paths = IngestPaths.below(out)
-    raw = src.read_posts_csv(spark, csv_path, multi_line)
+    # The export is parsed once; everything after reads columns.
+    raw, _ = write_stage(src.read_posts_csv(spark, csv_path, multi_line), "raw-posts")
     src.validate_schema(raw)
     tables.record_stats(src.profile_posts(raw), paths.stats, "load")
     typed = src.to_posts(raw).where(F.col("post_id").isNotNull())
