@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import bounded, ml, prune, retrieve
+from threadloom.operators import bounded, ml, prune, retrieve, sampling
 
 
 def skewed(n=900):
@@ -54,6 +54,14 @@ def test_hash_draw_over_all_and_by_table(spark):
     assert {r["id"] for r in drawn} == set(by_hash([i for i, g, _ in data if g == "hot"], 4)[:11])
 
 
+def test_rows_without_a_group_are_not_drawn_but_kept(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else f"g{i % 2}") for i in range(100)], "id bigint, g string")
+    assert bounded.take_by_hash(df, ["g"], "id", 1, 1000).count() == 80
+    held, rest = sampling.holdout_split(df, ["g"], 20, "id")
+    assert (held.count(), rest.count()) == (20, 80) and held.where("g IS NULL").count() == 0
+    assert sampling.stratified_sample(df, ["g"], 30, "id").count() == 30
+
+
 def test_hash_draw_of_nothing(spark):
     df = spark.createDataFrame([], "id bigint, g string")
     assert bounded.take_by_hash(df, ["g"], "id", 1, 5).count() == 0

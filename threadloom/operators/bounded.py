@@ -66,10 +66,10 @@ def number_rows(
 
 
 def hash_histogram(df: DataFrame, group: Sequence[str], id_col: str, seed: int) -> DataFrame:
-    """Rows per group and leading hash digits, written as a stage table."""
+    """Rows per group and leading hash digits, written as a stage table. Rows without a group do not count."""
     cell = F.substring(hash_order(F.col(id_col), seed), 1, HASH_DIGITS).alias("_cell")
     keys = [F.col(g) for g in group]
-    hist = df.select(*keys, cell).groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
+    hist = df.dropna(subset=list(group)).select(*keys, cell).groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
     return write_stage(hist, "hash-histogram")[0]
 
 
