@@ -31,6 +31,7 @@ SAMPLE = 10_000
 FEATURES = 1 << 16
 # Bytes of text that are looked at together.
 PIECE = 2 << 20
+LABELLERS = 8
 GOOD, BAD, ABSTAIN = 1, 0, -1
 KEEP = 0.25
 # Frequent words of English, German, French and Spanish. Fixed values.
@@ -247,7 +248,7 @@ def count_votes(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nda
 
     rows = spread(docs.select(F.col(text).alias("text")))
     table = rows.mapInArrow(run, "votes array<bigint>, n bigint").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
-    return np.array([r["votes"] for r in table], dtype=np.int64).reshape(len(table), -1), np.array([r["n"] for r in table], dtype=np.float64)
+    return np.array([r["votes"] for r in table], dtype=np.int64).reshape(len(table), LABELLERS), np.array([r["n"] for r in table], dtype=np.float64)
 
 
 def hashed(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

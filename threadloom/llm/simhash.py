@@ -103,22 +103,27 @@ def _finer_variants(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array(*keys)).alias("key"), "bits")
 
 
-def forest(bits: np.ndarray, most: int = MAX_BITS) -> tuple[list[int], list[int]]:
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of differing bits; NumPy counts the bits of a signed number's absolute value, so the sign has to go."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
+def forest(bits: np.ndarray, most: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the graph that joins fingerprints of at most ``most`` differing bits."""
-    left, right = [], []
+    left, right = [bits[:0]], [bits[:0]]
     rest = bits
     while len(rest) > 1:
-        front, rest = [rest[0]], rest[1:]
+        front, rest = [rest[:1]], rest[1:]
         while front and len(rest):
             node = front.pop()
-            near = np.bitwise_count(rest ^ node) <= most
+            near = differing(rest, node) <= most
             if near.any():
                 reached = rest[near]
-                left.extend([int(node)] * len(reached))
-                right.extend(reached.tolist())
-                front.extend(reached)
+                left.append(np.repeat(node, len(reached)))
+                right.append(reached)
+                front.extend(np.split(reached, len(reached)))
                 rest = rest[~near]
-    return left, right
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _runs(limit: int | None):
@@ -141,13 +146,13 @@ def _runs(limit: int | None):
             at = np.flatnonzero((own > step)[:-step] & (keys[step:] == keys[:-step])) if len(keys) > step else np.zeros(0, np.int64)
             if not len(at):
                 break
-            at = at[np.bitwise_count(bits[at] ^ bits[at + step]) <= MAX_BITS]
+            at = at[differing(bits[at], bits[at + step]) <= MAX_BITS]
             a.append(bits[at])
             b.append(bits[at + step])
         for s, e in zip(starts[~small], ends[~small]):
             left, right = forest(bits[s:e])
-            a.append(np.array(left, dtype=np.int64))
-            b.append(np.array(right, dtype=np.int64))
+            a.append(left)
+            b.append(right)
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         return emit(None, a, b) if len(a) else None
 
