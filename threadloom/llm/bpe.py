@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.tables import shuffle_partitions, text_bytes
-from threadloom.session import spread, write_stage
+from threadloom.session import spread, stage_path
 
 # Bytes of text in a block.
-BLOCK_BYTES = 32 << 20
-# Texts in an output batch: bytes of their ids.
-BATCH_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+# Texts taken from an Arrow batch at a time.
+SLICE = 256
+# Bytes of ids or text in an output batch.
+BATCH_BYTES = 2 << 20
 
 _loaded: dict[int, object] = {}
 
@@ -72,8 +74,8 @@ def pieces(spark: SparkSession, definition: str) -> DataFrame:
 def pack_numbers(numbers: np.ndarray) -> bytes:
     """Word numbers given in the order of first appearance: a first appearance is written as 0, any other
     as number + 1; the three byte planes are compressed one after the other."""
-    first = np.zeros(len(numbers), dtype=bool)
-    first[np.unique(numbers, return_index=True)[1]] = True
+    highest = np.maximum.accumulate(numbers)
+    first = np.concatenate(([True], highest[1:] > highest[:-1])) if len(numbers) else np.zeros(0, dtype=bool)
     symbols = np.where(first, 0, numbers + 1).astype("<u4")
     planes = np.ascontiguousarray(symbols.view(np.uint8).reshape(-1, 4).T)
     return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
@@ -101,7 +103,7 @@ class _Block:
         words = text.split()
         self.keys.append(key)
         self.lengths.append(len(words))
-        self.codes.append(np.fromiter(map(self.numbers.__getitem__, words), dtype=np.int64, count=len(words)))
+        self.codes.append(np.fromiter(map(self.numbers.__getitem__, words), dtype=np.int32, count=len(words)))
         self.size += len(text)
 
     def row(self, number: int, buckets: int) -> dict:
@@ -139,11 +141,13 @@ def _split(block_bytes: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made, block = TaskContext.get().partitionId() << 32, 0, _Block()
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                if block.keys and block.size + len(text or b"") > block_bytes:
-                    yield pa.RecordBatch.from_pylist([block.row(base + made, buckets)], schema=_BLOCK_TYPE)
-                    made, block = made + 1, _Block()
-                block.add(key, text or b"")
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                for key, text in zip(part.column(0).to_pylist(), text_bytes(part.column(1))):
+                    if block.keys and block.size + len(text or b"") > block_bytes:
+                        yield pa.RecordBatch.from_pylist([block.row(base + made, buckets)], schema=_BLOCK_TYPE)
+                        made, block = made + 1, _Block()
+                    block.add(key, text or b"")
         if block.keys:
             yield pa.RecordBatch.from_pylist([block.row(base + made, buckets)], schema=_BLOCK_TYPE)
 
@@ -205,48 +209,84 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     return flat[index]
 
 
-_TOKENS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-
-
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            lists = [_unpack_ids(x["ids"]) for x in sorted(row["lists"] or [], key=lambda x: x["bucket"])]
-            sorted_lengths = np.concatenate([x[0] for x in lists]).astype(np.int64) if lists else np.zeros(0, np.int64)
-            flat = np.concatenate([x[1] for x in lists]) if lists else np.zeros(0, "<u4")
-            planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["places"]), dtype=np.uint8)
-            places = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
-            starts, lengths = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
-            starts[places] = np.cumsum(sorted_lengths) - sorted_lengths
-            lengths[places] = sorted_lengths
-            codes = unpack_numbers(row["codes"]) if row["codes"] else np.zeros(0, np.int64)
-            ends = np.cumsum(np.array(row["lengths"], dtype=np.int64))
-            out, size = [], 0
-            for key, end, count in zip(row["keys"], ends, row["lengths"]):
-                own = codes[end - count : end]
-                ids = _gather(flat, starts[own], lengths[own])
-                out.append({"doc_id": key, "n_tokens": len(ids), "ids": ids.astype("<u4").tobytes()})
-                size += 4 * len(ids)
-                if size > BATCH_BYTES:
-                    yield pa.RecordBatch.from_pylist(out, schema=_TOKENS)
-                    out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=_TOKENS)
+_TOKENS = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())]
+
+
+def _places(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of a block's distinct words: all in one array, and start and length by word number."""
+    lists = [_unpack_ids(x["ids"]) for x in sorted(row["lists"] or [], key=lambda x: x["bucket"])]
+    if not lists:
+        return np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sorted_lengths = np.concatenate([x[0] for x in lists]).astype(np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["places"]), dtype=np.uint8)
+    places = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+    starts, lengths = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+    starts[places] = np.cumsum(sorted_lengths) - sorted_lengths
+    lengths[places] = sorted_lengths
+    return np.concatenate([x[1] for x in lists]), starts, lengths
+
+
+def _assemble(vocabulary):
+    """Ids of every text of a block, and with a broadcast vocabulary also the decoded text."""
+    schema = pa.schema(_TOKENS + [("decoded", pa.string())] * (vocabulary is not None))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                flat, starts, lengths = _places(row)
+                codes = unpack_numbers(row["codes"]) if row["codes"] else np.zeros(0, np.int64)
+                end, out, size = 0, [], 0
+                for key, count in zip(row["keys"], row["lengths"]):
+                    own = codes[end : end + count]
+                    end += count
+                    ids = _gather(flat, starts[own], lengths[own])
+                    out.append({"doc_id": key, "n_tokens": len(ids), "ids": ids.astype("<u4").tobytes()})
+                    if vocabulary is not None:
+                        out[-1]["decoded"] = _spoken(ids, vocabulary.value)
+                    size += 4 * len(ids)
+                    if size > BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(out, schema=schema)
+                        out, size = [], 0
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return run
+
+
+def _bucketed(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Write the blocks bucketed by their number: the join back then shuffles only the ids.
+
+    The table is known to the catalog just long enough to read it back; its files lie in the shared folder.
+    """
+    spark = blocks.sparkSession
+    path = stage_path(spark, "bpe-blocks")
+    name = f"bpe_blocks_{path[-12:]}"
+    blocks.write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def encode(
-    docs: DataFrame, definition: str, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES
+    docs: DataFrame,
+    definition: str,
+    key: str = "doc_id",
+    text: str = "text",
+    vocabulary: DataFrame | None = None,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(doc_id, n_tokens, ids) for every row; ``ids`` are little-endian unsigned 32-bit integers.
 
     ``definition`` is a tokenizer of the tokenizers library that drops white space and whose splits do
-    not look beyond a word (see the module's description), as its JSON text.
+    not look beyond a word (see the module's description), as its JSON text. With a ``vocabulary`` the tasks that put the
+    ids in place also decode them (see ``decode``), which saves sending all ids to another Python worker.
     """
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
     shipped = spark.sparkContext.broadcast(definition)
     rows = spread(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
-    blocks, _ = write_stage(rows.mapInArrow(_split(block_bytes, buckets), _BLOCKS), "bpe-blocks")
+    blocks = _bucketed(rows.mapInArrow(_split(block_bytes, buckets), _BLOCKS), buckets)
     lists = (
         blocks.select("block", F.posexplode("words").alias("bucket", "packed"))
         .where(F.col("packed").isNotNull())
@@ -255,47 +295,46 @@ def encode(
         .groupBy("block")
         .agg(F.collect_list(F.struct("bucket", "ids")).alias("lists"))
     )
-    joined = blocks.select("block", "keys", "lengths", "codes", "places").join(lists, "block", "left")
-    return joined.mapInArrow(_assemble, "doc_id bigint, n_tokens bigint, ids binary")
+    # The ids of all words are as large as the corpus' vocabulary, so they are never broadcast.
+    joined = blocks.select("block", "keys", "lengths", "codes", "places").join(lists.hint("merge"), "block", "left")
+    pieces_by_id = None if vocabulary is None else _by_id(vocabulary)
+    schema = "doc_id bigint, n_tokens bigint, ids binary" + (", decoded string" if vocabulary is not None else "")
+    return joined.mapInArrow(_assemble(pieces_by_id), schema)
 
 
 # -- decode --------------------------------------------------------------------------------------
 
 
-def decode(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Add ``decoded``: the pieces of ``ids``, joined by a space as a tokenizer without a decoder does.
-
-    ``vocabulary`` is the table (id, piece). It is bounded by the vocabulary's size, is broadcast
-    and looked up by id; ids without a piece are left out, as the tokenizers library does. A null ``ids`` gives ''.
-    """
+def _by_id(vocabulary: DataFrame):
+    """The table (id, piece) as a broadcast array with a piece at its id; it is bounded by the vocabulary's size."""
     rows = vocabulary.select("id", "piece").collect()
     known = np.full(max((r["id"] for r in rows), default=-1) + 1, None, dtype=object)
     for r in rows:
         known[r["id"]] = r["piece"]
-    shipped = tokens.sparkSession.sparkContext.broadcast(known)
+    return vocabulary.sparkSession.sparkContext.broadcast(known)
+
+
+def _spoken(ids: np.ndarray, table: np.ndarray) -> str:
+    """Pieces of the ids, joined by a space as a tokenizer without a decoder does; unknown ids are left out as there."""
+    return " ".join([p for p in table[ids[ids < len(table)]] if p is not None])
+
+
+def decode(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Add ``decoded`` to a table with ``ids``, by a broadcast join with the table (id, piece). A null ``ids`` gives ''."""
+    shipped = _by_id(vocabulary)
     schema = tokens.schema.simpleString()[len("struct<") : -1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shipped.value
         for batch in batches:
             at = batch.schema.get_field_index("ids")
-            out, start, size = [], 0, 0
-            for i, raw in enumerate(batch.column(at).to_pylist()):
-                ids = np.frombuffer(raw or b"", dtype="<u4")
-                found = table[ids[ids < len(table)]]
-                out.append(" ".join([p for p in found if p is not None]))
-                size += len(out[-1])
-                if size > BATCH_BYTES:
-                    part = batch.slice(start, i + 1 - start)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*part.schema.names, "decoded"])
-                    out, start, size = [], i + 1, 0
-            if out:
-                part = batch.slice(start)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*part.schema.names, "decoded"])
-
-    return tokens.mapInArrow(run, f"{schema}, decoded string" if schema else "decoded string")
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                texts = [_spoken(np.frombuffer(raw or b"", dtype="<u4"), shipped.value) for raw in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
+
+    return tokens.mapInArrow(run, f"{schema}, decoded string")
 
 
 def round_trip(docs: DataFrame, definition: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every row."""
-    return decode(encode(docs, definition), pieces(docs.sparkSession, definition))
+    return encode(docs, definition, vocabulary=pieces(docs.sparkSession, definition))
