@@ -145,3 +145,34 @@ def test_exact_sweep_finds_three_blobs(spark):
     scores, best, _ = ml.kmeans_sweep(df, 2, 4, restarts=3, exact_by="id")
     again, _, _ = ml.kmeans_sweep(df, 2, 4, restarts=3, exact_by="id")
     assert best == 3 and scores == again and all(-1 <= s <= 1 for s in scores.values())
+
+
+def test_the_index_is_not_shuffled_for_few_queries(spark, tmp_path):
+    """A plan for few queries scans only the intents asked for, without an exchange on the index' side."""
+    rows = [(i, f"intent{i % 3}", [float(i % 7), 1.0]) for i in range(90)]
+    spark.createDataFrame(rows, "hit_id int, intent string, embedding array<double>").write.partitionBy("intent").parquet(str(tmp_path / "index"))
+    index = retrieve.read_index(spark, str(tmp_path / "index"))
+    queries = spark.createDataFrame([(1, "intent1", [1.0, 1.0])], "query_id int, intent string, embedding array<double>")
+    found = retrieve.retrieve(queries, index, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInPandas"):]
+    assert "Exchange" not in below and "PartitionFilters" in below and "intent1" in below
+    blocks = retrieve.retrieve(queries, index, 3, query_bytes=0)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, blocks.collect()))
+
+
+def test_one_pass_silhouette_and_best_of_starts(spark):
+    rng = np.random.default_rng(3)
+    data = np.concatenate([rng.normal(c, 1.0, size=(40, 4)) for c in (6, -6, 0)])
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(data)], "id int, embedding array<double>")
+    scores, best, models = ml.kmeans_sweep(df, 2, 5, restarts=4)
+    assert best == 3
+    label = [r["cluster"] for r in ml.kmeans_assign(df, models[3]).orderBy("id").collect()]
+    gaps = np.square(data[:, None] - data[None]).sum(axis=2)
+    own = np.array(label)[:, None] == np.array(label)[None]
+    a = (gaps * own).sum(axis=1) / (own.sum(axis=1) - 1)
+    b = np.min([np.where(np.array(label) == c, np.inf, gaps[:, np.array(label) == c].mean(axis=1)) for c in range(3)], axis=0)
+    want = ((b - a) / np.maximum(a, b)).mean()
+    assert abs(scores[3] - want) < 1e-4
+    placed = ml.kmeans_assign(df, models[3])
+    assert abs(ml.cluster_silhouette(placed, "cluster", "embedding").first()[0] - want) < 1e-4

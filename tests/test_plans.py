@@ -51,6 +51,15 @@ def embedder(df, text, out):
     return ml.embed(df.withColumn("_t", F.col(text)), model, out).drop("_t")
 
 
+def test_unreadable_ids_are_kept_apart(spark, tmp_path):
+    """The rows of the export are in threads or in the table of rejected posts."""
+    export(tmp_path / "raw.csv", 12)
+    with open(tmp_path / "raw.csv", "a", encoding="utf-8") as f:
+        f.write("oops,c1,True,Sun Oct 01 00:00:00 +0000 2017,no id,,\n12.5,c1,True,Sun Oct 01 00:00:00 +0000 2017,half an id,,\n")
+    paths = ingest.run_ingest(spark, str(tmp_path / "raw.csv"), str(tmp_path / "out"), "acmecare")
+    assert {r["tweet_id"] for r in spark.read.parquet(paths.rejected).collect()} == {"oops", "12.5"}
+
+
 def test_ingest(spark, built):
     rows, paths = built
     assert spark.read.parquet(paths.posts).count() == rows
@@ -60,7 +69,7 @@ def test_ingest(spark, built):
     report = spark.read.option("header", True).csv(paths.brand_candidates)
     assert [r["brand"] for r in report.collect()] == ["AcmeCare", "OtherShop"]
     stats = tables.latest_stats(spark.read.parquet(paths.stats))
-    assert {r["step"] for r in stats.collect()} == {"load", "threads", "brand"}
+    assert {r["step"] for r in stats.collect()} == {"load", "typed", "threads", "brand"}
 
 
 @pytest.fixture(scope="module")
@@ -105,8 +114,10 @@ def test_precedents_triage_and_evaluation(spark, corpus, tmp_path):
     gold = precedents.gold_set(split.holdout, targets, posts, tagged)
     labelled = gold.labelled
     assert 0 < labelled.count() <= 24
+    contexts = {r["thread_key"]: r["transcript"] for r in gold.contexts.collect()}
     first = labelled.first()
-    assert first["full_thread_context"].startswith("[Customer]: ") and "Brand (AcmeCare)" in first["full_thread_context"]
+    assert set(contexts) == {r["thread_key"] for r in labelled.collect()} and first["context_parts"] == 1
+    assert contexts[first["thread_key"]].startswith("[Customer]: ") and "Brand (AcmeCare)" in contexts[first["thread_key"]]
 
     asked = embedder(labelled.select("thread_id", "text"), "text", "embedding")
     blank = spark.createDataFrame([("T_blank", "  ", None)], "thread_id string, text string, embedding array<float>")
@@ -130,4 +141,6 @@ def test_precedents_triage_and_evaluation(spark, corpus, tmp_path):
     assert run.summary.first()["samples"] == labelled.count()
     assert run.systems.count() == 8 and run.sweep.count() == 7 and run.agreement.count() == 4
     assert run.failures.count() == 7
+    assert tuple(run.unmatched.first()) == (labelled.count() + 1, labelled.count(), 1, 0)
+    assert {r["mode"] for r in run.failure_examples.collect()} == {r["mode"] for r in run.failures.where("count > 0").collect()}
     assert run.escalation.first()["samples"] == labelled.count()

@@ -1,7 +1,12 @@
+import csv
+import pathlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from threadloom import session
+from threadloom.functions.values import half_even, to_id
 from threadloom.operators import score
 from threadloom.sources import posts as src
 from threadloom.sources import tables, taxonomy
@@ -28,6 +33,54 @@ def test_csv_keeps_quotes_and_line_breaks(raw):
     assert [(p["post_id"], p["inbound"], p["in_response_to_id"]) for p in posts] == [(1, True, None), (2, False, 1), (None, True, None)]
 
 
+def test_csv_columns_go_by_name(spark, tmp_path):
+    """Columns in another order, one more, and one missing."""
+    path = tmp_path / "other.csv"
+    path.write_text("text,extra,tweet_id,author_id,created_at,inbound,in_response_to_tweet_id,response_tweet_id\nhello,x,7,c1,2017-01-01 00:00:00,True,,9\n")
+    post = src.to_posts(src.read_posts_csv(spark, str(path))).first()
+    assert (post["post_id"], post["text"], post["inbound"], post["response_ids"]) == (7, "hello", True, "9")
+    short = tmp_path / "short.csv"
+    short.write_text("tweet_id,author_id,created_at,text,response_tweet_id,in_response_to_tweet_id\n1,c1,2017-01-01 00:00:00,hello,,\n")
+    with pytest.raises(src.SchemaError, match="inbound"):
+        src.read_posts_csv(spark, str(short))
+
+
+@pytest.mark.parametrize("bytes_per_split", [40, 128 << 20])
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_csv_is_split_at_any_byte(spark, tmp_path, bytes_per_split, newline):
+    """Texts with line breaks, quotes, commas and blank lines, in files cut into blocks of a few bytes."""
+    rng = random.Random(4)
+    pieces = ["a", "b c", ",", '"', "\n", "\n\n", "é", "x" * 30]
+    rows, folder = [], tmp_path / "csv"
+    folder.mkdir()
+    for part in range(3):
+        with open(folder / f"{part}.csv", "w", encoding="utf-8", newline="") as f:
+            out = csv.writer(f, lineterminator=newline)
+            out.writerow(src.RAW_COLUMNS)
+            for i in range(40):
+                text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 6)))
+                rows.append((str(part * 100 + i), f"c{i}", "True", "2017-01-01 00:00:00", text, "", "1"))
+                out.writerow(rows[-1])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_per_split)
+    try:
+        got = src.read_posts_csv(spark, str(folder)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    strip = lambda r: tuple((v or "").strip(" ") for v in r)
+    assert sorted(map(strip, got)) == sorted(map(strip, rows))
+
+
+def test_ids_are_exact(spark):
+    texts = ["12", " 12 ", "12.0", "12.9", "9007199254740993.0", "9007199254740993", "x3", "", None, "1.5E3", "-4", "99999999999999999999"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(to_id(F.col("t"))).collect()
+    assert [r[0] for r in rows] == [12, 12, 12, None, 9007199254740993, 9007199254740993, None, None, None, 1500, -4, None]
+
+
+def test_rejected_posts(raw):
+    assert [r["tweet_id"] for r in src.rejected_posts(raw).collect()] == ["x3"]
+
+
 def test_profile(raw):
     row = src.profile_posts(raw).first()
     assert (row["total_rows"], row["inbound_count"], row["inbound_pct"]) == (3, 2, 66.67)
@@ -53,10 +106,12 @@ def test_tables_and_logs(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).count() == 4
     document = tmp_path / "doc.json"
     document.write_text('[{"id": 1,\n "nested": {"ok": true}}, {"id": 2}]')
-    back = tables.read_results_json(spark, str(document), "id int, nested struct<ok:boolean>")
+    back = tables.read_json_document(spark, str(document), "id int, nested struct<ok:boolean>")
     assert sorted((r["id"], r["nested"] and r["nested"]["ok"]) for r in back.collect()) == [(1, True), (2, None)]
     tables.write_results_json(back, str(tmp_path / "out"))
-    assert spark.read.schema(back.schema).json(str(tmp_path / "out")).count() == 2
+    many = spark.range(100).select(F.col("id").cast("int"), F.struct(F.lit(True).alias("ok")).alias("nested")).coalesce(2)
+    tables.write_results_json(back.unionByName(many), str(tmp_path / "out"))
+    assert tables.read_results_json(spark, str(tmp_path / "out"), back.schema).count() == 102
 
 
 def test_stats_keep_the_latest_recording(spark, tmp_path):
@@ -71,12 +126,12 @@ def test_stats_keep_the_latest_recording(spark, tmp_path):
 def test_taxonomy_round_trip(spark, tmp_path):
     path = str(tmp_path / "taxonomy.yaml")
     intents = [taxonomy.Intent("a", "first", True, (("1", "é text"),)), taxonomy.Intent("b", "second")]
-    taxonomy.write_taxonomy(intents, path, version="1.0")
-    assert taxonomy.read_taxonomy(path) == intents
+    taxonomy.write_taxonomy(spark, intents, path, version="1.0")
+    assert taxonomy.read_taxonomy(spark, path) == intents
     table = taxonomy.load_taxonomy(spark, path)
     again = str(tmp_path / "again.yaml")
     taxonomy.save_taxonomy(table, again)
-    assert taxonomy.read_taxonomy(again) == intents
+    assert taxonomy.read_taxonomy(spark, again) == intents
     assert len(taxonomy.default_taxonomy()) == 8
 
 
@@ -105,7 +160,23 @@ def test_small_side_is_checked(spark):
         table = session.small_side(spark.range(20).toDF("id"), "lookup", limit)
         return spark.range(100).hint("merge").join(table, "id")._jdf.queryExecution().analyzed().toString()
 
-    assert "broadcast" in plan(20).lower() and "broadcast" not in plan(19).lower()
+    assert "broadcast" in plan(20 * 16).lower() and "broadcast" not in plan(20 * 16 - 1).lower()
+
+
+def test_wide_rows_count_by_their_bytes(spark):
+    rows = [(1, "x" * 1000, [1.0] * 100, [("a", "b" * 50)])] * 10
+    wide = spark.createDataFrame(rows, "id int, t string, v array<double>, s array<struct<a:string,b:string>>")
+    joined = lambda limit: spark.range(3).hint("merge").join(session.small_side(wide, "wide", limit), "id")
+    plan = lambda limit: joined(limit)._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" not in plan(15_000) and "broadcast" in plan(40_000)
+
+
+def test_own_stages_are_deleted(spark):
+    with session.own_stages(spark):
+        _, seen = session.write_stage(spark.range(3), "short-lived")
+        path = session.stage_path(spark, "kept").rsplit("/", 1)[0].removeprefix("file:")
+        assert any(p.name.startswith("short-lived") for p in pathlib.Path(path).iterdir())
+    assert not any(p.name.startswith("short-lived") for p in pathlib.Path(path).iterdir())
 
 
 def test_stage_counts_rows_and_lives_in_the_shared_folder(spark):
@@ -114,3 +185,9 @@ def test_stage_counts_rows_and_lives_in_the_shared_folder(spark):
     assert session.stage_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     empty, seen = session.write_stage(spark.range(7).where("id > 9"), "nothing")
     assert seen["rows"] == 0 and empty.count() == 0
+
+
+def test_ties_round_to_the_even_digit(spark):
+    values = spark.createDataFrame([(5 / 32, 1 / 32, 3.125)], "a double, b double, c double")
+    row = values.select(half_even("a", 4), half_even("b", 4), half_even("c", 2)).first()
+    assert tuple(row) == (0.1562, 0.0312, 3.12)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ingest", "messages", "sampling", "evaluation", "retrieval", "learning", "streams", "formats")
+MODULES = ("ingest", "messages", "sampling", "evaluation", "retrieval", "learning", "streams", "formats", "jobs")
 
 
 def load():

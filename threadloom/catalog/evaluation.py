@@ -52,7 +52,7 @@ scores AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END A
 
 @query(
     "classification_by_label",
-    f"WITH {CASES}, {LABELS_SQL} SELECT label, round(p, 4) AS precision, round(r, 4) AS recall, round(f, 4) AS f1, support FROM scores",
+    f"WITH {CASES}, {LABELS_SQL} SELECT label, round_even(p, 4) AS precision, round_even(r, 4) AS recall, round_even(f, 4) AS f1, support FROM scores",
 )
 def classification_by_label(spark, sf_dir):
     return ev.classification_by_label(cases(spark, sf_dir))
@@ -60,8 +60,8 @@ def classification_by_label(spark, sf_dir):
 
 @query(
     "classification_summary",
-    f"""WITH {CASES}, {LABELS_SQL} SELECT round((SELECT count(*) FROM cases WHERE gold_intent = predicted_intent) / (SELECT count(*) FROM cases), 4) AS accuracy,
-  round(avg(f), 4) AS macro_f1, round(sum(f * support) / sum(support), 4) AS weighted_f1, CAST(sum(support) AS BIGINT) AS samples FROM scores""",
+    f"""WITH {CASES}, {LABELS_SQL} SELECT round_even((SELECT count(*) FROM cases WHERE gold_intent = predicted_intent) / (SELECT count(*) FROM cases), 4) AS accuracy,
+  round_even(avg(f), 4) AS macro_f1, round_even(sum(f * support) / sum(support), 4) AS weighted_f1, CAST(sum(support) AS BIGINT) AS samples FROM scores""",
 )
 def classification_summary(spark, sf_dir):
     return ev.classification_summary(cases(spark, sf_dir))
@@ -69,11 +69,11 @@ def classification_summary(spark, sf_dir):
 
 def escalation_sql(source: str, by: str = "", pred: str = "decision") -> str:
     group, pick = (f"GROUP BY {by}", f"{by}, ") if by else ("", "")
-    return f"""SELECT {pick}samples, tp, fp, fn, tn, round((tp + tn) / samples, 4) AS accuracy, round(p, 4) AS precision, round(r, 4) AS recall,
-  round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 4) AS f1,
-  round(CASE WHEN tp + fn > 0 THEN fn / (tp + fn) ELSE 0.0 END, 4) AS false_auto_handle_rate,
-  round(CASE WHEN tn + fp > 0 THEN fp / (tn + fp) ELSE 0.0 END, 4) AS false_escalate_rate,
-  round(CAST(fn * 5 + fp AS DOUBLE), 2) AS penalty, round((fn * 5 + fp) / samples, 4) AS normalized_cost
+    return f"""SELECT {pick}samples, tp, fp, fn, tn, round_even((tp + tn) / samples, 4) AS accuracy, round_even(p, 4) AS precision, round_even(r, 4) AS recall,
+  round_even(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 4) AS f1,
+  round_even(CASE WHEN tp + fn > 0 THEN fn / (tp + fn) ELSE 0.0 END, 4) AS false_auto_handle_rate,
+  round_even(CASE WHEN tn + fp > 0 THEN fp / (tn + fp) ELSE 0.0 END, 4) AS false_escalate_rate,
+  round_even(CAST(fn * 5 + fp AS DOUBLE), 2) AS penalty, round_even((fn * 5 + fp) / samples, 4) AS normalized_cost
 FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM (
   SELECT {pick}count(*) AS samples, count(*) FILTER (WHERE gold_decision = 'escalate' AND {pred} = 'escalate') AS tp,
     count(*) FILTER (WHERE gold_decision = 'auto_handle' AND {pred} = 'escalate') AS fp,
@@ -161,7 +161,7 @@ def rated(spark, sf_dir):
 
 
 def kappa_sql(source: str, a: str, b: str) -> str:
-    return f"""(SELECT CASE WHEN n = 0 THEN 0.0 WHEN pe >= 1 THEN 1.0 ELSE round((po - pe) / (1 - pe), 4) END FROM (
+    return f"""(SELECT CASE WHEN n = 0 THEN 0.0 WHEN pe >= 1 THEN 1.0 ELSE round_even((po - pe) / (1 - pe), 4) END FROM (
   SELECT (SELECT count(*) FROM {source}) AS n, (SELECT count(*) FROM {source} WHERE {a} = {b}) / (SELECT count(*) FROM {source}) AS po,
   (SELECT coalesce(sum(x.c * CAST(y.c AS DOUBLE)), 0) FROM (SELECT {a} AS v, count(*) AS c FROM {source} GROUP BY 1) x
     JOIN (SELECT {b} AS v, count(*) AS c FROM {source} GROUP BY 1) y USING (v)) / (SELECT CAST(count(*) AS DOUBLE) * count(*) FROM {source}) AS pe))"""
@@ -177,9 +177,9 @@ def kappa(spark, sf_dir):
 
 def agreement_row(axis: str) -> str:
     h, j = f"human_{axis}", f"judge_{axis}"
-    return f"""SELECT '{axis}' AS axis, count(*) AS rows, round(count(*) FILTER (WHERE {h} = {j}) * 100.0 / count(*), 2) AS exact_pct,
-  round(count(*) FILTER (WHERE abs({h} - {j}) <= 1) * 100.0 / count(*), 2) AS adjacent_pct,
-  round(avg({h}), 2) AS mean_human, round(avg({j}), 2) AS mean_judge, {kappa_sql('rated', h, j)} AS kappa FROM rated"""
+    return f"""SELECT '{axis}' AS axis, count(*) AS rows, round_even(count(*) FILTER (WHERE {h} = {j}) * 100.0 / count(*), 2) AS exact_pct,
+  round_even(count(*) FILTER (WHERE abs({h} - {j}) <= 1) * 100.0 / count(*), 2) AS adjacent_pct,
+  round_even(avg({h}), 2) AS mean_human, round_even(avg({j}), 2) AS mean_judge, {kappa_sql('rated', h, j)} AS kappa FROM rated"""
 
 
 @query("rater_agreement", f"WITH {RATED} " + " UNION ALL ".join(agreement_row(a) for a in presets.RUBRIC_AXES))
@@ -265,7 +265,7 @@ counts AS (SELECT system, label,
   (SELECT count(*) FROM systems s WHERE s.system = n.system AND gold_intent = label AND predicted_intent = label) AS tp,
   (SELECT count(*) FROM systems s WHERE s.system = n.system AND predicted_intent = label) AS pp,
   (SELECT count(*) FROM systems s WHERE s.system = n.system AND gold_intent = label) AS gp FROM seen n),
-f AS (SELECT system, round(sum(tp) / sum(gp), 4) AS acc, round(avg(CASE WHEN tp = 0 THEN 0.0 ELSE 2 * (tp/pp) * (tp/gp) / (tp/pp + tp/gp) END), 4) AS macro
+f AS (SELECT system, round_even(sum(tp) / sum(gp), 4) AS acc, round_even(avg(CASE WHEN tp = 0 THEN 0.0 ELSE 2 * (tp/pp) * (tp/gp) / (tp/pp + tp/gp) END), 4) AS macro
   FROM counts GROUP BY system),
 per_system AS (SELECT * FROM esc JOIN f USING (system))
 {metric_sql('intent_accuracy', 'acc')} UNION ALL {metric_sql('intent_macro_f1', 'macro')}
@@ -302,7 +302,7 @@ MODES_SQL = {
     "failure_modes",
     f"WITH {CASES}, c AS (SELECT *, coalesce(top_precedent_reply, '') AS e FROM cases) "
     + " UNION ALL ".join(
-        f"""SELECT '{m}' AS mode, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM cases), 2) AS rate_pct,
+        f"""SELECT '{m}' AS mode, count(*) AS count, round_even(count(*) * 100.0 / (SELECT count(*) FROM cases), 2) AS rate_pct,
   coalesce((SELECT string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FROM (SELECT doc_id FROM c WHERE {cond} ORDER BY doc_id LIMIT 3)), '') AS examples
 FROM c WHERE {cond}"""
         for m, cond in MODES_SQL.items()
@@ -314,6 +314,32 @@ def failure_modes(spark, sf_dir):
     return found.withColumn("examples", F.coalesce(F.array_join(F.col("examples").cast("array<string>"), ","), F.lit("")))
 
 
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+DETAILS = presets.FAILURE_DETAILS
+
+
+@query(
+    "failure_examples",
+    f"""WITH {CASES}, c AS (SELECT *, coalesce(top_precedent_reply, '') AS e FROM cases), """
+    + f"""t AS (SELECT *, {WRONG} AS wrong, ({sql_any('drafted_reply', presets.FAILURE_LINKS)} AND NOT {sql_any('e', presets.FAILURE_LINKS)}) AS linked FROM c), """
+    + "hits AS ("
+    + " UNION ALL ".join(f"SELECT '{m}' AS mode, * FROM t WHERE {cond}" for m, cond in MODES_SQL.items())
+    + "), ranked AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY doc_id) AS rank FROM hits) "
+    + f"""SELECT mode, CAST(rank AS INTEGER) AS rank, doc_id AS id, text AS message, drafted_reply AS draft,
+  CASE WHEN mode LIKE '%_specific' THEN CASE WHEN wrong THEN 'wrong_invented_specific' ELSE 'plausible_ungrounded_specific' END END AS sub_mode,
+  CASE mode WHEN 'language_conflict' THEN {q(DETAILS['language_conflict'])} WHEN 'anger' THEN {q(DETAILS['anger'])}
+    WHEN 'out_of_domain' THEN {q(DETAILS['out_of_domain'])} WHEN 'false_auto_handle' THEN {q(DETAILS['false_auto_handle'])}
+    ELSE CASE WHEN wrong THEN {q(DETAILS['wrong_specific'])} WHEN linked THEN {q(DETAILS['plausible_specific'])} ELSE {q(DETAILS['invented_specific'])} END END AS detail,
+  gold_intent, predicted_intent, gold_decision, decision, agreement, intent_confidence FROM ranked WHERE rank <= 3""",
+)
+def failure_examples(spark, sf_dir):
+    tagged = ev.tag_failures(cases(spark, sf_dir), anger=ANGER, outside=OUTSIDE, language_intent="french")
+    return ev.failure_examples(tagged, "doc_id")
+
+
 # -- gold labels and rubric -----------------------------------------------------------------------
 
 # Labelling rules on words that occur in the texts.
@@ -343,13 +369,6 @@ intended AS (SELECT *, CASE ambiguity WHEN 'language_vs_technical_topic' THEN 'f
   WHEN 'billing_overlap' THEN 'places' ELSE predicted_intent END AS gold_intent FROM ambiguous),
 grounds AS (SELECT *, CASE WHEN gold_intent IN ('places', 'german', 'french') THEN 'policy' WHEN {sql_any('m', GOLD_RULES.damage_words)} THEN 'damage'
   WHEN {sql_any('m', GOLD_RULES.dead_words)} THEN 'dead' ELSE 'standard' END AS ground FROM intended)"""
-QUOTE = "''"
-
-
-def q(s: str) -> str:
-    return "'" + s.replace("'", QUOTE) + "'"
-
-
 @query(
     "rule_gold",
     f"""WITH {SCORED_DOCS}, {GOLD} SELECT doc_id, ambiguity, array_to_string(symptoms, ', ') AS symptoms, gold_intent,
@@ -372,10 +391,17 @@ def rule_gold(spark, sf_dir):
 @query(
     "ambiguity_log",
     f"""WITH {SCORED_DOCS}, {GOLD}, entries AS (
-  SELECT doc_id AS id, 0 AS place, ambiguity AS type, gold_intent, symptoms FROM intended WHERE ambiguity IS NOT NULL
-  UNION ALL SELECT doc_id, 1, 'compound_multi_symptom_overlap', gold_intent, symptoms FROM intended WHERE len(symptoms) >= 3),
+  SELECT doc_id AS id, 0 AS place, ambiguity AS type, text, predicted_intent, gold_intent, symptoms FROM intended WHERE ambiguity IS NOT NULL
+  UNION ALL SELECT doc_id, 1, 'compound_multi_symptom_overlap', text, predicted_intent, gold_intent, symptoms FROM intended WHERE len(symptoms) >= 3),
 placed AS (SELECT *, row_number() OVER (ORDER BY id, place) AS r FROM entries)
-SELECT id, type, gold_intent, array_to_string(symptoms, ', ') AS symptoms FROM placed WHERE place = 0 OR r <= 6""",
+SELECT id, type, text, predicted_intent AS first_intent, gold_intent, array_to_string(symptoms, ', ') AS symptoms,
+  CASE type """
+    + " ".join(
+        f"WHEN '{t}' THEN replace({q(presets.AMBIGUITY_EXPLANATIONS[t])}, '%s', predicted_intent)"
+        for t in ("language_vs_technical_topic", "security_account_overlap", "billing_overlap")
+    )
+    + f""" ELSE printf({q(presets.AMBIGUITY_EXPLANATIONS['compound_multi_symptom_overlap'])}, array_to_string(symptoms, ', '), gold_intent) END AS explanation
+FROM placed WHERE place = 0 OR r <= 6""",
 )
 def ambiguity_log(spark, sf_dir):
     return gd.ambiguity_log(gd.rule_gold(scored_documents(spark, sf_dir), GOLD_RULES), "doc_id")
@@ -455,7 +481,7 @@ def rule_rubric(spark, sf_dir):
 
 @query(
     "distribution",
-    f"WITH {SCORED_DOCS} SELECT predicted_intent, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM scored), 2) AS pct FROM scored GROUP BY 1",
+    f"WITH {SCORED_DOCS} SELECT predicted_intent, count(*) AS count, round_even(count(*) * 100.0 / (SELECT count(*) FROM scored), 2) AS pct FROM scored GROUP BY 1",
 )
 def distribution(spark, sf_dir):
     return reports.distribution(scored_documents(spark, sf_dir), "predicted_intent")
@@ -464,19 +490,20 @@ def distribution(spark, sf_dir):
 @query(
     "crosstab",
     f"WITH {SCORED_DOCS} SELECT predicted_intent, "
-    + ", ".join(f"count(*) FILTER (WHERE lang = '{x}') AS {x}" for x in ("en", "fr", "de", "es"))
-    + " FROM scored GROUP BY 1",
+    + ", ".join(f"count(*) FILTER (WHERE lang = '{x}') AS {x}" for x in ("en", "fr", "de"))
+    + ", count(*) FILTER (WHERE lang IS NULL OR lang NOT IN ('en', 'fr', 'de')) AS other FROM scored GROUP BY 1",
 )
 def crosstab(spark, sf_dir):
-    return reports.crosstab(scored_documents(spark, sf_dir), "predicted_intent", "lang", ("en", "fr", "de", "es"))
+    """Languages that are not listed count as other."""
+    return reports.crosstab(scored_documents(spark, sf_dir), "predicted_intent", "lang", ("en", "fr", "de"))
 
 
 @query(
     "usage",
     """WITH u AS (SELECT event_type AS step, CAST(floor(value * 10) AS BIGINT) AS p, user_id AS c FROM events)
 SELECT step, count(*) AS calls, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(c) AS BIGINT) AS completion_tokens,
-  CAST(sum(p) + sum(c) AS BIGINT) AS total_tokens, round((sum(p) + sum(c)) / count(*), 2) AS avg_tokens,
-  round((sum(p) * CAST(CASE step WHEN 'view' THEN 0.15 ELSE 0.20 END AS DOUBLE) + sum(c) * CAST(CASE step WHEN 'view' THEN 0.60 ELSE 0.40 END AS DOUBLE)) / 1000000.0, 4) AS cost
+  CAST(sum(p) + sum(c) AS BIGINT) AS total_tokens, round_even((sum(p) + sum(c)) / count(*), 2) AS avg_tokens,
+  round_even((sum(p) * CAST(CASE step WHEN 'view' THEN 0.15 ELSE 0.20 END AS DOUBLE) + sum(c) * CAST(CASE step WHEN 'view' THEN 0.60 ELSE 0.40 END AS DOUBLE)) / 1000000.0, 4) AS cost
 FROM u GROUP BY step""",
 )
 def usage(spark, sf_dir):
@@ -551,7 +578,7 @@ def label_cluster(spark, sf_dir):
 @query(
     "label_progress",
     """SELECT count(*) AS total, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)) AS labelled,
-  round(count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)) * 100.0 / count(*), 1) AS percent FROM documents""",
+  round_even(count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)) * 100.0 / count(*), 1) AS percent FROM documents""",
 )
 def label_progress(spark, sf_dir):
     return reports.label_progress(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")

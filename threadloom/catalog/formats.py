@@ -8,9 +8,10 @@ from threadloom.catalog import views
 from threadloom.catalog.base import query, table
 from threadloom.catalog.messages import raw_posts
 from threadloom.catalog.views import WITH_POSTS
+from threadloom.operators.messages import first_per_group
 from threadloom.session import stage_path
 from threadloom.sources import posts as src
-from threadloom.sources import tables
+from threadloom.sources import tables, taxonomy
 
 
 @query(
@@ -20,13 +21,14 @@ SELECT CASE WHEN kind <> 3 THEN post_id END AS post_id, author_id, inbound, CASE
   md5(CASE WHEN kind <> 4 THEN text END) AS text, response_ids, in_response_to_id FROM k""",
 )
 def csv_posts(spark, sf_dir):
-    """Posts as a CSV export with quoted line breaks, read, checked and typed."""
+    """Posts as a CSV export with quoted line breaks, its columns in another order and one more, read, checked and typed."""
     path = stage_path(spark, "csv-posts")
     keep = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    raw_posts(spark, sf_dir).write.options(**keep).option("header", True).option("escape", '"').csv(path)
-    raw = src.read_posts_csv(spark, path)
-    src.validate_schema(raw)
-    return src.to_posts(raw).withColumns({"created_at": F.unix_seconds("created_at"), "text": F.md5("text")})
+    raw = raw_posts(spark, sf_dir).select(*reversed(src.RAW_COLUMNS), F.lit("x").alias("extra"))
+    raw.write.options(**keep).option("header", True).option("escape", '"').csv(path)
+    back = src.read_posts_csv(spark, path)
+    src.validate_schema(back)
+    return src.to_posts(back).withColumns({"created_at": F.unix_seconds("created_at"), "text": F.md5("text")})
 
 
 @query(
@@ -34,12 +36,21 @@ def csv_posts(spark, sf_dir):
     "SELECT doc_id, lang, md5(text) AS text, CAST(n_chars AS BIGINT) AS n_chars FROM documents",
 )
 def json_documents(spark, sf_dir):
-    """Records with a nested field as a JSON document table."""
-    path = stage_path(spark, "json-documents")
-    docs = table(spark, sf_dir, "documents")
-    tables.write_results_json(docs.select("doc_id", "lang", F.struct("text", "n_chars").alias("body")), path)
-    back = spark.read.schema("doc_id bigint, lang string, body struct<text:string,n_chars:bigint>").json(path)
-    return back.select("doc_id", "lang", F.md5("body.text").alias("text"), "body.n_chars")
+    """Records with a nested field, half of them one per line, half as one JSON list per file."""
+    schema = "doc_id bigint, lang string, body struct<text:string,n_chars:bigint>"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.struct("text", "n_chars").alias("body"))
+    lines, lists = stage_path(spark, "json-lines"), stage_path(spark, "json-lists")
+    tables.write_results_json(docs.where("doc_id % 2 = 0"), lines)
+    # A document holds up to a thousand records.
+    odd = docs.where("doc_id % 2 = 1").groupBy(F.floor(F.col("doc_id") / 1000).alias("part"))
+    listed = odd.agg(F.collect_list(F.struct("doc_id", "lang", "body")).alias("records"))
+    # Over several lines, as a pretty-printed document is.
+    written = listed.select("part", F.regexp_replace(F.to_json("records"), "^\\[", "[\n").alias("value"))
+    written.write.partitionBy("part").text(lists)
+    both = tables.read_results_json(spark, lines, schema).unionByName(
+        tables.read_json_document(spark, lists, schema).select("doc_id", "lang", "body")
+    )
+    return both.select("doc_id", "lang", F.md5("body.text").alias("text"), "body.n_chars")
 
 
 @query(
@@ -83,3 +94,52 @@ def partitioned_table(spark, sf_dir):
     tables.write_table(table(spark, sf_dir, "documents"), path, ["lang"])
     back = tables.read_table(spark, path, ["lang", "n_chars"]).where(F.col("lang").isin("en", "fr"))
     return back.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"))
+
+
+@query(
+    "csv_report",
+    "SELECT lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang",
+)
+def csv_report(spark, sf_dir):
+    """A report as one CSV file with a header, read back."""
+    path = stage_path(spark, "report")
+    docs = table(spark, sf_dir, "documents")
+    tables.write_report_csv(docs.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars")), path)
+    return spark.read.option("header", True).schema("lang string, docs bigint, chars bigint").csv(path)
+
+
+@query(
+    "taxonomy_table",
+    """SELECT lang AS intent, 'texts in ' || lang AS description, lang = 'de' AS escalate,
+  string_agg(CAST(doc_id AS VARCHAR) || ':' || md5(text), ',' ORDER BY doc_id) AS examples
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents) WHERE n <= 3 GROUP BY lang""",
+)
+def taxonomy_table(spark, sf_dir):
+    """A taxonomy of languages with their first texts, saved as YAML in the shared folder and loaded again."""
+    path = stage_path(spark, "taxonomy") + "/taxonomy.yaml"
+    first = first_per_group(table(spark, sf_dir, "documents"), ["lang"], ["doc_id"], 3)
+    example = F.struct(F.col("doc_id").cast("string").alias("post_id"), "text")
+    intents = first.groupBy(F.col("lang").alias("intent")).agg(F.array_sort(F.collect_list(F.struct("rank", example.alias("e")))).alias("found"))
+    named = intents.select(
+        "intent", F.concat(F.lit("texts in "), "intent").alias("description"), (F.col("intent") == "de").alias("escalate"),
+        F.transform("found", lambda x: x["e"]).alias("examples"),
+    )
+    taxonomy.save_taxonomy(named, path, source="languages")
+    shown = F.transform("examples", lambda e: F.concat(e["post_id"], F.lit(":"), F.md5(e["text"])))
+    return taxonomy.load_taxonomy(spark, path).select("intent", "description", "escalate", F.array_join(shown, ",").alias("examples"))
+
+
+@query(
+    "rejected_posts",
+    f"""{WITH_POSTS}, k AS (SELECT *, (post_id // 100) % 17 AS kind FROM posts)
+SELECT 'id' || CAST(post_id AS VARCHAR) AS tweet_id, author_id, md5(CASE WHEN kind <> 4 THEN text END) AS text,
+  (SELECT count(*) FROM k) AS rows_in, (SELECT count(*) FROM k WHERE kind <> 3) AS rows_kept FROM k WHERE kind = 3""",
+)
+def rejected_posts(spark, sf_dir):
+    """Posts without a readable id, and the counts that must add up."""
+    raw = raw_posts(spark, sf_dir)
+    rejected, kept = src.rejected_posts(raw), src.to_posts(raw).where(F.col("post_id").isNotNull())
+    count = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    return rejected.select(
+        "tweet_id", "author_id", F.md5("text").alias("text"), count(raw).alias("rows_in"), count(kept).alias("rows_kept")
+    )

@@ -92,7 +92,7 @@ def conservation(spark, sf_dir):
 SELECT count(*) AS total_threads, CAST(sum(n) AS BIGINT) AS total_posts,
   count(*) FILTER (WHERE n = 1) AS single_message_threads, count(*) FILTER (WHERE n > 1) AS multi_message_threads,
   count(*) FILTER (WHERE b) AS branching_threads, count(*) FILTER (WHERE o) AS threads_with_brand,
-  min(n) AS min_thread_length, max(n) AS max_thread_length, round(avg(n), 2) AS avg_thread_length FROM t""",
+  min(n) AS min_thread_length, max(n) AS max_thread_length, round_even(avg(n), 2) AS avg_thread_length FROM t""",
 )
 def thread_stats(spark, sf_dir):
     return threads.thread_stats(threads.thread_facts(views.threaded(spark, sf_dir)))
@@ -162,8 +162,8 @@ def dataset_max_time(spark, sf_dir):
 @query(
     "resolution_summary",
     f"""{WITH_THREADED}, {TAGGED} SELECT resolved, resolution_reason, count(*) AS threads,
-  CAST(sum(thread_length) AS BIGINT) AS posts, round(sum(thread_length) / count(*), 2) AS avg_thread_length,
-  round(count(*) * 100.0 / (SELECT count(*) FROM tagged), 2) AS pct_of_threads FROM tagged GROUP BY 1, 2""",
+  CAST(sum(thread_length) AS BIGINT) AS posts, round_even(sum(thread_length) / count(*), 2) AS avg_thread_length,
+  round_even(count(*) * 100.0 / (SELECT count(*) FROM tagged), 2) AS pct_of_threads FROM tagged GROUP BY 1, 2""",
 )
 def resolution_summary(spark, sf_dir):
     return resolve.resolution_summary(tagged(spark, sf_dir))
@@ -173,8 +173,8 @@ TOTALS = """count(*) AS total_threads, CAST(coalesce(sum(thread_length), 0) AS B
   count(*) FILTER (WHERE resolved = 'true') AS resolved_threads,
   count(*) FILTER (WHERE resolved = 'false') AS unresolved_threads,
   count(*) FILTER (WHERE resolved = 'unknown') AS unknown_threads,
-  round(avg(thread_length), 2) AS avg_thread_length,
-  round(count(*) FILTER (WHERE resolved = 'true') * 100.0 / count(*), 2) AS pct_resolved"""
+  round_even(avg(thread_length), 2) AS avg_thread_length,
+  round_even(count(*) FILTER (WHERE resolved = 'true') * 100.0 / count(*), 2) AS pct_resolved"""
 
 
 @query(
@@ -192,22 +192,25 @@ def brand_summary(spark, sf_dir):
 
 @query(
     "filter_brand",
-    f"""{WITH_THREADED} SELECT 'T_' || CAST(arg_min(post_id, position) AS VARCHAR) AS thread_id, count(*) AS thread_length
+    f"""{WITH_THREADED} SELECT 'T_' || CAST(arg_min(post_id, position) AS VARCHAR) AS thread_id, count(*) AS thread_length, count(*) AS kept
 FROM threaded GROUP BY thread_key HAVING bool_or(NOT inbound AND lower(author_id) = 'brand5')""",
 )
 def filter_brand(spark, sf_dir):
-    rows = resolve.filter_brand(threads.build_threads(views.threaded(spark, sf_dir)), " BRAND5 ")
-    return rows.select("thread_id", "thread_length")
+    """Threads of a brand, of which longer ones come in parts of two posts: all parts stay."""
+    rows = resolve.filter_brand(threads.build_threads(views.threaded(spark, sf_dir), chunk=2), " BRAND5 ")
+    return rows.groupBy("thread_id", "thread_length").agg(F.sum("part_length").alias("kept"))
 
 
 @query(
     "posts_of_threads",
-    f"{WITH_THREADED} SELECT thread_key, post_id, author_id, inbound, md5(text) AS text, in_response_to_id FROM threaded",
+    f"{WITH_THREADED} SELECT thread_key, post_id, author_id, inbound, created_s AS created_at, md5(text) AS text, in_response_to_id, branching FROM threaded",
 )
 def posts_of_threads(spark, sf_dir):
-    """Threads in array form taken apart again."""
-    posts = threads.explode_threads(threads.build_threads(views.threaded(spark, sf_dir)))
-    return posts.select("thread_key", "post_id", "author_id", "inbound", F.md5("text").alias("text"), "in_response_to_id")
+    """Threads in array form, in parts of three posts, taken apart again."""
+    posts = threads.explode_threads(threads.build_threads(views.threaded(spark, sf_dir), chunk=3))
+    return posts.select(
+        "thread_key", "post_id", "author_id", "inbound", epoch("created_at"), F.md5("text").alias("text"), "in_response_to_id", "branching"
+    )
 
 
 @query(
@@ -217,11 +220,11 @@ def posts_of_threads(spark, sf_dir):
   GROUP BY 1, 2 HAVING bool_or(NOT inbound))
 SELECT brand, CAST(sum(brand_posts) AS BIGINT) AS total_brand_posts,
   CAST(sum(thread_length) AS BIGINT) AS total_thread_posts, count(*) AS total_threads,
-  round(avg(thread_length), 2) AS avg_thread_length,
+  round_even(avg(thread_length), 2) AS avg_thread_length,
   count(*) FILTER (WHERE resolved = 'true') AS resolved_threads,
   count(*) FILTER (WHERE resolved = 'false') AS unresolved_threads,
   count(*) FILTER (WHERE resolved = 'unknown') AS unknown_threads,
-  round(count(*) FILTER (WHERE resolved = 'true') * 100.0 / count(*), 2) AS pct_resolved
+  round_even(count(*) FILTER (WHERE resolved = 'true') * 100.0 / count(*), 2) AS pct_resolved
 FROM per_thread JOIN tagged USING (thread_key) GROUP BY brand ORDER BY total_threads DESC, brand LIMIT 20""",
 )
 def brand_candidates(spark, sf_dir):
@@ -307,4 +310,5 @@ SELECT thread_key, CAST(line_no AS INTEGER) AS line_no,
 FROM turns""",
 )
 def parse_transcript(spark, sf_dir):
-    return threads.parse_transcript(threads.transcripts(views.threaded(spark, sf_dir)))
+    """Transcripts in parts of two lines; line numbers run on."""
+    return threads.parse_transcript(threads.transcripts(views.threaded(spark, sf_dir), chunk=2))

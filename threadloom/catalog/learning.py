@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.catalog.base import query, table, texts
+from threadloom.functions.vectors import as_doubles, distance, norm
 from threadloom.operators import ml
 from threadloom.operators import sampling as sm
-from threadloom.session import stage_path
+from threadloom.session import stage_path, write_stage
 
 
 @query(
@@ -16,7 +20,7 @@ from threadloom.session import stage_path
 d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.v, b.v)) AS s, count(*) AS n,
   sum(CASE WHEN a.vec_id = b.vec_id THEN 1 ELSE 0 END) AS self FROM e a, e b GROUP BY 1, 2, 3),
 m AS (SELECT vec_id, own, max(CASE WHEN own = other AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM d GROUP BY 1, 2)
-SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette FROM m""",
+SELECT round_even(avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette FROM m""",
 )
 def silhouette(spark, sf_dir):
     return ml.silhouette(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
@@ -25,14 +29,14 @@ def silhouette(spark, sf_dir):
 CENTERS = """
 parts AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 centers AS (SELECT label, i, avg(x) AS c FROM parts GROUP BY 1, 2),
-near AS (SELECT vec_id, label, round(sqrt(sum((x - c) * (x - c))), 9) AS d FROM parts JOIN centers USING (label, i) GROUP BY 1, 2),
+near AS (SELECT vec_id, label, round_even(sqrt(sum((x - c) * (x - c))), 9) AS d FROM parts JOIN centers USING (label, i) GROUP BY 1, 2),
 ranked AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY d, vec_id) AS rank FROM near)"""
 
 
 @query(
     "cluster_profile",
     f"""WITH {CENTERS}, s AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
-SELECT label, n AS cluster_size, round(n * 100.0 / (SELECT count(*) FROM embeddings), 2) AS pct_of_sample,
+SELECT label, n AS cluster_size, round_even(n * 100.0 / (SELECT count(*) FROM embeddings), 2) AS pct_of_sample,
   (SELECT string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY rank) FROM ranked r WHERE r.label = s.label AND rank <= 15) AS exemplars FROM s""",
 )
 def cluster_profile(spark, sf_dir):
@@ -81,42 +85,101 @@ def consolidate_taxonomy(spark, sf_dir):
     return ml.consolidate_taxonomy(exemplars, SPECS)
 
 
-@query("kmeans_sweep")
+@query(
+    "cluster_silhouette",
+    """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+s AS (SELECT label, i, sum(x) AS s FROM p GROUP BY 1, 2),
+n AS (SELECT label, count(*) AS n, sum(list_dot_product(v, v)) AS q FROM e GROUP BY 1),
+d AS (SELECT e.vec_id, e.label AS own, n.label AS other, n.n, list_dot_product(e.v, e.v) + n.q / n.n
+    - 2 * (SELECT sum(p.x * s.s) FROM p JOIN s USING (i) WHERE p.vec_id = e.vec_id AND s.label = n.label) / n.n AS m FROM e, n),
+m AS (SELECT vec_id, max(CASE WHEN own = other THEN n END) AS n, max(CASE WHEN own = other THEN m * n / greatest(n - 1, 1) END) AS a,
+  min(CASE WHEN own <> other THEN m END) AS b FROM d GROUP BY 1)
+SELECT round_even(avg(CASE WHEN n > 1 AND b IS NOT NULL AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0.0 END), 4) AS silhouette FROM m""",
+)
+def cluster_silhouette(spark, sf_dir):
+    return ml.cluster_silhouette(table(spark, sf_dir, "embeddings"), "label", "embedding")
+
+
+@query(
+    "kmeans_sweep",
+    """SELECT CAST(k AS INTEGER) AS k, (SELECT count(*) FROM embeddings) AS members, 0::BIGINT AS misplaced, true AS score_confirmed,
+  true AS best_consistent FROM range(5, 16) t(k)""",
+)
 def kmeans_sweep(spark, sf_dir):
-    """Silhouette per k, the chosen k marked."""
-    scores, best, _ = ml.kmeans_sweep(table(spark, sf_dir, "embeddings"), 5, 9)
-    return spark.createDataFrame(
-        [(k, s, k == best) for k, s in scores.items()], "k int, silhouette double, chosen boolean"
-    )
+    """What must hold of every k: all rows are members of their nearest centre, the score is that of the
+    clustering, and the chosen k is the first of the best."""
+    vectors = table(spark, sf_dir, "embeddings")
+    scores, best, models = ml.kmeans_sweep(vectors, 5, 15)
+    top = best == min(k for k in scores if scores[k] == max(scores.values()))
+    parts = []
+    for k, model in models.items():
+        placed = ml.kmeans_assign(vectors, model)
+        centers = F.array(*[F.array(*map(F.lit, map(float, c))) for c in model.centers])
+        away = F.transform(centers, lambda c: distance(as_doubles(F.col("embedding")), c))
+        wrong = F.element_at(away, F.col("cluster") + 1) > F.array_min(away) + 1e-9
+        counted = placed.agg(F.count("cluster").alias("members"), F.count_if(wrong).alias("misplaced"))
+        score = ml.cluster_silhouette(placed, "cluster", "embedding").scalar()
+        sizes = int(model.rows.sum())
+        parts.append(
+            counted.select(
+                F.lit(k).alias("k"), "members", (F.col("misplaced") + F.abs(F.col("members") - sizes)).alias("misplaced"),
+                (F.abs(score - scores[k]) <= 2e-4).alias("score_confirmed"), F.lit(top).alias("best_consistent"),
+            )
+        )
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
-@query("kmeans_clusters")
+@query(
+    "kmeans_clusters",
+    """SELECT 6::BIGINT AS clusters, count(*) AS members, 6::BIGINT AS exemplar_lists, true AS shares_add_up,
+  0::BIGINT AS unsorted FROM documents""",
+)
 def kmeans_clusters(spark, sf_dir):
-    """Cluster the texts by hashed terms and profile the clusters."""
+    """Cluster the texts by hashed terms; every text is in a cluster, and each profile lists its nearest texts."""
     docs = texts(spark, sf_dir).select("doc_id", "text")
-    vectors = ml.embed(docs, ml.embedding_model(docs))
-    model = ml.kmeans_fit(vectors, 6)
-    clustered = ml.kmeans_assign(vectors, model)
-    nearest = ml.cluster_exemplars(clustered, ml.cluster_centers(clustered), "doc_id", 15)
-    return ml.cluster_profile(clustered, nearest).select("cluster", "cluster_size", "pct_of_sample", F.size("exemplars").alias("exemplars"))
-
-
-@query("embed_or_load", "SELECT doc_id, CAST(256 AS INTEGER) AS dimensions FROM documents")
+    vectors, _ = write_stage(ml.embed(docs, ml.embedding_model(docs)), "hashed-texts")
+    clustered, _ = write_stage(ml.kmeans_assign(vectors, ml.kmeans_fit(vectors, 6)), "text-clusters")
+    nearest, _ = write_stage(ml.cluster_exemplars(clustered, ml.cluster_centers(clustered), "doc_id", 15), "text-exemplars")
+    profile = ml.cluster_profile(clustered, nearest)
+    unsorted = nearest.alias("a").join(nearest.alias("b"), "cluster").where("b.rank = a.rank + 1 AND b.distance < a.distance")
+    listed = F.size("exemplars") == F.least("cluster_size", F.lit(15))
+    return profile.agg(
+        F.count("cluster").alias("clusters"), F.sum("cluster_size").alias("members"), F.count_if(listed).alias("exemplar_lists"),
+        (F.abs(F.sum("pct_of_sample") - 100) < 0.1).alias("shares_add_up"),
+    ).withColumn("unsorted", unsorted.agg(F.count(F.lit(1))).scalar())
+
+
+@query("embed_or_load", "SELECT doc_id, CAST(256 AS INTEGER) AS dimensions, true AS unit_length, true AS as_computed FROM documents")
 def embed_or_load(spark, sf_dir):
     """Embed one language, then all texts: the second call embeds only what the cache lacks."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model, path = ml.embedding_model(docs), stage_path(spark, "embeddings")
     embedder = lambda rows: ml.embed(rows, model)
     ml.embed_or_load(docs.where("lang = 'en'"), path, "doc_id", embedder)
-    return ml.embed_or_load(docs, path, "doc_id", embedder).select("doc_id", F.size("embedding").alias("dimensions"))
+    cached = ml.embed_or_load(docs, path, "doc_id", embedder)
+    fresh = embedder(docs).select("doc_id", F.col("embedding").alias("fresh"))
+    size = norm(as_doubles(F.col("embedding")))
+    return cached.join(fresh, "doc_id").select(
+        "doc_id", F.size("embedding").alias("dimensions"), ((F.abs(size - 1) < 1e-5) | (size == 0)).alias("unit_length"),
+        (F.col("embedding") == F.col("fresh")).alias("as_computed"),
+    )
 
 
-@query("propagate_labels")
+@query(
+    "propagate_labels",
+    """SELECT lang, count(*) AS docs, 0::BIGINT AS foreign_labels, true AS mostly_right FROM documents GROUP BY lang""",
+)
 def propagate_labels(spark, sf_dir):
-    """Learn the language label on a stratified sample and assign it to every text."""
+    """Learn the language label on a stratified sample and assign it to every text: all get a label of the sample,
+    and at least nine in ten the right one."""
     docs = texts(spark, sf_dir).select("doc_id", "text", "lang")
     sample = sm.stratified_sample(docs, ["lang"], 200, "doc_id")
-    named = ml.propagate_labels(sample, docs, "lang")
-    return named.groupBy("lang", "predicted_label").agg(F.count(F.lit(1)).alias("docs"))
-
-
+    known = docs.select("lang").distinct().withColumnRenamed("lang", "predicted_label")
+    named, _ = write_stage(ml.propagate_labels(sample, docs, "lang"), "propagated")
+    foreign = named.join(known.withColumn("known", F.lit(True)), "predicted_label", "left")
+    return foreign.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("docs"),
+        F.count_if(F.col("known").isNull()).alias("foreign_labels"),
+        (F.avg((F.col("predicted_label") == F.col("lang")).cast("double")) >= 0.9).alias("mostly_right"),
+    )

@@ -51,8 +51,8 @@ SELECT count(*) AS total_rows, count(*) FILTER (WHERE inbound) AS inbound_count,
   count(*) FILTER (WHERE response_ids IS NULL) AS null_response_tweet_id,
   count(*) FILTER (WHERE in_response_to_id IS NULL) AS null_in_response_to_tweet_id,
   count(*) FILTER (WHERE kind <= 1) AS malformed_dates, count(*) FILTER (WHERE kind = 3) AS malformed_ids,
-  round(count(*) FILTER (WHERE inbound) * 100.0 / count(*), 2) AS inbound_pct,
-  round(count(*) FILTER (WHERE NOT inbound) * 100.0 / count(*), 2) AS outbound_pct FROM k""",
+  round_even(count(*) FILTER (WHERE inbound) * 100.0 / count(*), 2) AS inbound_pct,
+  round_even(count(*) FILTER (WHERE NOT inbound) * 100.0 / count(*), 2) AS outbound_pct FROM k""",
 )
 def profile_posts(spark, sf_dir):
     return src.profile_posts(raw_posts(spark, sf_dir))
@@ -315,8 +315,8 @@ def with_replies(spark, sf_dir):
     """WITH a AS (SELECT doc_id FROM documents WHERE lang <> 'en'), b AS (SELECT doc_id FROM labels WHERE toxic = 0),
 s AS (SELECT DISTINCT doc_id FROM a WHERE doc_id IN (SELECT doc_id FROM b))
 SELECT (SELECT count(*) FROM a) AS size_a, (SELECT count(*) FROM b) AS size_b, (SELECT count(*) FROM s) AS shared,
-  round((SELECT count(*) FROM s) * 100.0 / (SELECT count(*) FROM a), 2) AS pct_of_a,
-  round((SELECT count(*) FROM s) * 100.0 / (SELECT count(*) FROM b), 2) AS pct_of_b,
+  round_even((SELECT count(*) FROM s) * 100.0 / (SELECT count(*) FROM a), 2) AS pct_of_a,
+  round_even((SELECT count(*) FROM s) * 100.0 / (SELECT count(*) FROM b), 2) AS pct_of_b,
   (SELECT string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FROM (SELECT doc_id FROM s ORDER BY doc_id LIMIT 5)) AS examples""",
 )
 def overlap(spark, sf_dir):

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from threadloom.catalog import views
 from threadloom.catalog.base import query, table, texts
-from threadloom.catalog.messages import RULES, SCORED_DOCS, WD, sql_strip
 from threadloom.catalog.ingest import MESSAGES, messages
+from threadloom.catalog.messages import RULES, SCORED_DOCS, WD, sql_strip
 from threadloom.catalog.views import WITH_THREADED
+from threadloom.functions.values import half_even
 from threadloom.operators import retrieve as rt
 from threadloom.operators import score as sc
 from threadloom.operators import threads
+from threadloom.operators.joins import LeakageError
 from threadloom.operators.prune import group_index, retrieve_pruned
 from threadloom.plans.triage import TriageConfig, triage
 from threadloom.session import stage_path, write_stage
@@ -27,7 +29,10 @@ FROM {embeddings}
 
 
 def index(spark, sf_dir):
-    return spark.sql(INDEX_SELECT, embeddings=table(spark, sf_dir, "embeddings"))
+    """Some action vectors are zero, as of actions without a known word; they are like nothing."""
+    rows = spark.sql(INDEX_SELECT, embeddings=table(spark, sf_dir, "embeddings"))
+    blank = F.transform("embedding", lambda x: x * 0)
+    return rows.withColumn("action_vector", F.when(F.col("hit_id") % 17 == 5, blank).otherwise(F.col("embedding")))
 
 
 INDEX = f"idx AS (SELECT * REPLACE (CAST(embedding AS DOUBLE[]) AS embedding) FROM ({INDEX_SELECT.format(embeddings='embeddings')}))"
@@ -35,8 +40,8 @@ INDEX = f"idx AS (SELECT * REPLACE (CAST(embedding AS DOUBLE[]) AS embedding) FR
 
 def hits_sql(queries: str, k: int, name: str = "hits") -> str:
     return f"""
-{name} AS (SELECT * FROM (SELECT q.query_id, i.hit_id, round(list_cosine_similarity(q.embedding, i.embedding), 9) AS s,
-  row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.embedding, i.embedding), 9) DESC, i.hit_id) AS rank
+{name} AS (SELECT * FROM (SELECT q.query_id, i.hit_id, round_even(list_cosine_similarity(q.embedding, i.embedding), 9) AS s,
+  row_number() OVER (PARTITION BY q.query_id ORDER BY round_even(list_cosine_similarity(q.embedding, i.embedding), 9) DESC, i.hit_id) AS rank
   FROM {queries} q JOIN idx i ON i.intent = q.intent AND i.hit_id <> q.query_id) WHERE rank <= {k})"""
 
 
@@ -48,7 +53,7 @@ def own_hits(spark, sf_dir, k):
 @query(
     "topk_retrieve",
     f"""WITH {INDEX}, q AS (SELECT hit_id AS query_id, intent, embedding FROM idx), {hits_sql('q', 5)}
-SELECT query_id, hit_id, CAST(rank AS INTEGER) AS rank, greatest(0.0, round(s, 4)) AS similarity, round(1 - s, 4) AS distance FROM hits""",
+SELECT query_id, hit_id, CAST(rank AS INTEGER) AS rank, greatest(0.0, round_even(s, 4)) AS similarity, round_even(1 - s, 4) AS distance FROM hits""",
 )
 def topk_retrieve(spark, sf_dir):
     return own_hits(spark, sf_dir, 5)
@@ -57,7 +62,7 @@ def topk_retrieve(spark, sf_dir):
 @query(
     "topk_pruned",
     f"""WITH {INDEX}, q AS (SELECT hit_id AS query_id, intent, embedding FROM idx), {hits_sql('q', 5)}
-SELECT query_id, hit_id, CAST(rank AS INTEGER) AS rank, greatest(0.0, round(s, 4)) AS similarity, round(1 - s, 4) AS distance FROM hits""",
+SELECT query_id, hit_id, CAST(rank AS INTEGER) AS rank, greatest(0.0, round_even(s, 4)) AS similarity, round_even(1 - s, 4) AS distance FROM hits""",
 )
 def topk_pruned(spark, sf_dir):
     """The same neighbours, from an index grouped by nearest centre."""
@@ -68,11 +73,11 @@ def topk_pruned(spark, sf_dir):
 
 def agreement_sql(hits: str) -> str:
     return f"""
-scored_hits AS (SELECT h.query_id, h.rank, i.outcome, list_cosine_similarity(i.embedding, f.embedding) >= 0.65 AS alike
+scored_hits AS (SELECT h.query_id, h.rank, i.outcome, i.hit_id % 17 <> 5 AND f.hit_id % 17 <> 5 AND list_cosine_similarity(i.embedding, f.embedding) >= 0.65 AS alike
   FROM {hits} h JOIN idx i USING (hit_id) JOIN {hits} h1 ON h1.query_id = h.query_id AND h1.rank = 1 JOIN idx f ON f.hit_id = h1.hit_id),
 modes AS (SELECT query_id, max(n) AS modal FROM (SELECT query_id, outcome, count(*) AS n FROM scored_hits GROUP BY 1, 2) GROUP BY 1),
 agreed AS (SELECT query_id, count(*) AS hits, CASE WHEN count(*) <= 1 THEN 1.0 ELSE
-  round(0.60::DOUBLE * (count(*) FILTER (WHERE alike) / count(*)) + 0.40::DOUBLE * (any_value(modal) / count(*)), 4) END AS agreement
+  round_even(0.60::DOUBLE * (count(*) FILTER (WHERE alike) / count(*)) + 0.40::DOUBLE * (any_value(modal) / count(*)), 4) END AS agreement
   FROM scored_hits JOIN modes USING (query_id) GROUP BY query_id)"""
 
 
@@ -94,7 +99,7 @@ def agreement(spark, sf_dir):
 two AS (SELECT thread_key, string_agg(reply, ' | ' ORDER BY n) AS r FROM replies WHERE n <= 2 GROUP BY 1),
 m AS (SELECT *, coalesce(r, '{threads.DEFAULT_REPLY}') AS brand_reply_text, post_id % 4 AS kind FROM messages LEFT JOIN two USING (thread_key))
 SELECT thread_id, post_id, 'intent_' || (post_id % 3) AS intent, text AS customer_message,
-  CASE WHEN kind IN (0, 1) THEN 'Asked for details' ELSE substr(brand_reply_text, 1, 200) END AS action_taken,
+  CASE WHEN kind IN (0, 1) THEN 'Asked for details' ELSE brand_reply_text END AS action_taken,
   CASE WHEN kind = 0 THEN 'transferred_to_dm' ELSE 'information_provided' END AS outcome, brand_reply_text,
   CASE WHEN kind IN (0, 1) THEN 'extracted' ELSE 'fallback' END AS extraction_source FROM m""",
 )
@@ -111,16 +116,26 @@ def precedents(spark, sf_dir):
 
 @query(
     "index_round_trip",
-    f"""WITH {INDEX} SELECT intent, count(*) AS precedents, round(sum(sqrt(list_sum(list_transform(embedding, lambda x: x * x)))), 6) AS norms,
-  min('message ' || hit_id || chr(10) || 'Action: ' || action_taken) AS first_document FROM idx GROUP BY intent""",
+    f"""WITH {INDEX} SELECT intent, count(*) AS precedents, round_even(sum(sqrt(list_sum(list_transform(embedding, lambda x: x * x)))), 6) AS norms,
+  min('message ' || hit_id || chr(10) || 'Action: ' || action_taken) AS first_document, true AS leak_refused
+FROM idx WHERE hit_id % 10 <> 3 GROUP BY intent""",
 )
 def index_round_trip(spark, sf_dir):
-    """Build the partitioned index in the shared folder, read it back, and summarise it by intent."""
+    """Build the partitioned index beside a holdout, read it back, and summarise it by intent.
+
+    With the held-out rows among its rows the index must be refused.
+    """
     rows = index(spark, sf_dir).withColumn("customer_message", F.concat(F.lit("message "), F.col("hit_id")))
-    nothing_held = rows.where(F.lit(False))
-    stored = rt.write_index(rows, nothing_held, stage_path(spark, "index"), key="hit_id")
+    held = F.col("hit_id") % 10 == 3
+    try:
+        rt.write_index(rows, rows.where(held), stage_path(spark, "leaking-index"), key="hit_id")
+        refused = False
+    except LeakageError:
+        refused = True
+    stored = rt.write_index(rows.where(~held), rows.where(held), stage_path(spark, "index"), key="hit_id").withColumn("refused", F.lit(refused))
     return stored.groupBy("intent").agg(
-        F.count(F.lit(1)).alias("precedents"), F.round(F.sum("norm"), 6).alias("norms"), F.min("document").alias("first_document")
+        F.count(F.lit(1)).alias("precedents"), half_even(F.sum("norm"), 6).alias("norms"), F.min("document").alias("first_document"),
+        F.bool_and("refused").alias("leak_refused"),
     )
 
 
@@ -254,7 +269,7 @@ def score_incremental(spark, sf_dir):
 
 @query(
     "documents_encoded",
-    "SELECT doc_id, round(length(text) / sqrt(length(text) * length(text) + 1.0), 4) AS x, round(1 / sqrt(length(text) * length(text) + 1.0), 4) AS y FROM documents",
+    "SELECT doc_id, round_even(length(text) / sqrt(length(text) * length(text) + 1.0), 4) AS x, round_even(1 / sqrt(length(text) * length(text) + 1.0), 4) AS y FROM documents",
 )
 def documents_encoded(spark, sf_dir):
     """A user encoder in Arrow batches; it maps a text to (length, 1) and the result has length 1."""
@@ -266,8 +281,8 @@ def documents_encoded(spark, sf_dir):
     encoded = encode(docs, lambda texts: np.array([[len(t), 1.0] for t in texts]))
     return encoded.select(
         "doc_id",
-        F.round(F.col("embedding")[0].cast("double"), 4).alias("x"),
-        F.round(F.col("embedding")[1].cast("double"), 4).alias("y"),
+        half_even(F.col("embedding")[0].cast("double"), 4).alias("x"),
+        half_even(F.col("embedding")[1].cast("double"), 4).alias("y"),
     )
 
 

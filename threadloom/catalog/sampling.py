@@ -86,7 +86,7 @@ def holdout(spark, sf_dir):
     "split_report",
     f"""WITH {HOLDOUT}, l AS (SELECT lang, held FROM split UNION ALL SELECT 'TOTAL', held FROM split)
 SELECT lang, count(*) AS total, count(*) FILTER (WHERE held) AS holdout, count(*) FILTER (WHERE NOT held) AS indexable,
-  round(count(*) FILTER (WHERE held) * 100.0 / (SELECT count(*) FROM split WHERE held), 1) AS holdout_pct FROM l GROUP BY lang""",
+  round_even(count(*) FILTER (WHERE held) * 100.0 / (SELECT count(*) FROM split WHERE held), 1) AS holdout_pct FROM l GROUP BY lang""",
 )
 def split_report(spark, sf_dir):
     from threadloom.operators.reports import split_report as report

@@ -8,16 +8,18 @@ from threadloom.catalog import retrieval as rv
 from threadloom.catalog.base import REGISTRY, query, table
 from threadloom.operators import score as sc
 from threadloom.operators.resolve import ResolutionRules
-from threadloom.session import stage_path
+from threadloom.session import stage_path, write_stage
 from threadloom.streaming import jobs
 
 
-def as_stream(df, label: str, files: int = 4, per_batch: int = 1):
-    """The rows as a stream of files, a few per micro-batch."""
+def as_stream(df, label: str, batches: int = 4, file_rows: int = 20_000):
+    """The rows as a stream of files of bounded size, in about as many micro-batches as asked for."""
     spark = df.sparkSession
     path = stage_path(spark, label)
-    df.repartition(files).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+    stored, seen = write_stage(df, label)
+    files = max(batches, -(-seen["rows"] // file_rows))
+    stored.repartition(files).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(path)
 
 
 @query("triage_stream", rv.TRIAGE_SQL)
@@ -25,7 +27,7 @@ def triage_stream(spark, sf_dir):
     """Triage over micro-batches gives the records of the batch job."""
     out, mark = stage_path(spark, "triage-out"), stage_path(spark, "triage-mark")
     stored, _ = rv.stored_index(spark, sf_dir)
-    stream = as_stream(rv.triage_input(spark, sf_dir), "triage-in", files=4, per_batch=2)
+    stream = as_stream(rv.triage_input(spark, sf_dir), "triage-in", batches=2)
     jobs.triage_stream(stream, stored, rv.CONFIG, out, mark).awaitTermination()
     return rv.triage_records(jobs.read_batches(spark, out))
 
@@ -73,7 +75,8 @@ def resolution_stream(spark, sf_dir):
         F.col("event_type").alias("text"),
     )
     out, mark = stage_path(spark, "closed"), stage_path(spark, "closed-mark")
-    stream = as_stream(posts, "post-stream", files=1)
+    # One batch of many files: the watermark moves after it, so no file is late.
+    stream = as_stream(posts, "post-stream", batches=1)
     jobs.resolution_stream(stream, out, mark, WATCH).awaitTermination()
     closed = spark.read.parquet(out)
     return closed.withColumns({c: F.unix_micros(c) for c in ("first_at", "last_at")})

@@ -13,13 +13,13 @@ from threadloom.operators import graph, resolve
 from threadloom.session import write_stage
 
 # Posts with a reply graph: chains of conversations, missing parents, links known only from the
-# list of replies, and branching. The same text runs in Spark and in the oracle.
+# list of replies, branching, and conversations whose ids do not follow time. The same text runs in Spark and in the oracle.
 POSTS_SELECT = """
 SELECT conv_id*100+turn AS post_id,
   CASE WHEN role='user' THEN concat('cust',CAST(conv_id AS STRING))
        ELSE concat('brand',CAST(conv_id%7 AS STRING)) END AS author_id,
   role='user' AS inbound, text,
-  1704067200+conv_id*3600+turn*420 AS created_s,
+  1704067200+conv_id*3600+CASE WHEN conv_id%19=6 THEN (40-turn)*60 ELSE turn*420 END AS created_s,
   CASE WHEN turn=0 AND conv_id%13 BETWEEN 1 AND 5 THEN (conv_id-1)*100
        WHEN turn=0 AND conv_id%11=3 THEN 999000000+conv_id
        WHEN turn=0 THEN NULL

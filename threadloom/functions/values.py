@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def to_id(col: Column) -> Column:
-    """Text or number to BIGINT; "12", " 12 " and "12.0" agree, anything else is NULL."""
-    text = F.trim(col.cast("string"))
-    return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
+    """Text or number to BIGINT; "12", " 12 " and "12.0" agree, anything else is NULL.
+
+    Numbers are read as decimals, never in floating point, so large ids stay exact and "12.9" is no id.
+    """
+    number = F.trim(col.cast("string")).try_cast("decimal(38,10)")
+    return F.when(number == F.floor(number), number.try_cast("bigint"))
 
 
 def parse_post_time(col: Column) -> Column:
@@ -32,8 +35,13 @@ def hash_order(id_col: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), id_col.cast("string")))
 
 
+def half_even(value: Column | str, digits: int) -> Column:
+    """Rounding as everywhere in this library: a tie goes to the even digit."""
+    return F.bround(value, digits)
+
+
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
-    return F.when(whole > 0, F.round(part * F.lit(100.0) / whole, digits)).otherwise(F.lit(0.0))
+    return F.when(whole > 0, half_even(part * F.lit(100.0) / whole, digits)).otherwise(F.lit(0.0))
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -25,7 +25,8 @@ def unit(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Cosine similarity; a zero vector is similar to nothing, so 0."""
+    return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
 def distance(a: Column, b: Column) -> Column:

@@ -33,12 +33,11 @@ def number_rows(
     """
     window = Window.partitionBy(*group).orderBy(*order)
     sizes = df.groupBy(*group).count().where(F.col("count") > max_group).select(*group)
-    large, seen = write_stage(sizes, "large-groups")
-    if seen["rows"] == 0:
+    # At most (rows / max_group) groups are this large.
+    large = small_side(sizes, "large-groups")
+    if large.isEmpty():
         return df.withColumn(out, F.row_number().over(window).cast("bigint") - 1)
 
-    # At most (rows / max_group) groups are this large.
-    large = F.broadcast(large) if seen["rows"] <= 100_000 else large
     inside = df.join(large, list(group), "left_anti").withColumn(
         out, F.row_number().over(window).cast("bigint") - 1
     )
@@ -80,18 +79,22 @@ def mark_by_hash(
     seed: int,
     quotas: DataFrame | int,
     hist: DataFrame | None = None,
+    slim: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``drawn``: whether the row is among the first n of its group in hash order, exactly.
 
     ``quotas`` has one row per group with its ``n`` (or is one n for all); groups without a row
     draw nothing. A histogram over the leading hash digits finds the cell where a group's quota is
     used up; only that cell's ids are ranked, which yields the last hash to keep. No group is
-    sorted, and the mark itself is a comparison on the scan.
+    sorted, and the mark itself is a comparison on the scan. ``slim`` may hold the ids and groups of ``df`` as a table of
+    its own, so that a costly ``df`` is evaluated for the mark only; else they are written here.
     """
     if not group:
         return mark_by_hash(df.withColumn("_all", F.lit(1)), ["_all"], id_col, seed, quotas, hist).drop("_all")
     group = list(group)
-    hist = hash_histogram(df, group, id_col, seed) if hist is None else hist
+    if slim is None:
+        slim, _ = write_stage(df.select(*dict.fromkeys([*group, id_col])), "draw-ids")
+    hist = hash_histogram(slim, group, id_col, seed) if hist is None else hist
     up_to = Window.partitionBy(*group).orderBy("_cell")
     cells = hist.withColumn("_upto", F.sum("_rows").over(up_to))
     if isinstance(quotas, DataFrame):
@@ -114,7 +117,7 @@ def mark_by_hash(
     hashed = df.withColumn("_hash", hash_order(F.col(id_col), seed))
     rank = Window.partitionBy(*group).orderBy("_hash", "_id")
     ends = (
-        hashed.select(*group, "_hash", F.col(id_col).alias("_id"))
+        slim.select(*group, hash_order(F.col(id_col), seed).alias("_hash"), F.col(id_col).alias("_id"))
         .join(cuts, group)
         .where(F.substring("_hash", 1, HASH_DIGITS) == F.col("_cut"))
         .withColumn("_rank", F.row_number().over(rank))
@@ -143,9 +146,10 @@ def take_by_hash(
     seed: int,
     quotas: DataFrame | int,
     hist: DataFrame | None = None,
+    slim: DataFrame | None = None,
 ) -> DataFrame:
     """The rows that ``mark_by_hash`` draws."""
-    return mark_by_hash(df, group, id_col, seed, quotas, hist).where("drawn").drop("drawn")
+    return mark_by_hash(df, group, id_col, seed, quotas, hist, slim).where("drawn").drop("drawn")
 
 
 def block_apply(

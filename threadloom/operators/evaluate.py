@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from threadloom import presets
 from threadloom.functions import text as tx
-from threadloom.functions.values import percent, ratio
+from threadloom.functions.values import half_even, percent, ratio
 from threadloom.operators.messages import first_per_group
 from threadloom.session import literal_table, write_stage
 
@@ -57,7 +57,7 @@ def classification_by_label(
     """Precision, recall, F1 and support of every label that occurs as gold or as predicted."""
     scored = _label_scores(cells(df, *by, gold, pred), by, gold, pred)
     return scored.select(
-        *by, "label", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")], "support"
+        *by, "label", *[half_even(c, 4).alias(c) for c in ("precision", "recall", "f1")], "support"
     )
 
 
@@ -70,9 +70,9 @@ def classification_summary(
 
 def _label_summary(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     return scored.groupBy(*by).agg(
-        F.round(F.sum("tp") / F.sum("support"), 4).alias("accuracy"),
-        F.round(F.avg("f1"), 4).alias("macro_f1"),
-        F.round(F.sum(F.col("f1") * F.col("support")) / F.sum("support"), 4).alias("weighted_f1"),
+        half_even(F.sum("tp") / F.sum("support"), 4).alias("accuracy"),
+        half_even(F.avg("f1"), 4).alias("macro_f1"),
+        half_even(F.sum(F.col("f1") * F.col("support")) / F.sum("support"), 4).alias("weighted_f1"),
         F.sum("support").alias("samples"),
     )
 
@@ -87,9 +87,11 @@ def _escalation(counted: DataFrame, by: Sequence[str], gold: str, pred: str, cos
         pair(AUTO, ESCALATE).alias("fp"),
         pair(ESCALATE, AUTO).alias("fn"),
         pair(AUTO, AUTO).alias("tn"),
+        F.coalesce(F.sum(F.when(F.col(pred) == ESCALATE, F.col("n"))), F.lit(0)).alias("escalated"),
+        F.coalesce(F.sum(F.when(F.col(pred) == AUTO, F.col("n"))), F.lit(0)).alias("auto_handled"),
     )
     tp, fp, fn, tn, n = (F.col(x) for x in ("tp", "fp", "fn", "tn", "samples"))
-    penalty = F.round(fn * F.lit(float(cost_ratio)) + fp, 2)
+    penalty = half_even(fn * F.lit(float(cost_ratio)) + fp, 2)
     precision, recall = ratio(tp, tp + fp), ratio(tp, tp + fn)
     return c.select(
         *by,
@@ -98,14 +100,16 @@ def _escalation(counted: DataFrame, by: Sequence[str], gold: str, pred: str, cos
         "fp",
         "fn",
         "tn",
-        F.round(ratio(tp + tn, n), 4).alias("accuracy"),
-        F.round(precision, 4).alias("precision"),
-        F.round(recall, 4).alias("recall"),
-        F.round(_f1(precision, recall), 4).alias("f1"),
-        F.round(ratio(fn, tp + fn), 4).alias("false_auto_handle_rate"),
-        F.round(ratio(fp, tn + fp), 4).alias("false_escalate_rate"),
+        half_even(ratio(tp + tn, n), 4).alias("accuracy"),
+        half_even(precision, 4).alias("precision"),
+        half_even(recall, 4).alias("recall"),
+        half_even(_f1(precision, recall), 4).alias("f1"),
+        half_even(ratio(fn, tp + fn), 4).alias("false_auto_handle_rate"),
+        half_even(ratio(fp, tn + fp), 4).alias("false_escalate_rate"),
         penalty.alias("penalty"),
-        F.round(ratio(penalty, n), 4).alias("normalized_cost"),
+        half_even(ratio(penalty, n), 4).alias("normalized_cost"),
+        "escalated",
+        "auto_handled",
     )
 
 
@@ -117,7 +121,7 @@ def escalation_metrics(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Confusion counts and rates with "escalate" as the positive class; a missed escalation costs more."""
-    return _escalation(cells(df, *by, gold, pred), by, gold, pred, cost_ratio)
+    return _escalation(cells(df, *by, gold, pred), by, gold, pred, cost_ratio).drop("escalated", "auto_handled")
 
 
 def threshold_sweep(
@@ -149,12 +153,7 @@ def threshold_sweep(
         F.when(F.col("anyway") | (F.col("reached") <= F.col("t.i")), ESCALATE).otherwise(AUTO).alias("pred"),
         "n",
     )
-    scored = _escalation(decided, ["tau"], "gold", "pred", cost_ratio)
-    volume = decided.groupBy("tau").agg(
-        F.coalesce(F.sum(F.when(F.col("pred") == ESCALATE, F.col("n"))), F.lit(0)).alias("escalated"),
-        F.coalesce(F.sum(F.when(F.col("pred") == AUTO, F.col("n"))), F.lit(0)).alias("auto_handled"),
-    )
-    return scored.join(volume, "tau").select(
+    return _escalation(decided, ["tau"], "gold", "pred", cost_ratio).select(
         "tau", "precision", "recall", "false_auto_handle_rate", "false_escalate_rate", "normalized_cost",
         "escalated", "auto_handled",
     )
@@ -162,7 +161,10 @@ def threshold_sweep(
 
 def cohens_kappa(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """Cohen's kappa of two raters: 0 for no rows, 1 where chance agreement is complete."""
-    counted = cells(df, *by, a, b)
+    return _kappa(write_stage(cells(df, *by, a, b), "rating-cells")[0], a, b, by)
+
+
+def _kappa(counted: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
     side = lambda col, name: counted.groupBy(*by, F.col(col).alias("value")).agg(F.sum("n").alias(name))
     both = side(a, "n1").join(side(b, "n2"), [*by, "value"])
     chance = both.groupBy(*by).agg(F.sum(F.col("n1") * F.col("n2")).alias("chance"))
@@ -173,7 +175,7 @@ def cohens_kappa(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataF
     joined = seen.join(chance, list(by), "left") if by else seen.withColumn("chance", chance.scalar())
     po = F.col("same") / F.col("rows")
     pe = F.coalesce("chance", F.lit(0)) / (F.col("rows").cast("double") * F.col("rows"))
-    kappa = F.when(F.col("rows") == 0, F.lit(0.0)).when(pe >= 1, F.lit(1.0)).otherwise(F.round((po - pe) / (1 - pe), 4))
+    kappa = F.when(F.col("rows") == 0, F.lit(0.0)).when(pe >= 1, F.lit(1.0)).otherwise(half_even((po - pe) / (1 - pe), 4))
     return joined.select(*by, "rows", kappa.alias("kappa"))
 
 
@@ -187,16 +189,16 @@ def unpivot_ratings(
 
 def rater_agreement(ratings: DataFrame) -> DataFrame:
     """Per axis: exact and adjacent (within 1) agreement, kappa, and both means."""
-    counted = cells(ratings, "axis", "human", "judge")
+    counted, _ = write_stage(cells(ratings, "axis", "human", "judge"), "rating-cells")
     n, h, j = F.col("n"), F.col("human"), F.col("judge")
     rates = counted.groupBy("axis").agg(
         F.sum("n").alias("rows"),
-        F.round(F.sum(F.when(h == j, n).otherwise(0)) * 100.0 / F.sum("n"), 2).alias("exact_pct"),
-        F.round(F.sum(F.when(F.abs(h - j) <= 1, n).otherwise(0)) * 100.0 / F.sum("n"), 2).alias("adjacent_pct"),
-        F.round(F.sum(h * n) / F.sum("n"), 2).alias("mean_human"),
-        F.round(F.sum(j * n) / F.sum("n"), 2).alias("mean_judge"),
+        half_even(F.sum(F.when(h == j, n).otherwise(0)) * 100.0 / F.sum("n"), 2).alias("exact_pct"),
+        half_even(F.sum(F.when(F.abs(h - j) <= 1, n).otherwise(0)) * 100.0 / F.sum("n"), 2).alias("adjacent_pct"),
+        half_even(F.sum(h * n) / F.sum("n"), 2).alias("mean_human"),
+        half_even(F.sum(j * n) / F.sum("n"), 2).alias("mean_judge"),
     )
-    return rates.join(cohens_kappa(ratings, "human", "judge", ["axis"]).drop("rows"), "axis")
+    return rates.join(_kappa(counted, "human", "judge", ["axis"]).drop("rows"), "axis")
 
 
 def itemise_disagreements(
@@ -233,8 +235,8 @@ def compare_systems(systems: Mapping[str, DataFrame], cost_ratio: float = preset
     for name, df in systems.items():
         part = df.select(F.lit(name).alias("system"), *columns)
         union = part if union is None else union.unionByName(part)
-    # Both kinds of metrics share one pass over the rows.
-    counted = cells(union, "system", *columns)
+    # Both kinds of metrics share one pass over the rows: they read the few cells it writes.
+    counted, _ = write_stage(cells(union, "system", *columns), "system-cells")
     intents = _label_summary(_label_scores(counted, ["system"], "gold_intent", "predicted_intent"), ["system"])
     intents = intents.select("system", F.col("accuracy").alias("intent_accuracy"), "macro_f1")
     scored = _escalation(counted, ["system"], "gold_decision", "decision", cost_ratio).join(intents, "system")
@@ -295,3 +297,40 @@ def failure_modes(tagged: DataFrame, id_col: str = "thread_id", examples: int =
     listed = modes.join(counted, "mode", "left").join(first, "mode", "left")
     count = F.coalesce("n", F.lit(0))
     return listed.select("mode", count.alias("count"), percent(count, total).alias("rate_pct"), "examples")
+
+
+def failure_examples(tagged: DataFrame, id_col: str = "thread_id", examples: int = 3) -> DataFrame:
+    """The first rows of each failure mode, with what a reader needs to judge them.
+
+    Columns: mode, rank, id, message, draft, sub_mode, detail, gold and predicted intent and decision, agreement, confidence.
+    The detail of an invented specific is the judge's, if ``tagged`` has ``invented_specifics_detail``.
+    """
+    invented = F.coalesce("has_invented_specifics", F.lit(False))
+    judged = F.col("invented_specifics_detail") if "invented_specifics_detail" in tagged.columns else F.lit(None).cast("string")
+    wrong = F.array_contains("modes", "wrong_specific")
+    linked = F.array_contains("modes", "plausible_specific") & ~F.coalesce(F.col("by_judge"), F.lit(False))
+    fixed = presets.FAILURE_DETAILS
+    grounding = (
+        F.when(wrong, F.lit(fixed["wrong_specific"]))
+        .when(linked, F.lit(fixed["plausible_specific"]))
+        .otherwise(F.coalesce("judged", F.lit(fixed["invented_specific"])))
+    )
+    explained = F.coalesce(
+        *[F.when(F.col("mode") == m, F.lit(fixed[m])) for m in ("language_conflict", "anger", "out_of_domain", "false_auto_handle")], grounding
+    )
+    sub_mode = F.when(
+        F.col("mode").isin("ungrounded_specific", "wrong_specific", "plausible_specific"),
+        F.when(wrong, presets.FAILURE_SUB_MODES["wrong_specific"]).otherwise(presets.FAILURE_SUB_MODES["plausible_specific"]),
+    )
+    # A specific that only the judge reports, not the list of links.
+    by_judge = invented & ~(
+        tx.has_any(F.col("drafted_reply"), presets.FAILURE_LINKS)
+        & ~tx.has_any(F.coalesce("top_precedent_reply", F.lit("")), presets.FAILURE_LINKS)
+    )
+    facts = ["gold_intent", "predicted_intent", "gold_decision", "decision", "agreement", "intent_confidence"]
+    hits = tagged.select(
+        F.col(id_col).alias("id"), F.col("text").alias("message"), F.col("drafted_reply").alias("draft"), *facts, "modes",
+        judged.alias("judged"), by_judge.alias("by_judge"), F.explode("modes").alias("mode"),
+    )
+    first = first_per_group(hits, ["mode"], ["id"], examples)
+    return first.select("mode", "rank", "id", "message", "draft", sub_mode.alias("sub_mode"), explained.alias("detail"), *facts)

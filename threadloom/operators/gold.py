@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.values import half_even
 from threadloom import presets
 from threadloom.functions import text as tx
 
@@ -95,28 +96,38 @@ def rule_gold(df: DataFrame, rules: GoldRules = GoldRules(), text: str = "text",
     )
 
 
-def ambiguity_log(labelled: DataFrame, id_col: str, until: int = presets.GOLD_COMPOUND_UNTIL) -> DataFrame:
+def ambiguity_log(
+    labelled: DataFrame, id_col: str, until: int = presets.GOLD_COMPOUND_UNTIL, text: str = "text", intent: str = "predicted_intent"
+) -> DataFrame:
     """Log entries of ``rule_gold`` rows: every override, and compound complaints while the log is short.
 
+    An entry has the id, its type, the text, the first and the gold intent, the symptoms and an explanation.
     Rows count in id order, and within a row the override comes first. A compound entry is added
     only while fewer than ``until`` entries exist. Until then every candidate is added, so the
     compound entries are those among the first ``until`` candidates.
     """
+    compound = "compound_multi_symptom_overlap"
     entries = F.array_compact(
         F.array(
             F.when(F.col("ambiguity").isNotNull(), F.struct(F.lit(0).alias("place"), F.col("ambiguity").alias("type"))),
             F.when(
                 F.size("symptoms") >= presets.GOLD_SYMPTOM_MIN,
-                F.struct(F.lit(1).alias("place"), F.lit("compound_multi_symptom_overlap").alias("type")),
+                F.struct(F.lit(1).alias("place"), F.lit(compound).alias("type")),
             ),
         )
     )
-    candidates = labelled.select(F.col(id_col).alias("id"), "gold_intent", "symptoms", F.explode(entries).alias("e")).select(
-        "id", "gold_intent", "symptoms", "e.place", "e.type"
+    found = labelled.select(
+        F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(intent).alias("first_intent"), "gold_intent",
+        F.array_join("symptoms", ", ").alias("symptoms"), F.explode(entries).alias("e"),
+    )
+    told = presets.AMBIGUITY_EXPLANATIONS
+    explanation = F.coalesce(
+        *[F.when(F.col("e.type") == t, F.format_string(told[t], "first_intent")) for t in told if t != compound],
+        F.format_string(told[compound], "symptoms", "gold_intent"),
     )
+    candidates = found.select("id", "e.place", "e.type", "text", "first_intent", "gold_intent", "symptoms", explanation.alias("explanation"))
     early = candidates.orderBy("id", "place").limit(until).where(F.col("place") == 1)
-    overrides = candidates.where(F.col("place") == 0)
-    return overrides.unionByName(early).select("id", "type", "gold_intent", F.array_join("symptoms", ", ").alias("symptoms"))
+    return candidates.where(F.col("place") == 0).unionByName(early).drop("place")
 
 
 def normalise_gold(
@@ -162,7 +173,7 @@ def rubric_composite(
     total = sum((F.col(a) for a in axes[1:]), F.col(axes[0]))
     return filled.withColumns(
         {
-            "composite_score": F.bround(total / F.lit(float(len(axes))), 2),
+            "composite_score": half_even(total / F.lit(float(len(axes))), 2),
             invented: F.coalesce(F.col(invented), F.col(axes[1]) <= 2),
         }
     )

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.values import half_even
+
 
 class LeakageError(AssertionError):
     """Two tables that must be disjoint share ids."""
@@ -44,8 +46,8 @@ def overlap(a: DataFrame, b: DataFrame, key: str, examples: int = 5) -> DataFram
         "size_a",
         "size_b",
         "shared",
-        F.round(F.col("shared") * 100.0 / F.greatest("size_a", F.lit(1)), 2).alias("pct_of_a"),
-        F.round(F.col("shared") * 100.0 / F.greatest("size_b", F.lit(1)), 2).alias("pct_of_b"),
+        half_even(F.col("shared") * 100.0 / F.greatest("size_a", F.lit(1)), 2).alias("pct_of_a"),
+        half_even(F.col("shared") * 100.0 / F.greatest("size_b", F.lit(1)), 2).alias("pct_of_b"),
         first.alias("examples"),
     )
 

@@ -69,11 +69,11 @@ def attach_template(
     default: str = presets.DEFAULT_TEMPLATE,
     intent: str = "predicted_intent",
 ) -> DataFrame:
-    """Add ``drafted_reply``: the template of the intent, or the default."""
-    table = literal_table(df.sparkSession, list(templates.items()), f"{intent} string, _reply string")
-    return df.join(table, intent, "left").select(
-        *df.columns, F.coalesce("_reply", F.lit(default)).alias("drafted_reply")
-    )
+    """Add ``drafted_reply``: the template of the intent, or the default. Templates are a map literal, not a join."""
+    if not templates:
+        return df.withColumn("drafted_reply", F.lit(default))
+    table = F.create_map(*[F.lit(x) for pair in templates.items() for x in pair])
+    return df.withColumn("drafted_reply", F.coalesce(F.try_element_at(table, F.col(intent)), F.lit(default)))
 
 
 def rejection(col: Column, max_chars: int = MAX_CHARS) -> Column:
@@ -134,7 +134,6 @@ def keep_first(parts: Sequence[DataFrame], key: Sequence[str], order: str) -> Da
     return first_per_group(union, key, ["_part", order], 1, "_n").drop("_part", "_n")
 
 
-
 def first_rows(df: DataFrame, n: int, *order) -> DataFrame:
     """The first n rows in the given order: a cap on how much a run takes on."""
     return df.orderBy(*order).limit(n)

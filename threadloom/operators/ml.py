@@ -3,26 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, ElementwiseProduct, HashingTF, IndexToString, NGram, Normalizer, RegexTokenizer, StringIndexer,
+    IDF, CountVectorizer, ElementwiseProduct, HashingTF, NGram, Normalizer, RegexTokenizer, StringIndexer,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom import presets
 from threadloom.functions import text as tx
-from threadloom.functions.values import percent
-from threadloom.functions.vectors import as_doubles, distance
+from threadloom.functions.values import half_even, percent
+from threadloom.functions.vectors import as_doubles, distance, dot
 from threadloom.operators.bounded import block_apply
 from threadloom.operators.messages import first_per_group
 from threadloom.session import small_side, write_stage
@@ -70,27 +69,169 @@ def embed_or_load(df: DataFrame, path: str, key: str, embedder: Callable[[DataFr
     return fill_missing(df, path, key, lambda rows: embedder(rows).select(key, out), f"{key} {key_type}, {out} array<float>")
 
 
-def _features(df: DataFrame, vector: str) -> DataFrame:
-    return df.withColumn("_features", array_to_vector(as_doubles(F.col(vector))))
+@dataclass(frozen=True)
+class Clustering:
+    """Centres of one k-means model, its cost, and per cluster rows, sums of squared norms and of vectors."""
+
+    centers: np.ndarray
+    cost: float
+    rows: np.ndarray
+    squares: np.ndarray
+    sums: np.ndarray
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
+def _gaps(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres."""
+    squares = (x * x).sum(axis=1)[:, None] + (centers * centers).sum(axis=1)[None, :] - 2.0 * (x @ centers.T)
+    return np.maximum(squares, 0.0)
+
+
+def _spread_starts(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k rows, each drawn with a chance in proportion to its squared distance to the rows drawn before."""
+    rng = np.random.default_rng(seed)
+    chosen = [sample[rng.integers(len(sample))]]
+    nearest = _gaps(sample, np.stack(chosen))[:, 0]
+    while len(chosen) < k:
+        total = nearest.sum()
+        pick = rng.choice(len(sample), p=nearest / total) if total > 0 else rng.integers(len(sample))
+        chosen.append(sample[pick])
+        nearest = np.minimum(nearest, _gaps(sample, sample[pick][None, :])[:, 0])
+    return np.stack(chosen)
+
+
+def _lloyd_round(rows: DataFrame, models: dict[int, np.ndarray]) -> dict[int, Clustering]:
+    """One pass over the rows for all models at once: assign, and sum per cluster."""
+    shipped = rows.sparkSession.sparkContext.broadcast(models)
+    schema = "model int, cluster int, n double, cost double, squares double, total array<double>"
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[np.ndarray]] = {}
+        for frame in frames:
+            x = _matrix(frame["vector"])
+            norms = (x * x).sum(axis=1)
+            for name, centers in shipped.value.items():
+                gaps = _gaps(x, centers)
+                own = gaps.argmin(axis=1)
+                member = np.zeros((len(x), len(centers)))
+                member[np.arange(len(x)), own] = 1.0
+                sums = [member.sum(axis=0), member.T @ gaps.min(axis=1), member.T @ norms, member.T @ x]
+                held[name] = [a + b for a, b in zip(held[name], sums)] if name in held else sums
+        for name, (n, cost, squares, total) in held.items():
+            yield pd.DataFrame({"model": name, "cluster": range(len(n)), "n": n, "cost": cost, "squares": squares, "total": list(total)})
+
+    def whole(part: pd.DataFrame) -> pd.DataFrame:
+        out = part.groupby(["model", "cluster"], as_index=False)[["n", "cost", "squares"]].sum()
+        out["total"] = [np.sum(np.stack(g["total"].to_numpy()), axis=0) for _, g in part.groupby(["model", "cluster"])]
+        return out
+
+    # A task sends one row per cluster and model; what comes to the driver is one row per cluster and model.
+    found = rows.mapInPandas(partial, schema).groupBy("model").applyInPandas(whole, schema).toPandas()
+    result = {}
+    for name, part in found.groupby("model"):
+        part = part.sort_values("cluster")
+        n, total = part["n"].to_numpy(), _matrix(part["total"])
+        moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], models[name])
+        result[int(name)] = Clustering(moved, float(part["cost"].sum()), n, part["squares"].to_numpy(), total)
+    return result
+
+
+def _lloyd(rows: DataFrame, starts: dict[int, np.ndarray], rounds: int, tolerance: float) -> dict[int, Clustering]:
+    """Run all models until their centres rest; the returned sums belong to the last assignment."""
+    done: dict[int, Clustering] = {}
+    moving = dict(starts)
+    for _ in range(rounds):
+        if not moving:
+            break
+        after = _lloyd_round(rows, moving)
+        for name, model in after.items():
+            shift = np.square(model.centers - moving[name]).sum()
+            if shift <= tolerance:
+                done[name] = Clustering(moving[name], model.cost, model.rows, model.squares, model.sums)
+                del moving[name]
+            else:
+                moving[name] = model.centers
+    if moving:
+        done |= {n: Clustering(moving[n], m.cost, m.rows, m.squares, m.sums) for n, m in _lloyd_round(rows, moving).items()}
+    return done
+
+
+def _vectors(df: DataFrame, vector: str) -> DataFrame:
+    return df.where(F.col(vector).isNotNull()).select(as_doubles(F.col(vector)).alias("vector"))
+
+
+def _fit_all(
+    rows: DataFrame, ks: Sequence[int], seed: int, restarts: int, rounds: int, start_rows: int, tolerance: float = 1e-8
+) -> dict[int, Clustering]:
+    """The model of lowest cost among ``restarts`` starts, for each k. ``rows`` is a stage table."""
+    # Starts come from rows with the smallest hashes, whatever their partition.
+    order = F.xxhash64(F.lit(seed), "vector")
+    sample = rows.select("vector", order.alias("h")).orderBy("h").limit(start_rows).toPandas()
+    if sample.empty:
+        raise ValueError("there is no vector to cluster")
+    drawn = _matrix(sample["vector"])
+    starts = {k * restarts + i: _spread_starts(drawn, k, seed + i) for k in ks for i in range(restarts)}
+    models = _lloyd(rows, starts, rounds, tolerance)
+    return {k: min((models[k * restarts + i] for i in range(restarts)), key=lambda m: m.cost) for k in ks}
 
 
 def kmeans_fit(
-    df: DataFrame, k: int, vector: str = "embedding", seed: int = 42, restarts: int = 1, rounds: int = 20
-) -> KMeansModel:
-    """The model with the lowest cost among ``restarts`` seeds."""
-    return _best_start(_features(df, vector), k, seed, restarts, rounds)
+    df: DataFrame, k: int, vector: str = "embedding", seed: int = 42, restarts: int = 10, rounds: int = 300, start_rows: int = 10_000
+) -> Clustering:
+    """The model with the lowest cost among ``restarts`` starts, which are drawn from at most ``start_rows`` rows."""
+    rows, _ = write_stage(_vectors(df, vector), "kmeans-rows")
+    return _fit_all(rows, [k], seed, restarts, rounds, start_rows)[k]
 
 
-def _best_start(rows: DataFrame, k: int, seed: int, restarts: int, rounds: int) -> KMeansModel:
-    fits = [
-        KMeans(k=k, seed=seed + i, maxIter=rounds, featuresCol="_features", predictionCol="cluster").fit(rows)
-        for i in range(restarts)
-    ]
-    return min(fits, key=lambda model: model.summary.trainingCost)
+def kmeans_assign(df: DataFrame, model: Clustering, vector: str = "embedding", out: str = "cluster") -> DataFrame:
+    """Add the nearest centre's number, in Arrow batches; a row without a vector has none."""
+    shipped = df.sparkSession.sparkContext.broadcast(model.centers)
 
+    @F.pandas_udf("int")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        there = vectors.notna()
+        found = pd.Series(pd.NA, index=vectors.index, dtype="Int32")
+        if there.any():
+            found[there] = _gaps(_matrix(vectors[there]), shipped.value).argmin(axis=1)
+        return found
 
-def kmeans_assign(df: DataFrame, model: KMeansModel, vector: str = "embedding") -> DataFrame:
-    return model.transform(_features(df, vector)).drop("_features")
+    return df.withColumn(out, nearest(as_doubles(F.col(vector))))
+
+
+def _mean_silhouette(rows: DataFrame, models: dict[int, Clustering]) -> dict[int, float]:
+    """Mean squared-Euclidean silhouette of each model, by one pass over the rows.
+
+    The mean squared distance of x to a cluster of n rows with sum S and sum of squared norms Q is
+    |x|^2 - 2 x.S / n + Q / n, so no pair of rows is looked at.
+    """
+    shipped = rows.sparkSession.sparkContext.broadcast(models)
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, list[float]] = {}
+        for frame in frames:
+            x = _matrix(frame["vector"])
+            norms = (x * x).sum(axis=1)[:, None]
+            for name, m in shipped.value.items():
+                own = _gaps(x, m.centers).argmin(axis=1)
+                n = np.maximum(m.rows, 1)[None, :]
+                means = np.maximum(norms - 2 * (x @ m.sums.T) / n + m.squares[None, :] / n, 0.0)
+                means[:, m.rows == 0] = np.inf
+                at, size = np.arange(len(x)), m.rows[own]
+                inside = means[at, own] * size / np.maximum(size - 1, 1)
+                means[at, own] = np.inf
+                other = means.min(axis=1)
+                wider = np.maximum(inside, other)
+                value = np.where((size > 1) & np.isfinite(other) & (wider > 0), (other - inside) / np.where(wider > 0, wider, 1), 0.0)
+                held = sums.setdefault(name, [0.0, 0.0])
+                held[0] += float(value.sum())
+                held[1] += len(x)
+        yield from (pd.DataFrame({"model": [name], "total": [t], "n": [n]}) for name, (t, n) in sums.items())
+
+    found = rows.mapInPandas(partial, "model int, total double, n double").groupBy("model").agg(F.sum("total").alias("t"), F.sum("n").alias("n"))
+    return {r["model"]: r["t"] / r["n"] for r in found.collect()}
 
 
 def kmeans_sweep(
@@ -99,28 +240,23 @@ def kmeans_sweep(
     k_max: int = 15,
     vector: str = "embedding",
     seed: int = 42,
-    restarts: int = 1,
+    restarts: int = 10,
     exact_by: str | None = None,
-) -> tuple[dict[int, float], int, dict[int, KMeansModel]]:
+    rounds: int = 300,
+    start_rows: int = 10_000,
+) -> tuple[dict[int, float], int, dict[int, Clustering]]:
     """Silhouette for each k, the first k with the highest one, and the models.
 
-    The score is the linear-time one (squared Euclidean). With ``exact_by``, the id column, it is the
-    plain Euclidean one, which takes all distances and is meant for a sample.
+    All k and all starts advance together: a round is one pass over the rows. The score is the linear-time one (squared
+    Euclidean). With ``exact_by``, the id column, it is the plain Euclidean one, which takes all distances and is meant
+    for a sample.
     """
-    columns = [exact_by, vector] if exact_by else [vector]
-    rows = _features(df.select(*columns), vector).persist()
-    evaluator = ClusteringEvaluator(featuresCol="_features", predictionCol="cluster", metricName="silhouette")
-    scores, models = {}, {}
-    try:
-        for k in range(k_min, k_max + 1):
-            models[k] = _best_start(rows, k, seed, restarts, 20)
-            assigned = models[k].transform(rows)
-            if exact_by:
-                scores[k] = silhouette(assigned, exact_by, "cluster", vector).first()["silhouette"]
-            else:
-                scores[k] = round(evaluator.evaluate(assigned), 4)
-    finally:
-        rows.unpersist()
+    rows, _ = write_stage(_vectors(df, vector), "kmeans-rows")
+    models = _fit_all(rows, range(k_min, k_max + 1), seed, restarts, rounds, start_rows)
+    if exact_by:
+        scores = {k: silhouette(kmeans_assign(df, m, vector), exact_by, "cluster", vector).first()["silhouette"] for k, m in models.items()}
+    else:
+        scores = {k: round(v, 4) for k, v in sorted(_mean_silhouette(rows, models).items())}
     best = max(scores, key=lambda k: (scores[k], -k))
     return scores, best, models
 
@@ -190,7 +326,33 @@ def silhouette_rows(df: DataFrame, id_col: str, label: str, vector: str, block_r
 
 
 def silhouette(df: DataFrame, id_col: str, label: str, vector: str) -> DataFrame:
-    return silhouette_rows(df, id_col, label, vector).agg(F.round(F.avg("silhouette"), 4).alias("silhouette"))
+    """Mean Euclidean silhouette. The work is quadratic in the rows, so it is meant for a drawn sample; see ``cluster_silhouette``."""
+    return silhouette_rows(df, id_col, label, vector).agg(half_even(F.avg("silhouette"), 4).alias("silhouette"))
+
+
+def cluster_silhouette(df: DataFrame, label: str, vector: str) -> DataFrame:
+    """Mean squared-Euclidean silhouette of a given clustering: two passes, whatever the size of the table."""
+    rows = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(label).alias("own"), as_doubles(F.col(vector)).alias("vector"))
+    rows, _ = write_stage(rows, "silhouette-rows")
+    x = array_to_vector("vector")
+    sums = rows.groupBy("own").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(dot(F.col("vector"), F.col("vector"))).alias("q"), vector_to_array(Summarizer.sum(x)).alias("s")
+    )
+    # The sums of all clusters are one value, a scalar subquery, that every row is compared with.
+    sums, _ = write_stage(sums, "silhouette-sums")
+    met = rows.withColumn("clusters", sums.agg(F.collect_list(F.struct("own", "n", "q", "s"))).scalar())
+    square = dot(F.col("vector"), F.col("vector"))
+    mean = lambda c: F.greatest(F.lit(0.0), square - 2 * dot(F.col("vector"), c["s"]) / c["n"] + c["q"] / c["n"])
+    mine = F.filter("clusters", lambda c: c["own"] == F.col("own"))[0]
+    others = F.filter("clusters", lambda c: c["own"] != F.col("own"))
+    valued = met.select(
+        mine["n"].alias("n"),
+        (mean(mine) * mine["n"] / F.greatest(mine["n"] - 1, F.lit(1))).alias("a"),
+        F.array_min(F.transform(others, mean)).alias("b"),
+    )
+    width = F.greatest("a", "b")
+    value = F.when((F.col("n") > 1) & F.col("b").isNotNull() & (width > 0), (F.col("b") - F.col("a")) / width).otherwise(F.lit(0.0))
+    return valued.agg(half_even(F.avg(value), 4).alias("silhouette"))
 
 
 def cluster_centers(df: DataFrame, cluster: str = "cluster", vector: str = "embedding") -> DataFrame:
@@ -203,29 +365,29 @@ def cluster_exemplars(
     df: DataFrame, centers: DataFrame, id_col: str, n: int = 15, cluster: str = "cluster", vector: str = "embedding"
 ) -> DataFrame:
     """The n rows nearest to their cluster's center, ranked; map tasks pass on n rows per cluster."""
-    near = df.join(small_side(centers, "centers", limit=5_000), cluster).withColumn(
-        "distance", F.round(distance(as_doubles(F.col(vector)), F.col("center")), 9)
+    near = df.join(small_side(centers, "centers"), cluster).withColumn(
+        "distance", half_even(distance(as_doubles(F.col(vector)), F.col("center")), 9)
     )
     return first_per_group(near.drop("center"), [cluster], ["distance", id_col], n)
 
 
 def cluster_profile(df: DataFrame, exemplars: DataFrame, cluster: str = "cluster", text: str = "text") -> DataFrame:
     """Size, share and exemplar texts of each cluster."""
-    sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("cluster_size"))
-    total = F.sum("cluster_size").over(Window.partitionBy(F.lit(0)))
+    sizes, seen = write_stage(df.groupBy(cluster).agg(F.count(F.lit(1)).alias("cluster_size")), "cluster-sizes", total=F.sum("cluster_size"))
+    total = F.lit(seen["total"])
     listed = exemplars.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(text).alias("text")))).alias("exemplars"))
     return sizes.withColumn("pct_of_sample", percent(F.col("cluster_size"), total)).join(listed, cluster, "left")
 
 
 def propagate_labels(
     sample: DataFrame, full: DataFrame, label: str, text: str = "text", out: str = "predicted_label",
-    vocabulary: int = 10_000, rounds: int = 100, strength: float = 1.0,
+    vocabulary: int = 10_000, rounds: int = 500, strength: float = 1.0,
 ) -> DataFrame:
     """Learn labels on a sample and assign them to the whole corpus.
 
     Words and word pairs, 1 + ln(tf), 1 + ln((n + 1) / (df + 1)), unit length, and a multinomial
-    logistic regression with an L2 penalty of 1 / (strength * n). The model is small; it travels to
-    the tasks that read the corpus.
+    logistic regression with an L2 penalty of 1 / (strength * n). The model is small: ``vocabulary`` terms by labels.
+    It travels to the tasks that read the corpus, which multiply Arrow batches of sparse counts.
     """
     # The sample is read by each of the fits below.
     sample, seen = write_stage(sample.select(label, text), "labelled-sample")
@@ -238,31 +400,49 @@ def propagate_labels(
 
     counter = CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=vocabulary).fit(terms(sample))
 
-    def dampened(df: DataFrame) -> DataFrame:
-        return counter.transform(terms(df)).withColumn("_log", _log_counts("_counts"))
-
     # Each of the many rounds is a job over the sample, so it is kept in few partitions.
     parts = 1 + seen["rows"] // 20_000
-    train = dampened(indexer.transform(sample)).select("_target", "_log").coalesce(parts).persist()
+    train = counter.transform(terms(indexer.transform(sample))).withColumn("_log", _log_counts("_counts"))
+    train = train.select("_target", "_log").coalesce(parts).persist()
     try:
         idf = IDF(inputCol="_log", outputCol="_unused").fit(train)
-        weight = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="_log", outputCol="_tfidf")
+        scale = idf.idf.toArray() + 1.0
+        weight = ElementwiseProduct(scalingVec=Vectors.dense(scale), inputCol="_log", outputCol="_tfidf")
         unit = Normalizer(inputCol="_tfidf", outputCol="_unit")
-        weighted = lambda df: unit.transform(weight.transform(df))
         model = LogisticRegression(
             featuresCol="_unit", labelCol="_target", predictionCol="_predicted", maxIter=rounds,
             regParam=1.0 / (strength * max(1, seen["rows"])), standardization=False, family="multinomial",
-        ).fit(weighted(train))
+        ).fit(unit.transform(weight.transform(train)))
     finally:
         train.unpersist()
-    scored = model.transform(weighted(dampened(full)))
-    named = IndexToString(inputCol="_predicted", outputCol=out, labels=indexer.labels).transform(scored)
-    return named.select(*[c for c in full.columns if c != out], out)
+    shipped = full.sparkSession.sparkContext.broadcast((model.coefficientMatrix.toArray().T, model.interceptVector.toArray(), scale))
+    counted = counter.transform(terms(full)).withColumn("_sparse", F.unwrap_udt("_counts"))
+    place = _predicted(shipped)(F.col("_sparse.indices"), F.col("_sparse.values"))
+    names = F.array(*[F.lit(name) for name in indexer.labels])
+    return counted.withColumn("_place", place).select(*[c for c in full.columns if c != out], F.element_at(names, F.col("_place") + 1).alias(out))
+
+
+def _predicted(shipped):
+    """Label numbers for batches of sparse term counts (indices, values)."""
+
+    @F.pandas_udf("int")
+    def predict(indices: pd.Series, counts: pd.Series) -> pd.Series:
+        weights, intercept, scale = shipped.value
+        sizes = indices.map(len).to_numpy()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.concatenate(indices.to_list()).astype(np.int64) if len(row) else np.zeros(0, np.int64)
+        value = (1.0 + np.log(np.concatenate(counts.to_list()))) * scale[at] if len(row) else np.zeros(0)
+        length = np.sqrt(np.bincount(row, weights=value * value, minlength=len(sizes)))
+        value = value / np.where(length > 0, length, 1.0)[row]
+        scores = np.stack([np.bincount(row, weights=value * weights[at, k], minlength=len(sizes)) for k in range(weights.shape[1])], axis=1)
+        return pd.Series((scores + intercept).argmax(axis=1), dtype="int32")
+
+    return predict
 
 
 @F.udf(VectorUDT())
 def _log_counts(counts):
-    """1 + ln(tf), keeping the vector sparse, which no column expression does."""
+    """1 + ln(tf) of the labelled sample's sparse vectors, which Spark ML needs as vectors."""
     return SparseVector(counts.size, counts.indices, 1.0 + np.log(counts.values))
 
 

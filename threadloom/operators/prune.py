@@ -15,24 +15,26 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.vectors import as_doubles, distance, unit
 from threadloom.operators.bounded import block_apply
-from threadloom.operators.retrieve import _block_top_k, _unit_rows, ranked_hits
+from threadloom.operators.retrieve import _block_top_k, _unit_rows, ranked_hits, retrieve
 from threadloom.session import literal_table, write_stage
 
-# Groups over all intents; their centres travel to every task.
-MAX_GROUPS = 20_000
+# Bytes of all centres, which are broadcast; with more of them nothing is skipped and the result stays the same.
+CENTER_BYTES = 64 << 20
 # Added to distances, above the rounding of similarities, so that ties are never skipped.
 SLACK = 1e-4
 
 
 @dataclass(frozen=True)
 class GroupedIndex:
+    """Rows with their group, and the groups' centres, or None where these are too large to broadcast."""
+
     rows: DataFrame
-    groups: pd.DataFrame
+    groups: pd.DataFrame | None
 
 
 def group_index(index: DataFrame, groups: int = 64, hit_id: str = "hit_id", vector: str = "embedding", seed: int = 42) -> GroupedIndex:
@@ -50,18 +52,20 @@ def group_index(index: DataFrame, groups: int = 64, hit_id: str = "hit_id", vect
         "grouped-index",
     )
     stats = assigned.groupBy("intent", "group").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("size"))
-    listed = stats.join(centers, "group").limit(MAX_GROUPS + 1).toPandas()
-    if len(listed) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups over all intents; ask for fewer")
-    return GroupedIndex(assigned.drop("away"), listed)
+    listed, seen = write_stage(stats.join(centers, "group"), "index-groups", width=F.max(F.size("center")))
+    if seen["rows"] * 8 * (seen["width"] or 0) > CENTER_BYTES:
+        return GroupedIndex(assigned.drop("away"), None)
+    return GroupedIndex(assigned.drop("away"), listed.toPandas())
 
 
-def _choose(groups: pd.DataFrame, need: int):
+def _choose(spark: SparkSession, groups: pd.DataFrame, need: int):
     """Groups to search for each query: the nearest ones at first, later all that may hold a better hit."""
-    by_intent = {
-        intent: (g["group"].to_numpy(), np.stack(g["center"].to_numpy()), g["radius"].to_numpy(), g["size"].to_numpy())
-        for intent, g in groups.groupby("intent")
-    }
+    shipped = spark.sparkContext.broadcast(
+        {
+            intent: (g["group"].to_numpy(), np.stack(g["center"].to_numpy()), g["radius"].to_numpy(), g["size"].to_numpy())
+            for intent, g in groups.groupby("intent")
+        }
+    )
 
     def first_mask(gaps: np.ndarray, sizes: np.ndarray, limit: np.ndarray | None, radius: np.ndarray) -> np.ndarray:
         order = np.argsort(gaps, axis=1, kind="stable")
@@ -76,9 +80,9 @@ def _choose(groups: pd.DataFrame, need: int):
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for intent, part in frame.groupby("intent"):
-                if intent not in by_intent:
+                if intent not in shipped.value:
                     continue
-                names, centers, radius, sizes = by_intent[intent]
+                names, centers, radius, sizes = shipped.value[intent]
                 vectors = _unit_rows(part["vector"])
                 squares = (vectors**2).sum(axis=1)[:, None] + (centers**2).sum(axis=1)[None, :] - 2 * vectors @ centers.T
                 gaps = np.sqrt(np.maximum(squares, 0.0))
@@ -108,7 +112,9 @@ def retrieve_pruned(
     asked = queries.where(F.col(vector).isNotNull()).select(
         F.col(intent_of).alias("intent"), F.col(query_id).alias("query_id"), as_doubles(F.col(vector)).alias("vector")
     )
-    choose = _choose(index.groups, k + int(exclude_self))
+    if index.groups is None:
+        return retrieve(queries, index.rows, k, query_id, "hit_id", vector, intent_of, exclude_self, query_rows, index_rows, index_vector="vector")
+    choose = _choose(queries.sparkSession, index.groups, k + int(exclude_self))
     chosen_schema = f"intent string, query_id {id_type}, vector array<double>, group int"
     hit_schema = f"query_id {id_type}, hit_id {hit_type}, similarity double"
 

@@ -9,19 +9,24 @@ from pyspark.sql import functions as F
 
 from threadloom import presets
 from threadloom.functions import text as tx
-from threadloom.functions.values import percent
+from threadloom.functions.values import half_even, percent
+from threadloom.session import write_stage
 
 
 def distribution(df: DataFrame, col: str) -> DataFrame:
-    """Rows per value and their share; the total is summed over the counts, not over the rows."""
-    counted = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy(F.lit(0)))
+    """Rows per value and their share, the most frequent first; the total is observed while the counts are written."""
+    counted, seen = write_stage(df.groupBy(col).agg(F.count(F.lit(1)).alias("count")), "distribution", total=F.sum("count"))
+    total = F.lit(seen["total"])
     return counted.withColumn("pct", percent(F.col("count"), total)).orderBy(F.desc("count"), col)
 
 
-def crosstab(df: DataFrame, rows: str, cols: str, values: Sequence[str]) -> DataFrame:
-    """Counts per pair of values, 0 where a pair is missing; column values are given."""
-    return df.groupBy(rows).agg(*[F.count_if(F.col(cols) == v).alias(v) for v in values])
+def crosstab(df: DataFrame, rows: str, cols: str, values: Sequence[str], other: str = "other") -> DataFrame:
+    """Counts per pair of values, 0 where a pair is missing.
+
+    Column values are given; what is none of them, or null, counts in the column ``other``, so that rows add up.
+    """
+    rest = ~F.coalesce(F.col(cols).isin(*values), F.lit(False))
+    return df.groupBy(rows).agg(*[F.count_if(F.col(cols) == v).alias(v) for v in values], F.count_if(rest).alias(other))
 
 
 def split_report(holdout: DataFrame, indexable: DataFrame, label: str) -> DataFrame:
@@ -60,8 +65,8 @@ def usage_report(
     return summed.select(
         "*",
         total.alias("total_tokens"),
-        F.round(total / F.col("calls"), 2).alias("avg_tokens"),
-        F.round(cost, 4).alias("cost"),
+        half_even(total / F.col("calls"), 2).alias("avg_tokens"),
+        half_even(cost, 4).alias("cost"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom import presets
 from threadloom.functions import text as tx
-from threadloom.functions.values import order_key, percent
+from threadloom.functions.values import half_even, order_key, percent
 from threadloom.operators.threads import thread_brands
 from threadloom.session import small_side
 
@@ -110,7 +110,7 @@ def resolved_of(reason: Column) -> Column:
 
 
 def filter_brand(threads: DataFrame, brand: str) -> DataFrame:
-    """Threads (array form) that involve the brand, whatever its letter case."""
+    """Threads (array form, with all their parts) that involve the brand, whatever its letter case."""
     wanted = brand.strip().lower()
     return threads.where(F.exists("brands", lambda b: F.lower(b) == wanted))
 
@@ -133,7 +133,7 @@ def resolution_summary(tagged: DataFrame) -> DataFrame:
         "resolution_reason",
         "threads",
         "posts",
-        F.round(F.col("posts") / F.col("threads"), 2).alias("avg_thread_length"),
+        half_even(F.col("posts") / F.col("threads"), 2).alias("avg_thread_length"),
         percent(F.col("threads"), total).alias("pct_of_threads"),
     )
 
@@ -147,7 +147,7 @@ def outcome_totals(tagged: DataFrame) -> DataFrame:
         F.count_if(status == "true").alias("resolved_threads"),
         F.count_if(status == "false").alias("unresolved_threads"),
         F.count_if(status == "unknown").alias("unknown_threads"),
-        F.round(F.avg("thread_length"), 2).alias("avg_thread_length"),
+        half_even(F.avg("thread_length"), 2).alias("avg_thread_length"),
     ).withColumn("pct_resolved", percent(F.col("resolved_threads"), F.col("total_threads")))
 
 
@@ -167,7 +167,7 @@ def brand_candidates(posts: DataFrame, tagged: DataFrame, top_n: int = 20) -> Da
             F.sum("brand_posts").alias("total_brand_posts"),
             F.sum("thread_length").alias("total_thread_posts"),
             F.count(F.lit(1)).alias("total_threads"),
-            F.round(F.avg("thread_length"), 2).alias("avg_thread_length"),
+            half_even(F.avg("thread_length"), 2).alias("avg_thread_length"),
             F.count_if(status == "true").alias("resolved_threads"),
             F.count_if(status == "false").alias("unresolved_threads"),
             F.count_if(status == "unknown").alias("unknown_threads"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,35 +11,43 @@ from pyspark.sql import functions as F
 
 from threadloom import presets
 from threadloom.functions import text as tx
+from threadloom.functions.values import half_even
 from threadloom.functions.vectors import as_doubles, cosine, norm
 from threadloom.operators.bounded import block_apply
 from threadloom.operators.joins import assert_disjoint
-from threadloom.session import small_side
+from threadloom.session import small_side, value_bytes, write_stage
 
 SIMILAR = 0.65
 # Similarities are compared to this many digits, so that ties do not hang on the order of additions.
 DIGITS = 9
+# Queries up to so many bytes travel to the index, which then stays where it is.
+QUERY_BYTES = 4 << 20
 
 
 def outcome_of(col: Column, allowed: Sequence[str] = presets.OUTCOMES, default: str = presets.DEFAULT_OUTCOME) -> Column:
     return F.when(col.isin(*allowed), col).otherwise(F.lit(default))
 
 
-def build_precedents(messages: DataFrame, replies: DataFrame, extracted: DataFrame) -> DataFrame:
+def build_precedents(
+    messages: DataFrame, replies: DataFrame, extracted: DataFrame, fallback_chars: int | None = None
+) -> DataFrame:
     """Messages with the brand's reply and what was extracted from it.
 
-    Extraction results come by thread. A thread without one gets its reply as the action and
-    ``fallback`` as the source; an unknown outcome becomes the default outcome.
+    Extraction results come by thread. A thread without one gets its reply as the action (the first
+    ``fallback_chars`` characters of it, if a number is given; ``presets.EMPTY_ACTION`` if it is empty) and ``fallback`` as
+    the source; an unknown outcome becomes the default outcome.
     """
     found = extracted.select("thread_id", F.col("action_taken").alias("_action"), F.col("outcome").alias("_outcome"))
     action = tx.strip(F.coalesce("_action", F.lit("")))
+    reply = F.coalesce("brand_reply_text", F.lit(""))
+    fallback = reply if fallback_chars is None else tx.left(reply, fallback_chars)
     joined = messages.join(replies.select("thread_id", "brand_reply_text"), "thread_id").join(found, "thread_id", "left")
     return joined.select(
         "thread_id",
         "post_id",
         F.col("predicted_intent").alias("intent"),
         F.col("text").alias("customer_message"),
-        F.when(action != "", action).otherwise(tx.left(F.col("brand_reply_text"), 200)).alias("action_taken"),
+        F.when(action != "", action).when(fallback != "", fallback).otherwise(F.lit(presets.EMPTY_ACTION)).alias("action_taken"),
         outcome_of(F.col("_outcome")).alias("outcome"),
         "brand_reply_text",
         F.when(action != "", "extracted").otherwise("fallback").alias("extraction_source"),
@@ -117,6 +125,28 @@ def _block_top_k(k: int, exclude_self: bool, step: int = 256):
     return best
 
 
+def _merge(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    """The k best hits of each query among those of several blocks."""
+    joined = pd.concat(parts, ignore_index=True).sort_values(["query_id", "similarity", "hit_id"], ascending=[True, False, True], kind="stable")
+    return joined[joined.groupby("query_id").cumcount() < k]
+
+
+def _scan_top_k(shipped, k: int, exclude_self: bool):
+    """The k best rows of an index partition for each of the broadcast queries of the same intent."""
+    top = _block_top_k(k, exclude_self)
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[str, pd.DataFrame] = {}
+        for frame in frames:
+            for intent, part in frame.groupby("intent"):
+                if intent in shipped.value:
+                    found = top(shipped.value[intent], part)
+                    best[intent] = _merge([best[intent], found], k) if intent in best else found
+        yield from (found for found in best.values() if len(found))
+
+    return scan
+
+
 def retrieve(
     queries: DataFrame,
     index: DataFrame,
@@ -128,24 +158,37 @@ def retrieve(
     exclude_self: bool = False,
     query_rows: int = 4096,
     index_rows: int = 16384,
+    query_bytes: int = QUERY_BYTES,
+    index_vector: str | None = None,
 ) -> DataFrame:
     """The k most similar index rows of the same intent for each query, exactly.
 
-    Both sides of an intent are cut into bounded blocks; a task multiplies one pair of blocks and
-    returns at most k rows per query, and the last step ranks those. Pairs are never emitted.
+    Queries of up to ``query_bytes``, summed while they are written, are broadcast: the index is scanned where it lies,
+    with only the partitions of the intents asked for, and a task keeps k hits per query. More queries meet the index in blocks: both sides
+    of an intent are cut into bounded blocks, and a task multiplies one pair of them. Pairs are never emitted; the last
+    step ranks the hits. ``index_vector`` names the index' vector column where it is another one.
     Output: query_id, hit_id, rank, similarity (4 digits, at least 0), distance.
     """
+    stored = index_vector or vector
     id_type = queries.schema[query_id].dataType.simpleString()
     hit_type = index.schema[hit_id].dataType.simpleString()
     asked = queries.where(F.col(vector).isNotNull()).select(
         F.col(intent_of).alias("intent"), F.col(query_id).alias("query_id"), as_doubles(F.col(vector)).alias("vector")
     )
-    known = index.where(F.col(vector).isNotNull()).select(
-        "intent", F.col(hit_id).alias("hit_id"), as_doubles(F.col(vector)).alias("vector")
+    size = value_bytes(F.col("vector"), asked.schema["vector"].dataType) + 64
+    asked, seen = write_stage(asked, "queries", bytes=F.coalesce(F.sum(size), F.lit(0)))
+    schema = f"query_id {id_type}, hit_id {hit_type}, similarity double"
+    if seen["bytes"] <= query_bytes:
+        by_intent = dict(tuple(asked.where(F.col("intent").isNotNull()).toPandas().groupby("intent")))
+        shipped = asked.sparkSession.sparkContext.broadcast(by_intent)
+        wanted = index.where(F.col(stored).isNotNull() & F.col("intent").isin(*by_intent)) if by_intent else index.where(F.lit(False))
+        scanned = wanted.select("intent", F.col(hit_id).alias("hit_id"), F.col(stored).alias("vector"))
+        return ranked_hits(scanned.mapInPandas(_scan_top_k(shipped, k, exclude_self), schema), k)
+    known = index.where(F.col(stored).isNotNull()).select(
+        "intent", F.col(hit_id).alias("hit_id"), as_doubles(F.col(stored)).alias("vector")
     )
     near = block_apply(
-        asked, known, ["intent"], "query_id", "hit_id", _block_top_k(k, exclude_self),
-        f"query_id {id_type}, hit_id {hit_type}, similarity double", query_rows, index_rows,
+        asked, known, ["intent"], "query_id", "hit_id", _block_top_k(k, exclude_self), schema, query_rows, index_rows
     )
     return ranked_hits(near, k)
 
@@ -158,8 +201,8 @@ def ranked_hits(near: DataFrame, k: int) -> DataFrame:
         "query_id",
         "hit_id",
         "rank",
-        F.greatest(F.lit(0.0), F.round("similarity", 4)).alias("similarity"),
-        F.round(1 - F.col("similarity"), 4).alias("distance"),
+        F.greatest(F.lit(0.0), half_even("similarity", 4)).alias("similarity"),
+        half_even(1 - F.col("similarity"), 4).alias("distance"),
     )
 
 
@@ -183,7 +226,7 @@ def agreement(
     like_first = F.size(F.filter("h", lambda x: cosine(x["v"], F.col("h")[0]["v"]) >= similar))
     outcomes = F.transform("h", lambda x: x["o"])
     counts = F.transform(F.array_distinct(outcomes), lambda o: F.size(F.filter(outcomes, lambda x: x == o)))
-    score = F.round(action_weight * (like_first / k) + outcome_weight * (F.array_max(counts) / k), 4)
+    score = half_even(action_weight * (like_first / k) + outcome_weight * (F.array_max(counts) / k), 4)
     clipped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
     return grouped.select(
         query_id,

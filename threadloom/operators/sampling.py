@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.values import hash_order
 from threadloom.operators.bounded import hash_histogram, mark_by_hash, take_by_hash
-from threadloom.session import literal_table
+from threadloom.session import literal_table, write_stage
+
+
+def _slim(df: DataFrame, strata: Sequence[str], id_col: str) -> DataFrame:
+    """Strata and ids of a table, written once: everything about a draw but the draw itself reads this."""
+    return write_stage(df.select(*dict.fromkeys([*strata, id_col])), "draw-ids")[0]
 
 
 class QualityError(AssertionError):
@@ -80,9 +85,10 @@ def allocate_holdout(sizes: DataFrame, strata: Sequence[str], n: int) -> DataFra
 
 def stratified_sample(df: DataFrame, strata: Sequence[str], n: int, id_col: str, seed: int = 42) -> DataFrame:
     """Proportional sample of n rows; the whole table if it has no more than n."""
-    hist = hash_histogram(df, strata, id_col, seed)
+    slim = _slim(df, strata, id_col)
+    hist = hash_histogram(slim, strata, id_col, seed)
     quotas = allocate(stratum_sizes(hist, strata), strata, n)
-    return take_by_hash(df, strata, id_col, seed, quotas, hist)
+    return take_by_hash(df, strata, id_col, seed, quotas, hist, slim)
 
 
 def exact_sample(df: DataFrame, strata: Sequence[str], n: int, id_col: str, seed: int = 42) -> DataFrame:
@@ -90,9 +96,10 @@ def exact_sample(df: DataFrame, strata: Sequence[str], n: int, id_col: str, seed
 
     Trimming and topping up draw over all strata, in hash orders of their own.
     """
-    hist = hash_histogram(df, strata, id_col, seed)
-    quotas = allocate_floor(stratum_sizes(hist, strata), strata, n)
-    marked = mark_by_hash(df, strata, id_col, seed, quotas, hist)
+    slim = _slim(df, strata, id_col)
+    hist = hash_histogram(slim, strata, id_col, seed)
+    quotas, _ = write_stage(allocate_floor(stratum_sizes(hist, strata), strata, n), "quotas")
+    marked = mark_by_hash(df, strata, id_col, seed, quotas, hist, slim)
     drawn, rest = marked.where("drawn").drop("drawn"), marked.where("NOT drawn").drop("drawn")
     wanted = quotas.agg(F.sum("n")).first()[0] or 0
     if wanted > n:
@@ -104,16 +111,19 @@ def exact_sample(df: DataFrame, strata: Sequence[str], n: int, id_col: str, seed
 
 def holdout_split(df: DataFrame, strata: Sequence[str], n: int, id_col: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(holdout of exactly n rows, the rest), disjoint by ``id_col``; both are filters on the table."""
-    hist = hash_histogram(df, strata, id_col, seed)
-    sizes = stratum_sizes(hist, strata)
-    rows = sizes.agg(F.sum("size")).first()[0] or 0
-    if n >= rows:
-        raise ValueError(f"holdout of {n} rows must be smaller than the table of {rows}")
-    quotas = allocate_holdout(sizes, strata, n)
-    short = quotas.where((F.col("n") > F.col("size")) | (F.col("n") < 0)).limit(1).collect()
-    if short:
-        raise ValueError(f"stratum {short[0].asDict()} cannot supply its share of the holdout")
-    marked = mark_by_hash(df, strata, id_col, seed, quotas, hist)
+    slim = _slim(df, strata, id_col)
+    hist = hash_histogram(slim, strata, id_col, seed)
+    # What must hold of the quotas is observed while they are written.
+    bad = (F.col("n") > F.col("size")) | (F.col("n") < 0)
+    quotas, seen = write_stage(
+        allocate_holdout(stratum_sizes(hist, strata), strata, n), "quotas", total=F.sum("size"), bad=F.count_if(bad),
+        example=F.max(F.when(bad, F.to_json(F.struct(*strata, "size", "n")))),
+    )
+    if n >= (seen["total"] or 0):
+        raise ValueError(f"holdout of {n} rows must be smaller than the table of {seen['total'] or 0}")
+    if seen["bad"]:
+        raise ValueError(f"stratum {seen['example']} cannot supply its share of the holdout")
+    marked = mark_by_hash(df, strata, id_col, seed, quotas, hist, slim)
     return marked.where("drawn").drop("drawn"), marked.where("NOT drawn").drop("drawn")
 
 

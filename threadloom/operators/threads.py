@@ -11,12 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom import presets
 from threadloom.functions import text as tx
-from threadloom.functions.values import order_key
+from threadloom.functions.values import half_even, order_key
 from threadloom.operators.bounded import number_rows
-from threadloom.session import BROADCAST_ROWS, write_stage
+from threadloom.session import BROADCAST_BYTES, write_stage
 
-DEFAULT_REPLY = "Thank you for reaching out. Please DM us for support."
+DEFAULT_REPLY = presets.DEFAULT_REPLY
 
 
 class ConservationError(RuntimeError):
@@ -78,13 +79,15 @@ def build_threads(posts: DataFrame, chunk: int = 10_000) -> DataFrame:
 
     A thread of up to ``chunk`` posts is one row (``part`` 0). A longer one continues in further
     rows of the same ``thread_id``, in order, so every post is kept and no row grows without bound.
+    Everything about the thread as a whole (``thread_key``, ``brands``, ``thread_length``, ``has_branching``, the times)
+    is the same in all its rows; ``part_length`` counts the posts of one row and adds up over the table.
     """
     sizes = posts.groupBy("thread_key").agg(F.count(F.lit(1)).alias("n"))
     long, seen = write_stage(sizes.where(F.col("n") > chunk).select("thread_key"), "long-threads")
     if seen["rows"] == 0:
         return _short_threads(posts)
     # At most (posts / chunk) threads are long.
-    long = F.broadcast(long) if seen["rows"] <= BROADCAST_ROWS else long
+    long = F.broadcast(long) if 16 * seen["rows"] <= BROADCAST_BYTES else long
     return _short_threads(posts.join(long, "thread_key", "left_anti")).unionByName(
         _long_threads(posts.join(long, "thread_key", "left_semi"), chunk)
     )
@@ -98,9 +101,12 @@ def _item() -> Column:
 def _short_threads(posts: DataFrame) -> DataFrame:
     rows = posts.groupBy("thread_key").agg(F.array_sort(F.collect_list(_item())).alias("posts"))
     first, last = F.col("posts")[0], F.element_at("posts", -1)
+    outbound = F.filter("posts", lambda p: ~p["inbound"] & p["author_id"].isNotNull())
     return rows.select(
+        "thread_key",
         F.lit(0).cast("bigint").alias("part"),
         "posts",
+        F.array_sort(F.array_distinct(F.transform(outbound, lambda p: p["author_id"]))).alias("brands"),
         _thread_id(first["post_id"]).alias("thread_id"),
         F.size("posts").cast("bigint").alias("thread_length"),
         F.exists("posts", lambda p: p["branching"]).alias("has_branching"),
@@ -114,18 +120,22 @@ def _long_threads(posts: DataFrame, chunk: int) -> DataFrame:
     part = F.floor(F.col("position") / F.lit(chunk)).alias("part")
     rows = numbered.groupBy("thread_key", part).agg(F.array_sort(F.collect_list(_item())).alias("posts"))
     facts = thread_facts(posts).select("thread_key", "thread_id", "thread_length", "has_branching", "start_time", "end_time")
-    return rows.join(facts, "thread_key").select(*_thread_columns())
+    # Distinct handles of the whole thread, combined on the map side.
+    outbound = F.when(~F.col("inbound"), F.col("author_id"))
+    brands = posts.groupBy("thread_key").agg(F.array_sort(F.collect_set(outbound)).alias("brands"))
+    return rows.join(facts.join(brands, "thread_key"), "thread_key").select(*_thread_columns())
 
 
 def _thread_columns() -> list[Column]:
     pick = lambda field: F.transform("posts", lambda p: p[field])
-    outbound = F.filter("posts", lambda p: ~p["inbound"] & p["author_id"].isNotNull())
     return [
+        F.col("thread_key"),
         F.col("thread_id"),
         F.col("part"),
+        F.size("posts").cast("bigint").alias("part_length"),
         pick("post_id").alias("post_ids"),
         pick("author_id").alias("author_ids"),
-        F.array_sort(F.array_distinct(F.transform(outbound, lambda p: p["author_id"]))).alias("brands"),
+        F.col("brands"),
         F.col("thread_length"),
         F.col("start_time"),
         F.col("end_time"),
@@ -134,21 +144,22 @@ def _thread_columns() -> list[Column]:
         pick("text").alias("texts"),
         pick("created_at").alias("created_ats"),
         pick("in_response_to_id").alias("in_response_to_ids"),
+        pick("branching").alias("branchings"),
     ]
 
 
 def explode_threads(threads: DataFrame) -> DataFrame:
-    """Back from array rows to flat posts (``thread_key`` is the numeric part of the thread id)."""
-    zipped = F.arrays_zip("post_ids", "author_ids", "inbounds", "created_ats", "texts", "in_response_to_ids")
-    return threads.select("thread_id", "has_branching", F.explode(zipped).alias("p")).select(
-        F.substring("thread_id", 3, 40).cast("bigint").alias("thread_key"),
+    """Back from array rows to the flat posts that they were built from."""
+    zipped = F.arrays_zip("post_ids", "author_ids", "inbounds", "created_ats", "texts", "in_response_to_ids", "branchings")
+    return threads.select("thread_key", F.explode(zipped).alias("p")).select(
+        "thread_key",
         F.col("p.post_ids").alias("post_id"),
         F.col("p.author_ids").alias("author_id"),
         F.col("p.inbounds").alias("inbound"),
         F.col("p.created_ats").alias("created_at"),
         F.col("p.texts").alias("text"),
         F.col("p.in_response_to_ids").alias("in_response_to_id"),
-        F.col("has_branching").alias("branching"),
+        F.col("p.branchings").alias("branching"),
     )
 
 
@@ -161,10 +172,11 @@ def conservation(posts: DataFrame, facts: DataFrame) -> DataFrame:
     ).withColumn("conserved", F.col("posts_in") == F.col("posts_in_threads"))
 
 
-def assert_conserved(posts: DataFrame, facts: DataFrame) -> None:
+def assert_conserved(posts: DataFrame, facts: DataFrame, rejected: int = 0) -> None:
+    """Raise unless every row of ``posts`` is in a thread or among the ``rejected`` ones."""
     row = conservation(posts, facts).first()
-    if not row["conserved"]:
-        raise ConservationError(f"{row['posts_in']} posts came in, threads hold {row['posts_in_threads']}")
+    if row["posts_in"] != row["posts_in_threads"] + rejected:
+        raise ConservationError(f"{row['posts_in']} posts came in, threads hold {row['posts_in_threads']}, {rejected} were rejected")
 
 
 def thread_stats(facts: DataFrame) -> DataFrame:
@@ -177,7 +189,7 @@ def thread_stats(facts: DataFrame) -> DataFrame:
         F.count_if(F.col("named_brand_posts") > 0).alias("threads_with_brand"),
         F.min("thread_length").alias("min_thread_length"),
         F.max("thread_length").alias("max_thread_length"),
-        F.round(F.avg("thread_length"), 2).alias("avg_thread_length"),
+        half_even(F.avg("thread_length"), 2).alias("avg_thread_length"),
     )
 
 
@@ -282,10 +294,25 @@ def transcripts(posts: DataFrame, chunk: int = 10_000) -> DataFrame:
     )
 
 
-def parse_transcript(df: DataFrame, text: str = "transcript", keep: Sequence[str] = ("thread_key",)) -> DataFrame:
-    """Transcript text back to turns: speaker by prefix, other lines become notes, blanks are skipped."""
-    line = tx.strip(F.col("raw"))
-    turns = df.select(*keep, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "raw")).withColumn("line", line)
+def parse_transcript(
+    df: DataFrame, text: str = "transcript", keep: Sequence[str] = ("thread_key",), part: str | None = "part"
+) -> DataFrame:
+    """Transcript text back to turns: speaker by prefix, other lines become notes, blanks are skipped.
+
+    ``line_no`` runs through all parts of a transcript; only line counts are shuffled to know where a part starts.
+    A table without the column ``part`` (or ``part=None``) holds whole transcripts.
+    """
+    lines = F.split(F.col(text), "\n")
+    if part is None or part not in df.columns:
+        numbered = df.select(*keep, F.lit(0).alias("_start"), lines.alias("_lines"))
+    else:
+        before = Window.partitionBy(*keep).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        starts = df.select(*keep, part, F.size(lines).alias("_n")).select(
+            *keep, part, F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("int").alias("_start")
+        )
+        numbered = df.select(*keep, part, lines.alias("_lines")).join(starts, [*keep, part]).drop(part)
+    turns = numbered.select(*keep, "_start", F.posexplode("_lines").alias("_at", "raw")).withColumn("line", tx.strip(F.col("raw")))
+    turns = turns.withColumn("line_no", F.col("_start") + F.col("_at"))
     customer = F.col("line").startswith("[Customer]:")
     brand = F.col("line").rlike(r"^\[Brand \([^\n]*\)\]:")
     said = F.when(customer, F.substring("line", 12, 2_000_000_000)).when(

@@ -24,6 +24,8 @@ class Evaluation:
     agreement: DataFrame
     disagreements: DataFrame
     failures: DataFrame
+    failure_examples: DataFrame
+    unmatched: DataFrame
 
 
 def evaluate_run(
@@ -38,8 +40,19 @@ def evaluate_run(
     """All tables of an evaluation run, matched by id.
 
     ``results`` are triage records, ``labels`` has gold_intent and gold_decision, ``judged`` the
-    judge's axis scores and has_invented_specifics.
+    judge's axis scores and has_invented_specifics. Rows without their counterpart enter no metric; ``unmatched`` counts them.
     """
+    ids = results.select(key, F.lit(1).alias("r"), F.lit(0).alias("g")).unionByName(labels.select(key, F.lit(0).alias("r"), F.lit(1).alias("g")))
+    sides = ids.groupBy(key).agg(F.max("r").alias("r"), F.max("g").alias("g"))
+    unmatched, _ = write_stage(
+        sides.agg(
+            F.coalesce(F.sum("r"), F.lit(0)).alias("results"),
+            F.coalesce(F.sum("g"), F.lit(0)).alias("labels"),
+            F.count_if(F.col("g") == 0).alias("results_without_label"),
+            F.count_if(F.col("r") == 0).alias("labels_without_result"),
+        ),
+        "unmatched",
+    )
     axes = presets.RUBRIC_AXES
     scores = gold.rubric_composite(judged).select(
         key, *[F.col(a).alias(f"judge_{a}") for a in axes], "has_invented_specifics"
@@ -51,6 +64,7 @@ def evaluate_run(
                       "top_action": F.get("retrieved_precedents", F.lit(0))["action_taken"]})
     )
     cases, _ = write_stage(cases, "evaluated")
+    tagged, _ = write_stage(evaluate.tag_failures(cases), "tagged-failures")
     bare = cases.select(key, "text", "gold_intent", "gold_decision")
     systems = {
         "trivial": baseline_trivial(bare),
@@ -67,5 +81,7 @@ def evaluate_run(
         sweep=evaluate.threshold_sweep(cases, route.other_grounds(policy_intents)),
         agreement=evaluate.rater_agreement(evaluate.unpivot_ratings(rated)),
         disagreements=evaluate.itemise_disagreements(rated),
-        failures=evaluate.failure_modes(evaluate.tag_failures(cases), key),
+        failures=evaluate.failure_modes(tagged, key),
+        failure_examples=evaluate.failure_examples(tagged, key),
+        unmatched=unmatched,
     )

@@ -17,6 +17,7 @@ from threadloom.sources import tables
 class IngestPaths:
     """Tables written below the output folder."""
 
+    rejected: str
     posts: str
     threads: str
     tagged: str
@@ -47,13 +48,17 @@ def run_ingest(
     """Read, check, profile, thread, report the top brands, tag the brand's threads.
 
     Writes the tables of ``IngestPaths`` below ``out``: Parquet, but for the brand report (CSV);
-    ``stats`` is a log of step statistics.
+    ``stats`` is a log of step statistics. Posts without a readable id go to ``rejected``; they and the posts in threads
+    must add up to the rows of the export.
     """
     paths = IngestPaths.below(out)
     # The export is parsed once; everything after reads columns.
-    raw, _ = write_stage(src.read_posts_csv(spark, csv_path, multi_line), "raw-posts")
+    raw, read = write_stage(src.read_posts_csv(spark, csv_path, multi_line), "raw-posts")
     src.validate_schema(raw)
     tables.record_stats(src.profile_posts(raw), paths.stats, "load")
+    tables.write_table(src.rejected_posts(raw), paths.rejected)
+    rejected = tables.read_table(spark, paths.rejected).count()
+    tables.record_stats(spark.createDataFrame([(read["rows"], rejected)], "raw_rows bigint, rejected_rows bigint"), paths.stats, "typed")
     typed = src.to_posts(raw).where(F.col("post_id").isNotNull())
 
     tables.write_table(graph.assign_threads(typed), paths.posts)
@@ -61,7 +66,7 @@ def run_ingest(
     facts = threads.thread_facts(posts)
     tables.write_table(facts, paths.threads)
     facts = tables.read_table(spark, paths.threads)
-    threads.assert_conserved(typed, facts)
+    threads.assert_conserved(raw, facts, rejected)
     tables.record_stats(threads.thread_stats(facts), paths.stats, "threads")
 
     closing = resolve.closing_facts(posts, rules)

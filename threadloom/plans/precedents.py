@@ -73,36 +73,28 @@ def gold_set(
     rules: GoldRules = GoldRules(),
     seed: int = 42,
 ) -> GoldSet:
-    """Draw, attach context and label.
+    """Draw, attach what is known of the thread, and label.
 
-    A message carries its transcript's first part (the whole transcript of all but giant threads)
-    and the number of parts; ``contexts`` has them all.
+    ``contexts`` holds the whole transcripts, a giant thread's in several parts (thread_key, part, transcript); a drawn
+    message without a thread in ``posts`` has its own text as the context.
     """
     drawn = sampling.sample_targets(holdout, targets, "thread_id", "predicted_intent", seed)
     drawn, _ = write_stage(drawn, "gold-sample")
     mine = posts.join(drawn.select("thread_key"), "thread_key", "left_semi")
-    contexts, _ = write_stage(threads.transcripts(mine), "gold-contexts")
-    parts = contexts.groupBy("thread_key").agg(
-        F.min_by("transcript", "part").alias("transcript"), F.count(F.lit(1)).alias("context_parts")
-    )
-    context = parts.join(threads.last_brand_reply(mine), "thread_key", "left")
-    context = context.join(tagged.select("thread_key", "resolution_reason"), "thread_key", "left").select(
-        "thread_key",
-        F.col("transcript").alias("full_thread_context"),
-        "context_parts",
-        "historical_brand_reply",
-        F.col("resolution_reason").alias("historical_resolution_reason"),
+    found, _ = write_stage(threads.transcripts(mine), "gold-transcripts")
+    alone = drawn.join(found.select("thread_key"), "thread_key", "left_anti")
+    own = alone.select("thread_key", F.lit(0).cast("bigint").alias("part"), F.concat(F.lit("[Customer]: "), F.col("text")).alias("transcript"))
+    contexts, _ = write_stage(found.unionByName(own), "gold-contexts")
+    parts = contexts.groupBy("thread_key").agg(F.count(F.lit(1)).alias("context_parts"))
+    known = parts.join(threads.last_brand_reply(mine), "thread_key", "left")
+    known = known.join(tagged.select("thread_key", "resolution_reason"), "thread_key", "left").select(
+        "thread_key", "context_parts", "historical_brand_reply", F.col("resolution_reason").alias("historical_resolution_reason")
     )
     enriched = enrich(
         drawn,
-        context,
+        known,
         "thread_key",
-        {
-            "full_thread_context": F.concat(F.lit("[Customer]: "), F.col("text")),
-            "context_parts": F.lit(0).cast("bigint"),
-            "historical_brand_reply": "",
-            "historical_resolution_reason": "unknown",
-        },
+        {"context_parts": F.lit(0).cast("bigint"), "historical_brand_reply": "", "historical_resolution_reason": "unknown"},
     )
     labelled, _ = write_stage(rule_gold(enriched, rules), "gold")
     return GoldSet(labelled, ambiguity_log(labelled, "thread_id"), contexts)

@@ -71,8 +71,12 @@ def consolidated(draft: Draft, specs: Sequence[tuple[str, str, bool, str]] = pre
     return names.join(examples, "intent", "left").select("intent", "description", "escalate", listed.alias("examples"))
 
 
-def composite_sample(corpus: DataFrame, draft: Draft, size: int = 6000, seed: int = 42) -> DataFrame:
-    """Project the sample's clusters on the corpus and draw over period and cluster, exactly ``size`` rows."""
+def composite_sample(corpus: DataFrame, draft: Draft, size: int = 6000, seed: int = 42, resolved_only: bool = True) -> DataFrame:
+    """Project the sample's clusters on the corpus and draw over period and cluster, exactly ``size`` rows.
+
+    Only messages of resolved threads are drawn, unless ``resolved_only`` is off.
+    """
+    corpus = corpus.where(F.col("resolved") == "true") if resolved_only else corpus
     sample = draft.sample.select("cleaned_text", F.col("cluster").cast("string").alias("cluster"))
     projected = ml.propagate_labels(sample, corpus, "cluster", "cleaned_text", "cluster")
     strata, _ = write_stage(ms.composite_stratum(projected), "projected")

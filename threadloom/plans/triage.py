@@ -13,7 +13,7 @@ from threadloom.functions import text as tx
 from threadloom.operators import messages as ms
 from threadloom.operators import retrieve as rt
 from threadloom.operators import route
-from threadloom.session import write_stage
+from threadloom.session import small_side, write_stage
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -62,8 +62,9 @@ def triage(messages: DataFrame, index: DataFrame, config: TriageConfig, id_col:
     hits = rt.retrieve(
         classified, index, config.neighbours, id_col, "hit_id", intent_of="predicted_intent", exclude_self=config.exclude_self
     )
+    # At most a few hits per message: as long as they are small, they travel to the index and not the other way round.
     facts = index.select("hit_id", "action_taken", "outcome", "brand_reply_text", "action_vector")
-    found, _ = write_stage(hits.join(facts, "hit_id"), "retrieved")
+    found, _ = write_stage(facts.join(small_side(hits, "hits"), "hit_id"), "retrieved")
 
     record = F.struct("rank", "hit_id", "similarity", "action_taken", "outcome", "brand_reply_text")
     evidence = F.concat_ws("\n", F.transform("retrieved_precedents", lambda p: p["brand_reply_text"]))

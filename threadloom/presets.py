@@ -201,10 +201,7 @@ GOLD_ACCOUNT = (
     "forgot password", "two-factor", "2fa", "disabled in the app store",
 )
 # Gold labelling, money (a pattern) and the battery-charging words that rule it out.
-GOLD_MONEY = (
-    r"\b(refund|charged\b|charging me|charge me|billing|purchase|purchased|applecare|pre-order|receipt|"
-    r"subscription|unauthorized charge)\b|\$"
-)
+GOLD_MONEY = r"\b(refund|charged\b|charging me|charge me|billing|purchase|purchased|applecare|pre-order|receipt|subscription|unauthorized charge)\b|\$"
 GOLD_BATTERY_CHARGE = ("charger", "charge my phone", "put my phone on to charge", "cable", "battery", "tearing")
 # Gold labelling, symptoms counted for compound complaints.
 GOLD_SYMPTOMS = (
@@ -291,3 +288,27 @@ CONFIDENCE_MIN = 0.60
 AGREEMENT_MIN = 0.50
 SWEEP = (0.0, 0.40, 0.50, 0.60, 0.70, 0.80, 0.90)
 COST_RATIO = 5.0
+
+# Reply used where a thread has none, and action where extraction gives none and the reply is empty.
+DEFAULT_REPLY = "Thank you for reaching out. Please DM us for support."
+EMPTY_ACTION = "Provided customer support guidance."
+
+# Explanations in the log of ambiguous messages; %s is the first intent, or the symptoms and the gold intent.
+AMBIGUITY_EXPLANATIONS = {
+    "language_vs_technical_topic": "Customer wrote in non-English; Stage 3 assigned '%s' based on topic words, but Twitter policy requires routing to localized language support.",
+    "security_account_overlap": "Inquiry involves account authentication/phishing; Stage 3 assigned '%s'.",
+    "billing_overlap": "Inquiry involves monetary charges or order issues; Stage 3 assigned '%s'.",
+    "compound_multi_symptom_overlap": "Customer complaint describes multiple compounding symptoms (%s); assigned '%s' based on primary diagnostic root cause.",
+}
+
+# Detail or explanation of a failure example.
+FAILURE_DETAILS = {
+    "wrong_specific": "Injected specific iOS patch version number absent from precedent text",
+    "plausible_specific": "Injected canonical support article URL or ID absent from precedent text",
+    "invented_specific": "Injected ungrounded entity",
+    "language_conflict": "Customer inquiry in Spanish/Portuguese routed to technical English intent instead of international support link.",
+    "anger": "Intense customer frustration/sarcasm causes divergence in historical precedent actions (some reps apologized, others offered links).",
+    "out_of_domain": "Carrier-specific or Apple Maps third-party listing inquiry with weak taxonomy fit.",
+    "false_auto_handle": "Safety hazard: Customer inquiry required human intervention but was cleared for autonomous reply.",
+}
+FAILURE_SUB_MODES = {"wrong_specific": "wrong_invented_specific", "plausible_specific": "plausible_ungrounded_specific"}

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.functions.values import parse_post_time, percent, to_id
+from threadloom.session import small_side, write_stage
 
 # Column names of the raw export, in file order.
 RAW_COLUMNS = (
@@ -20,21 +21,81 @@ RAW_COLUMNS = (
     "response_tweet_id",
     "in_response_to_tweet_id",
 )
-RAW_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in RAW_COLUMNS])
 
 
 class SchemaError(ValueError):
     """The table lacks required columns or has no rows."""
 
 
+def csv_columns(spark: SparkSession, path: str) -> list[str]:
+    """Column names from the header line."""
+    return spark.read.option("header", True).option("escape", '"').option("inferSchema", False).csv(path).columns
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """One row (record) per CSV record, headers left out, whatever line breaks its quoted fields hold.
+
+    Files are read in blocks by many tasks. A line starts a record if an even number of quotes stands before it in the file; the
+    quotes of earlier blocks are known from one count per block. Only lines of records with line breaks are shuffled, to
+    meet the rest of their record.
+    """
+    read = spark.read.option("lineSep", "\n").text(path)
+    quotes = F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit("")))
+    lines, _ = write_stage(
+        read.select(
+            F.col("value").alias("line"),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("at"),
+        ).withColumn("quotes", quotes),
+        "csv-lines",
+    )
+    odd = F.col("quotes") % 2
+    inside = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    counted = lines.withColumn("before", F.coalesce(F.sum(odd).over(inside), F.lit(0)))
+    # Per block and for either state that it may start in: how many records start, and whether it ends within quotes.
+    starts = lambda state: F.count_if((F.col("before") + state) % 2 == 0)
+    blocks = counted.groupBy("file", "block").agg(F.sum(odd).alias("odd"), starts(0).alias("starts0"), starts(1).alias("starts1"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("state", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2)
+    begun = F.when(F.col("state") == 0, F.col("starts0")).otherwise(F.col("starts1"))
+    blocks = small_side(blocks.select("file", "block", "state", F.coalesce(F.sum(begun).over(earlier), F.lit(0)).alias("base")), "csv-blocks")
+    upto = Window.partitionBy("file", "block").orderBy("at")
+    placed = counted.join(blocks, ["file", "block"]).withColumn("opens", (F.col("before") + F.col("state")) % 2 == 0)
+    placed = placed.withColumn("record", F.col("base") + F.sum(F.col("opens").cast("int")).over(upto))
+    alone = F.col("opens") & (odd == 0)
+    several = (
+        placed.where(~alone)
+        .groupBy("file", "record")
+        .agg(F.array_sort(F.collect_list(F.struct("block", "at", "line"))).alias("parts"))
+        .select("record", F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("text"))
+    )
+    single = placed.where(alone).select("record", F.col("line").alias("text"))
+    # Every file starts with its header; a record may end in the carriage return of a CRLF file.
+    whole = single.unionByName(several).where(F.col("record") > 1).select(F.regexp_replace("text", "\r$", "").alias("record"))
+    return whole.where(F.col("record") != "")
+
+
 def read_posts_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """The raw export as written, every column as text, quoted line breaks kept.
+    """The raw export, every column as text, selected by its name in the header; quoted line breaks are kept.
 
-    ``multi_line`` makes a file the unit of parallelism. Exports whose texts hold no line breaks
-    should pass False, so that large files are split among tasks.
+    A file that lacks a required column is refused. All files must have the header of the first. Large files are split
+    among tasks. ``multi_line=False`` spares the search for record ends where no text holds a line break.
     """
-    reader = spark.read.schema(RAW_SCHEMA).option("header", True).option("escape", '"')
-    return reader.option("multiLine", multi_line).csv(path)
+    names = csv_columns(spark, path)
+    require_columns(names)
+    if not multi_line:
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+        reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("escape", '"')
+        return reader.csv(path).select(*RAW_COLUMNS)
+    headers = spark.read.option("lineSep", "\n").text(path).where(F.col("_metadata.file_block_start") == 0)
+    first = Window.partitionBy("file").orderBy("at")
+    headers = headers.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    different = headers.withColumn("n", F.row_number().over(first)).where("n = 1").select(F.regexp_replace("value", "\r$", "")).distinct().limit(2)
+    if different.count() > 1:
+        raise SchemaError("the files have different headers")
+    parsed = F.from_csv("record", ", ".join(f"`{name}` string" for name in names), {"escape": '"'})
+    return csv_records(spark, path).select(parsed.alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in RAW_COLUMNS])
 
 
 def to_posts(raw: DataFrame) -> DataFrame:
@@ -50,11 +111,20 @@ def to_posts(raw: DataFrame) -> DataFrame:
     )
 
 
+def rejected_posts(raw: DataFrame) -> DataFrame:
+    """Raw rows that ``to_posts`` gives no id; no operator can use them."""
+    return raw.where(to_id(F.col("tweet_id")).isNull())
+
+
+def require_columns(found: Sequence[str], required: Sequence[str] = RAW_COLUMNS) -> None:
+    missing = [name for name in required if name not in found]
+    if missing:
+        raise SchemaError(f"missing required column(s) {missing}; found {list(found)}")
+
+
 def validate_schema(df: DataFrame, required: Sequence[str] = RAW_COLUMNS) -> None:
     """Raise unless every required column is there and at least one row is."""
-    missing = [name for name in required if name not in df.columns]
-    if missing:
-        raise SchemaError(f"missing required column(s) {missing}; found {df.columns}")
+    require_columns(df.columns, required)
     if df.isEmpty():
         raise SchemaError("the table has no rows")
 
@@ -74,7 +144,7 @@ def profile_posts(raw: DataFrame) -> DataFrame:
         F.unix_seconds(F.max(at)).alias("max_time"),
         *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in RAW_COLUMNS],
         F.count_if(at.isNull()).alias("malformed_dates"),
-        F.count_if(F.col("tweet_id").cast("string").try_cast("double").isNull()).alias("malformed_ids"),
+        F.count_if(to_id(F.col("tweet_id")).isNull()).alias("malformed_ids"),
     )
     total = F.col("total_rows")
     return counted.withColumns(

@@ -25,11 +25,17 @@ def write_report_csv(df: DataFrame, path: str) -> None:
 
 
 def read_results_json(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """A JSON document that is a list of records (or one record per line)."""
+    """Records as ``write_results_json`` writes them: one per line, so large files are split among tasks."""
+    return spark.read.schema(schema).json(path)
+
+
+def read_json_document(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """JSON documents, each a list of records or a single one, over any number of lines; a file is read by one task."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
 def write_results_json(df: DataFrame, path: str) -> None:
+    """One record per line."""
     df.write.mode("overwrite").json(path)
 
 

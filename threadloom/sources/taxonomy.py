@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pathlib
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import yaml
@@ -26,9 +26,10 @@ def default_taxonomy() -> list[Intent]:
     return [Intent(name, text, escalate) for name, text, escalate, _ in presets.INTENTS]
 
 
-def read_taxonomy(path: str) -> list[Intent]:
-    """Intents of a YAML file; a missing policy flag counts as False."""
-    document = yaml.safe_load(pathlib.Path(path).read_text(encoding="utf-8")) or {}
+def read_taxonomy(spark: SparkSession, path: str) -> list[Intent]:
+    """Intents of a YAML file on any store that Spark reads; a missing policy flag counts as False."""
+    text = spark.read.text(path, wholetext=True).first()
+    document = yaml.safe_load(text[0] if text else "") or {}
     return [
         Intent(
             item["intent_name"],
@@ -36,26 +37,29 @@ def read_taxonomy(path: str) -> list[Intent]:
             bool(item.get("escalation_default", False)),
             tuple((str(e["tweet_id"]), str(e["text"])) for e in item.get("representative_examples") or ()),
         )
-        for item in document.get("intents", [])
+        for item in document.get("intents") or []
     ]
 
 
-def write_taxonomy(intents: list[Intent], path: str, **metadata: str) -> None:
-    document = {
-        "metadata": {**metadata, "total_intents": len(intents)},
-        "intents": [
-            {
-                "intent_name": i.name,
-                "description": i.description,
-                "escalation_default": i.escalate,
-                "representative_examples": [{"tweet_id": p, "text": t} for p, t in i.examples],
-            }
-            for i in intents
-        ],
-    }
-    out = pathlib.Path(path)
-    out.parent.mkdir(parents=True, exist_ok=True)
-    out.write_text(yaml.safe_dump(document, sort_keys=False, allow_unicode=True), encoding="utf-8")
+def write_taxonomy(spark: SparkSession, intents: Iterable[Intent], path: str, **metadata: str) -> None:
+    """One YAML file, written intent by intent, on any store that Spark writes."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+
+    def put(value: object) -> None:
+        out.write(bytearray(yaml.safe_dump(value, sort_keys=False, allow_unicode=True).encode("utf-8")))
+
+    try:
+        total = 0
+        out.write(bytearray(b"intents:\n"))
+        for i in intents:
+            total += 1
+            examples = [{"tweet_id": p, "text": t} for p, t in i.examples]
+            put([{"intent_name": i.name, "description": i.description, "escalation_default": i.escalate, "representative_examples": examples}])
+        put({"metadata": {**metadata, "total_intents": total}})
+    finally:
+        out.close()
 
 
 def taxonomy_table(spark: SparkSession, intents: list[Intent]) -> DataFrame:
@@ -65,16 +69,14 @@ def taxonomy_table(spark: SparkSession, intents: list[Intent]) -> DataFrame:
 
 
 def load_taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    return taxonomy_table(spark, read_taxonomy(path))
+    return taxonomy_table(spark, read_taxonomy(spark, path))
 
 
 def save_taxonomy(intents: DataFrame, path: str, **metadata: str) -> None:
-    """Write a taxonomy table (a handful of intents) as YAML."""
-    rows = intents.select("intent", "description", "escalate", "examples").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("a taxonomy holds a handful of intents, not a data table")
-    kept = [
+    """Write a taxonomy table as YAML; the driver holds one partition of it at a time."""
+    rows = intents.select("intent", "description", "escalate", "examples").toLocalIterator()
+    kept = (
         Intent(r["intent"], r["description"], r["escalate"], tuple((e["post_id"], e["text"]) for e in r["examples"] or ()))
         for r in rows
-    ]
-    write_taxonomy(kept, path, **metadata)
+    )
+    write_taxonomy(intents.sparkSession, kept, path, **metadata)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from threadloom.functions.values import order_key
 from threadloom.operators.resolve import ResolutionRules, has_closure, resolved_of
 from threadloom.plans.triage import TriageConfig, triage
+from threadloom.session import own_stages
 
 
 def _start(writer, available_now: bool) -> StreamingQuery:
@@ -33,7 +34,9 @@ def triage_stream(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        triage(batch, index, config, id_col).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        # A long-running stream leaves no stage tables behind.
+        with own_stages(batch.sparkSession):
+            triage(batch, index, config, id_col).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     writer = messages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return _start(writer, available_now)
@@ -50,18 +53,23 @@ def resolution_stream(
     rules: ResolutionRules = ResolutionRules(),
     late: str = "1 hour",
     available_now: bool = True,
+    brand: str | None = None,
 ) -> StreamingQuery:
     """Tag each thread's conversation once it had no new post for the dormancy time.
 
     ``posts`` carry their thread_key. A session is a run of posts of one thread without a gap of
     the dormancy time; it is written when the watermark passes its end. A thread that resumes
-    later starts a new session. State holds one row of fixed size per open session.
+    later starts a new session. State holds one row of fixed size per open session. With a ``brand``, whose posts need
+    their author_id, its inbound posts count as the brand's, as in ``resolve.closing_facts``.
     """
+    by_brand = ~F.col("inbound")
+    if brand is not None:
+        by_brand = by_brand | F.coalesce(F.lower("author_id") == brand.lower(), F.lit(False))
     key = order_key(F.col("created_at"), F.col("post_id"))
     customer = F.when(F.col("inbound"), key)
     gap = f"{int(rules.inactivity_hours * 3600)} seconds"
     flagged = posts.select(
-        "thread_key", "post_id", "inbound", "created_at",
+        "thread_key", "post_id", "inbound", "created_at", by_brand.alias("by_brand"),
         (F.col("inbound") & has_closure(F.col("text"), rules)).alias("grateful"),
     )
     closed = (
@@ -70,7 +78,7 @@ def resolution_stream(
         .agg(
             F.max_by("inbound", key).alias("customer_last"),
             F.max("inbound").alias("has_customer"),
-            F.max(~F.col("inbound")).alias("has_brand"),
+            F.max("by_brand").alias("has_brand"),
             F.max_by("grateful", customer).alias("grateful"),
             F.min("created_at").alias("first_at"),
             F.max("created_at").alias("last_at"),
