@@ -2,11 +2,11 @@ import numpy as np
 import pytest
 from helpers import docs
 
-tokenizers = pytest.importorskip("tokenizers")
+pytest.importorskip("tiktoken")
 pytest.importorskip("public_tokenizers")
 
 from threadloom.llm import shards  # noqa: E402
-from threadloom.llm.queries import word_bpe  # noqa: E402
+from threadloom.llm.queries import byte_bpe  # noqa: E402
 
 
 @pytest.mark.parametrize("total", [1, 2, 3, 16, 17, 1000, 4097, 65_537])
@@ -18,13 +18,13 @@ def test_a_bijection(total):
         assert abs(np.corrcoef(np.arange(total), slots)[0, 1]) < 0.1
 
 
-TEXTS = ["one two three " * n for n in (1, 5, 40, 200)] + [None, "", " ", "one two three " * 5, "y" * 5000]
+TEXTS = ["one two three " * n for n in (1, 5, 40, 200)] + [None, "", " ", "one two three " * 5, "y" * 5000, "<|endoftext|> É\n\t日本"]
 
 
 def test_every_sequence_once_and_back(spark, tmp_path):
-    tokenizer = tokenizers.Tokenizer.from_str(word_bpe())
+    encoder = byte_bpe()
     frame = docs(spark, TEXTS, extra="slot,record,task,tokens")
-    ordered = shards.training_order(frame, word_bpe(), length=16, shard=8)
+    ordered = shards.training_order(frame, encoder, length=16, shard=8, pad=50256)
     rows = ordered.collect()
     assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
     assert {len(r["record"]) for r in rows} == {4 + 32}
@@ -32,9 +32,9 @@ def test_every_sequence_once_and_back(spark, tmp_path):
     by_doc = {}
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["part"])):
         ids = np.frombuffer(r["record"][4:], "<u2")
-        assert int.from_bytes(r["record"][:4], "little") == r["n_tokens"] and (ids[r["n_tokens"] :] == 49407).all()
+        assert int.from_bytes(r["record"][:4], "little") == r["n_tokens"] and (ids[r["n_tokens"] :] == 50256).all()
         by_doc.setdefault(r["doc_id"], []).extend(ids[: r["n_tokens"]].tolist())
-    want = {i: tokenizer.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(TEXTS)}
+    want = dict(enumerate(encoder([t or "" for t in TEXTS])))
     assert by_doc == {i: ids for i, ids in want.items() if ids}
 
     path = str(tmp_path / "shards")
@@ -48,10 +48,10 @@ def test_every_sequence_once_and_back(spark, tmp_path):
 
 
 def test_wide_ids_and_repeated_rows(spark):
-    rows = shards.training_order(docs(spark, ["a b c"] * 3, ids=[1, 1, None]), word_bpe(), length=2, wide=True).collect()
+    rows = shards.training_order(docs(spark, ["a b c"] * 3, ids=[1, 1, None]), byte_bpe(), length=2, wide=True).collect()
     assert len(rows) == 6 and {len(r["record"]) for r in rows} == {12}
 
 
 def test_empty_table(spark):
-    assert shards.training_order(docs(spark, ["a"]).where("false"), word_bpe()).collect() == []
-    assert shards.training_order(docs(spark, [None, ""]), word_bpe()).collect() == []
+    assert shards.training_order(docs(spark, ["a"]).where("false"), byte_bpe()).collect() == []
+    assert shards.training_order(docs(spark, [None, ""]), byte_bpe()).collect() == []

@@ -19,6 +19,14 @@ def word_bpe() -> str:
     return bpe.read_definition(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def byte_bpe() -> shards.RankEncoder:
+    """The public byte-level tokenizer; its id 50256 is free and pads the records."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), encoding="ascii") as file:
+        return shards.RankEncoder(file.read(), public_tokenizers.PATTERN)
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(load(spark, sf_dir, "pages"))
 
@@ -29,7 +37,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.training_order(load(spark, sf_dir, "documents"), word_bpe())
+    return shards.training_order(load(spark, sf_dir, "documents"), byte_bpe(), pad=50256)
 
 
 def encoded(docs: DataFrame, definition: str) -> DataFrame:

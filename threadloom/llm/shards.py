@@ -1,6 +1,6 @@
 """Training-order materialisation of token ids in fixed-stride shards.
 
-Texts are tokenized once into sequences of at most ``length`` ids, which a stage table holds. A sequence's number is its task's offset
+Texts are tokenized once, by any function from texts to ids, into sequences of at most ``length`` ids, which a stage table holds. A sequence's number is its task's offset
 plus its place in the task, so numbers are dense without a global sort. A keyed Feistel network permutes
 the numbers: it works on the smallest even number of bits that holds them all and walks along its cycle until it falls
 back into the range, which makes it a bijection of 0 .. n-1. The image is the sequence's slot in training order. Range partitions
@@ -16,7 +16,9 @@ sequences. An empty table gives no shard. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import base64
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -25,8 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.bpe import _tokenizer, word_ids
-from threadloom.llm.tables import shuffle_partitions, text_bytes
+from threadloom.llm.tables import shuffle_partitions, slices
 from threadloom.session import small_side, spread, write_stage
 
 LENGTH = 1024
@@ -34,38 +35,46 @@ LENGTH = 1024
 SHARD = 4096
 KEY = 0x5EED
 ROUNDS = 6
-# Words whose ids a task remembers; beyond, it forgets them all and goes on.
-REMEMBERED = 500_000
+Encoder = Callable[[list[str]], Sequence[Sequence[int]]]
+_loaded: dict[int, object] = {}
 
 
-def sequences(docs: DataFrame, definition: str, length: int = LENGTH, wide: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class RankEncoder:
+    """A byte-level BPE given by the text of a rank file and its splitting pattern; markers in a text are ordinary text."""
+
+    ranks: str
+    pattern: str
+
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        import tiktoken
+
+        key = hash((self.ranks, self.pattern))
+        if key not in _loaded:
+            ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(str.split, self.ranks.splitlines())}
+            _loaded[key] = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+        return [_loaded[key].encode_ordinary(t) for t in texts]
+
+
+def sequences(docs: DataFrame, encoder: Encoder, length: int = LENGTH, wide: bool = False) -> DataFrame:
     """(task, place, doc_id, part, n_tokens, tokens): the ids of every text, cut after ``length`` ids."""
-    shipped = docs.sparkSession.sparkContext.broadcast(definition)
+    shipped = docs.sparkSession.sparkContext.broadcast(encoder)
     kind = np.dtype("<u4" if wide else "<u2")
     names = ["task", "place", "doc_id", "part", "n_tokens", "tokens"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, place, known, step = TaskContext.get().partitionId(), 0, {}, length * kind.itemsize
-        for batch in batches:
-            texts = [(t or b"").split() for t in text_bytes(batch.column(1))]
-            for i in range(0, len(texts), 256):
-                new = list({w for words in texts[i : i + 256] for w in words} - known.keys())
-                if len(known) + len(new) > REMEMBERED:
-                    known = {}
-                    new = list({w for words in texts[i : i + 256] for w in words})
-                known.update((w, np.frombuffer(x, "<u4").astype(kind).tobytes()) for w, x in zip(new, word_ids(shipped.value, new)))
-                out = []
-                for key, words in zip(batch.column(0).slice(i, 256).to_pylist(), texts[i : i + 256]):
-                    ids = b"".join(map(known.__getitem__, words))
-                    for part, at in enumerate(range(0, len(ids), step)):
-                        piece = ids[at : at + step]
-                        out.append((task, place, key, part, len(piece) // kind.itemsize, piece))
-                        place += 1
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
-                        names=names,
-                    )
+        task, place, step = TaskContext.get().partitionId(), 0, length * kind.itemsize
+        for batch in slices(batches):
+            keys, texts, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for key, found in zip(keys, shipped.value([t or "" for t in texts])):
+                ids = np.array(found, dtype=kind).tobytes()
+                for part, at in enumerate(range(0, len(ids), step)):
+                    piece = ids[at : at + step]
+                    out.append((task, place, key, part, len(piece) // kind.itemsize, piece))
+                    place += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     rows = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     return rows.mapInArrow(run, "task bigint, place bigint, doc_id bigint, part int, n_tokens int, tokens binary")
@@ -96,13 +105,14 @@ def permute(numbers: np.ndarray, total: int, key: int = KEY, rounds: int = ROUND
     return out.astype(np.int64)
 
 
-def training_order(docs: DataFrame, definition: str, length: int = LENGTH, shard: int = SHARD, key: int = KEY, wide: bool = False) -> DataFrame:
+def training_order(
+    docs: DataFrame, encoder: Encoder, length: int = LENGTH, shard: int = SHARD, key: int = KEY, pad: int = 0, wide: bool = False
+) -> DataFrame:
     """(slot, shard, byte_offset, doc_id, part, n_tokens, record), range partitioned and sorted by slot."""
     spark = docs.sparkSession
-    pad = _tokenizer(definition).token_to_id("<|endoftext|>") or 0
     kind = "<u4" if wide else "<u2"
     stride = 4 + length * np.dtype(kind).itemsize
-    held, seen = write_stage(sequences(docs, definition, length, wide), "shard-sequences")
+    held, seen = write_stage(sequences(docs, encoder, length, wide), "shard-sequences")
     total = seen["rows"]
 
     # One row per task of the scan.
