@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.session import write_stage
+from threadloom.session import small_side, write_stage
 
 MIN_SITES = 5
 # Estimates within this share of the threshold are counted exactly.
@@ -83,13 +83,14 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` with cleaned texts and the columns ``n_lines`` and ``n_removed`` (lines that are not blank)."""
     lines, _ = write_stage(line_rows(docs, key, text, site), "line-rows")
-    wide, _ = write_stage(wide_lines(lines, min_sites), "line-wide")
+    # One row per boilerplate line. As long as they fit, they travel to the lines: a line on half of all pages is then in no one task.
+    wide = small_side(wide_lines(lines, min_sites), "line-wide")
     hits, _ = write_stage(lines.join(wide, "line", "left_semi").select("doc", "id", "pos", "line"), "line-hits")
     # The first occurrence: smallest id (null last), then smallest document hash, then first position.
     # Two aggregates of plain numbers, as a minimum over structs would sort all rows.
-    owner = hits.groupBy("line").agg(F.min("id").alias("id"))
-    at = hits.join(owner.withColumnRenamed("id", "first"), "line").where(F.col("id").eqNullSafe(F.col("first")))
-    owner = at.groupBy("line").agg(F.min("doc.a").alias("doc_a"))
+    owner = small_side(hits.groupBy("line").agg(F.min("id").alias("first")), "line-first-ids")
+    at = hits.join(owner, "line").where(F.col("id").eqNullSafe(F.col("first")))
+    owner = small_side(at.groupBy("line").agg(F.min("doc.a").alias("doc_a")), "line-owners")
     marked = hits.join(owner, "line").select(
         "doc", "pos", (F.lit(keep_first) & (F.col("doc.a") == F.col("doc_a"))).alias("own"), "line"
     )
