@@ -30,13 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.tables import shuffle_partitions, text_bytes
+from threadloom.llm.tables import shuffle_partitions, slices, text_bytes
 from threadloom.session import spread, stage_path
 
 # Bytes of text in a block.
 BLOCK_BYTES = 16 << 20
-# Texts taken from an Arrow batch at a time.
-SLICE = 256
 # Bytes of ids or text in an output batch.
 BATCH_BYTES = 2 << 20
 
@@ -140,14 +138,12 @@ _BLOCK_TYPE = pa.schema(
 def _split(block_bytes: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made, block = TaskContext.get().partitionId() << 32, 0, _Block()
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                part = batch.slice(start, SLICE)
-                for key, text in zip(part.column(0).to_pylist(), text_bytes(part.column(1))):
-                    if block.keys and block.size + len(text or b"") > block_bytes:
-                        yield pa.RecordBatch.from_pylist([block.row(base + made, buckets)], schema=_BLOCK_TYPE)
-                        made, block = made + 1, _Block()
-                    block.add(key, text or b"")
+        for batch in slices(batches):
+            for key, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+                if block.keys and block.size + len(text or b"") > block_bytes:
+                    yield pa.RecordBatch.from_pylist([block.row(base + made, buckets)], schema=_BLOCK_TYPE)
+                    made, block = made + 1, _Block()
+                block.add(key, text or b"")
         if block.keys:
             yield pa.RecordBatch.from_pylist([block.row(base + made, buckets)], schema=_BLOCK_TYPE)
 
@@ -325,12 +321,10 @@ def decode(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     schema = tokens.schema.simpleString()[len("struct<") : -1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("ids")
-            for start in range(0, batch.num_rows, SLICE):
-                part = batch.slice(start, SLICE)
-                texts = [_spoken(np.frombuffer(raw or b"", dtype="<u4"), shipped.value) for raw in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
+        for batch in slices(batches):
+            ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
+            texts = [_spoken(np.frombuffer(raw or b"", dtype="<u4"), shipped.value) for raw in ids]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return tokens.mapInArrow(run, f"{schema}, decoded string")
 

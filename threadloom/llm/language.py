@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.tables import slices
 from threadloom.session import spread
 
 BITS = 15
@@ -83,7 +84,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for body, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not _LETTER.search(body):
                     continue
@@ -128,7 +129,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        for batch in batches:
+        for batch in slices(batches):
             found = [one(body, m) for body in batch.column(1).to_pylist()]
             names, scores = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays(

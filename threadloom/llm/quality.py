@@ -15,6 +15,7 @@ are looked at in pieces whose counts add up. Extra columns are ignored by ``scor
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.tables import pieces_up_to, text_bytes
+from threadloom.llm.tables import pieces_up_to, slices, text_bytes
 from threadloom.session import spread
 
 # Rows that the scorer learns from.
-SAMPLE = 10_000
+SAMPLE = 6_000
 FEATURES = 1 << 16
 # Bytes of text that are looked at together.
-PIECE = 2 << 20
+PIECE = 1 << 19
 LABELLERS = 8
 GOOD, BAD, ABSTAIN = 1, 0, -1
 KEEP = 0.25
@@ -242,9 +243,13 @@ def count_votes(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nda
     """Vote patterns of all rows and how often each occurs: at most 3^8 rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, n = np.unique(votes(text_bytes(batch.column(0))), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.list_(pa.int64())), pa.array(n, pa.int64())], names=["votes", "n"])
+        sums: Counter[tuple[int, ...]] = Counter()
+        for batch in slices(batches):
+            sums.update(map(tuple, votes(text_bytes(batch.column(0))).tolist()))
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(map(list, sums)), pa.list_(pa.int64())), pa.array(list(sums.values()), pa.int64())], names=["votes", "n"]
+            )
 
     rows = spread(docs.select(F.col(text).alias("text")))
     table = rows.mapInArrow(run, "votes array<bigint>, n bigint").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
@@ -253,7 +258,7 @@ def count_votes(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nda
 
 def hashed(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows (row, feature, value): words, shapes and repeats, hashed; the values of a text have length 1."""
-    rows, ids = [], []
+    found, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for row, w in batches_of(texts):
         again = np.concatenate(([False], (w.hash[1:] == w.hash[:-1]) & (row[1:] == row[:-1]))) if len(row) else np.zeros(0, bool)
         shape = w.shape.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
@@ -261,13 +266,14 @@ def hashed(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         for number, (at, key) in enumerate(zip((row, row, row[again]), kinds)):
             with np.errstate(over="ignore"):
                 key = (key + np.uint64(number)) * np.uint64(0xE7037ED1A0B428DB)
-            ids.append((key >> np.uint64(48)).astype(np.int64))
-            rows.append(at)
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    both, n = np.unique(np.concatenate(rows) * FEATURES + np.concatenate(ids), return_counts=True)
+            # A piece of text is reduced to its distinct features before the next one is looked at.
+            both, n = np.unique(at * FEATURES + (key >> np.uint64(48)).astype(np.int64), return_counts=True)
+            found.append(both)
+            counts.append(n)
+    both, place = np.unique(np.concatenate(found), return_inverse=True)
+    n = np.bincount(place, weights=np.concatenate(counts), minlength=len(both))
     row, feature = both // FEATURES, both % FEATURES
-    value = np.sqrt(n / np.bincount(row, weights=n)[row])
+    value = np.sqrt(n / np.maximum(np.bincount(row, weights=n), 1)[row]) if len(row) else n
     return row, feature, value
 
 
@@ -308,7 +314,7 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int =
     shipped = docs.sparkSession.sparkContext.broadcast(labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = text_bytes(batch.column(1))
             row, feature, value = hashed(texts)
             cuts = np.searchsorted(row, np.arange(len(texts) + 1))
@@ -337,7 +343,7 @@ def score(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "tex
     shipped = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = text_bytes(batch.column(1))
             value = shipped.value.score(texts)
             label = shipped.value.labels.posterior(votes(texts))
@@ -356,7 +362,7 @@ def keep_good(docs: DataFrame, scorer: Scorer, text: str = "text", keep: float =
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(shipped.value.score(text_bytes(batch.column(at))) >= keep))
 
     return spread(docs).mapInArrow(run, docs.schema)

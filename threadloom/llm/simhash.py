@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.tables import text_bytes
+from threadloom.llm.tables import slices, text_bytes
 from threadloom.operators.graph import connected_components
 from threadloom.session import spread, write_stage
 
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     """(doc_id, bits) for every row; ``bits`` is the fingerprint as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             bits = np.array([fingerprint(t, width, seed) for t in text_bytes(batch.column(1))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], names=["doc_id", "bits"])
 
@@ -220,9 +220,8 @@ def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     The row with the smallest id stays; of several rows with this id, or of a group without any id, the one whose
     content has the smallest hash.
     """
-    row, _ = write_stage(
-        docs.select(F.xxhash64("doc_id", "text").alias("h"), F.struct(*[F.col(c) for c in docs.columns]).alias("row")), "simhash-rows"
-    )
+    # A row is known by the hash of its id and text, so the texts themselves are read again and not written once more.
+    row = docs.select(F.xxhash64("doc_id", "text").alias("h"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     groups = components(row.select("h", "row.text", F.col("row.doc_id").alias("doc_id")), key="h")
     ids = row.select("h", F.col("row.doc_id").alias("doc_id")).distinct()
     member = groups.select(F.col("doc_id").alias("h"), F.col("component_id").alias("group")).distinct().join(ids, "h")
