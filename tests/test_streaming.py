@@ -1,6 +1,9 @@
 import datetime as dt
+import pathlib
 
+from threadloom import presets, session
 from threadloom.operators.resolve import ResolutionRules
+from threadloom.plans.triage import TriageConfig
 from threadloom.streaming import jobs
 
 POST = "thread_key bigint, post_id bigint, inbound boolean, created_at timestamp, text string"
@@ -35,3 +38,37 @@ def test_dormancy_watch_across_restarts(spark, tmp_path):
     }
     # A post older than the watermark changes nothing any more.
     assert feed([(1, 9, True, hours(1.5), "late")]) == done
+
+
+def test_a_stream_leaves_no_stage_tables(spark, tmp_path):
+    """Micro-batches drop the tables they made; a long-running stream does not fill the shared folder."""
+    index = spark.createDataFrame(
+        [(i, presets.DEFAULT_INTENT, [1.0, float(i)], [1.0, 0.0], "sent a link", "transferred_to_dm", "See the guide") for i in range(6)],
+        "hit_id int, intent string, embedding array<double>, action_vector array<double>, action_taken string, outcome string, brand_reply_text string",
+    )
+    rows = [(i, f"message number {i}", [1.0, float(i)]) for i in range(10)]
+    spark.createDataFrame(rows, "message_id int, text string, embedding array<double>").repartition(5).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("message_id int, text string, embedding array<double>").option("maxFilesPerTrigger", 1)
+    shared = pathlib.Path(session.stage_path(spark, "probe").removeprefix("file:")).parent
+    shared.mkdir(parents=True, exist_ok=True)
+    before = sorted(p.name for p in shared.iterdir())
+    out = str(tmp_path / "out")
+    jobs.triage_stream(stream.parquet(str(tmp_path / "in")), index, TriageConfig(), out, str(tmp_path / "mark")).awaitTermination()
+    records = jobs.read_batches(spark, out)
+    assert records.count() == 10 and records.select("batch").distinct().count() > 1
+    assert records.where("size(retrieved_precedents) > 0").count() == 10
+    assert sorted(p.name for p in shared.iterdir()) == before
+
+
+def test_a_brands_inbound_posts_count_as_its_own(spark, tmp_path):
+    rows = [(1, 1, True, hours(0), "help", "c1"), (1, 2, True, hours(1), "answer", "Acme"), (9, 3, True, hours(200), "sentinel", "c2")]
+    spark.createDataFrame(rows, POST + ", author_id string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    for brand, reason in ((None, "unanswered_by_brand"), ("acme", "pending_brand_reply")):
+        out = str(tmp_path / f"out-{brand}")
+        stream = spark.readStream.schema(POST + ", author_id string").parquet(str(tmp_path / "in"))
+        jobs.resolution_stream(stream, out, str(tmp_path / f"mark-{brand}"), brand=brand).awaitTermination()
+        late = [(9, 4, True, hours(400), "sentinel", "c2")]
+        spark.createDataFrame(late, POST + ", author_id string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(POST + ", author_id string").parquet(str(tmp_path / "in"))
+        jobs.resolution_stream(stream, out, str(tmp_path / f"mark-{brand}"), brand=brand).awaitTermination()
+        assert (1, reason) in {(r["thread_key"], r["resolution_reason"]) for r in spark.read.parquet(out).collect()}

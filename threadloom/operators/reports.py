@@ -153,7 +153,7 @@ def label_clusters(
         ).alias("label"),
         F.coalesce(
             *[F.when(ok, F.lit(about)) for ok, _, about in enough],
-            F.concat(F.lit("Customer assistance inquiries regarding "), F.coalesce("_about", F.lit(presets.NO_TERMS_ABOUT)), F.lit(".")),
+            F.concat(F.lit(presets.CLUSTER_ABOUT), F.coalesce("_about", F.lit(presets.NO_TERMS_ABOUT)), F.lit(".")),
         ).alias("description"),
     )
 

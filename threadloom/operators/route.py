@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom import presets
+from threadloom.functions.values import half_even
 from threadloom.operators.messages import attach_template, classify_keywords
 
 NO_CLAIMS = "array<string>"
@@ -42,7 +43,7 @@ def other_grounds(policy_intents: Sequence[str] = presets.POLICY_INTENTS, agreem
 
 def _shown(col: Column) -> Column:
     """A score for display; exact halves (multiples of 1/8) go to the even digit before formatting."""
-    return F.when(col * 8 == F.floor(col * 8), F.bround(col, 2)).otherwise(col)
+    return F.when(col * 8 == F.floor(col * 8), half_even(col, 2)).otherwise(col)
 
 
 def decide(
@@ -59,21 +60,21 @@ def decide(
     intent, conf, agree = F.col("predicted_intent"), F.col("intent_confidence"), F.col("agreement")
     fine = is_grounded(F.col("grounded"), F.col("unsupported_claims"))
     reason = (
-        F.when(intent.isin(*policy_intents), F.concat(F.lit("intent policy: always escalate for "), intent))
+        F.when(intent.isin(*policy_intents), F.concat(F.lit(presets.REASON_POLICY), intent))
         .when(
             conf < confidence_min,
-            F.format_string(f"low classifier confidence (%.2f < {confidence_min:.2f}): routing uncertain", _shown(conf)),
+            F.format_string(presets.REASON_CONFIDENCE.format(confidence_min), _shown(conf)),
         )
         .when(
             agree < agreement_min,
             F.format_string(
-                "low precedent agreement (%.2f): retrieved historical resolutions disagree on how this was handled",
+                presets.REASON_AGREEMENT,
                 _shown(agree),
             ),
         )
-        .when(~fine, F.lit("draft contains a claim not supported by retrieved precedent"))
+        .when(~fine, F.lit(presets.REASON_CLAIM))
     )
-    passed = F.format_string("high precedent agreement (%.2f), grounded draft, non-restricted intent", _shown(agree))
+    passed = F.format_string(presets.REASON_PASSED, _shown(agree))
     return df.withColumn("_reason", reason).select(
         *df.columns,
         F.when(F.col("_reason").isNotNull(), "escalate").otherwise("auto_handle").alias("decision"),
@@ -100,7 +101,7 @@ def baseline_trivial(df: DataFrame, intent: str = presets.DEFAULT_INTENT, reply:
         agreement=F.lit(0.0),
         drafted_reply=F.lit(reply),
         decision=F.lit("escalate"),
-        escalation_reason=F.lit("trivial baseline: escalate all messages"),
+        escalation_reason=F.lit(presets.REASON_TRIVIAL),
     )
 
 
@@ -120,6 +121,6 @@ def baseline_simple(
         agreement=F.lit(0.50),
         decision=F.when(restricted, "escalate").otherwise("auto_handle"),
         escalation_reason=F.when(
-            restricted, F.concat(F.lit("intent policy: always escalate for "), F.col("predicted_intent"))
-        ).otherwise(F.lit("simple baseline: non-restricted intent auto_handled")),
+            restricted, F.concat(F.lit(presets.REASON_POLICY), F.col("predicted_intent"))
+        ).otherwise(F.lit(presets.REASON_SIMPLE)),
     )

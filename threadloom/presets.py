@@ -312,3 +312,15 @@ FAILURE_DETAILS = {
     "false_auto_handle": "Safety hazard: Customer inquiry required human intervention but was cleared for autonomous reply.",
 }
 FAILURE_SUB_MODES = {"wrong_specific": "wrong_invented_specific", "plausible_specific": "plausible_ungrounded_specific"}
+
+# Reasons of routing decisions; %.2f is the score.
+REASON_POLICY = "intent policy: always escalate for "
+REASON_CONFIDENCE = "low classifier confidence (%.2f < {:.2f}): routing uncertain"
+REASON_AGREEMENT = "low precedent agreement (%.2f): retrieved historical resolutions disagree on how this was handled"
+REASON_CLAIM = "draft contains a claim not supported by retrieved precedent"
+REASON_PASSED = "high precedent agreement (%.2f), grounded draft, non-restricted intent"
+REASON_TRIVIAL = "trivial baseline: escalate all messages"
+REASON_SIMPLE = "simple baseline: non-restricted intent auto_handled"
+
+# Fixed value: start of the description of a cluster that no rule names.
+CLUSTER_ABOUT = "Customer assistance inquiries regarding "
