@@ -81,7 +81,10 @@ def wide_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 def dedup_lines(
     docs: DataFrame, min_sites: int = MIN_SITES, key: str = "doc_id", text: str = "text", site: str = "source", keep_first: bool = True
 ) -> DataFrame:
-    """``docs`` with cleaned texts and the columns ``n_lines`` and ``n_removed`` (lines that are not blank)."""
+    """``docs`` with cleaned texts and the columns ``n_lines`` and ``n_removed`` (lines that are not blank).
+
+    Columns of ``docs`` with these two names are replaced; all others stay.
+    """
     lines, _ = write_stage(line_rows(docs, key, text, site), "line-rows")
     # One row per boilerplate line. As long as they fit, they travel to the lines: a line on half of all pages is then in no one task.
     wide = small_side(wide_lines(lines, min_sites), "line-wide")
