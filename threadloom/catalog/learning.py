@@ -114,20 +114,19 @@ def kmeans_sweep(spark, sf_dir):
     top = best == min(k for k in scores if scores[k] == max(scores.values()))
     parts = []
     for k, model in models.items():
-        placed = ml.kmeans_assign(vectors, model)
         centers = F.array(*[F.array(*map(F.lit, map(float, c))) for c in model.centers])
         away = F.transform(centers, lambda c: distance(as_doubles(F.col("embedding")), c))
         wrong = F.element_at(away, F.col("cluster") + 1) > F.array_min(away) + 1e-9
-        counted = placed.agg(F.count("cluster").alias("members"), F.count_if(wrong).alias("misplaced"))
-        score = ml.cluster_silhouette(placed, "cluster", "embedding").scalar()
-        sizes = int(model.rows.sum())
-        parts.append(
-            counted.select(
-                F.lit(k).alias("k"), "members", (F.col("misplaced") + F.abs(F.col("members") - sizes)).alias("misplaced"),
-                (F.abs(score - scores[k]) <= 2e-4).alias("score_confirmed"), F.lit(top).alias("best_consistent"),
-            )
-        )
-    return functools.reduce(DataFrame.unionByName, parts)
+        parts.append(ml.kmeans_assign(vectors, model).select(F.lit(k).alias("k"), "embedding", "cluster", wrong.alias("wrong")))
+    placed, _ = write_stage(functools.reduce(DataFrame.unionByName, parts), "placed")
+    found = spark.createDataFrame(
+        [(k, float(s), int(models[k].rows.sum())) for k, s in scores.items()], "k int, score double, sizes bigint"
+    )
+    counted = placed.groupBy("k").agg(F.count("cluster").alias("members"), F.count_if("wrong").alias("wrong"))
+    return counted.join(found, "k").join(ml.cluster_silhouette(placed, "cluster", "embedding", by="k"), "k").select(
+        "k", "members", (F.col("wrong") + F.abs(F.col("members") - F.col("sizes"))).alias("misplaced"),
+        (F.abs(F.col("silhouette") - F.col("score")) <= 2e-4).alias("score_confirmed"), F.lit(top).alias("best_consistent"),
+    )
 
 
 @query(

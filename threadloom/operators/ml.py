@@ -123,13 +123,10 @@ def _lloyd_round(rows: DataFrame, models: dict[int, np.ndarray]) -> dict[int, Cl
         for name, (n, cost, squares, total) in held.items():
             yield pd.DataFrame({"model": name, "cluster": range(len(n)), "n": n, "cost": cost, "squares": squares, "total": list(total)})
 
-    def whole(part: pd.DataFrame) -> pd.DataFrame:
-        out = part.groupby(["model", "cluster"], as_index=False)[["n", "cost", "squares"]].sum()
-        out["total"] = [np.sum(np.stack(g["total"].to_numpy()), axis=0) for _, g in part.groupby(["model", "cluster"])]
-        return out
-
     # A task sends one row per cluster and model; what comes to the driver is one row per cluster and model.
-    found = rows.mapInPandas(partial, schema).groupBy("model").applyInPandas(whole, schema).toPandas()
+    found = rows.mapInPandas(partial, schema).groupBy("model", "cluster").agg(
+        *[F.sum(c).alias(c) for c in ("n", "cost", "squares")], vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total")
+    ).toPandas()
     result = {}
     for name, part in found.groupby("model"):
         part = part.sort_values("cluster")
@@ -330,29 +327,34 @@ def silhouette(df: DataFrame, id_col: str, label: str, vector: str) -> DataFrame
     return silhouette_rows(df, id_col, label, vector).agg(half_even(F.avg("silhouette"), 4).alias("silhouette"))
 
 
-def cluster_silhouette(df: DataFrame, label: str, vector: str) -> DataFrame:
-    """Mean squared-Euclidean silhouette of a given clustering: two passes, whatever the size of the table."""
-    rows = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(label).alias("own"), as_doubles(F.col(vector)).alias("vector"))
-    rows, _ = write_stage(rows, "silhouette-rows")
-    x = array_to_vector("vector")
-    sums = rows.groupBy("own").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(dot(F.col("vector"), F.col("vector"))).alias("q"), vector_to_array(Summarizer.sum(x)).alias("s")
+def cluster_silhouette(df: DataFrame, label: str, vector: str, by: str | None = None) -> DataFrame:
+    """Mean squared-Euclidean silhouette of a given clustering: two passes, whatever the size of the table.
+
+    With ``by``, a column of few values such as k, there is one row for each clustering that it tells apart.
+    """
+    keys = [by] if by else []
+    rows = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull())
+    rows, _ = write_stage(rows.select(*keys, F.col(label).alias("own"), as_doubles(F.col(vector)).alias("vector")), "silhouette-rows")
+    square = dot(F.col("vector"), F.col("vector"))
+    sums = rows.groupBy(*keys, "own").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(square).alias("q"), vector_to_array(Summarizer.sum(array_to_vector("vector"))).alias("s")
     )
-    # The sums of all clusters are one value, a scalar subquery, that every row is compared with.
+    # Every row is compared with the sums of all clusters: a scalar subquery, or a lookup of one row per clustering.
     sums, _ = write_stage(sums, "silhouette-sums")
-    met = rows.withColumn("clusters", sums.agg(F.collect_list(F.struct("own", "n", "q", "s"))).scalar())
-    square = dot(F.col("vector"), F.col("vector"))
+    listed = F.collect_list(F.struct("own", "n", "q", "s")).alias("clusters")
+    met = rows.join(small_side(sums.groupBy(by).agg(listed), "silhouette-clusters"), by) if by else rows.withColumn("clusters", sums.agg(listed).scalar())
     mean = lambda c: F.greatest(F.lit(0.0), square - 2 * dot(F.col("vector"), c["s"]) / c["n"] + c["q"] / c["n"])
     mine = F.filter("clusters", lambda c: c["own"] == F.col("own"))[0]
     others = F.filter("clusters", lambda c: c["own"] != F.col("own"))
     valued = met.select(
+        *keys,
         mine["n"].alias("n"),
         (mean(mine) * mine["n"] / F.greatest(mine["n"] - 1, F.lit(1))).alias("a"),
         F.array_min(F.transform(others, mean)).alias("b"),
     )
     width = F.greatest("a", "b")
     value = F.when((F.col("n") > 1) & F.col("b").isNotNull() & (width > 0), (F.col("b") - F.col("a")) / width).otherwise(F.lit(0.0))
-    return valued.agg(half_even(F.avg(value), 4).alias("silhouette"))
+    return valued.groupBy(*keys).agg(half_even(F.avg(value), 4).alias("silhouette"))
 
 
 def cluster_centers(df: DataFrame, cluster: str = "cluster", vector: str = "embedding") -> DataFrame:
