@@ -16,7 +16,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -214,15 +214,17 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     )
 
 
-def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, group: Callable[..., DataFrame] = components) -> DataFrame:
     """One row of each group of near-duplicates, with the columns of ``docs``.
 
+    ``group`` gives (doc_id, component_id) for every row of a frame, whose id column ``key`` names.
+
     The row with the smallest id stays; of several rows with this id, or of a group without any id, the one whose
     content has the smallest hash.
     """
     # A row is known by the hash of its id and text, so the texts themselves are read again and not written once more.
     row = docs.select(F.xxhash64("doc_id", "text").alias("h"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    groups = components(row.select("h", "row.text", F.col("row.doc_id").alias("doc_id")), key="h")
+    groups = group(row.select("h", "row.text", F.col("row.doc_id").alias("doc_id")), key="h")
     ids = row.select("h", F.col("row.doc_id").alias("doc_id")).distinct()
     member = groups.select(F.col("doc_id").alias("h"), F.col("component_id").alias("group")).distinct().join(ids, "h")
     order = Window.partitionBy("group").orderBy(F.col("doc_id").asc_nulls_last(), "h")
