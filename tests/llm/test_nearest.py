@@ -79,3 +79,12 @@ def test_hadamard_is_orthonormal():
 
 def test_empty_table(spark):
     assert nearest.search(vectors(spark, np.ones((1, 4))).where("false"), F.lit(True)).collect() == []
+
+
+def test_lengths_do_not_depend_on_the_first_row(spark):
+    rng = np.random.default_rng(4)
+    x = unit(rng, 40, 16)
+    rows = [(100, [1.0, 2.0, 3.0], 0), (101, [1.0, 2.0, 2.0], 0), *[(i, [float(c) for c in v], 0) for i, v in enumerate(x)]]
+    got = result(nearest.search(spark.createDataFrame(rows, SCHEMA).coalesce(1), F.col("vec_id").isin(0, 100), probes=32))
+    assert [v for v, _ in got[0]] == [v for v, _ in plain(x, range(40), 0, 10)]
+    assert [v for v, _ in got[100]] == [101]

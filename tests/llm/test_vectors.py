@@ -93,3 +93,10 @@ def test_unusable_vectors(spark):
 
 def test_empty_table(spark):
     assert vectors.near_duplicates(frame(spark, [(1, [1.0], 1)], SCHEMA).where("false")).collect() == []
+
+
+def test_lengths_do_not_depend_on_the_first_row(spark):
+    rows = [(0, [1.0, 2.0], 1), *[(i, [1.0, 0.5, 0.25, 0.1], 1) for i in range(1, 6)], (6, [1.0, 2.0], 1)]
+    data = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").coalesce(1)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(data).collect()}
+    assert got == {0: (1, 0), 6: (1, 0), **{i: (4, 1) for i in range(1, 6)}}

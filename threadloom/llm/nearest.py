@@ -9,8 +9,8 @@ vectors; a block returns at most k rows per query, never its pairs.
 Nearness is the Euclidean distance in double precision. Hashing sees directions only, so vectors of very different lengths
 should be scaled by the caller first.
 
-Defined cases: vectors that are null or zero, hold null or non-finite components, or have another length
-than the first of their batch take no part, neither do rows without an id. Rows that share an id are one candidate each, of which a
+Defined cases: vectors that are null or zero, hold null or non-finite components
+take no part, neither do rows without an id. Vectors of different lengths are no candidates of each other. Rows that share an id are one candidate each, of which a
 result names the nearest; a query never finds its own id. Ties go to the smaller id. Extra columns are ignored.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.tables import matrix_of
+from threadloom.llm.tables import matrices_of
 from threadloom.session import small_side, write_stage
 
 TABLES = 10
@@ -78,17 +78,20 @@ def hashed(vectors: DataFrame, key: str, vector: str, tables: int, hashes: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            matrix, usable = matrix_of(batch.column(1))
-            if not len(matrix):
-                continue
-            scaled = matrix / np.abs(matrix).max(axis=1, keepdims=True)
-            unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
-            spots = np.concatenate([buckets(unit, t, hashes, probes, seed) for t in range(tables)], axis=1)
-            ids = [i for i, ok in zip(batch.column(0).to_pylist(), usable) if ok]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([r.tobytes() for r in matrix], pa.binary()), pa.array(list(spots), pa.list_(pa.int64()))],
-                names=["id", "vector", "spots"],
-            )
+            for matrix, places in matrices_of(batch.column(1)):
+                scaled = matrix / np.abs(matrix).max(axis=1, keepdims=True)
+                unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+                # Short vectors have fewer buckets than probes; the other places hold -1, which is no bucket.
+                spots = [buckets(unit, t, hashes, probes, seed) for t in range(tables)]
+                spots = np.concatenate([np.pad(s, ((0, 0), (0, probes - s.shape[1])), constant_values=-1) for s in spots], axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(places)),
+                        pa.array([r.tobytes() for r in matrix], pa.binary()),
+                        pa.array(list(spots), pa.list_(pa.int64())),
+                    ],
+                    names=["id", "vector", "spots"],
+                )
 
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("vector")).where(F.col("id").isNotNull())
     return rows.mapInArrow(run, "id bigint, vector binary, spots array<bigint>")
@@ -97,7 +100,7 @@ def hashed(vectors: DataFrame, key: str, vector: str, tables: int, hashes: int,
 def _spots(rows: DataFrame, probes: int) -> DataFrame:
     """One row per (table, bucket) of a vector."""
     spots = rows.select("id", "vector", F.posexplode("spots").alias("at", "bucket"))
-    return spots.select("id", "vector", F.floor(F.col("at") / probes).cast("int").alias("tab"), "bucket")
+    return spots.where("bucket >= 0").select("id", "vector", F.floor(F.col("at") / probes).cast("int").alias("tab"), "bucket")
 
 
 def _nearest(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:

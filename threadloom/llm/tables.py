@@ -36,19 +36,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def matrix_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of a list column as a float64 matrix, and the rows that hold a usable one.
+def matrices_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Usable vectors of a list column, for each length a float64 matrix and the places of its rows in the column.
 
-    A row is usable if it is not null, has the most common length of the batch's first non-null
-    row, holds no null and no non-finite component, and is not the zero vector.
+    A vector is usable if it is not null or empty, holds no null and no non-finite component, and is not the zero vector.
     """
     rows = column.to_pylist()
-    width = next((len(r) for r in rows if r), 0)
-    usable = np.array([r is not None and len(r) == width and width > 0 and None not in r for r in rows], dtype=bool)
-    matrix = np.array([r for r, ok in zip(rows, usable) if ok], dtype=np.float64).reshape(-1, width)
-    good = np.isfinite(matrix).all(axis=1) & matrix.any(axis=1) if width else np.zeros(0, dtype=bool)
-    usable[np.flatnonzero(usable)[~good]] = False
-    return matrix[good], usable
+    places: dict[int, list[int]] = {}
+    for i, r in enumerate(rows):
+        if r and None not in r:
+            places.setdefault(len(r), []).append(i)
+    for own in places.values():
+        matrix = np.array([rows[i] for i in own], dtype=np.float64)
+        good = np.isfinite(matrix).all(axis=1) & matrix.any(axis=1)
+        if good.any():
+            yield matrix[good], np.array(own)[good]
 
 
 def pieces_up_to(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:

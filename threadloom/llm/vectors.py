@@ -17,7 +17,7 @@ stays below the threshold in either direction is decided; every other pair is re
 Buckets above ``BLOCK`` nodes are cut into blocks, each pair of which is a task's group.
 
 Defined cases: vectors that are null or zero, or hold null or non-finite components, and rows without a label, link with nothing and are their own
-component; so do vectors of a length unlike their batch's. Repeated rows count as vectors of their own. A row
+component. Vectors of different lengths do not link. Repeated rows count as vectors of their own. A row
 without an id links like others, but names no component. Extra columns are ignored.
 """
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.tables import matrix_of
+from threadloom.llm.tables import matrices_of
 from threadloom.operators.graph import connected_components
 from threadloom.session import write_stage
 
@@ -80,9 +80,10 @@ def usable(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            matrix, good = matrix_of(batch.column(2))
-            raw = iter(matrix)
-            out = [next(raw).tobytes() if ok else None for ok in good]
+            out = [None] * batch.num_rows
+            for matrix, places in matrices_of(batch.column(2)):
+                for place, row in zip(places, matrix):
+                    out[place] = row.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "label", "raw"])
 
     picked = rows.select(F.col(key).cast("bigint").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).alias("vector"))
