@@ -88,3 +88,28 @@ def test_lengths_do_not_depend_on_the_first_row(spark):
     got = result(nearest.search(spark.createDataFrame(rows, SCHEMA).coalesce(1), F.col("vec_id").isin(0, 100), probes=32))
     assert [v for v, _ in got[0]] == [v for v, _ in plain(x, range(40), 0, 10)]
     assert [v for v, _ in got[100]] == [101]
+
+
+def test_as_many_rows_as_there_are(spark):
+    """Small tables in 64 dimensions: every query gets ten rows, or all candidates, though most axes are not probed."""
+    for n in (5, 6, 11, 16):
+        x = unit(np.random.default_rng(n), n, 64)
+        got = result(nearest.search(vectors(spark, x), F.lit(True), block=7))
+        for q in range(n):
+            want = plain(x, range(n), q, 10)
+            assert len(got[q]) == len(want) == min(10, n - 1)
+            if n <= 11:
+                assert [v for v, _ in got[q]] == [v for v, _ in want]
+
+
+def test_isolated_queries_and_shared_ids(spark):
+    """A few vectors opposite to all others; and an id with more rows than are asked for."""
+    rng = np.random.default_rng(5)
+    x = unit(rng, 60, 64) * 0.05
+    x[:, 0] += np.where(np.arange(60) < 3, -1, 1)
+    got = result(nearest.search(vectors(spark, x), F.col("vec_id") < 3))
+    assert {q: [v for v, _ in f] for q, f in got.items()} == {q: [v for v, _ in plain(x, range(60), q, 10)] for q in range(3)}
+    ids = [0] + [1] * 20 + list(range(2, 16))
+    near = np.concatenate([np.ones((21, 2)), unit(rng, 14, 2)])
+    got = result(nearest.search(vectors(spark, near, ids), F.col("vec_id") == 0, probes=4))
+    assert len(got[0]) == 10 == len({v for v, _ in got[0]}) and got[0][0] == (1, 0.0)

@@ -4,7 +4,8 @@ A table's hash turns a unit vector by a fast pseudo-rotation (three rounds of ra
 transform) and takes the signed axis nearest to it. ``hashes`` such axes make a bucket. Vectors are stored
 under one bucket per table; a query looks into the ``probes`` buckets of each table whose axes lie nearest to it.
 Query and candidates of a bucket meet in blocks of bounded size, where distances are computed exactly on the original
-vectors; a block returns at most k rows per query, never its pairs.
+vectors; a block returns at most k rows per query, never its pairs. Queries that find fewer than k rows, though there
+are more candidates, are compared with all rows.
 
 Nearness is the Euclidean distance in double precision. Hashing sees directions only, so vectors of very different lengths
 should be scaled by the caller first.
@@ -32,6 +33,7 @@ PROBES = 16
 SEED = 11
 # Rows of one side that meet in a task.
 BLOCK = 8192
+FOUND = "query_id bigint, vec_id bigint, score double"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -115,9 +117,12 @@ def _nearest(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
             if not len(own):
                 continue
             points = np.frombuffer(b"".join(right["vector"].iloc[own]), dtype=np.float64).reshape(len(own), -1)
-            names = ids[own]
+            # Rows that share an id are one candidate, as near as the nearest of them.
+            names, starts = np.unique(ids[own], return_index=True)
             for query, raw in zip(group["id"].to_numpy(), group["vector"]):
                 distance = np.sqrt(np.square(points - np.frombuffer(raw, dtype=np.float64)).sum(axis=1))
+                if len(names) < len(distance):
+                    distance = np.minimum.reduceat(distance, starts)
                 distance[names == query] = np.inf
                 n = min(k, len(distance))
                 edge = np.partition(distance, n - 1)[n - 1]
@@ -128,6 +133,36 @@ def _nearest(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k nearest rows found."""
+    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _short(ranked: DataFrame, data: DataFrame, asked: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """(id, vector) of the queries with fewer than min(k, candidates) rows, and their number."""
+    size = F.length("vector").alias("size")
+    there = data.select("id", size).distinct().groupBy("size").agg((F.count(F.lit(1)) - 1).alias("others"))
+    wanted = asked.select("id", size).distinct().join(F.broadcast(there), "size").groupBy("id").agg(F.least(F.sum("others"), F.lit(k)).alias("want"))
+    had = ranked.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("had"))
+    few = wanted.join(had, "id", "left").where(F.coalesce("had", F.lit(0)) < F.col("want")).select("id")
+    short, seen = write_stage(asked.join(few, "id", "left_semi").select("id", "vector"), "nearest-short")
+    return short, seen["rows"]
+
+
+def _everywhere(short: DataFrame, asks: int, data: DataFrame, k: int, block: int) -> DataFrame:
+    """The k nearest of all stored rows, for ``asks`` queries; both sides are cut into blocks that all meet."""
+    row_blocks, ask_blocks = -(-data.count() // block), -(-asks // block)
+    place = lambda n: F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int")
+    series = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = short.select(series(row_blocks).alias("row_block"), place(ask_blocks).alias("ask_block"), "id", "vector")
+    right = data.select(place(row_blocks).alias("row_block"), series(ask_blocks).alias("ask_block"), "id", "vector")
+    names = ["row_block", "ask_block"]
+    return left.groupBy(*names).cogroup(right.groupBy(*names)).applyInPandas(lambda a, b: _nearest(a, b, k), FOUND)
+
+
 def search(
     vectors: DataFrame,
     is_query: Column,
@@ -159,9 +194,10 @@ def search(
     found = (
         left.groupBy(*names)
         .cogroup(right.groupBy(*names))
-        .applyInPandas(lambda a, b: _nearest(a, b, k), "query_id bigint, vec_id bigint, score double")
+        .applyInPandas(lambda a, b: _nearest(a, b, k), FOUND)
     )
-    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    ranked, _ = write_stage(_ranked(found, k), "nearest-found")
+    short, asks = _short(ranked, data, asked, k)
+    if not asks:
+        return ranked
+    return _ranked(ranked.select("query_id", "vec_id", "score").unionByName(_everywhere(short, asks, data, k, block)), k)
