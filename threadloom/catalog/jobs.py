@@ -90,7 +90,7 @@ def evaluation_job(spark, sf_dir):
 def taxonomy_job(spark, sf_dir):
     """From messages to clusters to a taxonomy: all intents are there, each with up to five distinct messages of the corpus."""
     corpus = taxonomy.message_corpus(views.threaded(spark, sf_dir), tagged(spark, sf_dir), "brand3")
-    draft = taxonomy.draft_taxonomy(corpus, size=50, k_min=2, k_max=4)
+    draft = taxonomy.draft_taxonomy(corpus)
     intents, _ = write_stage(taxonomy.consolidated(draft), "taxonomy")
     texts = F.transform("examples", lambda e: e["text"])
     known = corpus.select(F.col("post_id").cast("string").alias("post_id")).distinct()
