@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, language, lines, mixing, nearest, quality, shards, simhash, urls, vectors
+from threadloom.llm import alignment, bpe, language, lines, mixing, nearest, quality, shards, simhash, urls, vectors
 from threadloom.llm.tables import load
 from threadloom.session import spread
 
@@ -82,6 +83,20 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(spread(load(spark, sf_dir, "embeddings")))
 
 
+def tokenizer_pair() -> tuple[alignment.ByteBpe, alignment.PieceBpe]:
+    """The public byte-level tokenizer and the public piece tokenizer."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        first = alignment.ByteBpe(file.read(), public_tokenizers.PATTERN)
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        return first, alignment.PieceBpe(base64.b64encode(file.read()).decode())
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(load(spark, sf_dir, "documents"), *tokenizer_pair())
+
+
 LINE_SQL = r"""
 WITH parts AS (
   SELECT doc_id, text, source, unnest(string_split(text, chr(10))) AS content,
@@ -137,7 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_line_dedup, op3_training_order, op4_bpe, op5_nearest, op6_simhash, op7_mixing, op8_language,
-        op9_quality, op10_vector_dedup,
+        op9_quality, op10_vector_dedup, op12_alignment,
     )
 }
 SQL: dict[str, str] = {"op2_line_dedup": LINE_SQL, "op7_mixing": MIX_SQL}
