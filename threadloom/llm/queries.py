@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import alignment, bpe, language, lines, mixing, nearest, quality, shards, simhash, urls, vectors
+from threadloom.llm import alignment, bpe, language, lines, mixing, nearest, quality, ranked, shards, simhash, urls, vectors
 from threadloom.llm.tables import load
 from threadloom.session import spread
 
@@ -97,6 +97,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(load(spark, sf_dir, "documents"), *tokenizer_pair())
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 LINE_SQL = r"""
 WITH parts AS (
   SELECT doc_id, text, source, unnest(string_split(text, chr(10))) AS content,
@@ -148,11 +152,43 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+RANK_SQL = r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS d,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), docs AS (
+  SELECT doc_id, d, w, len(w)::BIGINT AS n FROM words WHERE len(w) > 0
+), total AS (
+  SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS nl FROM docs
+), asked AS (
+  SELECT q, item_id, term, count(*)::BIGINT AS times FROM (
+    SELECT item_id, row_number() OVER () AS q,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY ALL
+), held AS (
+  SELECT d, term, count(*)::BIGINT AS tf FROM (SELECT d, unnest(w) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weight AS (
+  SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM held, total GROUP BY term, nd
+), scored AS (
+  SELECT a.q, a.item_id, c.doc_id,
+         sum(a.times * t.w * ((1000000000 * h.tf) // (1000 * h.tf + 12 * (75 + (25 * c.n * total.nd) // total.nl))))::BIGINT AS score
+  FROM asked a JOIN held h USING (term) JOIN weight t USING (term) JOIN docs c USING (d), total
+  GROUP BY a.q, a.item_id, h.d, c.doc_id
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM scored WHERE score > 0
+) WHERE rank <= 20
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_line_dedup, op3_training_order, op4_bpe, op5_nearest, op6_simhash, op7_mixing, op8_language,
-        op9_quality, op10_vector_dedup, op12_alignment,
+        op9_quality, op10_vector_dedup, op12_alignment, op13_ranked_search,
     )
 }
-SQL: dict[str, str] = {"op2_line_dedup": LINE_SQL, "op7_mixing": MIX_SQL}
+SQL: dict[str, str] = {"op2_line_dedup": LINE_SQL, "op7_mixing": MIX_SQL, "op13_ranked_search": RANK_SQL}
