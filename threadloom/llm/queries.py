@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import alignment, bpe, language, lines, mixing, nearest, quality, ranked, shards, simhash, urls, vectors
+from threadloom.llm import alignment, bpe, language, lines, mixing, nearest, quality, ranked, shards, simhash, toxicity, urls, vectors
 from threadloom.llm.tables import load
 from threadloom.session import spread
 
@@ -83,6 +83,16 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(spread(load(spark, sf_dir, "embeddings")))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    # A row without an id has no remainder, so nothing is learned from it. Several labels of an id all teach.
+    labels = load(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
+    model = toxicity.fit(docs.join(labels, "doc_id"))
+    found = toxicity.score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score")
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def tokenizer_pair() -> tuple[alignment.ByteBpe, alignment.PieceBpe]:
     """The public byte-level tokenizer and the public piece tokenizer."""
     import public_tokenizers
@@ -188,7 +198,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_line_dedup, op3_training_order, op4_bpe, op5_nearest, op6_simhash, op7_mixing, op8_language,
-        op9_quality, op10_vector_dedup, op12_alignment, op13_ranked_search,
+        op9_quality, op10_vector_dedup, op11_toxicity, op12_alignment, op13_ranked_search,
     )
 }
 SQL: dict[str, str] = {"op2_line_dedup": LINE_SQL, "op7_mixing": MIX_SQL, "op13_ranked_search": RANK_SQL}
