@@ -107,7 +107,7 @@ def labelled(spark):
 
 def test_stems_are_learned_and_shared_passages_are_not(spark):
     data = labelled(spark)
-    model = tx.fit(data)
+    model = tx.fit(data, data)
     assert model.stems.get("zorb") == tx.INSULT
     assert not {"uniquepassage", "ofmanywords", "shared"} & set(model.words)
     got = table(tx.score(data, model))
@@ -117,6 +117,14 @@ def test_stems_are_learned_and_shared_passages_are_not(spark):
     assert got[900]["score"] == got[902]["score"] < 0.3 <= got[901]["score"]
 
 
+def test_sample_is_bounded_and_labels_may_repeat(spark):
+    data = labelled(spark)
+    doubled = data.unionByName(data)
+    held = tx._labelled(data, doubled, "doc_id", "text", "toxic", 100)
+    assert 0 < held.count() <= 100
+    assert (tx.fit(data, doubled).weights == tx.fit(data, data).weights).all()
+
+
 def test_word_counts_are_those_of_brute_force(spark):
     data = labelled(spark).where("toxic in (0, 1) and text is not null")
     got = {r["feature"]: r["n"] for r in tx._texts_with(data, None).collect()}
@@ -138,12 +146,12 @@ def test_weights_solve_the_ridge_equations():
 
 
 def test_without_labels_and_empty_tables(spark):
-    model = tx.fit(labelled(spark).where("false"))
+    model = tx.fit(labelled(spark), labelled(spark).where("false"))
     assert (model.weights == tx.PRIOR).all()
     got = table(tx.score(docs(spark, ["you idiot", "hello", None], ids=[1, 2, None], extra="score,clauses,key"), model))
     assert got[1]["score"] > 0.3 > got[2]["score"] == got[None]["score"]
     assert tx.score(docs(spark, ["a"]).where("false"), model).collect() == []
-    only = tx.fit(labelled(spark).where("toxic = 1"))
+    only = tx.fit(labelled(spark), labelled(spark).where("toxic = 1"))
     assert 0 <= tx.score(docs(spark, ["hello"]), only).first()["score"] <= 1
 
 

@@ -15,11 +15,12 @@ A text's counts of matched clauses, by kind, go into a logistic score.
 Learning from labelled texts: words, and beginnings that longer words share, extend the insults if they are much more frequent in toxic
 texts (``LEAST_TEXTS``, ``LEAST_ODDS``, ``STRONG``, ``WEAK``). Candidates are the ``CANDIDATES`` most frequent ones of the toxic texts. Near copies count once: of labelled texts with the
 same smallest shingle hash one teaches. The kinds' weights are fitted to the counts of equal feature vectors, with a ridge
-towards ``PRIOR``. Both use all labelled rows.
+towards ``PRIOR``. Both learn from at most ``SAMPLE`` labelled rows, those of the smallest id hashes, so that only the texts of
+these are moved; texts are scored where they lie, all of them.
 
-Defined cases: null, empty and word-less texts have no clause and the score of a text without any. A row without a label, or with one
+Defined cases: null, empty and word-less texts have no clause and the score of a text without any. A label without an id, or
 other than 0 and 1, teaches nothing; without labels the weights are the prior ones and the lexicon is the given one. Repeated rows teach once
-and are scored each. A very long text is read in pieces, with the transducer's state carried over. Extra columns are ignored.
+and are scored each; of an id with both labels, both teach. A very long text is read in pieces, with the transducer's state carried over. Extra columns are ignored.
 An empty table gives no rows.
 """
 
@@ -52,6 +53,8 @@ CANDIDATES = 50_000
 # Clauses of a kind that are told apart.
 MOST = 4
 RIDGE = 1.0
+# Labelled rows that are learned from.
+SAMPLE = 40_000
 # Characters of a text that are read at a time, and words whose class is remembered.
 PIECE = 1 << 18
 REMEMBERED = 1 << 19
@@ -271,16 +274,19 @@ def _shingle_key(text: str | None) -> int:
     return (smallest or 0) >> 1
 
 
-def _labelled(docs: DataFrame, text: str, label: str) -> DataFrame:
-    """(toxic, text): the labelled rows without near copies of one label, as a stage table."""
+def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int) -> DataFrame:
+    """(toxic, text): the sampled labelled rows without near copies of one label, as a stage table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             keys = [_shingle_key(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=["toxic", "text", "key"])
 
-    rows = docs.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(F.col(label).cast("int").alias("toxic"), F.col(text).alias("text"))
-    keyed = spread(rows).mapInArrow(run, "toxic int, text string, key bigint")
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(label).cast("int").alias("toxic"))
+    chosen, _ = write_stage(known.distinct().orderBy(F.xxhash64("id"), "id", "toxic").limit(sample), "toxic-labels")
+    # At most ``sample`` rows of two numbers.
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "id")
+    keyed = rows.select("toxic", "text").mapInArrow(run, "toxic int, text string, key bigint")
     return write_stage(keyed.dropDuplicates(["toxic", "key"]).select("toxic", "text"), "toxic-labelled")[0]
 
 
@@ -392,9 +398,9 @@ def _read(docs: DataFrame, model: Model, key: str, text: str) -> DataFrame:
     return spread(rows).mapInArrow(run, "key bigint, features array<int>")
 
 
-def fit(docs: DataFrame, text: str = "text", label: str = "toxic") -> Model:
-    """Learn the lexicon and the weights from every row of ``docs`` with a text and a label of 0 or 1."""
-    labelled = _labelled(docs, text, label)
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
+    """Learn the lexicon and the weights from the texts of ``docs`` that ``labels`` marks 0 or 1, by id."""
+    labelled = _labelled(docs, labels, key, text, label, sample)
     model = _learn_words(labelled, Model.given())
     # At most (MOST + 1) ^ kinds cells come back, however many rows there are.
     cells = _read(labelled, model, "toxic", "text").groupBy("features").agg(F.count(F.lit(1)).alias("n"), F.sum("key").alias("toxic")).collect()
