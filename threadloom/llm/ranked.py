@@ -30,6 +30,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -275,16 +276,19 @@ class Shard:
                     places, scores = places[stay], scores[stay]
                 if probe:
                     break
-            good = scores > 0
+            good = (scores > 0) & (scores >= floor[asks[first]])
             yield int(asks[first]), places[good], scores[good].astype(np.int64), last - first - visited
 
     def row(self) -> dict:
-        held = {name: np.ascontiguousarray(getattr(self, name)).astype(kind).tobytes() for name, kind in self._KINDS.items()}
+        """The shard as a row of compressed arrays."""
+        pack = zstandard.ZstdCompressor(level=1).compress
+        held = {name: pack(np.ascontiguousarray(getattr(self, name)).astype(kind).tobytes()) for name, kind in self._KINDS.items()}
         return {"ids": [None if i is None else int(i) for i in self.ids], **held}
 
     @classmethod
     def of(cls, row: dict) -> Shard:
-        return cls(np.array(row["ids"], dtype=object), *(np.frombuffer(row[name], kind).astype(np.int64) if kind == "<i8" else np.frombuffer(row[name], kind) for name, kind in cls._KINDS.items()))
+        unpack = zstandard.ZstdDecompressor().decompress
+        return cls(np.array(row["ids"], dtype=object), *(np.frombuffer(unpack(row[name]), kind) for name, kind in cls._KINDS.items()))
 
 
 _SHARD_TYPE = pa.schema([("ids", pa.list_(pa.int64()))] + [(name, pa.binary()) for name in Shard._KINDS])
