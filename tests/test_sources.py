@@ -45,7 +45,7 @@ def test_csv_columns_go_by_name(spark, tmp_path):
         src.read_posts_csv(spark, str(short))
 
 
-@pytest.mark.parametrize("bytes_per_split", [40, 128 << 20])
+@pytest.mark.parametrize("bytes_per_split", [100, 128 << 20])
 @pytest.mark.parametrize("newline", ["\n", "\r\n"])
 def test_csv_is_split_at_any_byte(spark, tmp_path, bytes_per_split, newline):
     """Texts with line breaks, quotes, commas and blank lines, in files cut into blocks of a few bytes."""
@@ -71,6 +71,71 @@ def test_csv_is_split_at_any_byte(spark, tmp_path, bytes_per_split, newline):
     assert sorted(map(strip, got)) == sorted(map(strip, rows))
 
 
+def spark_rows(spark, path):
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    return sorted(map(tuple, reader.csv(path).select(*src.RAW_COLUMNS).collect()), key=repr)
+
+
+def split_rows(spark, path, bytes_per_split):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_per_split)
+    try:
+        return sorted(map(tuple, src.read_posts_csv(spark, path).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def bare(rows):
+    """Rows without the odd quotes and line breaks at the end of a record."""
+    return sorted((tuple(v and v.rstrip('"\r\n') or None for v in r) for r in rows), key=repr)
+
+
+STRAY = [
+    '1,c1,True,t,my 5" screen broke,,',
+    '2,c1,True,t,"all ""good"" now",,',
+    '3,c1,True,t,"two\nlines, and a comma",,',
+    '4,c1,True,t,"closed" then more,,',
+    '5,c1,True,t,plain,,',
+    '6,c1,True,t,"closed" then, more,',
+    '7,c1,True,t,"",,',
+    '8,c1,True,t,"x""",,"3,4"',
+    '9,c1,True,t,"a\n\nb" c,,',
+    '10,c1,True,t,"""",,',
+]
+
+
+@pytest.mark.parametrize("bytes_per_split", [64, 128 << 20])
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+@pytest.mark.parametrize("unclosed", [False, True])
+def test_csv_gives_the_rows_of_the_whole_file_reader(spark, tmp_path, bytes_per_split, newline, unclosed):
+    """Stray, doubled and unclosed quotes, in several files and cut into blocks of a few bytes."""
+    for part, rows in enumerate((STRAY, STRAY[3:] + STRAY[:4], STRAY[::-1])):
+        rows = rows + (['11,c1,True,t,"never closed', "12,c1,True,t,plain,,", "13,c1,True,t,x,,"] if unclosed and part == 1 else [])
+        text = newline.join([",".join(src.RAW_COLUMNS), *(r.replace("\n", newline) for r in rows), ""])
+        (tmp_path / f"{part}.csv").write_bytes(text.encode())
+    want = spark_rows(spark, str(tmp_path))
+    assert len(want) == (32 if unclosed else 31)
+    assert bare(split_rows(spark, str(tmp_path), bytes_per_split)) == bare(want)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_csv_of_random_quotes(spark, tmp_path, seed):
+    """Any sequence of quotes, commas, blanks and line breaks; unequal numbers of fields included."""
+    rng = random.Random(seed)
+    for part in range(8):
+        body = "".join(rng.choice(['"', '"', ",", ",", "a", " ", "\n", '""', '"\n', ',"']) for _ in range(rng.randint(0, 120)))
+        (tmp_path / f"{part}.csv").write_text(",".join(src.RAW_COLUMNS) + "\n" + body + "\n", encoding="utf-8")
+    assert bare(split_rows(spark, str(tmp_path), 40)) == bare(spark_rows(spark, str(tmp_path)))
+
+
+def test_csv_record_of_an_unclosed_quote_is_refused(spark, tmp_path):
+    path = tmp_path / "raw.csv"
+    path.write_text(",".join(src.RAW_COLUMNS) + '\n1,c1,True,t,"open,,\n' + "2,c1,True,t,plain,,\n" * 200, encoding="utf-8")
+    assert src.csv_records(spark, str(path)).count() == 1
+    with pytest.raises(src.SchemaError, match="record 2 of .*raw.csv has"):
+        src.csv_records(spark, str(path), record_bytes=1000)
+
+
 def test_ids_are_exact(spark):
     texts = ["12", " 12 ", "12.0", "12.9", "9007199254740993.0", "9007199254740993", "x3", "", None, "1.5E3", "-4", "99999999999999999999"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(to_id(F.col("t"))).collect()

@@ -9,23 +9,44 @@ from threadloom.catalog.base import query, table
 from threadloom.catalog.messages import raw_posts
 from threadloom.catalog.views import WITH_POSTS
 from threadloom.operators.messages import first_per_group
-from threadloom.session import stage_path
+from threadloom.session import stage_path, write_stage
 from threadloom.sources import posts as src
 from threadloom.sources import tables, taxonomy
 
 
+# A quote inside an unquoted field, which is text, and one closed before the field ends.
+STRAY, CLOSED, QUOTES = 'my 5" screen ', '"so called" screen ', '"' * 3
+
+
 @query(
     "csv_posts",
-    f"""{WITH_POSTS}, k AS (SELECT *, (post_id // 100) % 17 AS kind FROM posts)
+    f"""{WITH_POSTS}, k AS (SELECT *, (post_id // 100) % 17 AS kind,
+  translate(text, ',"' || chr(10) || chr(13), ';   ') AS bare FROM posts)
 SELECT CASE WHEN kind <> 3 THEN post_id END AS post_id, author_id, inbound, CASE WHEN kind > 1 THEN created_s END AS created_at,
-  md5(CASE WHEN kind <> 4 THEN text END) AS text, response_ids, in_response_to_id FROM k""",
+  md5(CASE WHEN kind = 4 THEN NULL WHEN kind = 5 AND response_ids IS NULL THEN '{STRAY}' || bare
+    WHEN kind = 6 AND response_ids IS NULL THEN '{CLOSED}' || bare || '.' WHEN kind = 7 THEN text || chr(10) || '{QUOTES}' ELSE text END) AS text,
+  response_ids, in_response_to_id FROM k""",
 )
 def csv_posts(spark, sf_dir):
-    """Posts as a CSV export with quoted line breaks, its columns in another order and one more, read, checked and typed."""
+    """Posts as a CSV export with quoted line breaks, stray and doubled quotes, its columns in another order and one more, read, checked and typed."""
     path = stage_path(spark, "csv-posts")
     keep = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    raw = raw_posts(spark, sf_dir).select(*reversed(src.RAW_COLUMNS), F.lit("x").alias("extra"))
-    raw.write.options(**keep).option("header", True).option("escape", '"').csv(path)
+    bare = F.translate("text", ',"\n\r', ";   ")
+    kind = F.floor(F.regexp_extract("tweet_id", r"(\d+)$", 1).cast("bigint") / 100) % 17
+    # A list of ids holds commas and needs its quotes.
+    unquoted = F.col("response_tweet_id").isNull() & F.coalesce(kind.isin(5, 6), F.lit(False))
+    odd = (
+        F.when(unquoted & (kind == 5), F.concat(F.lit(STRAY), bare))
+        .when(unquoted, F.concat(F.lit(CLOSED), bare, F.lit(".")))
+        .when(kind == 7, F.concat("text", F.lit("\n" + QUOTES)))
+        .otherwise(F.col("text"))
+    )
+    raw = raw_posts(spark, sf_dir).withColumns({"text": odd, "unquoted": unquoted})
+    columns = [*reversed(src.RAW_COLUMNS), F.lit("x").alias("extra")]
+    written = {True: {"escape": '"'}, False: {"quote": "\0", "escape": "\0"}}
+    for quoted, how in written.items():
+        rows = raw.where(F.col("unquoted") != quoted).select(*columns)
+        rows.write.mode("append").options(**keep, **how).option("header", True).csv(path)
     back = src.read_posts_csv(spark, path)
     src.validate_schema(back)
     return src.to_posts(back).withColumns({"created_at": F.unix_seconds("created_at"), "text": F.md5("text")})
@@ -40,9 +61,12 @@ def json_documents(spark, sf_dir):
     schema = "doc_id bigint, lang string, body struct<text:string,n_chars:bigint>"
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.struct("text", "n_chars").alias("body"))
     lines, lists = stage_path(spark, "json-lines"), stage_path(spark, "json-lists")
-    tables.write_results_json(docs.where("doc_id % 2 = 0"), lines)
-    # A document holds up to a thousand records.
-    odd = docs.where("doc_id % 2 = 1").groupBy(F.floor(F.col("doc_id") / 1000).alias("part"))
+    # By a hash, so that rows without an id and negative ids have their place too.
+    side = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    tables.write_results_json(docs.where(side == 0), lines)
+    # A document holds the records of a slice of rows: about a thousand, whatever ids they have.
+    odd, seen = write_stage(docs.where(side == 1), "json-odd")
+    odd = odd.groupBy(F.pmod(F.monotonically_increasing_id(), F.lit(1 + seen["rows"] // 1000)).alias("part"))
     listed = odd.agg(F.collect_list(F.struct("doc_id", "lang", "body")).alias("records"))
     # Over several lines, as a pretty-printed document is.
     written = listed.select("part", F.regexp_replace(F.to_json("records"), "^\\[", "[\n").alias("value"))

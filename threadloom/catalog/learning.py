@@ -182,3 +182,18 @@ def propagate_labels(spark, sf_dir):
         F.count_if(F.col("known").isNull()).alias("foreign_labels"),
         (F.avg((F.col("predicted_label") == F.col("lang")).cast("double")) >= 0.9).alias("mostly_right"),
     )
+
+
+@query(
+    "label_vocabulary",
+    r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: length(x) >= 2) AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS term FROM w
+  UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w),
+c AS (SELECT term, count(*) AS n, count(DISTINCT doc_id) AS texts FROM t GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY n DESC, term) AS place FROM c)
+SELECT CAST(place - 1 AS INTEGER) AS place, term, n, texts, round(1 + ln((SELECT count(*) + 1 FROM documents) / (texts + 1)), 9) AS weight FROM r WHERE place <= 10000""",
+)
+def label_vocabulary(spark, sf_dir):
+    """The 10,000 most frequent words and word pairs of all texts, ties by letters, with their weights."""
+    found = ml.label_vocabulary(texts(spark, sf_dir), "text", 10_000)
+    return found.withColumn("weight", F.round("weight", 9))

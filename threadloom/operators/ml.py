@@ -10,12 +10,12 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, ElementwiseProduct, HashingTF, NGram, Normalizer, RegexTokenizer, StringIndexer,
+    IDF, CountVectorizerModel, ElementwiseProduct, HashingTF, NGram, Normalizer, RegexTokenizer, StringIndexer,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom import presets
@@ -381,34 +381,66 @@ def cluster_profile(df: DataFrame, exemplars: DataFrame, cluster: str = "cluster
     return sizes.withColumn("pct_of_sample", percent(F.col("cluster_size"), total)).join(listed, cluster, "left")
 
 
+def _with_terms(df: DataFrame, text: str) -> DataFrame:
+    """Add ``_terms``: the words of at least two characters, lower-cased, and the pairs of neighbouring words."""
+    words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2)
+    pairs = NGram(n=2, inputCol="_words", outputCol="_pairs")
+    return pairs.transform(words.transform(df)).withColumn("_terms", F.concat("_words", "_pairs"))
+
+
+def label_vocabulary(df: DataFrame, text: str = "text", size: int = 10_000) -> DataFrame:
+    """(place, term, n, texts, weight): the ``size`` most frequent terms, by (n descending, term), exactly.
+
+    A histogram of the terms' counts gives the count from which all terms are in; of the terms of the next count, the first ones by
+    their letters fill up the rest. ``weight`` is 1 + ln((rows + 1) / (texts + 1)). Neither depends on how the rows are partitioned.
+    """
+    read = df.where(F.col(text).isNotNull()).select(text)
+    per_text = _with_terms(read.withColumn("_row", F.monotonically_increasing_id()), text).select("_row", F.explode("_terms").alias("term"))
+    once = per_text.groupBy("_row", "term").agg(F.count(F.lit(1)).alias("n"))
+    counted, _ = write_stage(once.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")), "term-counts")
+    # As many rows as there are different counts, at most the square root of twice the number of words.
+    levels = sorted(((r["n"], r["terms"]) for r in counted.groupBy("n").agg(F.count(F.lit(1)).alias("terms")).collect()), reverse=True)
+    taken, cut = 0, 0
+    for n, terms in levels:
+        if taken + terms > size:
+            cut = n
+            break
+        taken += terms
+    chosen = counted.where(F.col("n") > cut).unionByName(counted.where(F.col("n") == cut).orderBy("term").limit(size - taken))
+    # At most ``size`` rows from here.
+    order = Window.orderBy(F.desc("n"), "term")
+    rows = F.lit(df.count() + 1)
+    return chosen.select(
+        (F.row_number().over(order) - 1).alias("place"), "term", "n", "texts", (1 + F.log(rows / (F.col("texts") + 1))).alias("weight")
+    )
+
+
 def propagate_labels(
     sample: DataFrame, full: DataFrame, label: str, text: str = "text", out: str = "predicted_label",
     vocabulary: int = 10_000, rounds: int = 500, strength: float = 1.0,
 ) -> DataFrame:
     """Learn labels on a sample and assign them to the whole corpus.
 
-    Words and word pairs, 1 + ln(tf), 1 + ln((n + 1) / (df + 1)), unit length, and a multinomial
+    Words and word pairs of ``label_vocabulary``, 1 + ln(tf), times the term's weight, unit length, and a multinomial
     logistic regression with an L2 penalty of 1 / (strength * n). The model is small: ``vocabulary`` terms by labels.
-    It travels to the tasks that read the corpus, which multiply Arrow batches of sparse counts.
+    It travels to the tasks that read the corpus, which multiply Arrow batches of sparse counts. The sample is put in an order of its
+    own before learning, so that the labels do not depend on how it was partitioned.
     """
     # The sample is read by each of the fits below.
     sample, seen = write_stage(sample.select(label, text), "labelled-sample")
-    words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2)
-    pairs = NGram(n=2, inputCol="_words", outputCol="_pairs")
     indexer = StringIndexer(inputCol=label, outputCol="_target", stringOrderType="alphabetAsc").fit(sample)
-
-    def terms(df: DataFrame) -> DataFrame:
-        return pairs.transform(words.transform(df)).withColumn("_terms", F.concat("_words", "_pairs"))
-
-    counter = CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=vocabulary).fit(terms(sample))
+    chosen = label_vocabulary(sample, text, vocabulary).orderBy("place").collect()
+    # Spark ML wants at least one term.
+    terms = [r["term"] for r in chosen] or [""]
+    scale = np.array([r["weight"] for r in chosen] or [0.0])
+    counter = CountVectorizerModel.from_vocabulary(terms, "_terms", "_counts")
 
     # Each of the many rounds is a job over the sample, so it is kept in few partitions.
     parts = 1 + seen["rows"] // 20_000
-    train = counter.transform(terms(indexer.transform(sample))).withColumn("_log", _log_counts("_counts"))
-    train = train.select("_target", "_log").coalesce(parts).persist()
+    train = counter.transform(_with_terms(indexer.transform(sample), text)).withColumn("_log", _log_counts("_counts"))
+    ordered = train.repartition(parts, F.xxhash64(text)).sortWithinPartitions(F.xxhash64(text), text, label)
+    train = ordered.select("_target", "_log").persist()
     try:
-        idf = IDF(inputCol="_log", outputCol="_unused").fit(train)
-        scale = idf.idf.toArray() + 1.0
         weight = ElementwiseProduct(scalingVec=Vectors.dense(scale), inputCol="_log", outputCol="_tfidf")
         unit = Normalizer(inputCol="_tfidf", outputCol="_unit")
         model = LogisticRegression(
@@ -418,7 +450,7 @@ def propagate_labels(
     finally:
         train.unpersist()
     shipped = full.sparkSession.sparkContext.broadcast((model.coefficientMatrix.toArray().T, model.interceptVector.toArray(), scale))
-    counted = counter.transform(terms(full)).withColumn("_sparse", F.unwrap_udt("_counts"))
+    counted = counter.transform(_with_terms(full, text)).withColumn("_sparse", F.unwrap_udt("_counts"))
     place = _predicted(shipped)(F.col("_sparse.indices"), F.col("_sparse.values"))
     names = F.array(*[F.lit(name) for name in indexer.labels])
     return counted.withColumn("_place", place).select(*[c for c in full.columns if c != out], F.element_at(names, F.col("_place") + 1).alias(out))
