@@ -14,8 +14,7 @@ import corpus_pipeline  # noqa: E402
 from test_lines import plain as plain_lines  # noqa: E402
 from test_mixing import plain_targets  # noqa: E402
 from test_quality import corpus  # noqa: E402
-from test_simhash import plain as plain_bits  # noqa: E402
-from test_simhash import roots  # noqa: E402
+from test_shingles import roots  # noqa: E402
 
 from threadloom.llm import lines, quality  # noqa: E402
 from threadloom.llm.queries import word_bpe  # noqa: E402
@@ -72,8 +71,9 @@ def test_line_stage(made):
 def test_simhash_stage(made):
     _, steps, _ = made
     before = rows_of(steps[2])
-    first = roots([r[0] for r in before], [plain_bits(r[1]) for r in before])
-    assert rows_of(steps[3]) == [r for r, f in zip(before, first) if r[0] == f]
+    # By comparing the five-word shingles of all pairs: of texts that a chain of similarities of 0.8 or more joins, the first stays.
+    first = roots([r[1] for r in before])
+    assert rows_of(steps[3]) == [r for place, (r, f) in enumerate(zip(before, first)) if place == f]
     assert len(rows_of(steps[3])) < len(before)
 
 
