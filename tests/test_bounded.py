@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import bounded, ml, prune, retrieve, sampling
+from threadloom.operators import bounded, cells, ml, prune, retrieve, sampling
 
 
 def skewed(n=900):
@@ -76,15 +76,13 @@ def vectors(n=240, d=6):
     return data, labels
 
 
-@pytest.mark.parametrize("blocks", [(7, 11), (50, 1000), (1000, 1000)])
-def test_nearest_neighbours(spark, blocks):
+@pytest.mark.parametrize("query_bytes", [9_000, retrieve.QUERY_BYTES])
+def test_nearest_neighbours(spark, query_bytes):
     data, labels = vectors()
     df = spark.createDataFrame(
         [(i, labels[i], data[i].tolist()) for i in range(len(data))], "hit_id int, intent string, embedding array<double>"
     )
-    hits = retrieve.retrieve(
-        df.withColumnRenamed("hit_id", "query_id"), df, 4, exclude_self=True, query_rows=blocks[0], index_rows=blocks[1]
-    )
+    hits = retrieve.retrieve(df.withColumnRenamed("hit_id", "query_id"), df, 4, exclude_self=True, query_bytes=query_bytes)
     got = {}
     for r in hits.collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["hit_id"]))
@@ -157,8 +155,90 @@ def test_the_index_is_not_shuffled_for_few_queries(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("MapInPandas"):]
     assert "Exchange" not in below and "PartitionFilters" in below and "intent1" in below
-    blocks = retrieve.retrieve(queries, index, 3, query_bytes=0)
-    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, blocks.collect()))
+    waves = retrieve.retrieve(queries, index, 3, query_bytes=0)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, waves.collect()))
+
+
+def test_the_index_is_not_shuffled_for_many_queries(spark, tmp_path, monkeypatch):
+    """100,000 queries in waves: below the search there is only the scan."""
+    rows = [(i, f"intent{i % 3}", [math.cos(i), math.sin(i)]) for i in range(90)]
+    schema = "hit_id int, intent string, embedding array<double>"
+    spark.createDataFrame(rows, schema).write.partitionBy("intent").parquet(str(tmp_path / "index"))
+    index = retrieve.read_index(spark, str(tmp_path / "index"))
+    angle = F.col("id") / 7.0
+    queries = spark.range(100_000).select(
+        F.col("id").alias("query_id"), F.concat(F.lit("intent"), F.col("id") % 3).alias("intent"), F.array(F.cos(angle), F.sin(angle)).alias("embedding")
+    )
+    plans, write = [], retrieve.write_stage
+
+    def watched(df, label, **metrics):
+        if label == "query-wave":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label, **metrics)
+
+    monkeypatch.setattr(retrieve, "write_stage", watched)
+    found = retrieve.retrieve(queries, index, 2, query_bytes=4 << 20)
+    assert len(plans) > 1
+    assert all("Exchange" not in plan[plan.index("MapInPandas") :] for plan in plans)
+    assert found.count() == 200_000 and found.select("query_id").distinct().count() == 100_000
+    sample = {r["query_id"]: r["hit_id"] for r in found.where("rank = 1 AND query_id < 300").collect()}
+    for q, hit in sample.items():
+        best = max(round(math.cos(i - q / 7.0), 9) for i in range(90) if i % 3 == q % 3)
+        assert abs(math.cos(hit - q / 7.0) - best) < 1e-8
+
+
+def clustered():
+    rng = np.random.default_rng(4)
+    data, labels = vectors()
+    data = data * 0.3 + rng.integers(-3, 4, size=(6, 6))[rng.integers(0, 6, len(data))]
+    data[10] = data[11] = data[12]
+    data[20] = data[21] = 0.0
+    return [(i, labels[i], data[i].tolist()) for i in range(len(data))]
+
+
+@pytest.mark.parametrize("query_bytes", [8_000, retrieve.QUERY_BYTES])
+def test_stored_cells_give_the_same_neighbours(spark, tmp_path, query_bytes):
+    """An index of one load and two appended ones, one of them with a new intent; null vectors and intents take no part."""
+    df = spark.createDataFrame([*clustered(), (900, "hot", None), (901, None, [1.0] * 6)], "hit_id int, intent string, embedding array<double>")
+    path = str(tmp_path / "index")
+    cells.create_cells(df.where("hit_id % 3 = 0 AND intent <> 'k1'"), path, cells=9)
+    cells.append_cells(df.where("hit_id % 3 = 1 AND intent <> 'k1'"), path)
+    cells.append_cells(df.where("hit_id % 3 = 2 OR intent = 'k1' OR intent IS NULL OR embedding IS NULL"), path)
+    asked = df.withColumnRenamed("hit_id", "query_id")
+    got = cells.retrieve_cells(asked, path, 4, exclude_self=True, query_bytes=query_bytes)
+    want = retrieve.retrieve(asked, df.where("intent IS NOT NULL"), 4, exclude_self=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_query_opens_few_files_and_broken_loads_are_not_read(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame(clustered(), "hit_id int, intent string, embedding array<double>")
+    path = str(tmp_path / "index")
+    cells.create_cells(df, path, cells=12)
+    # A load that broke off before its line was written.
+    df.withColumn("cell", F.lit(0)).withColumnRenamed("embedding", "vector").write.partitionBy("intent", "cell").parquet(f"{path}/rows/load=broken")
+    opened, read = [], cells.read_cells
+
+    def watched(*args):
+        rows = read(*args)
+        files = rows.select(F.input_file_name().alias("f")).distinct().count()
+        opened.append((files, rows._jdf.queryExecution().executedPlan().toString()))
+        return rows
+
+    monkeypatch.setattr(cells, "read_cells", watched)
+    asked = df.where("hit_id = 33").withColumnRenamed("hit_id", "query_id")
+    hits = cells.retrieve_cells(asked, path, 2).collect()
+    assert [h["hit_id"] for h in sorted(hits, key=lambda h: h["rank"])][0] == 33 and len(hits) == 2
+    files = len(list((tmp_path / "index" / "rows").glob("load=*/intent=*/cell=*/*.parquet")))
+    assert all("PartitionFilters: [" in plan and "cell" in plan for _, plan in opened)
+    assert 0 < sum(n for n, _ in opened) < files / 2
+
+
+def test_cells_of_an_empty_table(spark, tmp_path):
+    schema = "hit_id int, intent string, embedding array<double>"
+    path = str(tmp_path / "index")
+    cells.create_cells(spark.createDataFrame([], schema), path)
+    asked = spark.createDataFrame([(1, "a", [1.0])], schema).withColumnRenamed("hit_id", "query_id")
+    assert cells.retrieve_cells(asked, path).collect() == []
 
 
 def test_one_pass_silhouette_and_best_of_starts(spark):

@@ -14,6 +14,7 @@ from threadloom.functions.values import half_even
 from threadloom.operators import retrieve as rt
 from threadloom.operators import score as sc
 from threadloom.operators import threads
+from threadloom.operators.cells import append_cells, create_cells, retrieve_cells
 from threadloom.operators.joins import LeakageError
 from threadloom.operators.prune import group_index, retrieve_pruned
 from threadloom.plans.triage import TriageConfig, triage
@@ -71,6 +72,21 @@ def topk_pruned(spark, sf_dir):
     return retrieve_pruned(known.withColumnRenamed("hit_id", "query_id"), grouped, 5, exclude_self=True)
 
 
+@query(
+    "topk_cells",
+    f"""WITH {INDEX}, q AS (SELECT hit_id AS query_id, intent, embedding FROM idx), {hits_sql('q', 5)}
+SELECT query_id, hit_id, CAST(rank AS INTEGER) AS rank, greatest(0.0, round_even(s, 4)) AS similarity, round_even(1 - s, 4) AS distance FROM hits""",
+)
+def topk_cells(spark, sf_dir):
+    """The same neighbours, from a stored index made of one load and two more that were appended to it."""
+    known, path = index(spark, sf_dir), stage_path(spark, "cells")
+    load = F.pmod(F.xxhash64("hit_id"), F.lit(4))
+    create_cells(known.where(load < 2), path, cells=24)
+    for number in (2, 3):
+        append_cells(known.where(load == number), path)
+    return retrieve_cells(known.withColumnRenamed("hit_id", "query_id"), path, 5, exclude_self=True)
+
+
 def agreement_sql(hits: str) -> str:
     return f"""
 scored_hits AS (SELECT h.query_id, h.rank, i.outcome, i.hit_id % 17 <> 5 AND f.hit_id % 17 <> 5 AND list_cosine_similarity(i.embedding, f.embedding) >= 0.65 AS alike

@@ -113,7 +113,7 @@ def retrieve_pruned(
         F.col(intent_of).alias("intent"), F.col(query_id).alias("query_id"), as_doubles(F.col(vector)).alias("vector")
     )
     if index.groups is None:
-        return retrieve(queries, index.rows, k, query_id, "hit_id", vector, intent_of, exclude_self, query_rows, index_rows, index_vector="vector")
+        return retrieve(queries, index.rows, k, query_id, "hit_id", vector, intent_of, exclude_self, index_vector="vector")
     choose = _choose(queries.sparkSession, index.groups, k + int(exclude_self))
     chosen_schema = f"intent string, query_id {id_type}, vector array<double>, group int"
     hit_schema = f"query_id {id_type}, hit_id {hit_type}, similarity double"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,15 +15,14 @@ from threadloom import presets
 from threadloom.functions import text as tx
 from threadloom.functions.values import half_even
 from threadloom.functions.vectors import as_doubles, cosine, norm
-from threadloom.operators.bounded import block_apply
 from threadloom.operators.joins import assert_disjoint
 from threadloom.session import small_side, value_bytes, write_stage
 
 SIMILAR = 0.65
 # Similarities are compared to this many digits, so that ties do not hang on the order of additions.
 DIGITS = 9
-# Queries up to so many bytes travel to the index, which then stays where it is.
-QUERY_BYTES = 4 << 20
+# Bytes of the queries that travel to the index together; it stays where it is.
+QUERY_BYTES = 32 << 20
 
 
 def outcome_of(col: Column, allowed: Sequence[str] = presets.OUTCOMES, default: str = presets.DEFAULT_OUTCOME) -> Column:
@@ -156,17 +157,15 @@ def retrieve(
     vector: str = "embedding",
     intent_of: str = "intent",
     exclude_self: bool = False,
-    query_rows: int = 4096,
-    index_rows: int = 16384,
     query_bytes: int = QUERY_BYTES,
     index_vector: str | None = None,
 ) -> DataFrame:
     """The k most similar index rows of the same intent for each query, exactly.
 
-    Queries of up to ``query_bytes``, summed while they are written, are broadcast: the index is scanned where it lies,
-    with only the partitions of the intents asked for, and a task keeps k hits per query. More queries meet the index in blocks: both sides
-    of an intent are cut into bounded blocks, and a task multiplies one pair of them. Pairs are never emitted; the last
-    step ranks the hits. ``index_vector`` names the index' vector column where it is another one.
+    Queries go out in waves of about ``query_bytes``, summed while they are written, which are broadcast one after the other. The index is
+    scanned where it lies, once a wave, with only the partitions of the intents asked for; a task keeps k hits per query, and only
+    these are shuffled. The hits of each of several waves are written before the next one starts, so the driver holds one wave.
+    ``index_vector`` names the index' vector column where it is another one.
     Output: query_id, hit_id, rank, similarity (4 digits, at least 0), distance.
     """
     stored = index_vector or vector
@@ -178,19 +177,20 @@ def retrieve(
     size = value_bytes(F.col("vector"), asked.schema["vector"].dataType) + 64
     asked, seen = write_stage(asked, "queries", bytes=F.coalesce(F.sum(size), F.lit(0)))
     schema = f"query_id {id_type}, hit_id {hit_type}, similarity double"
-    if seen["bytes"] <= query_bytes:
-        by_intent = dict(tuple(asked.where(F.col("intent").isNotNull()).toPandas().groupby("intent")))
+    waves = max(1, min(seen["rows"], math.ceil(seen["bytes"] / max(1, query_bytes))))
+
+    def scan(wave: DataFrame) -> DataFrame:
+        by_intent = dict(tuple(wave.where(F.col("intent").isNotNull()).toPandas().groupby("intent")))
         shipped = asked.sparkSession.sparkContext.broadcast(by_intent)
         wanted = index.where(F.col(stored).isNotNull() & F.col("intent").isin(*by_intent)) if by_intent else index.where(F.lit(False))
         scanned = wanted.select("intent", F.col(hit_id).alias("hit_id"), F.col(stored).alias("vector"))
         return ranked_hits(scanned.mapInPandas(_scan_top_k(shipped, k, exclude_self), schema), k)
-    known = index.where(F.col(stored).isNotNull()).select(
-        "intent", F.col(hit_id).alias("hit_id"), as_doubles(F.col(stored)).alias("vector")
-    )
-    near = block_apply(
-        asked, known, ["intent"], "query_id", "hit_id", _block_top_k(k, exclude_self), schema, query_rows, index_rows
-    )
-    return ranked_hits(near, k)
+
+    if waves == 1:
+        return scan(asked)
+    number = F.pmod(F.xxhash64("query_id"), F.lit(waves))
+    parts = [write_stage(scan(asked.where(number == wave)), "query-wave")[0] for wave in range(waves)]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def ranked_hits(near: DataFrame, k: int) -> DataFrame:
