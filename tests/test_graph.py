@@ -135,3 +135,36 @@ def test_explode_threads_restores_posts(small, rows):
     back = threads.explode_threads(threads.build_threads(posts))
     columns = ("thread_key", "post_id", "author_id", "inbound", "text", "in_response_to_id")
     assert rows(back, *columns) == rows(posts, *columns)
+
+
+def load_posts(spark, rows):
+    return spark.createDataFrame(rows, "post_id bigint, in_response_to_id bigint, response_ids string").repartition(3)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_loads_equal_one_full_run(spark, seed):
+    """Posts in any order of loads, with parents that come later or never, children's lists, and posts that come again."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(1, 160):
+        parent = rng.choice([None, None, rng.randint(1, 170), max(1, i - 1)])
+        listed = rng.choice([None, None, None, f"{rng.randint(1, 170)}, x, {rng.randint(1, 170)}"])
+        rows.append((i, parent, listed))
+    rng.shuffle(rows)
+    state = graph.ThreadState.empty(spark)
+    for at in range(0, len(rows), 53):
+        state = graph.add_posts(state, load_posts(spark, rows[at : at + 53] + rows[:3]))
+    whole = graph.assign_threads(load_posts(spark, rows))
+    want = {r["post_id"]: r["thread_key"] for r in whole.collect()}
+    assert {r["post_id"]: r["thread_key"] for r in state.threads.collect()} == want
+    assert state.threads.count() == len(rows)
+    ids = {r[0] for r in rows}
+    assert all(r["dst"] not in ids for r in state.pending.collect())
+
+
+def test_empty_load_changes_nothing(spark, tmp_path):
+    state = graph.add_posts(graph.ThreadState.empty(spark), load_posts(spark, [(1, None, None), (2, 1, None), (3, 9, None)]))
+    state.write(str(tmp_path / "state"))
+    again = graph.add_posts(graph.ThreadState.read(spark, str(tmp_path / "state")), load_posts(spark, []))
+    assert sorted(map(tuple, again.threads.collect())) == [(1, 1), (2, 1), (3, 3)]
+    assert [tuple(r) for r in again.pending.collect()] == [(3, 9)]

@@ -8,6 +8,7 @@ from threadloom.catalog import views
 from threadloom.catalog.base import query
 from threadloom.catalog.views import WITH_POSTS, WITH_THREADED
 from threadloom.operators import graph, resolve, threads
+from threadloom.session import stage_path
 
 
 def epoch(col: str):
@@ -32,6 +33,24 @@ def components(spark, sf_dir):
     )
 
 
+@query(
+    "components_incremental",
+    f"WITH RECURSIVE {views.POSTS}, {views.EDGES}, {views.COMPONENTS} "
+    "SELECT post_id, thread_key AS component FROM component",
+)
+def components_incremental(spark, sf_dir):
+    """The same components from three loads, which split threads; every state but the last is stored and read again."""
+    posts = views.posts(spark, sf_dir)
+    load, state = F.pmod(F.xxhash64("post_id"), F.lit(3)), graph.ThreadState.empty(spark)
+    for number in range(3):
+        state = graph.add_posts(state, posts.where(load == number))
+        if number < 2:
+            path = stage_path(spark, "thread-state")
+            state.write(path)
+            state = graph.ThreadState.read(spark, path)
+    return state.threads.select("post_id", F.col("thread_key").alias("component"))
+
+
 @query(
     "branching",
     f"WITH {views.POSTS}, {views.FORKS} SELECT post_id, in_response_to_id, "

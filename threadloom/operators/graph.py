@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.values import to_id
@@ -27,6 +29,59 @@ def reply_edges(posts: DataFrame) -> DataFrame:
     return links.join(known, "dst", "left_semi").select("src", "dst", "via")
 
 
+def _links(posts: DataFrame) -> DataFrame:
+    """(src, dst) of every link a post names, whether or not the other post exists."""
+    parents = posts.where(F.col("in_response_to_id").isNotNull()).select(F.col("post_id").alias("src"), F.col("in_response_to_id").alias("dst"))
+    listed = posts.where(F.col("response_ids").isNotNull()).select(
+        F.col("post_id").alias("src"), F.explode(F.split("response_ids", ",")).alias("entry")
+    )
+    children = listed.select("src", to_id(F.col("entry")).alias("dst"))
+    return parents.unionByName(children.where(F.col("dst").isNotNull()))
+
+
+@dataclass(frozen=True)
+class ThreadState:
+    """What loads of posts need to know of the earlier ones: each post's thread, and the links whose other post has not come yet."""
+
+    threads: DataFrame
+    pending: DataFrame
+
+    @classmethod
+    def empty(cls, spark: SparkSession) -> ThreadState:
+        return cls(spark.createDataFrame([], "post_id bigint, thread_key bigint"), spark.createDataFrame([], "src bigint, dst bigint"))
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> ThreadState:
+        return cls(spark.read.parquet(f"{path}/threads"), spark.read.parquet(f"{path}/pending"))
+
+    def write(self, path: str) -> None:
+        self.pending.write.parquet(f"{path}/pending")
+        self.threads.write.parquet(f"{path}/threads")
+
+
+def add_posts(state: ThreadState, posts: DataFrame) -> ThreadState:
+    """The state after a load of posts, equal to that of all posts at once.
+
+    Links of the new posts, and earlier ones that waited for one of them, join whole threads, so components are sought among the
+    threads these links touch only. The stored table is read once to look up the links' ends, and once to relabel
+    the threads that were joined: one table of changed keys, broadcast if its size allows. A post that comes again changes nothing but
+    adds the links it names.
+    """
+    new, _ = write_stage(posts.select("post_id").distinct(), "load-posts")
+    fresh = new.join(state.threads.select("post_id"), "post_id", "left_anti").select("post_id", F.col("post_id").alias("thread_key"))
+    fresh, _ = write_stage(fresh, "load-fresh")
+    links, _ = write_stage(_links(posts).unionByName(state.pending).distinct(), "load-links")
+    # Threads of all ends of links, from one pass over the stored table.
+    wanted = small_side(links.select(F.explode(F.array("src", "dst")).alias("post_id")).distinct(), "load-ends")
+    ends, _ = write_stage(state.threads.join(wanted, "post_id").unionByName(fresh.join(wanted, "post_id")), "load-threads")
+    known = lambda end: ends.select(F.col("post_id").alias(end), F.col("thread_key").alias(f"{end}_key"))
+    placed, _ = write_stage(links.join(known("src"), "src").join(known("dst"), "dst", "left"), "load-placed")
+    moved = connected_components(placed.where(F.col("dst_key").isNotNull()), "src_key", "dst_key")
+    moved = small_side(moved.select(F.col("node").alias("thread_key"), F.col("component").alias("joined")), "load-moved")
+    threads = state.threads.unionByName(fresh).join(moved, "thread_key", "left").select("post_id", F.coalesce("joined", "thread_key").alias("thread_key"))
+    return ThreadState(write_stage(threads, "load-state")[0], placed.where(F.col("dst_key").isNull()).select("src", "dst"))
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", hops: int = 3) -> DataFrame:
     """(node, component) for every node that is not its component's smallest id.
 
