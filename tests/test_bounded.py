@@ -256,3 +256,24 @@ def test_one_pass_silhouette_and_best_of_starts(spark):
     assert abs(scores[3] - want) < 1e-4
     placed = ml.kmeans_assign(df, models[3])
     assert abs(ml.cluster_silhouette(placed, "cluster", "embedding").first()[0] - want) < 1e-4
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_copies_leave_no_empty_cluster(spark, parts):
+    """A vector that 20,000 rows share fills neither the pool of starts nor several clusters."""
+    rng = np.random.default_rng(6)
+    spread = np.concatenate([rng.normal(c, 0.3, size=(30, 3)) for c in (4, -4, 9, -9, 0)])
+    rows = spark.createDataFrame([(row.tolist(),) for row in spread], "embedding array<double>")
+    copies = spark.range(20_000).select(F.array(F.lit(20.0), F.lit(20.0), F.lit(20.0)).alias("embedding"))
+    model = ml.kmeans_fit(rows.unionByName(copies).repartition(parts), 6, restarts=4)
+    assert sorted(model.rows.tolist()) == [30, 30, 30, 30, 30, 20_000]
+    pool, weights = ml._pool(rows.unionByName(copies).select(F.col("embedding").alias("vector")), 40, 4, 42)
+    assert len(np.unique(pool, axis=0)) == len(pool) > 30 and weights.sum() == 20_150
+
+
+def test_fewer_vectors_than_clusters(spark):
+    two = spark.createDataFrame([([1.0, 0.0],), ([0.0, 1.0],), ([1.0, 0.0],)], "embedding array<double>")
+    model = ml.kmeans_fit(two, 4, restarts=2)
+    assert model.rows.sum() == 3 and model.cost < 1e-12
+    with pytest.raises(ValueError, match="no vector"):
+        ml.kmeans_fit(two.where("false"), 2)

@@ -113,6 +113,32 @@ def test_allocation_follows_round_robin(spark, counts, n):
     assert [got[f"s{i}"] for i in range(len(counts))] == round_robin(counts, n)
 
 
+def test_allocation_over_a_million_strata(spark):
+    """No window runs over all strata at once; strata of one size that share a turn are cut in their order."""
+    many = spark.range(1_000_000).select(F.format_string("s%07d", "id").alias("s"), (F.col("id") % 5 + 1).alias("size"))
+    found = sampling.allocate(many, ["s"], 1_300_000)
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.groupBy("size").agg(F.sum("n").alias("n"), F.min("n").alias("least"), F.max("n").alias("most")).orderBy("size").collect()
+    assert sum(r["n"] for r in rows) == 1_300_000
+    assert all(r["most"] - r["least"] <= 1 for r in rows)
+    assert sum(r["most"] != r["least"] for r in rows) <= 1
+    level = next((r for r in rows if r["most"] != r["least"]), None)
+    if level is not None:
+        edge = found.where(F.col("size") == level["size"]).groupBy("n").agg(F.min("s").alias("first"), F.max("s").alias("last")).collect()
+        low, high = sorted(edge, key=lambda r: r["n"])
+        # The difference is negative here, so the first ones give one up.
+        assert low["last"] < high["first"]
+
+
+def test_holdout_quotas_with_null_strata(spark):
+    df = spark.createDataFrame([(None, 5), ("a", 5), ("b", 3), ("c", 1)], "s string, size bigint")
+    got = {r["s"]: r["n"] for r in sampling.allocate_holdout(df, ["s"], 7).collect()}
+    # 7 * 5 / 14 = 2.5 and 7 * 3 / 14 = 1.5 round to 2; null comes first among the largest.
+    assert got == {None: 2, "a": 2, "b": 2, "c": 1}
+    got = {r["s"]: r["n"] for r in sampling.allocate_holdout(df, ["s"], 8).collect()}
+    assert sum(got.values()) == 8 and got[None] == 8 - got["a"] - got["b"] - got["c"]
+
+
 def test_holdout_is_exact_disjoint_and_reproducible(spark):
     df = spark.createDataFrame([(i, "hot" if i % 3 else f"c{i % 4}") for i in range(600)], "id bigint, c string")
     held, rest = sampling.holdout_split(df, ["c"], 60, "id")

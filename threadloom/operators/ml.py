@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -90,19 +91,67 @@ def _gaps(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.maximum(squares, 0.0)
 
 
-def _spread_starts(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k rows, each drawn with a chance in proportion to its squared distance to the rows drawn before."""
+def _spread_starts(pool: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k vectors of the pool, each drawn with a chance in proportion to its weight times its squared distance to those drawn before."""
     rng = np.random.default_rng(seed)
-    chosen = [sample[rng.integers(len(sample))]]
-    nearest = _gaps(sample, np.stack(chosen))[:, 0]
+    chosen = [pool[rng.choice(len(pool), p=weights / weights.sum())]]
+    nearest = _gaps(pool, chosen[0][None, :])[:, 0]
     while len(chosen) < k:
-        total = nearest.sum()
-        pick = rng.choice(len(sample), p=nearest / total) if total > 0 else rng.integers(len(sample))
-        chosen.append(sample[pick])
-        nearest = np.minimum(nearest, _gaps(sample, sample[pick][None, :])[:, 0])
+        chances = weights * nearest
+        pick = rng.choice(len(pool), p=chances / chances.sum()) if chances.sum() > 0 else rng.integers(len(pool))
+        chosen.append(pool[pick])
+        nearest = np.minimum(nearest, _gaps(pool, pool[pick][None, :])[:, 0])
+        # Rounding leaves a trace of a distance between equal vectors.
+        nearest[(pool == pool[pick]).all(axis=1)] = 0.0
     return np.stack(chosen)
 
 
+def _pool(rows: DataFrame, size: int, passes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """About ``size`` distinct vectors, spread over all rows, and how many rows are nearest to each of them.
+
+    Every pass over the rows adds the vectors that a draw without replacement, in proportion to the squared distance to the pool so
+    far, would take: those of the smallest -ln(u) / distance, where u comes from the vector's hash. Copies have the same u, so they
+    are one candidate; their number is in the weights, which a last pass counts. A task sends as many rows as a pass may add.
+    """
+    first = rows.select("vector").orderBy(F.xxhash64(F.lit(seed), "vector"), "vector").limit(1).toPandas()
+    if first.empty:
+        raise ValueError("there is no vector to cluster")
+    pool = _matrix(first["vector"])
+    each = max(1, math.ceil(size / passes))
+    for number in range(passes):
+        shipped = rows.sparkSession.sparkContext.broadcast(pool)
+        draw = F.pmod(F.xxhash64(F.lit(seed + 1 + number), "vector"), F.lit(1 << 52))
+
+        def smallest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = pd.DataFrame({"at": [], "vector": []})
+            for frame in frames:
+                x = _matrix(frame["vector"])
+                gaps = _gaps(x, shipped.value).min(axis=1)
+                far = gaps > 1e-12 * np.maximum(1.0, (x * x).sum(axis=1))
+                at = -np.log((frame["draw"].to_numpy()[far] + 0.5) / (1 << 52)) / gaps[far]
+                found = pd.DataFrame({"at": at, "draw": frame["draw"][far], "vector": frame["vector"][far]}).drop_duplicates("draw")
+                held = pd.concat([held, found]) if len(held) else found
+                held = held.drop_duplicates("draw").nsmallest(each, "at")
+            if len(held):
+                yield held[["at", "vector"]]
+
+        drawn = rows.select("vector", draw.alias("draw")).mapInPandas(smallest, "at double, vector array<double>")
+        added = drawn.groupBy("vector").agg(F.min("at").alias("at")).orderBy("at", "vector").limit(each).toPandas()
+        if added.empty:
+            break
+        pool = np.concatenate([pool, _matrix(added["vector"])])
+    shipped = rows.sparkSession.sparkContext.broadcast(pool)
+
+    def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(len(shipped.value), dtype=np.int64)
+        for frame in frames:
+            counts += np.bincount(_gaps(_matrix(frame["vector"]), shipped.value).argmin(axis=1), minlength=len(counts))
+        yield pd.DataFrame({"place": range(len(counts)), "n": counts})
+
+    counted = rows.mapInPandas(members, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    return pool, counted.sort_values("place")["n"].to_numpy(dtype=float)
+
+
 def _lloyd_round(rows: DataFrame, models: dict[int, np.ndarray]) -> dict[int, Clustering]:
     """One pass over the rows for all models at once: assign, and sum per cluster."""
     shipped = rows.sparkSession.sparkContext.broadcast(models)
@@ -161,26 +210,21 @@ def _vectors(df: DataFrame, vector: str) -> DataFrame:
 
 
 def _fit_all(
-    rows: DataFrame, ks: Sequence[int], seed: int, restarts: int, rounds: int, start_rows: int, tolerance: float = 1e-8
+    rows: DataFrame, ks: Sequence[int], seed: int, restarts: int, rounds: int, passes: int, tolerance: float = 1e-8
 ) -> dict[int, Clustering]:
     """The model of lowest cost among ``restarts`` starts, for each k. ``rows`` is a stage table."""
-    # Starts come from rows with the smallest hashes, whatever their partition.
-    order = F.xxhash64(F.lit(seed), "vector")
-    sample = rows.select("vector", order.alias("h")).orderBy("h").limit(start_rows).toPandas()
-    if sample.empty:
-        raise ValueError("there is no vector to cluster")
-    drawn = _matrix(sample["vector"])
-    starts = {k * restarts + i: _spread_starts(drawn, k, seed + i) for k in ks for i in range(restarts)}
+    pool, weights = _pool(rows, 16 * max(ks), passes, seed)
+    starts = {k * restarts + i: _spread_starts(pool, weights, k, seed + i) for k in ks for i in range(restarts)}
     models = _lloyd(rows, starts, rounds, tolerance)
     return {k: min((models[k * restarts + i] for i in range(restarts)), key=lambda m: m.cost) for k in ks}
 
 
 def kmeans_fit(
-    df: DataFrame, k: int, vector: str = "embedding", seed: int = 42, restarts: int = 10, rounds: int = 300, start_rows: int = 10_000
+    df: DataFrame, k: int, vector: str = "embedding", seed: int = 42, restarts: int = 10, rounds: int = 300, passes: int = 4
 ) -> Clustering:
-    """The model with the lowest cost among ``restarts`` starts, which are drawn from at most ``start_rows`` rows."""
+    """The model with the lowest cost among ``restarts`` starts, drawn from a pool that ``passes`` over all rows gather."""
     rows, _ = write_stage(_vectors(df, vector), "kmeans-rows")
-    return _fit_all(rows, [k], seed, restarts, rounds, start_rows)[k]
+    return _fit_all(rows, [k], seed, restarts, rounds, passes)[k]
 
 
 def kmeans_assign(df: DataFrame, model: Clustering, vector: str = "embedding", out: str = "cluster") -> DataFrame:
@@ -240,7 +284,7 @@ def kmeans_sweep(
     restarts: int = 10,
     exact_by: str | None = None,
     rounds: int = 300,
-    start_rows: int = 10_000,
+    passes: int = 4,
 ) -> tuple[dict[int, float], int, dict[int, Clustering]]:
     """Silhouette for each k, the first k with the highest one, and the models.
 
@@ -249,7 +293,7 @@ def kmeans_sweep(
     for a sample.
     """
     rows, _ = write_stage(_vectors(df, vector), "kmeans-rows")
-    models = _fit_all(rows, range(k_min, k_max + 1), seed, restarts, rounds, start_rows)
+    models = _fit_all(rows, range(k_min, k_max + 1), seed, restarts, rounds, passes)
     if exact_by:
         scores = {k: silhouette(kmeans_assign(df, m, vector), exact_by, "cluster", vector).first()["silhouette"] for k, m in models.items()}
     else:

@@ -6,13 +6,14 @@ per-stratum table is small and all allocation happens on it; the data is filtere
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.values import hash_order
-from threadloom.operators.bounded import hash_histogram, mark_by_hash, take_by_hash
+from threadloom.operators.bounded import hash_histogram, mark_by_hash, number_rows, take_by_hash
 from threadloom.session import literal_table, write_stage
 
 
@@ -37,31 +38,34 @@ def allocate(sizes: DataFrame, strata: Sequence[str], n: int) -> DataFrame:
     """Proportional quotas (column ``n``): half-even rounding, at least 1, at most the stratum.
 
     The rounding difference is handed out one by one over the strata by falling size, round after
-    round; a stratum that is full (or at 1) passes its turn.
+    round; a stratum that is full (or at 1) passes its turn. Every stratum has the whole rounds; a histogram of the sizes tells down to
+    which size one turn more is left, and only strata of that size are put in order, so no task sees all strata.
     """
-    rows = sizes.agg(F.sum("size")).scalar()
-    base = _proportional(sizes, n, rows).withColumn(
-        "_base", F.greatest(F.lit(1), F.least("size", "_share"))
-    )
-    every = Window.partitionBy(F.lit(0))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), *strata)
-    turns = base.withColumns(
-        {
-            "_diff": F.lit(n) - F.sum("_base").over(every),
-            "_strata": F.count(F.lit(1)).over(every),
-            "_place": F.row_number().over(order) - 1,
-        }
-    ).withColumn(
-        "_turns",
-        F.when(
-            F.abs("_diff") > F.col("_place"),
-            F.floor((F.abs("_diff") - 1 - F.col("_place")) / F.col("_strata")) + 1,
-        ).otherwise(F.lit(0)),
-    )
-    up = F.least(F.col("size"), F.col("_base") + F.col("_turns"))
-    down = F.greatest(F.lit(1), F.col("_base") - F.col("_turns"))
-    quota = F.when(rows <= n, F.col("size")).when(F.col("_diff") > 0, up).otherwise(down)
-    return turns.select(*strata, "size", quota.cast("bigint").alias("n"))
+    strata = list(strata)
+    sizes, seen = write_stage(sizes, "stratum-sizes", total=F.sum("size"))
+    total = seen["total"] or 0
+    if n >= total:
+        return sizes.select(*strata, "size", F.col("size").cast("bigint").alias("n"))
+    base = _proportional(sizes, n, F.lit(total)).withColumn("_base", F.greatest(F.lit(1), F.least("size", "_share")))
+    diff = n - base.agg(F.sum("_base")).first()[0]
+    rounds, left = divmod(abs(diff), seen["rows"])
+    # As many rows as there are different sizes, at most the square root of twice the number of rows.
+    levels = sorted(((r["size"], r["strata"]) for r in sizes.groupBy("size").agg(F.count(F.lit(1)).alias("strata")).collect()), reverse=True)
+    level = 0
+    for level, many in levels:
+        if many > left:
+            break
+        left -= many
+    further = F.when(F.col("size") > level, 1).otherwise(0)
+    if left:
+        order = [F.col(f"`{c}`").asc() for c in strata]
+        placed = number_rows(base.where(F.col("size") == level), ["size"], order, "_place")
+        turns = placed.withColumn("_turns", F.lit(rounds) + (F.col("_place") < left).cast("int")).drop("_place")
+        turns = turns.unionByName(base.where(F.col("size") != level).withColumn("_turns", F.lit(rounds) + further))
+    else:
+        turns = base.withColumn("_turns", F.lit(rounds) + further)
+    moved = F.least("size", F.col("_base") + F.col("_turns")) if diff > 0 else F.greatest(F.lit(1), F.col("_base") - F.col("_turns"))
+    return turns.select(*strata, "size", moved.cast("bigint").alias("n"))
 
 
 def allocate_floor(sizes: DataFrame, strata: Sequence[str], n: int) -> DataFrame:
@@ -72,15 +76,17 @@ def allocate_floor(sizes: DataFrame, strata: Sequence[str], n: int) -> DataFrame
 
 
 def allocate_holdout(sizes: DataFrame, strata: Sequence[str], n: int) -> DataFrame:
-    """Proportional quotas with at least 1; the whole rounding difference goes to the largest stratum."""
-    rows = sizes.agg(F.sum("size")).scalar()
-    every = Window.partitionBy(F.lit(0))
-    order = every.orderBy(F.desc("size"), *strata)
-    base = _proportional(sizes, n, rows).withColumn("_base", F.greatest(F.lit(1), F.col("_share")))
-    diff = F.lit(n) - F.sum("_base").over(every)
-    first = F.row_number().over(order) == 1
-    quota = F.col("_base") + F.when(first, diff).otherwise(F.lit(0))
-    return base.withColumn("n", quota.cast("bigint")).select(*strata, "size", "n")
+    """Proportional quotas with at least 1; the whole rounding difference goes to the largest stratum, the first of them by its keys."""
+    sizes, seen = write_stage(sizes, "stratum-sizes", total=F.sum("size"))
+    base = _proportional(sizes, n, F.lit(seen["total"] or 0)).withColumn("_base", F.greatest(F.lit(1), F.col("_share")))
+    if not seen["rows"]:
+        return base.select(*strata, "size", F.col("_base").cast("bigint").alias("n"))
+    diff = n - base.agg(F.sum("_base")).first()[0]
+    largest = sizes.orderBy(F.desc("size"), *strata).limit(1).withColumn("_first", F.lit(True))
+    same = functools.reduce(lambda x, y: x & y, [base[c].eqNullSafe(largest[c]) for c in strata])
+    joined = base.join(F.broadcast(largest), same, "left")
+    quota = base["_base"] + F.when(largest["_first"], F.lit(diff)).otherwise(F.lit(0))
+    return joined.select(*[base[c] for c in strata], base["size"], quota.cast("bigint").alias("n"))
 
 
 def stratified_sample(df: DataFrame, strata: Sequence[str], n: int, id_col: str, seed: int = 42) -> DataFrame:
