@@ -48,12 +48,9 @@ def test_as_brute_force(spark, target, block):
     want = plain(ids, np.array(x, dtype=np.float32).astype(np.float64), labels)
     pairs = sum(n for n, _ in want.values())
     assert pairs > 1000
-    missed = sum(abs(want[i][0] - got[i]["n_links"]) for i in ids)
-    if target == 256:
-        assert missed == 0
-        assert all(got[i]["component_id"] == want[i][1] for i in ids)
-    else:
-        assert missed <= 0.01 * pairs
+    missed = sum(want[i][0] - got[i]["n_links"] for i in ids)
+    assert 0 <= missed <= 0.001 * pairs
+    assert sum(got[i]["component_id"] != want[i][1] for i in ids) <= 2
     assert all(got[i]["kept"] == (got[i]["component_id"] == i) for i in ids)
 
 
@@ -73,11 +70,26 @@ def test_estimates_are_unbiased_and_bounds_hold():
 
 
 def test_layout_meets_its_miss_rate():
-    assert vectors.layout(100) == (0, 1)
-    for largest in (10**4, 10**6, 10**9):
+    for largest in (1, 100, 10**4, 10**6, 10**9):
         bits, tables = vectors.layout(largest)
         agree = (1 - np.arccos(0.93) / np.pi) ** bits
-        assert (1 - agree) ** tables <= 0.001 and largest / 2**bits <= 256
+        assert bits >= 2 and (1 - agree) ** tables <= 0.0001 and largest / 2**bits <= 256
+
+
+@pytest.mark.parametrize("n", [40, 6000])
+def test_recall_just_above_the_threshold(spark, n):
+    """Pairs of cosine 0.9301 to 0.932 in one label, as small or large: nearly all are found."""
+    rng = np.random.default_rng(n)
+    a = rng.standard_normal((n // 2, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal(a.shape)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = rng.uniform(0.9301, 0.932, (n // 2, 1))
+    x = np.concatenate((a, c * a + np.sqrt(1 - c * c) * b))
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    got = table(vectors.near_duplicates(rows), "vec_id")
+    assert np.mean([got[i]["component_id"] == got[i + n // 2]["component_id"] == i for i in range(n // 2)]) >= 0.999
 
 
 def test_unusable_vectors(spark):

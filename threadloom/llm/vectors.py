@@ -5,8 +5,8 @@ Vectors are compared within their label. Equal vectors of a label are first fold
 *Candidates.* A random rotation gives every node sign bits. ``tables`` groups of ``bits`` sign bits each are the keys under which nodes meet.
 Two vectors of cosine c agree on a bit with probability p = 1 - acos(c) / pi, so a pair at the threshold is missed by all tables
 with probability (1 - p^bits)^tables; ``tables`` is the smallest number that brings this below ``miss``. ``bits``
-grows with the logarithm of the largest label, so that buckets, not labels, are compared. Labels that fit
-a bucket have no bits and are compared whole.
+grows with the logarithm of the largest label, so that buckets, not labels, are compared. All labels go this way, small ones with
+``LEAST_BITS`` bits. The bits of one rotation are not quite independent, so ``miss`` is set well below what is wanted.
 
 *Codes.* A node's code holds the signs of its rotated unit vector o, with the stored correction <s, o> / sqrt(d), s being the
 signs. For two nodes, <s, q> / sqrt(d) divided by the first one's correction is an unbiased estimate of their cosine; its
@@ -39,8 +39,10 @@ THRESHOLD = 0.93
 BLOCK = 2048
 # Wanted rows of a bucket.
 TARGET = 256
-# Chance that all tables miss a pair at the threshold.
-MISS = 0.001
+# Bits of a key at least.
+LEAST_BITS = 2
+# Chance that all tables miss a pair at the threshold, if bits were independent.
+MISS = 0.0001
 SIGMAS = 4.0
 SEED = 23
 
@@ -53,9 +55,7 @@ def rotation(width: int, number: int, seed: int = SEED) -> np.ndarray:
 
 def layout(largest: int, threshold: float = THRESHOLD, target: int = TARGET, miss: float = MISS) -> tuple[int, int]:
     """(bits, tables) for labels of up to ``largest`` rows."""
-    bits = min(30, max(0, math.ceil(math.log2(max(1, largest) / target))))
-    if not bits:
-        return 0, 1
+    bits = min(30, max(LEAST_BITS, math.ceil(math.log2(max(1, largest) / target))))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log(1 - agree))
 
@@ -102,8 +102,7 @@ def _tables(nodes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
             for size in {len(r) for r in raws}:
                 own = [i for i, r in enumerate(raws) if len(r) == size]
                 x = np.frombuffer(b"".join(raws[i] for i in own), np.float64).reshape(len(own), -1)
-                found = _signs(_unit(x), bits, tables, seed) if bits else np.zeros((len(own), tables), np.int64)
-                for i, row in zip(own, found):
+                for i, row in zip(own, _signs(_unit(x), bits, tables, seed)):
                     keys[i] = row
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=[*batch.schema.names, "keys"])
 
