@@ -1,6 +1,8 @@
 import pytest
 from helpers import docs, table
 
+from pyspark.sql import functions as F
+
 from threadloom.llm import mixing
 
 
@@ -76,3 +78,13 @@ def test_all_empty_texts_and_empty_table(spark):
 def test_a_share_beyond_all_epochs(spark):
     rows = mixing.mix(docs(spark, ["a b", "c d e"]), share=9.0).collect()
     assert all(r["taken"] == 2 * r["size"] for r in rows)
+
+
+def test_documents_without_ids_and_with_shared_ids_come_near_the_target(spark):
+    """A source of documents without ids, and one whose documents all have one id."""
+    texts = [f"word{i} " * 20 for i in range(450)]
+    sources = ["a"] * 150 + ["b"] * 150 + ["c"] * 150
+    ids = [None] * 150 + [7] * 150 + list(range(150))
+    mixed = mixing.mix(docs(spark, texts, sources, ids=ids)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"))
+    for row in mixed.collect():
+        assert abs(row["taken"] - row["target"]) <= 20

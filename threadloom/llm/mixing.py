@@ -9,7 +9,7 @@ The cut is found on sums of sizes per (source, hash prefix): one scan for the fi
 that the cut falls into, and only the few rows of one cell of 16.8 million are ordered. No source is sorted.
 
 Defined cases: a null or empty text has size 0; a null source is a source, ranked last; documents that
-share an id share their place in the order, and so all enter or none. An empty table gives an empty
+share their id and text share their place in the order, and so all enter or none; those that share only an id, or have none, do not. An empty table gives an empty
 mix. Extra columns are ignored by ``mix`` and kept by ``take``.
 """
 
@@ -32,9 +32,10 @@ SEED = "mix-1"
 PREFIX = 3
 
 
-def hash_place(key: Column, seed: str) -> Column:
+def hash_place(key: Column, text: Column, seed: str) -> Column:
     """16 hex digits that order documents."""
-    return F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 16)
+    named = F.coalesce(key.cast("string"), F.lit("null"))
+    return F.substring(F.md5(F.concat(F.lit(f"{seed}|"), named, F.lit("|"), F.coalesce(text, F.lit("")))), 1, 16)
 
 
 def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -43,7 +44,7 @@ def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        hash_place(F.col("doc_id"), seed).alias("place"),
+        hash_place(F.col("doc_id"), F.col("text"), seed).alias("place"),
     )
 
 
@@ -150,7 +151,7 @@ def take(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
     packed = packed.withColumns(
         {
             "source": F.col("row.source"),
-            "place": hash_place(F.col("row.doc_id"), seed),
+            "place": hash_place(F.col("row.doc_id"), F.col("row.text"), seed),
             "size": F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)),
         }
     )

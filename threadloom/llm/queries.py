@@ -135,7 +135,7 @@ FROM marked GROUP BY doc_id
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, 'null')), 1, 16) AS place FROM documents
+         substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(text, '')), 1, 16) AS place FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
