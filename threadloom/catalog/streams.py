@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.catalog import retrieval as rv
+from threadloom.catalog import views
 from threadloom.catalog.base import REGISTRY, query, table
 from threadloom.operators import score as sc
 from threadloom.operators.resolve import ResolutionRules
 from threadloom.session import stage_path, write_stage
-from threadloom.streaming import jobs
+from threadloom.streaming import jobs, thread_state
 
 
 def as_stream(df, label: str, batches: int = 4, file_rows: int = 20_000):
@@ -80,3 +81,21 @@ def resolution_stream(spark, sf_dir):
     jobs.resolution_stream(stream, out, mark, WATCH).awaitTermination()
     closed = spark.read.parquet(out)
     return closed.withColumns({c: F.unix_micros(c) for c in ("first_at", "last_at")})
+
+
+@query("resolution_state_stream", REGISTRY["resolution"].sql)
+def resolution_state_stream(spark, sf_dir):
+    """Posts in three loads by time, the stream started anew for each: every thread's latest record is the batch job's row."""
+    posts = views.threaded(spark, sf_dir).select("thread_key", "post_id", "inbound", "created_at", "text")
+    at = F.unix_seconds("created_at")
+    lo, hi = posts.agg(F.coalesce(F.min(at), F.lit(0)), F.coalesce(F.max(at), F.lit(0))).first()
+    load = F.least(F.floor((at - lo) * 3 / F.lit(hi - lo + 1)), F.lit(2))
+    inbox, out, mark = (stage_path(spark, f"state-{name}") for name in ("in", "out", "mark"))
+    for number in range(3):
+        posts.where(F.coalesce(load, F.lit(2)) == number).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(posts.schema).parquet(inbox)
+        # Each load is younger than those before it, so no post is late.
+        thread_state.thread_state_stream(stream, out, mark, views.RULES, late="0 seconds").awaitTermination()
+    return thread_state.current_states(spark, out).select(
+        "thread_id", "thread_length", F.unix_seconds("end_time").alias("end_time"), "resolved", "resolution_reason"
+    )

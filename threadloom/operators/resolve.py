@@ -77,9 +77,14 @@ def tag_resolution(
     """
     latest = (dataset_max_time(facts) if max_time is None else max_time).scalar()
     idle = (F.unix_micros(latest) - F.unix_micros("end_time")) / F.lit(3_600_000_000.0)
+    return reasoned(facts, idle < rules.inactivity_hours, rules)
+
+
+def reasoned(facts: DataFrame, recent: Column, rules: ResolutionRules) -> DataFrame:
+    """``facts`` with outcome and reason; ``recent`` says whether a thread's last post is too young to count as dormant."""
     brand_spoke_last = (
         F.when(F.col("grateful"), F.lit("customer_gratitude_confirmed_by_brand"))
-        .when(idle < rules.inactivity_hours, F.lit("brand_final_reply_recent_insufficient_observation_window"))
+        .when(recent, F.lit("brand_final_reply_recent_insufficient_observation_window"))
         .otherwise(F.lit(rules.dormant))
     )
     reason = (
