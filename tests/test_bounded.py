@@ -29,6 +29,21 @@ def test_positions(spark, max_group, partitions):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [10, 3000, 10**9])
+def test_sums_before(spark, limit):
+    data = skewed()
+    df = spark.createDataFrame(data, "id bigint, g string, t bigint").repartition(3)
+    rows = bounded.number_rows(df, ["g"], [F.col("t"), F.col("id")], weight="t", max_weight=limit).collect()
+    got = {r["id"]: (r["position"], r["before"]) for r in rows}
+    want = {}
+    for g in {x[1] for x in data}:
+        total = 0
+        for place, (t, i) in enumerate(sorted((t, i) for i, gg, t in data if gg == g)):
+            want[i] = place, total
+            total += t
+    assert got == want
+
+
 def by_hash(ids, seed):
     return sorted(ids, key=lambda i: (hashlib.md5(f"{seed}|{i}".encode()).hexdigest(), i))
 

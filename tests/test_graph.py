@@ -130,6 +130,25 @@ def test_long_thread_continues_in_parts(spark):
     assert {p["thread_length"] for p in parts} == {25}
 
 
+@pytest.mark.parametrize("max_bytes", [600, 2000])
+def test_parts_are_cut_at_a_byte_limit(spark, max_bytes):
+    """A thread of few but long posts, one of them above the limit by itself, beside a short one."""
+    sizes = [100, 100, 400, 5000, 10, 10, None, 700, 0, 30, 300, 300, 300, 100]
+    rows = [(i + 1, "a", i % 2 == 0, None, None if n is None else chr(97 + i) * n, None, i if i else None) for i, n in enumerate(sizes)]
+    keyed = graph.assign_threads(make(spark, [*rows, (99, "b", True, None, "short", None, None)]))
+    built = sorted(threads.build_threads(keyed, max_bytes=max_bytes).collect(), key=lambda r: (r["thread_key"], r["part"]))
+    assert built[-1]["post_ids"] == [99]
+    mine = built[:-1]
+    assert [p["part"] for p in mine] == list(range(len(mine))) and len(mine) > 1
+    assert sum((p["post_ids"] for p in mine), []) == list(range(1, len(sizes) + 1))
+    for p in mine:
+        held = [len(t or "") + 129 for t in p["texts"]]
+        assert sum(held) <= max(max_bytes, max_bytes // 2 + held[-1])
+    parts = [r["transcript"] for r in threads.transcripts(keyed, max_bytes=max_bytes).where("thread_key = 1").orderBy("part").collect()]
+    assert "\n".join(parts) == threads.transcripts(keyed).where("thread_key = 1").first()["transcript"] and len(parts) > 1
+    assert all(len(t.split("\n")) == 1 or len(t) <= max(max_bytes, max_bytes // 2 + len(t.split("\n")[-1]) + 1) for t in parts)
+
+
 def test_explode_threads_restores_posts(small, rows):
     posts = graph.assign_threads(small)
     back = threads.explode_threads(threads.build_threads(posts))

@@ -220,6 +220,31 @@ def filter_brand(spark, sf_dir):
     return rows.groupBy("thread_id", "thread_length").agg(F.sum("part_length").alias("kept"))
 
 
+@query(
+    "thread_parts",
+    f"""{WITH_THREADED}, sized AS (
+  SELECT *, strlen(coalesce(text, '')) + strlen(coalesce(author_id, '')) + 128 AS b FROM threaded),
+run AS (
+  SELECT *, sum(b) OVER (PARTITION BY thread_key ORDER BY position) - b AS before, count(*) OVER (PARTITION BY thread_key) AS n,
+    sum(b) OVER (PARTITION BY thread_key) AS total FROM sized),
+cells AS (
+  SELECT *, CASE WHEN n > 5 OR total > 4000 THEN dense_rank() OVER (PARTITION BY thread_key ORDER BY position // 5, before // 2000) - 1 ELSE 0 END AS part
+  FROM run)
+SELECT thread_key, part, count(*) AS part_length, CAST(sum(b) AS BIGINT) AS bytes, string_agg(CAST(post_id AS VARCHAR), ',' ORDER BY position) AS post_ids,
+  md5(string_agg(text, chr(10) ORDER BY position)) AS texts FROM cells GROUP BY thread_key, part""",
+)
+def thread_parts(spark, sf_dir):
+    """Threads in rows of at most five posts and 4,000 bytes, or 2,000 bytes more than a larger last post."""
+    rows = threads.build_threads(views.threaded(spark, sf_dir), chunk=5, max_bytes=4000)
+    posts = threads.explode_threads(rows).withColumn("b", threads.post_bytes())
+    sizes = rows.select("thread_key", "part", F.explode("post_ids").alias("post_id")).join(posts.select("post_id", "b"), "post_id")
+    whole = rows.select(
+        "thread_key", "part", "part_length", F.array_join(F.transform("post_ids", lambda p: p.cast("string")), ",").alias("post_ids"),
+        F.md5(F.array_join("texts", "\n")).alias("texts"),
+    )
+    return whole.join(sizes.groupBy("thread_key", "part").agg(F.sum("b").alias("bytes")), ["thread_key", "part"])
+
+
 @query(
     "posts_of_threads",
     f"{WITH_THREADED} SELECT thread_key, post_id, author_id, inbound, created_s AS created_at, md5(text) AS text, in_response_to_id, branching FROM threaded",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,8 @@ from threadloom.session import small_side, write_stage
 
 # Groups up to this many rows are ordered inside one task.
 GROUP_ROWS = 200_000
+# ... if a given weight, such as their bytes, adds up to no more than this.
+GROUP_BYTES = 256 << 20
 # Hex digits of the hash that form the histogram cells of a hash-ordered draw.
 HASH_DIGITS = 4
 
@@ -24,43 +26,45 @@ def number_rows(
     order: Sequence[Column],
     out: str = "position",
     max_group: int = GROUP_ROWS,
+    weight: str | None = None,
+    before: str = "before",
+    max_weight: int = GROUP_BYTES,
 ) -> DataFrame:
-    """0-based position of every row within its group.
+    """0-based position of every row within its group; with a column ``weight``, also the sum of it ``before`` the row.
 
-    Groups up to ``max_group`` rows use a window. Larger ones are range partitioned on
+    Groups up to ``max_group`` rows, and up to ``max_weight`` in sum, use a window. Larger ones are range partitioned on
     (group, order), so that no task sees more than a slice of them; each slice is numbered on its
     own and shifted by the rows of the slices before it.
     """
     window = Window.partitionBy(*group).orderBy(*order)
-    sizes = df.groupBy(*group).count().where(F.col("count") > max_group).select(*group)
-    # At most (rows / max_group) groups are this large.
+    earlier = Window.unboundedPreceding, -1
+
+    def place(frame: DataFrame, within: WindowSpec, position: str, sums: str) -> DataFrame:
+        frame = frame.withColumn(position, F.row_number().over(within).cast("bigint") - 1)
+        return frame if weight is None else frame.withColumn(sums, F.coalesce(F.sum(weight).over(within.rowsBetween(*earlier)), F.lit(0)))
+
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), *([F.sum(weight).alias("_w")] if weight else []))
+    above = F.col("_n") > max_group
+    sizes = sizes.where(above | (F.col("_w") > max_weight) if weight else above).select(*group)
+    # At most (rows / max_group), and by weight (sum / max_weight), groups are this large.
     large = small_side(sizes, "large-groups")
     if large.isEmpty():
-        return df.withColumn(out, F.row_number().over(window).cast("bigint") - 1)
+        return place(df, window, out, before)
 
-    inside = df.join(large, list(group), "left_anti").withColumn(
-        out, F.row_number().over(window).cast("bigint") - 1
-    )
+    inside = place(df.join(large, list(group), "left_anti"), window, out, before)
     ranged = df.join(large, list(group), "left_semi").repartitionByRange(
         *[F.col(g) for g in group], *order
     )
     # The slice number is fixed by writing it: range bounds are sampled anew in every plan.
     sliced, _ = write_stage(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
-    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = small_side(
-        sliced.groupBy(*group, "_slice")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n"),
-        "slice-offsets",
-    )
+    ahead = Window.partitionBy(*group).orderBy("_slice").rowsBetween(*earlier)
+    totals = {"_offset": F.count(F.lit(1))} | ({"_ahead": F.sum(weight)} if weight else {})
+    offsets = sliced.groupBy(*group, "_slice").agg(*[c.alias(name) for name, c in totals.items()])
+    offsets = small_side(offsets.withColumns({name: F.coalesce(F.sum(name).over(ahead), F.lit(0)) for name in totals}), "slice-offsets")
     within = Window.partitionBy(*group, "_slice").orderBy(*order)
-    outside = (
-        sliced.withColumn("_rank", F.row_number().over(within).cast("bigint") - 1)
-        .join(offsets, [*group, "_slice"])
-        .withColumn(out, F.col("_rank") + F.col("_offset"))
-        .drop("_rank", "_offset", "_slice")
-    )
+    outside = place(sliced, within, "_rank", "_sum").join(offsets, [*group, "_slice"]).withColumn(out, F.col("_rank") + F.col("_offset"))
+    if weight is not None:
+        outside = outside.withColumn(before, F.col("_sum") + F.col("_ahead"))
     return inside.unionByName(outside.select(*inside.columns))
 
 

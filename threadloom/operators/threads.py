@@ -15,9 +15,11 @@ from threadloom import presets
 from threadloom.functions import text as tx
 from threadloom.functions.values import half_even, order_key
 from threadloom.operators.bounded import number_rows
-from threadloom.session import BROADCAST_BYTES, write_stage
+from threadloom.session import BROADCAST_BYTES, small_side, write_stage
 
 DEFAULT_REPLY = presets.DEFAULT_REPLY
+# A row of a long thread holds about this many bytes at most.
+PART_BYTES = 64 << 20
 
 
 class ConservationError(RuntimeError):
@@ -74,25 +76,53 @@ def thread_brands(posts: DataFrame) -> DataFrame:
     )
 
 
-def build_threads(posts: DataFrame, chunk: int = 10_000) -> DataFrame:
+def build_threads(posts: DataFrame, chunk: int = 10_000, max_bytes: int = PART_BYTES) -> DataFrame:
     """Threads with their ordered posts as array columns.
 
-    A thread of up to ``chunk`` posts is one row (``part`` 0). A longer one continues in further
-    rows of the same ``thread_id``, in order, so every post is kept and no row grows without bound.
+    A thread of up to ``chunk`` posts and ``max_bytes`` is one row (``part`` 0). A longer one continues in further
+    rows of the same ``thread_id``, in order, so every post is kept and no row grows without bound: a row holds up to ``chunk`` posts and
+    ``max_bytes``, or up to half of that more than its last post if that one is larger than half.
     Everything about the thread as a whole (``thread_key``, ``brands``, ``thread_length``, ``has_branching``, the times)
     is the same in all its rows; ``part_length`` counts the posts of one row and adds up over the table.
     """
-    sizes = posts.groupBy("thread_key").agg(F.count(F.lit(1)).alias("n"))
-    long, seen = write_stage(sizes.where(F.col("n") > chunk).select("thread_key"), "long-threads")
-    if seen["rows"] == 0:
+    sized = posts.withColumn("_bytes", post_bytes())
+    long = _long_keys(sized, chunk, max_bytes)
+    if long is None:
         return _short_threads(posts)
-    # At most (posts / chunk) threads are long.
-    long = F.broadcast(long) if 16 * seen["rows"] <= BROADCAST_BYTES else long
     return _short_threads(posts.join(long, "thread_key", "left_anti")).unionByName(
-        _long_threads(posts.join(long, "thread_key", "left_semi"), chunk)
+        _long_threads(sized.join(long, "thread_key", "left_semi"), chunk, max_bytes)
     )
 
 
+def post_bytes() -> Column:
+    """About how many bytes a post takes in a row of its thread."""
+    return sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("text", "author_id")), F.lit(128)).cast("bigint")
+
+
+def _long_keys(sized: DataFrame, chunk: int, max_bytes: int) -> DataFrame | None:
+    """Keys of the threads that take more than one row, if there are any."""
+    sizes = sized.groupBy("thread_key").agg(F.count(F.lit(1)).alias("n"), F.sum("_bytes").alias("bytes"))
+    long, seen = write_stage(sizes.where((F.col("n") > chunk) | (F.col("bytes") > max_bytes)).select("thread_key"), "long-threads")
+    if seen["rows"] == 0:
+        return None
+    return F.broadcast(long) if 16 * seen["rows"] <= BROADCAST_BYTES else long
+
+
+def _in_parts(sized: DataFrame, chunk: int, max_bytes: int) -> DataFrame:
+    """Posts of long threads with their ``position`` and ``part``.
+
+    A part starts where the count of earlier posts passes a multiple of ``chunk``, or their bytes one of half of ``max_bytes``. Both sums come
+    from ranged slices; the parts themselves are few and are numbered apart from the posts.
+    """
+    numbered = number_rows(sized, ["thread_key"], [_key()], weight="_bytes", before="_before", max_weight=4 * max_bytes)
+    cell = [F.floor(F.col("position") / F.lit(chunk)).alias("_rows"), F.floor(F.col("_before") / F.lit(max(1, max_bytes // 2))).alias("_half")]
+    # Written, as posts of the same time and id could change places from one plan to the next.
+    held, _ = write_stage(numbered.select("*", *cell).drop("_bytes", "_before"), "thread-parts")
+    cells = held.select("thread_key", "_rows", "_half").distinct()
+    parts = small_side(number_rows(cells, ["thread_key"], [F.col("_rows"), F.col("_half")], out="part"), "part-numbers")
+    return held.join(parts, ["thread_key", "_rows", "_half"]).drop("_rows", "_half")
+
+
 def _item() -> Column:
     fields = ["post_id", "author_id", "inbound", "created_at", "text", "in_response_to_id", "branching"]
     return F.struct(_key().alias("key"), *fields)
@@ -115,10 +145,8 @@ def _short_threads(posts: DataFrame) -> DataFrame:
     ).select(*_thread_columns())
 
 
-def _long_threads(posts: DataFrame, chunk: int) -> DataFrame:
-    numbered = number_rows(posts, ["thread_key"], [_key()])
-    part = F.floor(F.col("position") / F.lit(chunk)).alias("part")
-    rows = numbered.groupBy("thread_key", part).agg(F.array_sort(F.collect_list(_item())).alias("posts"))
+def _long_threads(posts: DataFrame, chunk: int, max_bytes: int) -> DataFrame:
+    rows = _in_parts(posts, chunk, max_bytes).groupBy("thread_key", "part").agg(F.array_sort(F.collect_list(_item())).alias("posts"))
     facts = thread_facts(posts).select("thread_key", "thread_id", "thread_length", "has_branching", "start_time", "end_time")
     # Distinct handles of the whole thread, combined on the map side.
     outbound = F.when(~F.col("inbound"), F.col("author_id"))
@@ -273,25 +301,33 @@ def last_brand_reply(posts: DataFrame) -> DataFrame:
     )
 
 
-def transcript_lines(posts: DataFrame) -> DataFrame:
-    """One row per post: position in the thread and "[Speaker]: text"."""
+def _line() -> Column:
     speaker = F.when(F.col("inbound"), F.lit("Customer")).otherwise(
         F.concat(F.lit("Brand ("), F.col("author_id"), F.lit(")"))
     )
-    line = F.concat(F.lit("["), speaker, F.lit("]: "), tx.strip(F.coalesce("text", F.lit(""))))
-    return number_rows(posts, ["thread_key"], [_key()]).select("thread_key", "position", line.alias("line"))
+    return F.concat(F.lit("["), speaker, F.lit("]: "), tx.strip(F.coalesce("text", F.lit(""))))
 
 
-def transcripts(posts: DataFrame, chunk: int = 10_000) -> DataFrame:
-    """Full transcript per thread, one line per post, in rows of up to ``chunk`` lines each."""
-    part = F.floor(F.col("position") / F.lit(chunk)).alias("part")
-    lines = F.array_sort(F.collect_list(F.struct("position", "line")))
-    return (
-        transcript_lines(posts)
-        .groupBy("thread_key", part)
-        .agg(lines.alias("l"))
-        .select("thread_key", "part", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("transcript"))
-    )
+def transcript_lines(posts: DataFrame) -> DataFrame:
+    """One row per post: position in the thread and "[Speaker]: text"."""
+    return number_rows(posts, ["thread_key"], [_key()]).select("thread_key", "position", _line().alias("line"))
+
+
+def transcripts(posts: DataFrame, chunk: int = 10_000, max_bytes: int = PART_BYTES) -> DataFrame:
+    """Full transcript per thread, one line per post, in rows of bounded size as in ``build_threads``."""
+    sized = posts.select("thread_key", "post_id", "created_at", _line().alias("line")).withColumn("_bytes", F.coalesce(F.octet_length("line"), F.lit(0)).cast("bigint") + 1)
+    joined = F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("transcript")
+    at_once = F.array_sort(F.collect_list(F.struct(_key().alias("key"), "line"))).alias("l")
+
+    def short(lines: DataFrame) -> DataFrame:
+        return lines.groupBy("thread_key").agg(at_once).select("thread_key", F.lit(0).cast("bigint").alias("part"), joined)
+
+    long = _long_keys(sized, chunk, max_bytes)
+    if long is None:
+        return short(sized)
+    parts = _in_parts(sized.join(long, "thread_key", "left_semi"), chunk, max_bytes)
+    rows = parts.groupBy("thread_key", "part").agg(F.array_sort(F.collect_list(F.struct("position", "line"))).alias("l"))
+    return short(sized.join(long, "thread_key", "left_anti")).unionByName(rows.select("thread_key", "part", joined))
 
 
 def parse_transcript(
