@@ -12,6 +12,7 @@ from threadloom.functions.vectors import as_doubles, distance, norm
 from threadloom.operators import ml
 from threadloom.operators import sampling as sm
 from threadloom.session import stage_path, write_stage
+from threadloom.sources import cache
 
 
 @query(
@@ -165,6 +166,31 @@ def embed_or_load(spark, sf_dir):
     )
 
 
+@query(
+    "embed_cached",
+    """SELECT doc_id, min(CASE WHEN lang = 'en' THEN 1 WHEN doc_id % 10 <> 0 THEN 2 ELSE 3 END) OVER (PARTITION BY text) AS load,
+  CAST(256 AS INTEGER) AS dimensions, true AS as_computed FROM documents""",
+)
+def embed_cached(spark, sf_dir):
+    """Three calls on one cache: one language, all texts of which a tenth was changed, and all as given. Each document with the
+    call that embedded its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model, path = ml.embedding_model(docs), stage_path(spark, "content-cache")
+    embedder = lambda rows: ml.embed(rows, model)
+    changed = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    loads = []
+    for rows in (docs.where("lang = 'en'"), docs.withColumn("text", changed), docs):
+        got = ml.embed_cached(rows, path, embedder, "hashed-256")
+        loads += [f for f in cache.manifest(spark, path)[1] if f not in loads]
+    first = [spark.read.parquet(f"{path}/data/{name}").select(cache.KEY, F.lit(i + 1).alias("load")) for i, name in enumerate(loads)]
+    found = functools.reduce(DataFrame.unionByName, first)
+    fresh = embedder(docs).select("doc_id", F.col("embedding").alias("fresh"))
+    keyed = got.withColumn(cache.KEY, cache.content_key(["text"], "hashed-256")).join(found, cache.KEY)
+    return keyed.join(fresh, "doc_id").select(
+        "doc_id", "load", F.size("embedding").alias("dimensions"), (F.col("embedding") == F.col("fresh")).alias("as_computed")
+    )
+
+
 @query(
     "propagate_labels",
     """SELECT lang, count(*) AS docs, 0::BIGINT AS foreign_labels, true AS mostly_right FROM documents GROUP BY lang""",

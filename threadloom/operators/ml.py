@@ -26,6 +26,7 @@ from threadloom.functions.vectors import as_doubles, distance, dot
 from threadloom.operators.bounded import block_apply
 from threadloom.operators.messages import first_per_group
 from threadloom.session import small_side, write_stage
+from threadloom.sources import cache
 from threadloom.sources.tables import fill_missing
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -70,6 +71,13 @@ def embed_or_load(df: DataFrame, path: str, key: str, embedder: Callable[[DataFr
     return fill_missing(df, path, key, lambda rows: embedder(rows).select(key, out), f"{key} {key_type}, {out} array<float>")
 
 
+def embed_cached(
+    df: DataFrame, path: str, embedder: Callable[[DataFrame], DataFrame], version: str, text: str = "text", out: str = "embedding"
+) -> DataFrame:
+    """``df`` with embeddings from a cache by text and model ``version``: a changed text is embedded again, equal texts once."""
+    return cache.fill(df, path, [text], embedder, f"`{out}` array<float>", version)
+
+
 @dataclass(frozen=True)
 class Clustering:
     """Centres of one k-means model, its cost, and per cluster rows, sums of squared norms and of vectors."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.session import write_stage
+from threadloom.sources import cache
 from threadloom.sources.tables import fill_missing
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
@@ -71,3 +72,10 @@ def score_incremental(
 ) -> DataFrame:
     """Score the rows whose results ``path`` does not hold yet, append them, return all results."""
     return fill_missing(df, path, key, score, schema)
+
+
+def score_cached(
+    df: DataFrame, path: str, content: Sequence[str], score: Callable[[DataFrame], DataFrame], schema: str | T.StructType, version: str
+) -> DataFrame:
+    """``df`` with results kept by content and scorer ``version``, safe under retries and parallel runs; ``score`` keeps content_key."""
+    return cache.fill(df, path, content, score, schema, version)
