@@ -38,7 +38,9 @@ def test_every_sequence_once_and_back(spark, tmp_path):
     assert by_doc == {i: ids for i, ids in want.items() if ids}
 
     path = str(tmp_path / "shards")
-    shards.write_shards(ordered, path, shard=8)
+    shards.write_shards(ordered, path)
+    key = lambda r: (r["slot"], repr(r))
+    assert sorted(shards.read_records(spark, path, length=16).collect(), key=key) == sorted(rows, key=key)
     back = {r["slot"]: r["ids"] for r in shards.read_shards(spark, path, length=16).collect()}
     assert back == {r["slot"]: np.frombuffer(r["record"][4:], "<u2")[: r["n_tokens"]].tolist() for r in rows}
     late = shards.read_shards(spark, path, length=16, from_slot=13).collect()
@@ -55,3 +57,22 @@ def test_wide_ids_and_repeated_rows(spark):
 def test_empty_table(spark):
     assert shards.training_order(docs(spark, ["a"]).where("false"), byte_bpe()).collect() == []
     assert shards.training_order(docs(spark, [None, ""]), byte_bpe()).collect() == []
+
+
+def test_the_order_depends_on_key_and_data_alone(spark):
+    """The same slots from other partitionings and row orders; a new key gives others."""
+    texts = [f"number {i} " * (i % 9 + 1) for i in range(60)] + ["same"] * 5
+    frame = docs(spark, texts, ids=[*range(60), None, None, 7, 7, 61])
+    seen = []
+    for parts in (1, 4, 7):
+        rows = shards.training_order(frame.repartition(parts), byte_bpe(), length=8, shard=16).collect()
+        seen.append(sorted((r["slot"], r["shard"], repr(r["doc_id"]), r["part"], bytes(r["record"])) for r in rows))
+    assert seen[0] == seen[1] == seen[2] and [r[0] for r in seen[0]] == list(range(len(seen[0])))
+    other = shards.training_order(frame, byte_bpe(), length=8, shard=16, key=9).collect()
+    assert sorted((r["slot"], r["shard"], repr(r["doc_id"]), r["part"], bytes(r["record"])) for r in other) != seen[0]
+
+
+def test_shards_without_rows(spark, tmp_path):
+    path = str(tmp_path / "none")
+    shards.write_shards(shards.training_order(docs(spark, [None, ""]), byte_bpe()), path)
+    assert shards.read_records(spark, path).collect() == [] and shards.read_shards(spark, path).collect() == []

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm import alignment, bpe, language, lines, mixing, nearest, quality, ranked, shards, simhash, toxicity, urls, vectors
 from threadloom.llm.tables import load
-from threadloom.session import spread
+from threadloom.session import spread, stage_path
 
 
 def word_bpe() -> str:
@@ -38,7 +38,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.training_order(load(spark, sf_dir, "documents"), byte_bpe(), pad=50256)
+    path = stage_path(spark, "shards")
+    shards.write_shards(shards.training_order(load(spark, sf_dir, "documents"), byte_bpe(), pad=50256), path)
+    return shards.read_records(spark, path)
 
 
 def encoded(docs: DataFrame, definition: str) -> DataFrame:

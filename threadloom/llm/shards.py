@@ -1,17 +1,18 @@
 """Training-order materialisation of token ids in fixed-stride shards.
 
-Texts are tokenized once, by any function from texts to ids, into sequences of at most ``length`` ids, which a stage table holds. A sequence's number is its task's offset
-plus its place in the task, so numbers are dense without a global sort. A keyed Feistel network permutes
+Texts are tokenized once, by any function from texts to ids, into sequences of at most ``length`` ids, which a stage table holds. The
+sequences are numbered in the order of a hash of their id, part and tokens, so the numbers, and with them the training order, depend on the
+key and the data alone, not on files, tasks or cores. Only hashes are ordered, over range slices. A keyed Feistel network permutes
 the numbers: it works on the smallest even number of bits that holds them all and walks along its cycle until it falls
 back into the range, which makes it a bijection of 0 .. n-1. The image is the sequence's slot in training order. Range partitions
-by slot write shards: records of one length, in slot order, so that record k of a shard starts at byte
+on shard bounds write shards: records of one length, in slot order, so that record k of a shard starts at byte
 k * stride and a reader can start at any slot.
 
 A record is a little-endian unsigned 32-bit count and ``length`` little-endian ids of 16 bits (32 bits if the vocabulary
 needs them), padded with ``pad``.
 
 Defined cases: null and empty texts, and texts without ids, have no sequence; a very long text has many. Repeated rows are separate
-sequences. An empty table gives no shard. Extra columns are ignored.
+sequences, whose equal records may change places. An empty table gives no shard. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.tables import shuffle_partitions, slices
+from threadloom.operators.bounded import number_rows
 from threadloom.session import small_side, spread, write_stage
 
 LENGTH = 1024
@@ -112,15 +114,14 @@ def training_order(
     spark = docs.sparkSession
     kind = "<u4" if wide else "<u2"
     stride = 4 + length * np.dtype(kind).itemsize
-    held, seen = write_stage(sequences(docs, encoder, length, wide), "shard-sequences")
+    place = F.xxhash64("doc_id", "part", "tokens").alias("place_key")
+    rows = sequences(docs, encoder, length, wide).select("*", place)
+    held, seen = write_stage(rows, "shard-sequences")
     total = seen["rows"]
-
-    # One row per task of the scan.
-    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = small_side(
-        held.groupBy("task").agg(F.count(F.lit(1)).alias("n")).select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")),
-        "shard-offsets",
-    )
+    # Equal rows are told apart by task and place, so that any number of them is cut into slices.
+    slim = held.select("place_key", "doc_id", "part", "task", "place", F.lit(0).alias("all"))
+    order = [F.col("place_key"), F.col("doc_id"), F.col("part"), F.col("task"), F.col("place")]
+    numbers = small_side(number_rows(slim, ["all"], order, out="number").select("task", "place", "number"), "shard-numbers")
 
     @F.pandas_udf("bigint")
     def slot_of(numbers: pd.Series) -> pd.Series:
@@ -132,10 +133,12 @@ def training_order(
     def record_of(counts: pd.Series, tokens: pd.Series) -> pd.Series:
         return pd.Series([n.to_bytes(4, "little") + t + padding[len(t) :] for n, t in zip(counts.tolist(), tokens)], dtype=object)
 
-    slotted = held.join(offsets, "task").select(
-        slot_of(F.col("offset") + F.col("place")).alias("slot"), "doc_id", "part", "n_tokens", "tokens"
-    )
-    ordered = slotted.repartitionByRange(shuffle_partitions(spark), "slot").sortWithinPartitions("slot")
+    slotted = held.join(numbers, ["task", "place"]).select(slot_of("number").alias("slot"), "doc_id", "part", "n_tokens", "tokens")
+    # The slots are dense, so the bounds of the range partitions are known: whole shards, equally many in each.
+    shards = max(1, -(-total // shard))
+    parts = min(shards, shuffle_partitions(spark))
+    home = F.floor(F.floor(F.col("slot") / shard) * parts / shards).cast("int")
+    ordered = slotted.repartitionById(parts, home).sortWithinPartitions("slot")
     return ordered.select(
         "slot",
         F.floor(F.col("slot") / shard).cast("bigint").alias("shard"),
@@ -147,19 +150,60 @@ def training_order(
     )
 
 
-def write_shards(ordered: DataFrame, path: str, shard: int = SHARD) -> None:
-    """One row a shard: (shard, first_slot, n_records, payload), sorted, on whatever store ``path`` is.
+SHARDS = "shard bigint, first_slot bigint, n_records bigint, doc_ids array<bigint>, parts array<int>, payload binary"
+
 
-    The range partitions of ``ordered`` may cut a shard; the cut pieces meet again by the shard's number. A shard is
-    bounded by ``shard`` records.
+def write_shards(ordered: DataFrame, path: str) -> None:
+    """One row a shard: its number, first slot, records, and their documents, on whatever store ``path`` is.
+
+    ``ordered`` comes from ``training_order``, whose partitions hold whole shards in order, so nothing is shuffled again. A task holds one shard at
+    a time.
     """
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+    names = ["shard", "first_slot", "n_records", "doc_ids", "parts", "payload"]
+
+    def whole(number: int, rows: list[tuple]) -> pa.RecordBatch:
+        slots, ids, parts, records = zip(*rows)
+        values = (number, slots[0], len(rows), list(ids), list(parts), b"".join(records))
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
-    def join(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("slot")
-        return pd.DataFrame({"shard": rows["shard"].iloc[:1], "first_slot": rows["slot"].iloc[:1], "n_records": len(rows), "payload": [b"".join(rows["record"])]})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, rows = None, []
+        for batch in batches:
+            for at, *row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                if at != number and rows:
+                    yield whole(number, rows)
+                    rows = []
+                number = at
+                rows.append(tuple(row))
+        if rows:
+            yield whole(number, rows)
 
-    whole = ordered.select("shard", "slot", "record").groupBy("shard").applyInPandas(join, "shard bigint, first_slot bigint, n_records bigint, payload binary")
-    whole.repartitionByRange("shard").sortWithinPartitions("shard").write.parquet(path)
+    packed = ordered.select("shard", "slot", "doc_id", "part", "record").mapInArrow(pack, SHARDS)
+    packed.write.option("compression", "zstd").parquet(path)
+
+
+def read_records(spark: SparkSession, path: str, length: int = LENGTH, wide: bool = False) -> DataFrame:
+    """The rows of ``training_order``, read from its shards."""
+    stride = 4 + length * (4 if wide else 2)
+    names = ["slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "record"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                n, payload = row["n_records"], row["payload"]
+                records = [payload[k * stride : (k + 1) * stride] for k in range(n)]
+                counts = [int.from_bytes(r[:4], "little") for r in records]
+                offsets = np.arange(n) * stride
+                columns = (row["first_slot"] + np.arange(n), np.full(n, row["shard"]), offsets, row["doc_ids"], row["parts"], counts, records)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    # A payload is 8 MB, so few go into an Arrow batch: Spark bounds a batch by its bytes too.
+    return spark.read.schema(SHARDS).parquet(path).mapInArrow(
+        run, "slot bigint, shard bigint, byte_offset bigint, doc_id bigint, part int, n_tokens int, record binary"
+    )
 
 
 def read_shards(spark: SparkSession, path: str, length: int = LENGTH, wide: bool = False, from_slot: int = 0) -> DataFrame:
@@ -180,5 +224,5 @@ def read_shards(spark: SparkSession, path: str, length: int = LENGTH, wide: bool
                     slots, counts, ids = zip(*out)
                     yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(counts, pa.int32()), pa.array(ids, pa.list_(pa.int32()))], names=["slot", "n_tokens", "ids"])
 
-    shards = spark.read.parquet(path).where(F.col("first_slot") + F.col("n_records") > from_slot)
+    shards = spark.read.schema(SHARDS).parquet(path).where(F.col("first_slot") + F.col("n_records") > from_slot)
     return shards.select("first_slot", "n_records", "payload").mapInArrow(run, "slot bigint, n_tokens int, ids array<int>")
