@@ -200,7 +200,7 @@ def read_records(spark: SparkSession, path: str, length: int = LENGTH, wide: boo
                 columns = (row["first_slot"] + np.arange(n), np.full(n, row["shard"]), offsets, row["doc_ids"], row["parts"], counts, records)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    # A payload is 8 MB, so few go into an Arrow batch: Spark bounds a batch by its bytes too.
+    # A payload is 8 MB, so few go into an Arrow batch, whose bytes Spark bounds too (64 MB by default).
     return spark.read.schema(SHARDS).parquet(path).mapInArrow(
         run, "slot bigint, shard bigint, byte_offset bigint, doc_id bigint, part int, n_tokens int, record binary"
     )
