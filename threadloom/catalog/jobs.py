@@ -101,3 +101,28 @@ def taxonomy_job(spark, sf_dir):
         F.coalesce(F.size(F.array_distinct(texts)) == F.size("examples"), F.lit(True)).alias("distinct_texts"),
         F.col("count").isNull().alias("from_corpus"),
     )
+
+
+# Intents of words that occur in the given texts.
+SPECS = (
+    ("german", "Words of German", False, r"\b(der|und|von)\b"),
+    ("romance", "Words of French and Spanish", True, r"\b(la|de|el)\b"),
+    ("english", "Words of English", False, r"\b(that|the|it)\b"),
+)
+
+
+@query(
+    "taxonomy_draft",
+    f"""{WITH_THREADED}, {MESSAGES} SELECT least(2000, count(*)) AS sampled, least(2000, count(*)) AS in_clusters, true AS k_in_range, true AS some_examples
+FROM messages""",
+)
+def taxonomy_draft(spark, sf_dir):
+    """The draft's sample of 2,000 messages, or all if fewer, all in one of 5 to 15 clusters, and at least one intent with examples."""
+    draft = taxonomy.draft_taxonomy(taxonomy.message_corpus(views.threaded(spark, sf_dir), tagged(spark, sf_dir), "brand3"))
+    intents, _ = write_stage(taxonomy.consolidated(draft, SPECS), "taxonomy")
+    filled = intents.agg((F.count_if(F.size("examples") > 0) > 0).alias("some_examples"))
+    placed = draft.clusters.agg(F.sum("cluster_size").cast("bigint").alias("in_clusters"), F.count(F.lit(1)).between(5, 15).alias("k_in_range"))
+    return draft.sample.agg(F.count(F.lit(1)).alias("sampled")).select(
+        "sampled", F.lit(placed.select("in_clusters").scalar()).alias("in_clusters"), F.lit(placed.select("k_in_range").scalar()).alias("k_in_range"),
+        F.lit(filled.scalar()).alias("some_examples"),
+    )
