@@ -30,8 +30,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, whose five-word shingles have a similarity of at least 0.8.
 
-    Fingerprints of three bits' difference stand for texts far more alike than that, so the groups are those of ``shingles``; ``simhash``
-    keeps one document of each.
+    SimHash fingerprints of at most three bits' difference are the first candidates (``simhash.links``). They stand for texts far more alike than
+    0.8, so ``shingles`` adds candidates and checks every link exactly; ``simhash`` keeps one document of each group.
     """
     return simhash.keep_one(docs, shingles.components)
 

@@ -3,7 +3,7 @@ import pytest
 from helpers import docs
 
 import corpus_pipeline
-from threadloom.llm import shingles
+from threadloom.llm import shingles, simhash
 
 
 def plain(text):
@@ -111,3 +111,21 @@ def test_a_very_long_text_links_with_its_near_copy(spark):
     words = [f"w{n}" for n in rng.integers(0, 10**6, 30_000)]
     got = shingles.components(docs(spark, [" ".join(words), " ".join(edited(rng, words, 200)), "a b"]), "doc_id", "text")
     assert sorted(map(tuple, got.collect())) == [(0, 0), (1, 0), (2, 2)]
+
+
+def test_fingerprints_make_candidates(spark):
+    """Without MinHash keys the groups are those of texts whose fingerprints differ in three bits at most, as far as the texts are alike."""
+    rng = np.random.default_rng(6)
+    texts = [None, "", "one two", "One  TWO"]
+    for _ in range(40):
+        words = [f"w{rng.integers(50_000)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join(edited(rng, words, 1)), " ".join(edited(rng, words, 9))]
+    sets, bits = [plain(t) for t in texts], [simhash.fingerprint((t or "").encode(), width=5) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if (bits[a] ^ bits[b]).bit_count() <= 3 and similarity(sets[a], sets[b]) >= 0.8 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert 10 < len(texts) - len(set(root)) < 60
+    assert result(shingles.components(docs(spark, texts), bands=0)) == dict(enumerate(root))

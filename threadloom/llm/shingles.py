@@ -1,12 +1,15 @@
-"""Near-duplicates by exact similarity of their sets of five-word shingles.
+"""Near-duplicates by SimHash fingerprints, and by exact similarity of their sets of five-word shingles.
 
-Two texts are linked if the Jaccard similarity of their sets is at least ``LEAST``. Candidates come from MinHash: a
-set has ``BANDS`` keys, each of ``ROWS`` minima, and sets that share a key have met. Sets of similarity s
-meet with probability 1 - (1 - s^ROWS)^BANDS: 0.9995 at 0.8, more above. Every link is checked on the sets themselves.
+Two texts are linked if the Jaccard similarity of their sets is at least ``LEAST``. Two kinds of candidates have met:
 
-Only the components are wanted, so met pairs are never listed:
+* Sets whose SimHash fingerprints differ in at most ``simhash.MAX_BITS`` bits, found by ``simhash.links``.
+* As three bits stand for texts far more alike than that, also sets that share a MinHash key. A set has ``BANDS`` keys, each of ``ROWS``
+  minima; sets of similarity s share one with probability 1 - (1 - s^ROWS)^BANDS: 0.9995 at 0.8, more above.
 
-1. Texts with the same set are one node. Every node hooks to the smallest node of each of its buckets. Nodes that hang together
+Every link is checked on the sets themselves. Only the components are wanted, so met pairs are never listed:
+
+1. Texts with the same set are one node. Every node hooks to the smallest node of each of its buckets and of its fingerprint, and the latter
+   to each other along the links of their fingerprints. Nodes that hang together
    this way are a cluster; all met pairs lie inside clusters, and a node outside one needs no more work.
 2. Each node of a cluster is compared with the smallest node it hooks to. One pair a node, so a large group of near copies is linked here.
 3. In clusters that are still in several pieces, the met pairs between pieces are compared, unless links found before join them.
@@ -28,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm import simhash
 from threadloom.llm.tables import slices, text_bytes
 from threadloom.operators.graph import connected_components
 from threadloom.session import small_side, spread, write_stage
@@ -77,17 +81,19 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return both * LEAST[1] >= (len(a) + len(b) - both) * LEAST[0]
 
 
-def marks(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
-    """(doc_id, h, node, n, keys) for every row: the text's hash, the set's hash, its size and its band keys."""
+def marks(docs: DataFrame, key: str, text: str, width: int = WIDTH, bands: int = BANDS) -> DataFrame:
+    """(doc_id, h, node, n, bits, keys) for every row: the text's hash, the set's hash, its size, its fingerprint and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(t, width) for t in text_bytes(batch.column(2))]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-            columns = [pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "h", "node", "n", "keys"])
+            bits = np.array([simhash.majority(s) for s in sets], dtype=np.uint64).view(np.int64)
+            keys = pa.array([band_keys(s)[:bands] for s in sets], pa.list_(pa.int64()))
+            columns = [pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits), keys]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "h", "node", "n", "bits", "keys"])
 
-    return spread(_rows(docs, key, text)).mapInArrow(run, "doc_id bigint, h bigint, node bigint, n bigint, keys array<bigint>")
+    return spread(_rows(docs, key, text)).mapInArrow(run, "doc_id bigint, h bigint, node bigint, n bigint, bits bigint, keys array<bigint>")
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -118,7 +124,7 @@ _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def _solve(group: pa.Table) -> pa.Table:
     """Links that join the pieces of a block, or of two blocks, wherever met pairs between them are alike."""
-    node, piece, n, own = (group.column(c).to_numpy() for c in ("node", "piece", "n", "own"))
+    node, piece, n, bits, own = (group.column(c).to_numpy() for c in ("node", "piece", "n", "bits", "own"))
     keys = np.array(group.column("keys").to_pylist(), dtype=np.int64)
     sets = [s.values.to_numpy() for column in [group.column("hashes")] for s in column]
     diagonal = group.column("one")[0].as_py() == group.column("two")[0].as_py()
@@ -128,7 +134,7 @@ def _solve(group: pa.Table) -> pa.Table:
     for i in first:
         rest = np.arange(i + 1, len(node)) if diagonal else second
         rest = rest[(piece[rest] != piece[i]) & (np.minimum(n[rest], n[i]) * LEAST[1] >= np.maximum(n[rest], n[i]) * LEAST[0])]
-        rest = rest[(keys[rest] == keys[i]).any(axis=1)]
+        rest = rest[(keys[rest] == keys[i]).any(axis=1) | (simhash.differing(bits[rest], bits[i]) <= simhash.MAX_BITS)]
         for j in rest:
             if piece[j] != piece[i] and alike(sets[i], sets[j]):
                 found.append((node[i], node[j]))
@@ -138,7 +144,7 @@ def _solve(group: pa.Table) -> pa.Table:
 
 
 def _between_pieces(members: DataFrame, sets: DataFrame, block: int) -> DataFrame | None:
-    """Links (a, b) between the pieces of clusters; members are (cluster, piece, node, n, keys). None if no cluster has several."""
+    """Links (a, b) between the pieces of clusters; members are (cluster, piece, node, n, bits, keys). None if no cluster has several."""
     pieces = members.groupBy("cluster", "piece").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("size"))
     per_cluster = pieces.groupBy("cluster").agg(
         F.max(F.struct("many", "size", "piece")).alias("top"), F.count(F.lit(1)).alias("pieces"), F.sum("many").alias("many"), F.sum("size").alias("size")
@@ -160,14 +166,25 @@ def _between_pieces(members: DataFrame, sets: DataFrame, block: int) -> DataFram
     # Blocks of the largest piece meet the loose ones only.
     others = F.sequence(F.lit(0), F.col("loose") - 1 + F.when(F.col("in_top"), 0).otherwise(F.col("firm")))
     rows = rows.withColumn("own", own).withColumn("other", F.explode(others))
-    rows = rows.select("cluster", "piece", "node", "n", "keys", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+    rows = rows.select("cluster", "piece", "node", "n", "bits", "keys", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
     return rows.join(sets, "node").groupBy("cluster", "one", "two").applyInArrow(_solve, "a bigint, b bigint")
 
 
-def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, block: int = BLOCK) -> DataFrame:
-    """(doc_id, component_id) for every row; the component's smallest id that is not null."""
-    marked, _ = write_stage(marks(docs, key, text, width), "shingle-marks")
-    facts = F.first(F.struct("n", "keys")).alias("f")
+def _fingerprint_hooks(nodes: DataFrame) -> DataFrame:
+    """(node, first) by which nodes whose fingerprints a chain of at most ``simhash.MAX_BITS`` differing bits joins hang together."""
+    heads, _ = write_stage(nodes.groupBy("bits").agg(F.min("node").alias("first")), "shingle-fingerprints")
+    same = nodes.join(heads, "bits").where(F.col("node") > F.col("first")).select("node", "first")
+    left, right = (heads.select(F.col("bits").alias(x), F.col("first").alias(f"{x}_node")) for x in "ab")
+    met = simhash.links(heads.select("bits")).join(left, "a").join(right, "b")
+    return same.unionByName(met.select(F.greatest("a_node", "b_node").alias("node"), F.least("a_node", "b_node").alias("first")))
+
+
+def components(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, block: int = BLOCK, bands: int = BANDS
+) -> DataFrame:
+    """(doc_id, component_id) for every row; the component's smallest id that is not null. Without ``bands`` only fingerprints make candidates."""
+    marked, _ = write_stage(marks(docs, key, text, width, bands), "shingle-marks")
+    facts = F.first(F.struct("n", "bits", "keys")).alias("f")
     # A text of the node, and the smallest id that has it; null if there is none.
     meant = F.coalesce(F.min_by("h", "doc_id"), F.first("h")).alias("h")
     nodes = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), meant, facts).select("node", "first_id", "h", "f.*")
@@ -176,7 +193,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     # An empty set is alike to no other.
     spots, _ = write_stage(nodes.where("n > 0").select("node", F.explode("keys").alias("key")), "shingle-keys")
     buckets = spots.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where(F.col("first") < F.col("last"))
-    hooks, _ = write_stage(spots.join(buckets, "key").where(F.col("node") > F.col("first")).select("node", "first").distinct(), "shingle-hooks")
+    hooks = spots.join(buckets, "key").where(F.col("node") > F.col("first")).select("node", "first")
+    hooks, _ = write_stage(hooks.unionByName(_fingerprint_hooks(nodes.where("n > 0"))).distinct(), "shingle-hooks")
     led = connected_components(hooks, "node", "first").select("node", F.col("component").alias("cluster"))
     ends = led.select(F.col("cluster").alias("node"), "cluster").distinct()
     clusters, _ = write_stage(led.unionByName(ends).join(nodes, "node"), "shingle-members")

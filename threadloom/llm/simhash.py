@@ -36,6 +36,17 @@ BUCKET = 4096
 CHUNK = 1 << 16
 
 
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the 64-bit hashes each bit is set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64-bit fingerprint of hashes: a bit is 1 if it is set in over half of them."""
+    ones = sum((_set_bits(hashes[at : at + CHUNK]) for at in range(0, len(hashes), CHUNK)), np.zeros(64, dtype=np.int64))
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes | None, width: int = 3, seed: int = SEED) -> int:
     """64-bit fingerprint: a bit is 1 if it is set in over half the shingles' hashes."""
     words = (text or b"").lower().split()
@@ -52,7 +63,7 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = SEED) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(ends), CHUNK):
         hashes = np.array([digest(view[a:b], seed) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += _set_bits(hashes)
     return int(np.packbits(2 * ones > len(ends), bitorder="little").view("<u8")[0])
 
 
