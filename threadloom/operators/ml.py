@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
@@ -25,7 +27,7 @@ from threadloom.functions.values import half_even, percent
 from threadloom.functions.vectors import as_doubles, distance, dot
 from threadloom.operators.bounded import block_apply
 from threadloom.operators.messages import first_per_group
-from threadloom.session import small_side, write_stage
+from threadloom.session import small_side, spread, write_stage
 from threadloom.sources import cache
 from threadloom.sources.tables import fill_missing
 
@@ -93,6 +95,20 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64)
 
 
+def _arrow_matrix(vectors: pa.Array) -> np.ndarray:
+    """A list column of equal lengths as a matrix, without a Python object a row."""
+    sizes = pc.unique(pc.list_value_length(vectors))
+    if len(sizes) != 1 or sizes.null_count:
+        raise ValueError("vectors must not be null and must have the same length")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(vectors), -1)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _gaps(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     """Squared distances of rows to centres."""
     squares = (x * x).sum(axis=1)[:, None] + (centers * centers).sum(axis=1)[None, :] - 2.0 * (x @ centers.T)
@@ -160,28 +176,42 @@ def _pool(rows: DataFrame, size: int, passes: int, seed: int) -> tuple[np.ndarra
     return pool, counted.sort_values("place")["n"].to_numpy(dtype=float)
 
 
+# Rows that are compared with all centres at a time.
+LLOYD_ROWS = 1024
+
+
 def _lloyd_round(rows: DataFrame, models: dict[int, np.ndarray]) -> dict[int, Clustering]:
     """One pass over the rows for all models at once: assign, and sum per cluster."""
-    shipped = rows.sparkSession.sparkContext.broadcast(models)
-    schema = "model int, cluster int, n double, cost double, squares double, total array<double>"
-
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[np.ndarray]] = {}
-        for frame in frames:
-            x = _matrix(frame["vector"])
+    names, sizes = list(models), [len(centers) for centers in models.values()]
+    ends = np.cumsum(sizes)
+    stacked = np.concatenate(list(models.values()))
+    # Scores are squared distances less the row's squared norm: one product with all centres, whose last column meets a column of ones.
+    shipped = rows.sparkSession.sparkContext.broadcast(np.hstack([-2.0 * stacked, (stacked * stacked).sum(axis=1)[:, None]]).T)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, held = int(ends[-1]), None
+        for batch in _slices(batches, LLOYD_ROWS):
+            x = _arrow_matrix(batch.column(0))
             norms = (x * x).sum(axis=1)
-            for name, centers in shipped.value.items():
-                gaps = _gaps(x, centers)
-                own = gaps.argmin(axis=1)
-                member = np.zeros((len(x), len(centers)))
-                member[np.arange(len(x)), own] = 1.0
-                sums = [member.sum(axis=0), member.T @ gaps.min(axis=1), member.T @ norms, member.T @ x]
-                held[name] = [a + b for a, b in zip(held[name], sums)] if name in held else sums
-        for name, (n, cost, squares, total) in held.items():
-            yield pd.DataFrame({"model": name, "cluster": range(len(n)), "n": n, "cost": cost, "squares": squares, "total": list(total)})
+            scores = np.hstack([x, np.ones((len(x), 1))]) @ shipped.value
+            at = np.arange(len(x))
+            sums = np.zeros((3, width))
+            member = np.zeros((len(x), width))
+            for start, end in zip(ends - sizes, ends):
+                own = start + scores[:, start:end].argmin(axis=1)
+                cost = np.maximum(scores[at, own] + norms, 0.0)
+                member[at, own] = 1.0
+                for place, weight in enumerate((None, cost, norms)):
+                    sums[place] += np.bincount(own, weights=weight, minlength=width)
+            total = member.T @ x
+            held = (sums, total) if held is None else (held[0] + sums, held[1] + total)
+        if held is not None:
+            columns = [np.repeat(names, sizes).astype(np.int32), np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]), *held[0], list(held[1])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["model", "cluster", "n", "cost", "squares", "total"])
 
     # A task sends one row per cluster and model; what comes to the driver is one row per cluster and model.
-    found = rows.mapInPandas(partial, schema).groupBy("model", "cluster").agg(
+    schema = "model int, cluster int, n double, cost double, squares double, total array<double>"
+    found = rows.mapInArrow(partial, schema).groupBy("model", "cluster").agg(
         *[F.sum(c).alias(c) for c in ("n", "cost", "squares")], vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total")
     ).toPandas()
     result = {}
@@ -214,14 +244,19 @@ def _lloyd(rows: DataFrame, starts: dict[int, np.ndarray], rounds: int, toleranc
 
 
 def _vectors(df: DataFrame, vector: str) -> DataFrame:
-    return df.where(F.col(vector).isNotNull()).select(as_doubles(F.col(vector)).alias("vector"))
+    """The vectors as they are, over all cores; every round reads them."""
+    return spread(df.where(F.col(vector).isNotNull()).select(F.col(vector).alias("vector")))
+
+
+def _doubles(rows: DataFrame) -> DataFrame:
+    return rows.select(as_doubles(F.col("vector")).alias("vector"))
 
 
 def _fit_all(
     rows: DataFrame, ks: Sequence[int], seed: int, restarts: int, rounds: int, passes: int, tolerance: float = 1e-8
 ) -> dict[int, Clustering]:
     """The model of lowest cost among ``restarts`` starts, for each k. ``rows`` is a stage table."""
-    pool, weights = _pool(rows, 16 * max(ks), passes, seed)
+    pool, weights = _pool(_doubles(rows), 16 * max(ks), passes, seed)
     starts = {k * restarts + i: _spread_starts(pool, weights, k, seed + i) for k in ks for i in range(restarts)}
     models = _lloyd(rows, starts, rounds, tolerance)
     return {k: min((models[k * restarts + i] for i in range(restarts)), key=lambda m: m.cost) for k in ks}
@@ -305,7 +340,7 @@ def kmeans_sweep(
     if exact_by:
         scores = {k: silhouette(kmeans_assign(df, m, vector), exact_by, "cluster", vector).first()["silhouette"] for k, m in models.items()}
     else:
-        scores = {k: round(v, 4) for k, v in sorted(_mean_silhouette(rows, models).items())}
+        scores = {k: round(v, 4) for k, v in sorted(_mean_silhouette(_doubles(rows), models).items())}
     best = max(scores, key=lambda k: (scores[k], -k))
     return scores, best, models
 
