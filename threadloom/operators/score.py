@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from threadloom.session import write_stage
 from threadloom.sources import cache
@@ -22,12 +24,19 @@ def score_batches(df: DataFrame, scorer: Scorer, schema: str | T.StructType, bat
     The scorer gets a pandas frame and returns one; rows it leaves out are missing in the result.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                yield scorer(frame.iloc[start : start + batch_size])
+    out = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    target = to_arrow_schema(out)
 
-    return df.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_size):
+                # Only these rows are Python objects at the same time, however long the texts of an Arrow batch are.
+                scored = scorer(batch.slice(start, batch_size).to_pandas())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.Array.from_pandas(scored[f.name], type=f.type, safe=False) for f in target], schema=target
+                )
+
+    return df.mapInArrow(run, out)
 
 
 def validate_scores(
