@@ -95,16 +95,21 @@ def _unit_rows(vectors: pd.Series) -> np.ndarray:
     return np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
 
 
-def _block_top_k(k: int, exclude_self: bool, step: int = 256):
+# Similarities that are held at a time; the work on them takes a few copies.
+BLOCK_CELLS = 1 << 19
+
+
+def _block_top_k(k: int, exclude_self: bool, cells: int = BLOCK_CELLS):
     """The k best rows of an index block for each query of a query block."""
 
     def best(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "hit_id": [], "similarity": []}
         if len(queries) and len(index):
             known, ids = _unit_rows(index["vector"]), index["hit_id"].to_numpy()
-            asked, asking = _unit_rows(queries["vector"]), queries["query_id"].to_numpy()
-            for start in range(0, len(asked), step):
-                sims = np.round(asked[start : start + step] @ known.T, DIGITS)
+            asking, step = queries["query_id"].to_numpy(), max(1, cells // len(known))
+            for start in range(0, len(asking), step):
+                sims = _unit_rows(queries["vector"].iloc[start : start + step]) @ known.T
+                np.round(sims, DIGITS, out=sims)
                 who = asking[start : start + step]
                 if exclude_self:
                     sims[who[:, None] == ids[None, :]] = -np.inf
