@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -25,9 +26,8 @@ from threadloom import presets
 from threadloom.functions import text as tx
 from threadloom.functions.values import half_even, percent
 from threadloom.functions.vectors import as_doubles, distance, dot
-from threadloom.operators.bounded import block_apply
 from threadloom.operators.messages import first_per_group
-from threadloom.session import small_side, spread, write_stage
+from threadloom.session import small_side, spread, value_bytes, write_stage
 from threadloom.sources import cache
 from threadloom.sources.tables import fill_missing
 
@@ -206,20 +206,24 @@ def _lloyd_round(rows: DataFrame, models: dict[int, np.ndarray]) -> dict[int, Cl
             total = member.T @ x
             held = (sums, total) if held is None else (held[0] + sums, held[1] + total)
         if held is not None:
-            columns = [np.repeat(names, sizes).astype(np.int32), np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]), *held[0], list(held[1])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["model", "cluster", "n", "cost", "squares", "total"])
-
-    # A task sends one row per cluster and model; what comes to the driver is one row per cluster and model.
-    schema = "model int, cluster int, n double, cost double, squares double, total array<double>"
-    found = rows.mapInArrow(partial, schema).groupBy("model", "cluster").agg(
-        *[F.sum(c).alias(c) for c in ("n", "cost", "squares")], vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total")
-    ).toPandas()
+            whole = np.hstack([held[0].T, held[1]])
+            parts = [whole[start:end].tobytes() for start, end in zip(ends - sizes, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(parts, pa.binary())], names=["model", "sums"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(part) for part in group.column("sums").to_pylist())
+        return pa.table({"model": group.column("model").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    # A task sends a few sums per cluster, a row for each model; what comes to the driver is one row per model.
+    schema = "model int, sums binary"
+    found = rows.mapInArrow(partial, schema).groupBy("model").applyInArrow(merge, schema).collect()
     result = {}
-    for name, part in found.groupby("model"):
-        part = part.sort_values("cluster")
-        n, total = part["n"].to_numpy(), _matrix(part["total"])
-        moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], models[name])
-        result[int(name)] = Clustering(moved, float(part["cost"].sum()), n, part["squares"].to_numpy(), total)
+    for row in found:
+        centers = models[row["model"]]
+        n, cost, squares, *total = np.frombuffer(row["sums"]).reshape(len(centers), -1).T
+        total = np.stack(total, axis=1)
+        moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centers)
+        result[row["model"]] = Clustering(moved, float(cost.sum()), n, squares, total)
     return result
 
 
@@ -345,58 +349,74 @@ def kmeans_sweep(
     return scores, best, models
 
 
-def _distance_sums(step: int = 512):
-    """Per row of the left block: sum of distances to the right block's rows of each cluster."""
-
-    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"row_id": [], "own": [], "other": [], "total": [], "members": []})
-        clusters, place = np.unique(right["own"].to_numpy(), return_inverse=True)
-        member = np.zeros((len(right), len(clusters)))
-        member[np.arange(len(right)), place] = 1.0
-        b = np.stack(right["vector"].to_numpy()).astype(np.float64)
-        b2 = (b * b).sum(axis=1)
-        right_ids, parts = right["row_id"].to_numpy(), []
-        for start in range(0, len(left), step):
-            some = left.iloc[start : start + step]
-            a = np.stack(some["vector"].to_numpy()).astype(np.float64)
-            squares = (a * a).sum(axis=1)[:, None] + b2[None, :] - 2.0 * (a @ b.T)
-            gaps = np.sqrt(np.maximum(squares, 0.0))
-            gaps[some["row_id"].to_numpy()[:, None] == right_ids[None, :]] = 0.0
-            totals = gaps @ member
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "row_id": np.repeat(some["row_id"].to_numpy(), len(clusters)),
-                        "own": np.repeat(some["own"].to_numpy(), len(clusters)),
-                        "other": np.tile(clusters, len(some)),
-                        "total": totals.ravel(),
-                        "members": np.tile(member.sum(axis=0).astype("int64"), len(some)),
-                    }
-                )
-            )
-        return pd.concat(parts, ignore_index=True)
+# Bytes of the rows that are broadcast together for their distances to all rows.
+WAVE_BYTES = 32 << 20
+
+
+def _distance_sums(shipped, step: int = 256, width: int = 4096):
+    """Per row of the table: sum of distances to the broadcast rows of each cluster."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, place, clusters, b = shipped.value
+        known = pd.Series(ids).dropna()
+        at = known.sort_values(kind="stable").index.to_numpy()
+        lookup = ids[at]
+        counts = np.bincount(place, minlength=len(clusters))
+        for batch in _slices(batches, step):
+            a = _arrow_matrix(batch.column(2))
+            norms = (a * a).sum(axis=1)[:, None]
+            own = batch.column(0).to_pandas()
+            there = np.flatnonzero(own.notna())
+            first, last = (np.searchsorted(lookup, own.to_numpy()[there], side=side) for side in ("left", "right"))
+            # Pairs of a row with itself, or with one of the same id.
+            row = np.repeat(there, last - first)
+            column = at[np.arange(len(row)) - np.repeat(np.cumsum(last - first) - last, last - first)]
+            totals = np.zeros((len(a), len(clusters)))
+            for start in range(0, len(b), width):
+                some = b[start : start + width]
+                gaps = a @ (-2.0 * some.T)
+                gaps += norms
+                gaps += (some * some).sum(axis=1)[None, :]
+                np.sqrt(np.maximum(gaps, 0.0, out=gaps), out=gaps)
+                here = (column >= start) & (column < start + width)
+                gaps[row[here], column[here] - start] = 0.0
+                member = np.zeros((len(some), len(clusters)))
+                member[np.arange(len(some)), place[start : start + width]] = 1.0
+                totals += gaps @ member
+            each = pa.array(np.repeat(np.arange(len(a)), len(clusters)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(each), batch.column(1).take(each), pa.array(clusters * len(a), pa.int64()),
+                 pa.array(totals.ravel()), pa.array(np.tile(counts, len(a)), pa.int64())],
+                names=["row_id", "own", "other", "total", "members"],
+            )
 
     return sums
 
 
-def silhouette_rows(df: DataFrame, id_col: str, label: str, vector: str, block_rows: int = 4096) -> DataFrame:
+def silhouette_rows(df: DataFrame, id_col: str, label: str, vector: str, block_rows: int = 1 << 16) -> DataFrame:
     """Exact Euclidean silhouette of every row.
 
-    All distances are needed, but none is emitted: a task sums them for one pair of blocks per row
-    and cluster, and only those sums are shuffled.
+    All distances are needed, but none is emitted. The rows go out in waves of about ``block_rows``, and of no more than ``WAVE_BYTES``, which are broadcast one
+    after the other; the table is scanned where it lies, once a wave, and of a row only the sums to the wave's clusters are written.
     """
-    rows = df.select(
-        F.lit(1).alias("all"),
-        F.col(id_col).alias("row_id"),
-        F.col(label).cast("bigint").alias("own"),
-        as_doubles(F.col(vector)).alias("vector"),
-    )
-    id_type = df.schema[id_col].dataType.simpleString()
-    sums = block_apply(
-        rows, rows, ["all"], "row_id", "row_id", _distance_sums(),
-        f"row_id {id_type}, own bigint, other bigint, total double, members bigint", block_rows, block_rows,
-    )
+    rows = df.select(F.col(id_col).alias("row_id"), F.col(label).cast("bigint").alias("own"), as_doubles(F.col(vector)).alias("vector"))
+    size = value_bytes(F.col("vector"), rows.schema["vector"].dataType) + 64
+    rows, seen = write_stage(spread(rows), "silhouette-points", bytes=F.coalesce(F.sum(size), F.lit(0)))
+    waves = max(1, min(seen["rows"], max(math.ceil(seen["rows"] / block_rows), math.ceil(seen["bytes"] / WAVE_BYTES))))
+    number = F.pmod(F.xxhash64("row_id", "vector"), F.lit(waves))
+    schema = f"row_id {df.schema[id_col].dataType.simpleString()}, own bigint, other bigint, total double, members bigint"
+
+    def scan(wave: int) -> DataFrame:
+        held = rows.where(number == wave).toArrow().combine_chunks()
+        if not held.num_rows:
+            return df.sparkSession.createDataFrame([], schema)
+        labels = pc.dictionary_encode(held.column("own").combine_chunks(), null_encoding="encode")
+        vectors = held.column("vector").combine_chunks()
+        part = (held.column("row_id").to_pandas().to_numpy(), labels.indices.to_numpy(), labels.dictionary.to_pylist(), _arrow_matrix(vectors))
+        shipped = df.sparkSession.sparkContext.broadcast(part)
+        return write_stage(rows.mapInArrow(_distance_sums(shipped), schema), "silhouette-wave")[0]
+
+    sums = functools.reduce(DataFrame.unionByName, [scan(wave) for wave in range(waves)])
     per_cluster = sums.groupBy("row_id", "own", "other").agg(F.sum("total").alias("total"), F.sum("members").alias("members"))
     inside = F.col("own") == F.col("other")
     means = per_cluster.groupBy("row_id", "own").agg(
@@ -475,16 +495,38 @@ def _with_terms(df: DataFrame, text: str) -> DataFrame:
     return pairs.transform(words.transform(df)).withColumn("_terms", F.concat("_words", "_pairs"))
 
 
+# Hash buckets whose counts bound those of their terms.
+TERM_BUCKETS = 1 << 20
+
+
 def label_vocabulary(df: DataFrame, text: str = "text", size: int = 10_000) -> DataFrame:
     """(place, term, n, texts, weight): the ``size`` most frequent terms, by (n descending, term), exactly.
 
-    A histogram of the terms' counts gives the count from which all terms are in; of the terms of the next count, the first ones by
-    their letters fill up the rest. ``weight`` is 1 + ln((rows + 1) / (texts + 1)). Neither depends on how the rows are partitioned.
+    Counts per hash bucket bound those of the terms in it. The terms of the fullest buckets are counted first; the count of the ``size``-th of
+    them is reached by all terms looked for, so of the other buckets only those that reach it are counted. A histogram of the terms' counts
+    gives the count from which all terms are in; of the terms of the next count, the first ones by their letters fill up the rest.
+    ``weight`` is 1 + ln((rows + 1) / (texts + 1)). Neither depends on how the rows are partitioned.
     """
-    read = df.where(F.col(text).isNotNull()).select(text)
-    per_text = _with_terms(read.withColumn("_row", F.monotonically_increasing_id()), text).select("_row", F.explode("_terms").alias("term"))
-    once = per_text.groupBy("_row", "term").agg(F.count(F.lit(1)).alias("n"))
-    counted, _ = write_stage(once.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")), "term-counts")
+    terms = _with_terms(df.where(F.col(text).isNotNull()).select(text), text)
+    bucket = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
+    every = terms.select(F.explode("_terms").alias("term")).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    bounds, _ = write_stage(every, "term-bounds")
+    # A term's occurrences, and the texts that hold it: each text adds its different terms once more.
+    each = lambda column, n: F.transform(column, lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(1 - n).alias("texts")))
+    both = F.concat(each("_terms", 1), each(F.array_distinct("_terms"), 0))
+
+    def count(buckets: DataFrame, label: str) -> DataFrame:
+        rows = terms.select(F.explode(both).alias("t")).select("t.*").withColumn("bucket", bucket)
+        held = rows.join(small_side(buckets.select("bucket"), f"{label}-buckets"), "bucket", "left_semi")
+        return write_stage(held.groupBy("term").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")), label)[0]
+
+    fullest = bounds.orderBy(F.desc("n"), "bucket").limit(size)
+    first = count(fullest, "term-counts")
+    reached = first.orderBy(F.desc("n")).select("n").limit(size).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("terms")).first()
+    least = reached["n"] if reached["terms"] == size else 0
+    others, seen = write_stage(bounds.where(F.col("n") >= least).join(fullest.select("bucket"), "bucket", "left_anti"), "term-others")
+    counted = first.unionByName(count(others, "more-term-counts")) if seen["rows"] else first
+    counted = counted.where(F.col("n") >= least)
     # As many rows as there are different counts, at most the square root of twice the number of words.
     levels = sorted(((r["n"], r["terms"]) for r in counted.groupBy("n").agg(F.count(F.lit(1)).alias("terms")).collect()), reverse=True)
     taken, cut = 0, 0
