@@ -5,10 +5,11 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import bounded, cells, ml, prune, retrieve, sampling
+from threadloom.operators import bounded, cells, ml, prune, retrieve, sampling, score
 
 
 def skewed(n=900):
@@ -292,3 +293,42 @@ def test_fewer_vectors_than_clusters(spark):
     assert model.rows.sum() == 3 and model.cost < 1e-12
     with pytest.raises(ValueError, match="no vector"):
         ml.kmeans_fit(two.where("false"), 2)
+
+
+def test_silhouette_shuffles_sums_only(spark):
+    """Rows are not copied into pairs of blocks: one sum per row and cluster is written for each wave."""
+    df = spark.createDataFrame([(i, i % 3, [float(i), 1.0]) for i in range(60)], "id int, label int, v array<double>")
+    found = ml.silhouette_rows(df, "id", "label", "v", 20)
+    assert "CoGroup" not in found._jdf.queryExecution().toString()
+    assert len({part for f in found.inputFiles() for part in f.split("/") if part.startswith("silhouette-wave")}) == 3
+
+
+def test_block_top_k_in_pieces():
+    rng = np.random.default_rng(3)
+    rows = lambda name, n: pd.DataFrame({name: range(n), "vector": list(rng.normal(size=(n, 4)))})
+    queries, index = rows("query_id", 30), rows("hit_id", 50)
+    whole, pieces = (retrieve._block_top_k(3, True, cells=cells)(queries, index) for cells in (1 << 19, 60))
+    pd.testing.assert_frame_equal(whole, pieces)
+
+
+def test_scorer_gets_few_rows_as_objects(spark):
+    """Batches come from slices of Arrow batches, and a column left out by name or order does not matter."""
+    rows = spark.createDataFrame([(i, "x" * i) for i in range(25)], "id bigint, text string").coalesce(1)
+    sizes = lambda part: pd.DataFrame({"n": len(part), "id": part["id"]})
+    scored = score.score_batches(rows, sizes, "id bigint, n int", 10)
+    assert "MapInArrow" in scored._jdf.queryExecution().toString()
+    assert sorted(map(tuple, scored.collect())) == [(i, 10 if i < 20 else 5) for i in range(25)]
+
+
+def test_vocabulary_counts_texts_without_a_shuffle_by_row(spark):
+    texts = ["b a a", "a c", None, "", "bb aa aa bb", "aa bb"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [(r["term"], r["n"], r["texts"]) for r in ml.label_vocabulary(df, "text", 3).orderBy("place").collect()]
+    assert got == [("aa", 3, 2), ("bb", 3, 2), ("aa bb", 1, 1)]
+
+
+def test_lloyd_round_sends_a_row_per_model(spark):
+    rows = spark.createDataFrame([([float(i), 0.0],) for i in range(10)], "vector array<float>")
+    model = ml._lloyd_round(rows, {4: np.array([[1.0, 0.0], [8.0, 0.0]])})[4]
+    assert model.rows.tolist() == [5.0, 5.0] and model.centers.tolist() == [[2.0, 0.0], [7.0, 0.0]]
+    assert model.cost == 30.0 and model.squares.tolist() == [30.0, 255.0]
