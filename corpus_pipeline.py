@@ -15,6 +15,9 @@ from threadloom.llm import lines, mixing, quality, shingles, simhash
 from threadloom.llm.queries import encoded, word_bpe
 from threadloom.session import spread, stage_path
 
+# Bytes of text in a block of the last stage: its workers share an executor that four stages have filled, and more of the disk is free than in ``op4_bpe``.
+BPE_BLOCK_BYTES = 8 << 20
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly trained quality classifier keeps; no given label is read."""
@@ -43,7 +46,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count, and digests of the ids and of the decoded text, of every document taken."""
-    return encoded(docs, word_bpe())
+    return encoded(docs, word_bpe(), BPE_BLOCK_BYTES)
 
 
 STAGES = [

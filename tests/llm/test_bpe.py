@@ -76,3 +76,19 @@ def test_numbers_round_trip():
     for numbers in ([], [0], [0, 1, 0, 2, 2, 1, 3], list(range(70_000)) + [5, 69_999]):
         a = np.array(numbers, dtype=np.int64)
         assert bpe.unpack_numbers(bpe.pack_numbers(a)).tolist() == numbers
+
+
+def test_words_go_to_the_tokenizer_in_pieces(monkeypatch):
+    """The library's answer takes a kilobyte a word, so a long list must not be answered at once."""
+    tokenizer, sizes = library(), []
+
+    class Counting:
+        def encode_batch(self, words, **options):
+            sizes.append(len(words))
+            return tokenizer.encode_batch(words, **options)
+
+    monkeypatch.setattr(bpe, "_tokenizer", lambda definition: Counting())
+    words = [f"word{i}".encode() for i in range(10_000)]
+    got = [np.frombuffer(i, "<u4").tolist() for i in bpe.word_ids(word_bpe(), words)]
+    assert got == [tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words]
+    assert max(sizes) <= 4096 and sum(sizes) == 10_000

@@ -30,13 +30,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.tables import shuffle_partitions, slices, text_bytes
+from threadloom.llm.tables import release, shuffle_partitions, slices, text_bytes
 from threadloom.session import spread, stage_path
 
 # Bytes of text in a block.
 BLOCK_BYTES = 16 << 20
 # Bytes of ids or text in an output batch.
 BATCH_BYTES = 2 << 20
+# Word lists that are unpacked and answered in one piece.
+LISTS = 16
+# Words that the tokenizer gets at a time: its answer takes about a kilobyte a word until the ids are taken from it.
+WORDS = 4096
 
 _loaded: dict[int, object] = {}
 
@@ -155,8 +159,11 @@ def _split(block_bytes: int, buckets: int):
 
 def word_ids(definition: str, words: list[bytes]) -> list[bytes]:
     """Ids of words as little-endian 32-bit integers."""
-    encoded = _tokenizer(definition).encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)
-    return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+    tokenizer, ids = _tokenizer(definition), []
+    for at in range(0, len(words), WORDS):
+        encoded = tokenizer.encode_batch([w.decode("utf-8") for w in words[at : at + WORDS]], add_special_tokens=False)
+        ids.extend(np.array(e.ids, dtype="<u4").tobytes() for e in encoded)
+    return ids
 
 
 def _pack_ids(ids: list[bytes]) -> bytes:
@@ -177,11 +184,16 @@ def _unpack_ids(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _encode(definition):
+    """Ids of the word lists of whole buckets, sorted by bucket: no word is in two, so only one bucket's words are held."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, bytes] = {}
-        for batch in batches:
+        held = None
+        for batch in slices(batches, LISTS):
             out = []
-            for packed in batch.column("packed").to_pylist():
+            for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist()):
+                if bucket != held:
+                    known, held = {}, bucket
                 words = zstandard.ZstdDecompressor().decompress(packed).split(b"\n")
                 new = [w for w in words if w not in known]
                 if new:
@@ -246,6 +258,7 @@ def _assemble(vocabulary):
                         out, size = [], 0
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=schema)
+        release()
 
     return run
 
@@ -287,6 +300,7 @@ def encode(
         blocks.select("block", F.posexplode("words").alias("bucket", "packed"))
         .where(F.col("packed").isNotNull())
         .repartition(buckets, "bucket")
+        .sortWithinPartitions("bucket")
         .mapInArrow(_encode(shipped), "block bigint, bucket int, ids binary")
         .groupBy("block")
         .agg(F.collect_list(F.struct("bucket", "ids")).alias("lists"))
@@ -329,6 +343,6 @@ def decode(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return tokens.mapInArrow(run, f"{schema}, decoded string")
 
 
-def round_trip(docs: DataFrame, definition: str) -> DataFrame:
+def round_trip(docs: DataFrame, definition: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every row."""
-    return encode(docs, definition, vocabulary=pieces(docs.sparkSession, definition))
+    return encode(docs, definition, vocabulary=pieces(docs.sparkSession, definition), block_bytes=block_bytes)

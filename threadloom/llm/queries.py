@@ -43,9 +43,9 @@ def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.read_records(spark, path)
 
 
-def encoded(docs: DataFrame, definition: str) -> DataFrame:
+def encoded(docs: DataFrame, definition: str, block_bytes: int = bpe.BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
-    return bpe.round_trip(docs, definition).select(
+    return bpe.round_trip(docs, definition, block_bytes).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -21,10 +21,20 @@ SLICE = 256
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in smaller batches, so that few of them are Python objects at the same time."""
+    """The rows of the batches in smaller batches, so that few of them are Python objects at the same time.
+
+    Workers are used again by later tasks, so what Arrow still holds of batches gone by is given back after each.
+    """
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+        del batch
+        release()
+
+
+def release() -> None:
+    """Give the memory that Arrow's pool holds without need back to the system."""
+    pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> list[bytes | None]:
