@@ -1,6 +1,8 @@
 import datetime as dt
 import pathlib
 
+import pyarrow as pa
+
 from threadloom import presets, session
 from threadloom.operators.resolve import ResolutionRules
 from threadloom.plans.triage import TriageConfig
@@ -72,3 +74,20 @@ def test_a_brands_inbound_posts_count_as_its_own(spark, tmp_path):
         stream = spark.readStream.schema(POST + ", author_id string").parquet(str(tmp_path / "in"))
         jobs.resolution_stream(stream, out, str(tmp_path / f"mark-{brand}"), brand=brand).awaitTermination()
         assert (1, reason) in {(r["thread_key"], r["resolution_reason"]) for r in spark.read.parquet(out).collect()}
+
+
+def test_a_scorer_gets_batches_of_bounded_size(spark, tmp_path):
+    """A stream's Python workers hold few rows at a time; the session's own setting stays as it was."""
+    inbox, out, name = str(tmp_path / "in"), str(tmp_path / "out"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.range(3500).coalesce(1).write.parquet(inbox)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    given = spark.conf.get(name)
+    stream = spark.readStream.schema("id bigint").parquet(inbox)
+    jobs.score_stream(stream, lambda rows: rows.mapInArrow(sizes, "n bigint"), out, str(tmp_path / "mark")).awaitTermination()
+    got = [r["n"] for r in spark.read.parquet(out).collect()]
+    assert sum(got) == 3500 and max(got) <= 1000
+    assert spark.conf.get(name) == given

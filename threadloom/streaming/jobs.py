@@ -13,6 +13,9 @@ from threadloom.operators.resolve import ResolutionRules, has_closure, resolved_
 from threadloom.plans.triage import TriageConfig, triage
 from threadloom.session import own_stages
 
+# Rows that a scorer's Python worker gets in one Arrow batch; texts may be long, so they are far fewer than Spark's 10,000.
+BATCH_ROWS = 1000
+
 
 def _start(writer, available_now: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -104,6 +107,16 @@ def resolution_stream(
 def score_stream(
     rows: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
-    """Score arriving rows once: the checkpoint remembers the files read, the sink the batches written."""
+    """Score arriving rows once: the checkpoint remembers the files read, the sink the batches written.
+
+    A Python worker gets ``BATCH_ROWS`` rows at a time, or fewer if the session says so; a stream keeps the settings it starts with.
+    """
     writer = score(rows).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-    return _start(writer, available_now)
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = conf.get(name)
+    if not 0 < int(given) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    try:
+        return _start(writer, available_now)
+    finally:
+        conf.set(name, given)
