@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import string
+import warnings
 from collections.abc import Sequence
+from re import _parser as sre
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -112,6 +115,77 @@ def count_matches(col: Column, pattern: str) -> Column:
     return F.regexp_count(col, F.lit(pattern))
 
 
-def first_match(rules: Sequence[tuple[str, str]], col: Column) -> Column:
-    """Label of the first rule whose pattern occurs in ``col``, else NULL. Order matters."""
-    return F.coalesce(*[F.when(col.rlike(pattern), F.lit(label)) for label, pattern in rules])
+# Letters that parts of patterns may have besides ASCII, and all characters that case-insensitive patterns take for one of these or an ASCII letter.
+_LATIN = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
+_FOLDED = (string.ascii_uppercase + _LATIN.upper() + "\u0130\u0131\u017f\u212a\u212b", string.ascii_lowercase + _LATIN + "iiskå")
+_PLAIN = frozenset(map(chr, range(32, 127))) | frozenset(_LATIN + "¿¡")
+
+
+def _needed(parsed) -> set[str] | None:
+    """Parts, in lower case, of which a match of a parsed pattern holds at least one; None if there are no such parts."""
+    best, run = None, ""
+    for kind, value in [*parsed, (None, None)]:
+        letter = chr(value).lower() if kind is sre.LITERAL else ""
+        if letter in _PLAIN:
+            run += letter
+            continue
+        found, inner = {run} if run else None, None
+        run = ""
+        if kind is sre.SUBPATTERN:
+            inner = _needed(value[-1])
+        elif kind is sre.BRANCH:
+            parts = [_needed(p) for p in value[1]]
+            inner = None if None in parts else set().union(*parts)
+        elif kind is sre.IN:
+            parts = [_needed([one]) for one in value]
+            inner = None if None in parts else set().union(*parts)
+        elif kind in (sre.MAX_REPEAT, sre.MIN_REPEAT) and value[0] > 0:
+            inner = _needed(value[-1])
+        for some in (found, inner):
+            if some and (best is None or min(map(len, some)) > min(map(len, best))):
+                best = some
+    return best
+
+
+def needed_parts(pattern: str) -> list[str] | None:
+    """Parts in lower case, one of which is in every folded text that a case-insensitive match of ``pattern`` is in.
+
+    None if that can't be told, as the pattern has a syntax that Java's and Python's patterns do not share, or if some part is of one
+    or two letters, which most texts hold.
+    """
+    if re.search(r"\(\?(?!:)|\[[^\]]*\[|&&|\\[^bBdDsSwW.$?*+|(){}\\^-]|[*+?}]\+", pattern):
+        return None
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")
+            found = _needed(sre.parse(pattern))
+    except (re.error, Warning):
+        return None
+    if not found or any(len(p) < 3 and p.isalnum() for p in found):
+        return None
+    # A part that holds another one adds nothing.
+    return sorted(p for p in found if not any(q != p and q in p for q in found))
+
+
+def first_match(rules: Sequence[tuple[str, str]], col: Column, only_if: Sequence[Column] | None = None) -> Column:
+    """Label of the first rule whose pattern occurs in ``col``, else NULL. Order matters.
+
+    ``only_if`` has a cheap condition for each rule, without which its pattern occurs nowhere and is not tried.
+    """
+    tried = [col.rlike(pattern) for _, pattern in rules]
+    if only_if is not None:
+        tried = [cheap & match for cheap, match in zip(only_if, tried)]
+    return F.coalesce(*[F.when(match, F.lit(label)) for (label, _), match in zip(rules, tried)])
+
+
+def folded(col: Column) -> Column:
+    """The text with the characters in lower case that a case-insensitive pattern takes for an ASCII letter."""
+    return F.translate(col, *_FOLDED)
+
+
+def may_match(pattern: str, folded_text: Column) -> Column:
+    """False only if ``unicode_pattern(pattern)`` does not occur in the text that was folded."""
+    parts = needed_parts(pattern)
+    if parts is None:
+        return F.lit(True)
+    return F.coalesce(F.exists(F.array(*map(F.lit, parts)), lambda part: F.contains(folded_text, part)), F.lit(False))
