@@ -311,6 +311,29 @@ def test_block_top_k_in_pieces():
     pd.testing.assert_frame_equal(whole, pieces)
 
 
+def test_held_hits_equal_a_search_of_the_whole_index():
+    """Blocks one after the other, most of them skipped for most queries, give the hits of one search; ties and repeated ids included."""
+    rng = np.random.default_rng(5)
+    rows = lambda name, n: pd.DataFrame({name: np.arange(n) % 70, "vector": list(rng.integers(-2, 3, size=(n, 3)).astype(float))})
+    queries, index = rows("query_id", 40), rows("hit_id", 90)
+    index["hit_id"] = rng.permutation(90)
+    for own in (False, True):
+        held = retrieve._Held(queries, 4, own, cells=100)
+        for start in range(0, 90, 7):
+            held.add(index.iloc[start : start + 7])
+        key = ["query_id", "similarity", "hit_id"]
+        want = retrieve._block_top_k(4, own)(queries, index)
+        pd.testing.assert_frame_equal(*(f.sort_values(key, ignore_index=True)[key] for f in (held.frame(), want)))
+
+
+def test_many_queries_find_the_index_spread_over_all_cores(spark):
+    """An index of one file is compared by as many tasks as there are cores, and few queries leave it where it lies."""
+    rows = spark.range(2000).selectExpr("id", "'a' AS intent", "array(double(id), 1D) AS embedding").coalesce(1)
+    index, cores = rows.withColumnRenamed("id", "hit_id"), spark.sparkContext.defaultParallelism
+    plan = lambda n: retrieve.retrieve(rows.where(f"id < {n}"), index, 3, "id")._jdf.queryExecution().toString()
+    assert f"RoundRobinPartitioning({cores})" in plan(retrieve.SPREAD_QUERIES) and "RoundRobin" not in plan(20)
+
+
 def test_scorer_gets_few_rows_as_objects(spark):
     """Batches come from slices of Arrow batches, and a column left out by name or order does not matter."""
     rows = spark.createDataFrame([(i, "x" * i) for i in range(25)], "id bigint, text string").coalesce(1)

@@ -13,6 +13,10 @@ from threadloom.session import stage_path, write_stage
 from threadloom.streaming import jobs, thread_state
 
 
+# Texts are costly to work on: files of so few rows give each micro-batch more tasks than cores, of about the same size.
+TEXT_ROWS = 5_000
+
+
 def as_stream(df, label: str, batches: int = 4, file_rows: int = 20_000):
     """The rows as a stream of files of bounded size, in about as many micro-batches as asked for."""
     spark = df.sparkSession
@@ -28,7 +32,7 @@ def triage_stream(spark, sf_dir):
     """Triage over micro-batches gives the records of the batch job."""
     out, mark = stage_path(spark, "triage-out"), stage_path(spark, "triage-mark")
     stored, _ = rv.stored_index(spark, sf_dir)
-    stream = as_stream(rv.triage_input(spark, sf_dir), "triage-in", batches=2)
+    stream = as_stream(rv.triage_input(spark, sf_dir), "triage-in", batches=2, file_rows=TEXT_ROWS)
     jobs.triage_stream(stream, stored, rv.CONFIG, out, mark).awaitTermination()
     return rv.triage_records(jobs.read_batches(spark, out))
 

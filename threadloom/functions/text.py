@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import string
 import warnings
 from collections.abc import Sequence
 from re import _parser as sre
@@ -17,6 +16,10 @@ NOT_WORD = r"[^\p{L}\p{N}_]"
 # White space is listed, not classed, which lets the matcher test it with a table.
 _SPACES = r"\t-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPACE = f"[ {_SPACES}]"
+# The same with and without the blank, behind a few ranges that rule most characters out at once. Java only.
+_NEAR = r"\x{7f}-\x{a0}\x{1680}-\x{3000}"
+_FAST_SPACE = rf"[\x{{0}}- {_NEAR}&&[ {_SPACES}]]"
+_FAST_OTHER = rf"[\x{{0}}-\x{{1f}}{_NEAR}&&[{_SPACES}]]"
 SPACE_CHARACTERS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -27,7 +30,7 @@ def strip(col: Column) -> Column:
 
 def squeeze(col: Column) -> Column:
     """Every run of white space becomes one blank; single blanks are left alone."""
-    return strip(F.regexp_replace(col, f"{SPACE}{{2,}}|[{_SPACES}]", " "))
+    return strip(F.regexp_replace(col, f" {_FAST_SPACE}+|{_FAST_OTHER}{_FAST_SPACE}*", " "))
 
 
 def quote(literal: str) -> str:
@@ -115,9 +118,10 @@ def count_matches(col: Column, pattern: str) -> Column:
     return F.regexp_count(col, F.lit(pattern))
 
 
-# Letters that parts of patterns may have besides ASCII, and all characters that case-insensitive patterns take for one of these or an ASCII letter.
+# Letters that parts of patterns may have besides ASCII, and the characters that case-insensitive patterns take for one of these or an
+# ASCII letter, although their lower case is another one.
 _LATIN = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
-_FOLDED = (string.ascii_uppercase + _LATIN.upper() + "\u0130\u0131\u017f\u212a\u212b", string.ascii_lowercase + _LATIN + "iiskå")
+_ODD_CASE = {"\u0130": "i", "\u0131": "i", "\u017f": "s"}
 _PLAIN = frozenset(map(chr, range(32, 127))) | frozenset(_LATIN + "¿¡")
 
 
@@ -180,7 +184,9 @@ def first_match(rules: Sequence[tuple[str, str]], col: Column, only_if: Sequence
 
 def folded(col: Column) -> Column:
     """The text with the characters in lower case that a case-insensitive pattern takes for an ASCII letter."""
-    return F.translate(col, *_FOLDED)
+    for odd, plain in _ODD_CASE.items():
+        col = F.replace(col, F.lit(odd), F.lit(plain))
+    return F.lower(col)
 
 
 def may_match(pattern: str, folded_text: Column) -> Column:
@@ -188,4 +194,4 @@ def may_match(pattern: str, folded_text: Column) -> Column:
     parts = needed_parts(pattern)
     if parts is None:
         return F.lit(True)
-    return F.coalesce(F.exists(F.array(*map(F.lit, parts)), lambda part: F.contains(folded_text, part)), F.lit(False))
+    return has_any(folded_text, parts)

@@ -23,6 +23,8 @@ SIMILAR = 0.65
 DIGITS = 9
 # Bytes of the queries that travel to the index together; it stays where it is.
 QUERY_BYTES = 32 << 20
+# From so many queries on, comparing them costs more than dealing the index evenly to all cores first.
+SPREAD_QUERIES = 1000
 
 
 def outcome_of(col: Column, allowed: Sequence[str] = presets.OUTCOMES, default: str = presets.DEFAULT_OUTCOME) -> Column:
@@ -99,6 +101,23 @@ def _unit_rows(vectors: pd.Series) -> np.ndarray:
 BLOCK_CELLS = 1 << 19
 
 
+def _best_cells(sims: np.ndarray, who: np.ndarray, ids: np.ndarray, k: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and rounded similarity of the k best cells of each row, best first, ties by id; ``sims`` is overwritten."""
+    np.round(sims, DIGITS, out=sims)
+    if exclude_self:
+        sims[who[:, None] == ids[None, :]] = -np.inf
+    if sims.shape[1] > k:
+        last = np.partition(sims, sims.shape[1] - k, axis=1)[:, -k]
+        rows, cols = np.nonzero((sims >= last[:, None]) & (sims > -np.inf))
+    else:
+        rows, cols = np.nonzero(sims > -np.inf)
+    order = np.lexsort((ids[cols], -sims[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    rows, cols = rows[place < k], cols[place < k]
+    return rows, cols, sims[rows, cols]
+
+
 def _block_top_k(k: int, exclude_self: bool, cells: int = BLOCK_CELLS):
     """The k best rows of an index block for each query of a query block."""
 
@@ -109,28 +128,53 @@ def _block_top_k(k: int, exclude_self: bool, cells: int = BLOCK_CELLS):
             asking, step = queries["query_id"].to_numpy(), max(1, cells // len(known))
             for start in range(0, len(asking), step):
                 sims = _unit_rows(queries["vector"].iloc[start : start + step]) @ known.T
-                np.round(sims, DIGITS, out=sims)
                 who = asking[start : start + step]
-                if exclude_self:
-                    sims[who[:, None] == ids[None, :]] = -np.inf
-                if sims.shape[1] > k:
-                    last = np.partition(sims, sims.shape[1] - k, axis=1)[:, -k]
-                    rows, cols = np.nonzero((sims >= last[:, None]) & (sims > -np.inf))
-                else:
-                    rows, cols = np.nonzero(sims > -np.inf)
-                order = np.lexsort((ids[cols], -sims[rows, cols], rows))
-                rows, cols = rows[order], cols[order]
-                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-                rows, cols = rows[place < k], cols[place < k]
+                rows, cols, similar = _best_cells(sims, who, ids, k, exclude_self)
                 out["query_id"].append(who[rows])
                 out["hit_id"].append(ids[cols])
-                out["similarity"].append(sims[rows, cols])
+                out["similarity"].append(similar)
         joined = {name: np.concatenate(parts) if parts else np.array([]) for name, parts in out.items()}
         return pd.DataFrame(joined)
 
     return best
 
 
+class _Held:
+    """The k best hits so far of each query of an intent, best first; free places have similarity -inf."""
+
+    def __init__(self, queries: pd.DataFrame, k: int, exclude_self: bool, cells: int = BLOCK_CELLS):
+        self.vectors, self.who = queries["vector"], queries["query_id"].to_numpy()
+        self.k, self.exclude_self, self.cells = k, exclude_self, cells
+        self.similar, self.ids = np.full((len(queries), k), -np.inf), None
+
+    def add(self, index: pd.DataFrame) -> None:
+        """Compare the queries with a block of the index; only queries whose best cell may be among their k best look further."""
+        known, ids = _unit_rows(index["vector"]), index["hit_id"].to_numpy()
+        if self.ids is None:
+            self.ids = np.full(self.similar.shape, ids[0], dtype=ids.dtype)
+        elif self.ids.dtype != ids.dtype:
+            self.ids = self.ids.astype(np.result_type(self.ids, ids))
+        step = max(1, self.cells // len(known))
+        for start in range(0, len(self.who), step):
+            sims = _unit_rows(self.vectors.iloc[start : start + step]) @ known.T
+            # Below by more than the rounding; a row with a NaN is not skipped.
+            near = np.flatnonzero(~(sims.max(axis=1) < self.similar[start : start + step, -1] - 10.0**-DIGITS))
+            if not len(near):
+                continue
+            at = near + start
+            rows, cols, similar = _best_cells(sims[near], self.who[at], ids, self.k, self.exclude_self)
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            fresh, named = np.full((len(at), self.k), -np.inf), np.full((len(at), self.k), ids[0], dtype=ids.dtype)
+            fresh[rows, place], named[rows, place] = similar, ids[cols]
+            similar, named = np.hstack([self.similar[at], fresh]), np.hstack([self.ids[at], named])
+            order = np.lexsort((named, -similar), axis=1)[:, : self.k]
+            self.similar[at], self.ids[at] = np.take_along_axis(similar, order, 1), np.take_along_axis(named, order, 1)
+
+    def frame(self) -> pd.DataFrame:
+        rows, cols = np.nonzero(self.similar > -np.inf)
+        return pd.DataFrame({"query_id": self.who[rows], "hit_id": self.ids[rows, cols], "similarity": self.similar[rows, cols]})
+
+
 def _merge(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
     """The k best hits of each query among those of several blocks."""
     joined = pd.concat(parts, ignore_index=True).sort_values(["query_id", "similarity", "hit_id"], ascending=[True, False, True], kind="stable")
@@ -139,16 +183,16 @@ def _merge(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
 
 def _scan_top_k(shipped, k: int, exclude_self: bool):
     """The k best rows of an index partition for each of the broadcast queries of the same intent."""
-    top = _block_top_k(k, exclude_self)
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[str, pd.DataFrame] = {}
+        best: dict[str, _Held] = {}
         for frame in frames:
             for intent, part in frame.groupby("intent"):
                 if intent in shipped.value:
-                    found = top(shipped.value[intent], part)
-                    best[intent] = _merge([best[intent], found], k) if intent in best else found
-        yield from (found for found in best.values() if len(found))
+                    if intent not in best:
+                        best[intent] = _Held(shipped.value[intent], k, exclude_self)
+                    best[intent].add(part)
+        yield from (found for found in (held.frame() for held in best.values()) if len(found))
 
     return scan
 
@@ -168,8 +212,9 @@ def retrieve(
     """The k most similar index rows of the same intent for each query, exactly.
 
     Queries go out in waves of about ``query_bytes``, summed while they are written, which are broadcast one after the other. The index is
-    scanned where it lies, once a wave, with only the partitions of the intents asked for; a task keeps k hits per query, and only
-    these are shuffled. The hits of each of several waves are written before the next one starts, so the driver holds one wave.
+    scanned once a wave, with only the partitions of the intents asked for; a task keeps k hits per query, and only these are
+    shuffled. Few queries find the index where it lies. For ``SPREAD_QUERIES`` or more its vectors are dealt evenly to all cores first,
+    as its files may be few or uneven. The hits of each of several waves are written before the next one starts, so the driver holds one wave.
     ``index_vector`` names the index' vector column where it is another one.
     Output: query_id, hit_id, rank, similarity (4 digits, at least 0), distance.
     """
@@ -183,12 +228,16 @@ def retrieve(
     asked, seen = write_stage(asked, "queries", bytes=F.coalesce(F.sum(size), F.lit(0)))
     schema = f"query_id {id_type}, hit_id {hit_type}, similarity double"
     waves = max(1, min(seen["rows"], math.ceil(seen["bytes"] / max(1, query_bytes))))
+    known = index.where(F.col(stored).isNotNull()).select("intent", F.col(hit_id).alias("hit_id"), F.col(stored).alias("vector"))
+    if seen["rows"] >= SPREAD_QUERIES:
+        known = known.repartition(max(known.rdd.getNumPartitions(), known.sparkSession.sparkContext.defaultParallelism))
+        if waves > 1:
+            known, _ = write_stage(known, "index-vectors")
 
     def scan(wave: DataFrame) -> DataFrame:
         by_intent = dict(tuple(wave.where(F.col("intent").isNotNull()).toPandas().groupby("intent")))
         shipped = asked.sparkSession.sparkContext.broadcast(by_intent)
-        wanted = index.where(F.col(stored).isNotNull() & F.col("intent").isin(*by_intent)) if by_intent else index.where(F.lit(False))
-        scanned = wanted.select("intent", F.col(hit_id).alias("hit_id"), F.col(stored).alias("vector"))
+        scanned = known.where(F.col("intent").isin(*by_intent)) if by_intent else known.where(F.lit(False))
         return ranked_hits(scanned.mapInPandas(_scan_top_k(shipped, k, exclude_self), schema), k)
 
     if waves == 1:
