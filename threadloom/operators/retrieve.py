@@ -101,21 +101,32 @@ def _unit_rows(vectors: pd.Series) -> np.ndarray:
 BLOCK_CELLS = 1 << 19
 
 
-def _best_cells(sims: np.ndarray, who: np.ndarray, ids: np.ndarray, k: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, column and rounded similarity of the k best cells of each row, best first, ties by id; ``sims`` is overwritten."""
-    np.round(sims, DIGITS, out=sims)
-    if exclude_self:
-        sims[who[:, None] == ids[None, :]] = -np.inf
-    if sims.shape[1] > k:
-        last = np.partition(sims, sims.shape[1] - k, axis=1)[:, -k]
-        rows, cols = np.nonzero((sims >= last[:, None]) & (sims > -np.inf))
+def _best_cells(
+    sims: np.ndarray, who: np.ndarray, ids: np.ndarray, k: int, exclude_self: bool, floor: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and rounded similarity of the k best cells of each row, best first, ties by id; ``sims`` may be overwritten.
+
+    With a ``floor`` for each row, cells below it are of no interest: only the few others are rounded and put in order.
+    """
+    if floor is None:
+        np.round(sims, DIGITS, out=sims)
+        if exclude_self:
+            sims[who[:, None] == ids[None, :]] = -np.inf
+        found = sims > -np.inf
+        if sims.shape[1] > k:
+            found &= sims >= np.partition(sims, sims.shape[1] - k, axis=1)[:, -k][:, None]
+        rows, cols = np.nonzero(found)
+        similar = sims[rows, cols]
     else:
-        rows, cols = np.nonzero(sims > -np.inf)
-    order = np.lexsort((ids[cols], -sims[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    rows, cols = rows[place < k], cols[place < k]
-    return rows, cols, sims[rows, cols]
+        rows, cols = np.divmod(np.flatnonzero(sims >= floor[:, None]), sims.shape[1])
+        if exclude_self:
+            other = who[rows] != ids[cols]
+            rows, cols = rows[other], cols[other]
+        similar = np.round(sims[rows, cols], DIGITS)
+    order = np.lexsort((ids[cols], -similar, rows))
+    rows, cols, similar = rows[order], cols[order], similar[order]
+    best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[best], cols[best], similar[best]
 
 
 def _block_top_k(k: int, exclude_self: bool, cells: int = BLOCK_CELLS):
@@ -158,11 +169,13 @@ class _Held:
         for start in range(0, len(self.who), step):
             sims = _unit_rows(self.vectors.iloc[start : start + step]) @ known.T
             # Below by more than the rounding; a row with a NaN is not skipped.
-            near = np.flatnonzero(~(sims.max(axis=1) < self.similar[start : start + step, -1] - 10.0**-DIGITS))
+            floor, most = self.similar[start : start + step, -1] - 10.0**-DIGITS, sims.max(axis=1)
+            near = np.flatnonzero(~(most < floor))
             if not len(near):
                 continue
-            at = near + start
-            rows, cols, similar = _best_cells(sims[near], self.who[at], ids, self.k, self.exclude_self)
+            at, floor = near + start, floor[near]
+            plain = np.isfinite(floor).all() and not np.isnan(most).any()
+            rows, cols, similar = _best_cells(sims[near], self.who[at], ids, self.k, self.exclude_self, floor if plain else None)
             place = np.arange(len(rows)) - np.searchsorted(rows, rows)
             fresh, named = np.full((len(at), self.k), -np.inf), np.full((len(at), self.k), ids[0], dtype=ids.dtype)
             fresh[rows, place], named[rows, place] = similar, ids[cols]
