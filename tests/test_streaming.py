@@ -91,3 +91,20 @@ def test_a_scorer_gets_batches_of_bounded_size(spark, tmp_path):
     got = [r["n"] for r in spark.read.parquet(out).collect()]
     assert sum(got) == 3500 and max(got) <= 1000
     assert spark.conf.get(name) == given
+
+
+def test_a_scorer_gets_batches_of_bounded_bytes(spark, tmp_path):
+    """Long texts come in fewer rows at a time, so a worker does not grow with their length."""
+    inbox, out, name = str(tmp_path / "in"), str(tmp_path / "out"), "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.range(300).selectExpr("repeat('x', 100000) AS text").coalesce(1).write.parquet(inbox)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    given = spark.conf.get(name)
+    stream = spark.readStream.schema("text string").parquet(inbox)
+    jobs.score_stream(stream, lambda rows: rows.mapInArrow(sizes, "n bigint"), out, str(tmp_path / "mark")).awaitTermination()
+    got = [r["n"] for r in spark.read.parquet(out).collect()]
+    assert sum(got) == 300 and max(got) <= jobs.BATCH_BYTES // 100_000 + 1
+    assert spark.conf.get(name) == given

@@ -13,8 +13,9 @@ from threadloom.operators.resolve import ResolutionRules, has_closure, resolved_
 from threadloom.plans.triage import TriageConfig, triage
 from threadloom.session import own_stages
 
-# Rows that a scorer's Python worker gets in one Arrow batch; texts may be long, so they are far fewer than Spark's 10,000.
+# Rows and bytes that a scorer's Python worker gets in one Arrow batch; texts may be long, so they are far less than Spark's 10,000 and 256 MB.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 
 def _start(writer, available_now: bool) -> StreamingQuery:
@@ -109,14 +110,18 @@ def score_stream(
 ) -> StreamingQuery:
     """Score arriving rows once: the checkpoint remembers the files read, the sink the batches written.
 
-    A Python worker gets ``BATCH_ROWS`` rows at a time, or fewer if the session says so; a stream keeps the settings it starts with.
+    A Python worker gets ``BATCH_ROWS`` rows at a time and ``BATCH_BYTES``, or less if the session says so; a stream keeps the settings it
+    starts with.
     """
     writer = score(rows).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    given = conf.get(name)
-    if not 0 < int(given) <= BATCH_ROWS:
-        conf.set(name, BATCH_ROWS)
+    conf, arrow = rows.sparkSession.conf, "spark.sql.execution.arrow"
+    given = {name: conf.get(name) for name in (f"{arrow}.maxRecordsPerBatch", f"{arrow}.maxBytesPerBatch")}
+    for (name, value), most in zip(given.items(), (BATCH_ROWS, BATCH_BYTES)):
+        # A value with a unit is above the bound or replaced by it.
+        if not (value.isdigit() and 0 < int(value) <= most):
+            conf.set(name, most)
     try:
         return _start(writer, available_now)
     finally:
-        conf.set(name, given)
+        for name, value in given.items():
+            conf.set(name, value)
