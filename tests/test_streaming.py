@@ -4,6 +4,7 @@ import pathlib
 import pyarrow as pa
 
 from threadloom import presets, session
+from threadloom.catalog import streams
 from threadloom.operators.resolve import ResolutionRules
 from threadloom.plans.triage import TriageConfig
 from threadloom.streaming import jobs
@@ -108,3 +109,18 @@ def test_a_scorer_gets_batches_of_bounded_bytes(spark, tmp_path):
     got = [r["n"] for r in spark.read.parquet(out).collect()]
     assert sum(got) == 300 and max(got) <= jobs.BATCH_BYTES // 100_000 + 1
     assert spark.conf.get(name) == given
+
+
+def test_a_tables_stream_is_written_once(spark, tmp_path):
+    """Files hold a bounded number of rows; a table that is not small is neither copied nor shuffled for them."""
+    shared = pathlib.Path(session.stage_path(spark, "probe").removeprefix("file:")).parent
+    for rows, batches, file_rows, copies in ((70, 3, 10, 1), (5, 3, 10, 2)):
+        label = f"stream-of-{rows}"
+        stream = streams.as_stream(spark.range(rows).coalesce(1), label, batches, file_rows)
+        out = str(tmp_path / f"out-{rows}")
+        jobs.score_stream(stream, lambda df: df, out, str(tmp_path / f"mark-{rows}")).awaitTermination()
+        assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(rows))
+        made = [p for p in shared.iterdir() if p.name.startswith(label)]
+        assert len(made) == copies
+        sizes = [spark.read.parquet(str(f)).count() for p in made for f in p.glob("*.parquet")]
+        assert max(sizes) <= file_rows

@@ -9,7 +9,7 @@ from threadloom.catalog import views
 from threadloom.catalog.base import REGISTRY, query, table
 from threadloom.operators import score as sc
 from threadloom.operators.resolve import ResolutionRules
-from threadloom.session import stage_path, write_stage
+from threadloom.session import stage_path
 from threadloom.streaming import jobs, thread_state
 
 
@@ -18,12 +18,18 @@ TEXT_ROWS = 5_000
 
 
 def as_stream(df, label: str, batches: int = 4, file_rows: int = 20_000):
-    """The rows as a stream of files of bounded size, in about as many micro-batches as asked for."""
+    """The rows as a stream of files of bounded size, in about as many micro-batches as asked for.
+
+    They are written once, without a shuffle; only where that makes fewer files than batches, the few rows are dealt anew.
+    """
     spark = df.sparkSession
     path = stage_path(spark, label)
-    stored, seen = write_stage(df, label)
-    files = max(batches, -(-seen["rows"] // file_rows))
-    stored.repartition(files).write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    files = len(stored.inputFiles())
+    if files < batches:
+        path, files = stage_path(spark, label), batches
+        stored.repartition(files).write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(path)
 
 
