@@ -20,16 +20,17 @@ TEXT_ROWS = 5_000
 def as_stream(df, label: str, batches: int = 4, file_rows: int = 20_000):
     """The rows as a stream of files of bounded size, in about as many micro-batches as asked for.
 
-    They are written once, without a shuffle; only where that makes fewer files than batches, the few rows are dealt anew.
+    They are written once, without a shuffle; only rows too few to fill a file for each batch are dealt anew.
     """
     spark = df.sparkSession
     path = stage_path(spark, label)
     df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
-    files = len(stored.inputFiles())
-    if files < batches:
+    if stored.count() <= batches * file_rows:
         path, files = stage_path(spark, label), batches
         stored.repartition(files).write.parquet(path)
+    else:
+        files = len(stored.inputFiles())
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(path)
 
 
